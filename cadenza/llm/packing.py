@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import END_ID, Encoder, tokenizer_path
+from .tokens import shared_encoder, tokenizer_path
 
 #: A piece: document, first token in it, tokens, sequence, first token there.
 Piece = tuple[int, int, int, int, int]
@@ -82,7 +82,7 @@ def pack(docs: DataFrame, path: str | None = None, most: int = 4096, linear: flo
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number = Encoder(path, END_ID), TaskContext.get().partitionId() << 40
+        encoder, number = shared_encoder(path), TaskContext.get().partitionId() << 40
         held: list[tuple[int | None, np.ndarray]] = []
         tokens = 0
 

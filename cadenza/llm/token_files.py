@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, new_path, wide
-from .tokens import END_ID, Encoder, tokenizer_path
+from .tokens import shared_encoder, tokenizer_path
 
 #: Tokens in a sequence, and sequences in a record batch.
 LENGTH, ROWS = 2048, 128
@@ -67,18 +67,18 @@ class ShardReader:
         self.file, self.rows = pa.ipc.open_file(source), rows
         self.length = self.file.schema.field("ids").type.list_size
 
-    def batch(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        b = self.file.get_batch(i)
-        return tuple(b.column(c).flatten().to_numpy(zero_copy_only=c == 0).reshape(-1, self.length) for c in (0, 1))
+    def column(self, i: int, name: str) -> np.ndarray:
+        """A column of batch ``i``, flat; ids are not copied, mask bits become bytes."""
+        return self.file.get_batch(i).column(name).flatten().to_numpy(zero_copy_only=name == "ids")
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, mask = self.batch(i // self.rows)
-        return ids[i % self.rows], mask[i % self.rows]
+        at = slice(i % self.rows * self.length, (i % self.rows + 1) * self.length)
+        return self.column(i // self.rows, "ids")[at], self.column(i // self.rows, "mask")[at]
 
     def ids(self, start: int, n: int) -> np.ndarray:
         size, parts = self.rows * self.length, []
         for i in range(start // size, (start + n - 1) // size + 1):
-            flat = self.batch(i)[0].reshape(-1)
+            flat = self.column(i, "ids")
             parts.append(flat[max(0, start - i * size) : start + n - i * size])
         return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
@@ -105,7 +105,7 @@ def write(docs: DataFrame, uri: str | None = None, path: str | None = None, leng
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(uri)
-        task, encoder = TaskContext.get(), Encoder(tokenizer, END_ID)
+        task, encoder = TaskContext.get(), shared_encoder(tokenizer)
         if encoder.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
         own = posixpath.join(root, f"{task.partitionId():06d}")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -25,7 +27,7 @@ class Encoder:
     cache of ``most_words`` is full and starts anew.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID, most_words: int = 1 << 19):
+    def __init__(self, path: str, end_id: int = END_ID, most_words: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,7 +48,7 @@ class Encoder:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.starts) < n + len(words) + 1:
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in got for i in x), dtype=np.uint32, count=total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=total)
         self.starts[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(lengths)
         self.used += total
         self.place.update(zip(words, range(n, n + len(words))))
@@ -54,13 +56,15 @@ class Encoder:
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of a text and the end id, as uint32."""
         words = text.split()
-        missing = {w for w in words if w not in self.place}
-        if missing:
+        found = list(map(self.place.get, words))
+        if None in found:
+            missing = {w for w, at in zip(words, found) if at is None}
             if len(self.place) + len(missing) > self.most_words:
                 self._clear()
                 missing = set(words)
             self._learn(list(missing))
-        at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+            found = list(map(self.place.__getitem__, words))
+        at = np.array(found, dtype=np.int64)
         first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(words) else 0
@@ -68,3 +72,9 @@ class Encoder:
         out[:total] = self.flat[np.repeat(first - (ends - n), n) + np.arange(total)]
         out[total] = self.end_id
         return out
+
+
+@lru_cache(maxsize=1)
+def shared_encoder(path: str, end_id: int = END_ID) -> Encoder:
+    """The encoder of a Python worker, which keeps its words from task to task."""
+    return Encoder(path, end_id)
