@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import shared_encoder, tokenizer_path
+from .tokens import encoded, shared_encoder, tokenizer_path
 
 #: A piece: document, first token in it, tokens, sequence, first token there.
 Piece = tuple[int, int, int, int, int]
@@ -99,9 +99,9 @@ def pack(docs: DataFrame, path: str | None = None, most: int = 4096, linear: flo
             return pa.record_batch([pa.array(c, type=t) for c, (_, t) in zip(cols, fields)], schema=schema)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                held.append((doc_id, encoder.encode(text.as_py())))
-                tokens += len(held[-1][1])
+            for doc_id, ids in encoded(encoder, b):
+                held.append((doc_id, ids))
+                tokens += len(ids)
                 if tokens >= block_tokens:
                     yield flush()
                     held, tokens = [], 0

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, new_path, wide
-from .tokens import shared_encoder, tokenizer_path
+from .tokens import encoded, shared_encoder, tokenizer_path
 
 #: Tokens in a sequence, and sequences in a record batch.
 LENGTH, ROWS = 2048, 128
@@ -111,9 +111,8 @@ def write(docs: DataFrame, uri: str | None = None, path: str | None = None, leng
         own = posixpath.join(root, f"{task.partitionId():06d}")
         mine, writer, docs, total = f"{own}-{task.taskAttemptId()}", None, [], 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc_id, ids in encoded(encoder, b):
                 writer = writer or ShardWriter(store, f"{mine}.tmp", length)
-                ids = encoder.encode(text.as_py())
                 writer.add(ids)
                 docs.append((doc_id, total, len(ids)))
                 total += len(ids)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 
@@ -21,10 +23,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """Encodes UTF-8 texts, looking up words that were encoded before.
 
-    The tokenizer of ``path`` must drop ASCII white space and give a word the
-    same ids in any surroundings, as those with a word-end mark do. A text is
-    then its words' ids in a row, and each word is encoded once until the
-    cache of ``most_words`` is full and starts anew.
+    The tokenizer of ``path`` must ignore ASCII case, drop ASCII white space, and
+    give a word the same ids in any surroundings, as those with a word-end mark
+    do. A text is then its words' ids in a row, and each word is encoded once
+    until the cache of ``most_words`` is full and starts anew. Case is left alone
+    where a text may name a special token.
     """
 
     def __init__(self, path: str, end_id: int = END_ID, most_words: int = 1 << 20):
@@ -35,39 +38,48 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place: dict[bytes, int] = defaultdict(count().__next__)
+        self.known = 0
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 14, dtype=np.int64)
         self.used = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        n, lengths = len(self.place), np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+    def _learn(self) -> None:
+        """Encode the words that have a place but no ids yet."""
+        n, more = self.known, len(self.place) - self.known
+        words = [w.decode() for w in islice(reversed(self.place), more)][::-1]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, got), dtype=np.int64, count=more)
         total = int(lengths.sum())
         while len(self.flat) < self.used + total:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.starts) < n + len(words) + 1:
+        while len(self.starts) < n + more + 1:
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=total)
-        self.starts[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(lengths)
+        self.starts[n + 1 : n + 1 + more] = self.used + np.cumsum(lengths)
         self.used += total
-        self.place.update(zip(words, range(n, n + len(words))))
+        self.known += more
 
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of a text and the end id, as uint32."""
-        words = text.split()
-        found = list(map(self.place.get, words))
-        if None in found:
-            missing = {w for w, at in zip(words, found) if at is None}
-            if len(self.place) + len(missing) > self.most_words:
-                self._clear()
-                missing = set(words)
-            self._learn(list(missing))
-            found = list(map(self.place.__getitem__, words))
-        at = np.array(found, dtype=np.int64)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each text; words that are new are encoded in one call."""
+        if self.known > self.most_words:
+            self._clear()
+        found = []
+        for t in texts:
+            words = (t.lower() if b"<|" not in t else t).split()
+            found.append(np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words)))
+        if len(self.place) > self.known:
+            self._learn()
+        return map(self._gather, found)
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
         first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(words) else 0
+        total = int(ends[-1]) if len(at) else 0
         out = np.empty(total + 1, dtype=np.uint32)
         out[:total] = self.flat[np.repeat(first - (ends - n), n) + np.arange(total)]
         out[total] = self.end_id
@@ -78,3 +90,16 @@ class Encoder:
 def shared_encoder(path: str, end_id: int = END_ID) -> Encoder:
     """The encoder of a Python worker, which keeps its words from task to task."""
     return Encoder(path, end_id)
+
+
+def encoded(encoder: Encoder, batch, at_once: int = 1 << 20) -> Iterator[tuple[int | None, np.ndarray]]:
+    """``(doc_id, ids)`` of the rows of an Arrow batch of ids and UTF-8 texts, by about ``at_once`` bytes of text."""
+    ids, texts, size = [], [], 0
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        ids.append(doc_id)
+        texts.append(text.as_py())
+        size += len(texts[-1])
+        if size >= at_once:
+            yield from zip(ids, encoder.encode_all(texts))
+            ids, texts, size = [], [], 0
+    yield from zip(ids, encoder.encode_all(texts))
