@@ -65,11 +65,13 @@ def test_equals_brute_force(spark, seed):
     assert got(suffix_dedup.dedup(frame(spark, rows))) == brute(rows)
 
 
-def test_small_runs_and_pieces(spark, monkeypatch):
+@pytest.mark.parametrize("group", [1, 2, 2000])
+def test_small_runs_and_pieces(monkeypatch, group):
     """Without Spark's workers, so that the small limits hold: pieces, runs and merges give what brute force gives."""
     rows = [(d, t) for d, t in planted(3) if d is not None]
     monkeypatch.setattr(suffix_dedup, "PIECE", 400)
     monkeypatch.setattr(suffix_dedup, "RUN", 50)
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
     suffix_dedup._powers.cache_clear()
     docs = [(d, 0, (t or "").encode()) for d, t in rows]
     codes = []
