@@ -3,11 +3,14 @@
 All suffixes of a corpus are too many to exchange, so suffixes are sorted where it
 matters. Every 100-byte window names the k-gram in it with the least hash as its
 anchor, so equal windows have equal anchors at equal places. Windows whose anchor
-k-gram occurs once in the corpus are unique. For the other anchors, the text that
-all windows of the anchor cover is sorted (first round); an anchor whose text is
-alone among those with its k-gram is unique, one whose text equals an earlier
-one's repeats as a whole. What is left are windows at the edges of repeats, whose
-100-byte suffix prefixes are sorted themselves (second round).
+k-gram occurs once in the corpus are unique. For the other anchors, the suffixes
+that start there are sorted, each with the text before it that its windows cover
+(first round). An anchor whose text equals an earlier one's repeats as a whole, and
+one that is alone with its k-gram is unique. The others, at the edges of repeats,
+stand together in the order, a k-gram at a time, and their windows are compared
+there. A k-gram with more than ``GROUP`` different texts, at the edges of a passage
+that very many documents share, is not held in one task: the 100-byte suffix
+prefixes of its windows are sorted themselves (second round).
 
 Both rounds are the same merge sort: tasks sort runs, front-code them, and deal
 them out by a leading hash of the string, so that ranges are even and equal strings
@@ -35,7 +38,9 @@ from .prefix_sort import LoserTree, decode, encode, shared_prefixes
 #: Bytes of a repeated string, and of the k-gram that anchors it.
 WINDOW, K = 100, 40
 #: Bytes of text hashed at once, of text whose anchors are sent at once, and records of a run.
-PIECE, BATCH, RUN = 1 << 20, 1 << 24, 150_000
+PIECE, BATCH, RUN = 1 << 20, 1 << 23, 100_000
+#: Texts of a k-gram whose windows are compared in one task.
+GROUP = 2000
 MULTIPLIER = 0x9E3779B97F4A7C15
 NULL_ID = -(1 << 63)
 
@@ -241,8 +246,8 @@ class Run:
 
     def flush(self) -> pa.RecordBatch:
         """Equal strings keep their first record, the others are spans to remove. Where ``group`` leading
-        bytes mean that windows may be shared, only the first string of a group travels, marked if it has
-        others beside it in this run, and all of those are open."""
+        bytes mean that windows may be shared, a group of more than GROUP strings sends its first one only,
+        marked, and the windows of all of them are open."""
         rows, self.held = self.held, []
         rows.sort()
         shared = shared_prefixes([x[0] for x in rows])
@@ -256,12 +261,12 @@ class Run:
         if self.edge:
             head = np.r_[True, shared[1:] < self.group]
             number = np.cumsum(head) - 1
-            many = np.bincount(number)[number] > 1
+            many = np.bincount(number)[number] > GROUP
             edges = [rows[i] for i in np.flatnonzero(many)]
-            marks = many.astype(np.int64)[head]
-            rows, shared = [rows[i] for i in np.flatnonzero(head)], shared[head]
+            travels = np.flatnonzero(head | ~many)
+            rows, shared, marks = [rows[i] for i in travels], shared[travels], many[travels].astype(np.int64)
         along = np.array([(x[1], x[2], x[3]) for x in rows], dtype=np.int64).reshape(-1, 3)
-        along = np.c_[along, marks[: len(rows)]]
+        along = np.c_[along, marks]
         target = np.array([int.from_bytes(x[0][:4], "big") for x in rows], dtype=np.int64) * self.n >> 32
         cut = np.searchsorted(target, np.arange(self.n + 1)).tolist()
         out = []
@@ -315,32 +320,54 @@ def merge(blobs: list[tuple[int, bytes]], group: int, spans: Callable[[Record],
             yield _edge_batch(blob)
     gone: list[tuple[int, int, int, int]] = []
     edges: list[tuple[int, int, int, bytes]] = []
-    first: Record | None = None  # the first of a group, until it is known whether it is alone
-    size, before = 0, None
+    held: list[Record] = []  # different strings of a group, until all are known
+    large, size, before = False, 0, None
+
+    def settle() -> None:
+        """Compare the windows of a group: those that an earlier record has too are spans to remove."""
+        nonlocal held
+        if len(held) > 1:
+            seen: set[bytes] = set()
+            held.sort(key=lambda x: x[1:])
+            for x in held:
+                start, text = edge(x)
+                since = -1
+                for i in range(len(text) - WINDOW + 1):
+                    w = text[i : i + WINDOW]
+                    if w not in seen:
+                        seen.add(w)
+                        if since >= 0:
+                            gone.append((x[1], x[2], start + since, start + i - 1 + WINDOW))
+                            since = -1
+                    elif since < 0:
+                        since = i
+                if since >= 0:
+                    gone.append((x[1], x[2], start + since, start + len(text)))
+        held = []
+
     for shared, key, (d, r, pos, mark) in LoserTree([decode(b) for kind, b in blobs if kind == 0]):
         x = (key, d, r, pos)
+        if edge and shared < group:
+            settle()
+            large = False
         if shared == len(key) == size:
             if x != before:
                 gone.append((d, r, *spans(x)))
-            if mark and first:  # others of this group in that run are open, so the first of all must be compared too
-                edges.append((*first[1:3], *edge(first)))
-                first = None
-        elif edge:
-            if shared < group:
-                first = None if mark else x
-            else:
-                if first:
-                    edges.append((*first[1:3], *edge(first)))
-                    first = None
-                if not mark:
-                    edges.append((d, r, *edge(x)))
+        elif edge and not mark:
+            held.append(x)
         size, before = len(key), x
+        if edge and (mark or len(held) > GROUP):
+            large = True
+        if large:
+            edges += [(y[1], y[2], *edge(y)) for y in held]
+            held = []
         if len(gone) >= 100_000:
             yield _span_batch(np.array(gone, dtype=np.int64).T)
             gone = []
         if len(edges) >= 20_000:
             yield _edge_batch(edge_blob(edges))
             edges = []
+    settle()
     if gone:
         yield _span_batch(np.array(gone, dtype=np.int64).T)
     if edges:
