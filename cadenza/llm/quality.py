@@ -63,29 +63,31 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     })
 
 
-#: Rules that reject a document, over ``_text``, ``_words`` and ``_lines``; the first two are the base ones.
-BASE: dict[str, Callable[[], Column]] = {
-    "few_words": lambda: F.size("_words") < 10,
-    "repeated_windows": lambda: 100 * repeat_words(F.col("_words")) > 20 * F.size("_words"),
+Rule = Callable[[Column, Column, Column], Column]
+
+#: Rules that reject a document, from its text, words and lines; BASE are those of ``base_failed``.
+BASE: dict[str, Rule] = {
+    "few_words": lambda t, w, x: F.size(w) < 10,
+    "repeated_windows": lambda t, w, x: 100 * repeat_words(w) > 20 * F.size(w),
 }
-METHOD: dict[str, Callable[[], Column]] = {
-    "symbols": lambda: 100 * F.regexp_count("_text", F.lit("[#*$%&|<>]")) > 20 * F.size("_words"),
-    "capitals": lambda: 100 * F.regexp_count("_text", F.lit("[A-Z]")) > 50 * F.char_length(F.array_join("_words", "")),
-    "digits": lambda: 100 * F.regexp_count("_text", F.lit("[0-9]")) > 50 * F.char_length(F.array_join("_words", "")),
-    "word_length": lambda: ~F.char_length(F.array_join("_words", "")).between(2 * F.size("_words"), 15 * F.size("_words")),
-    "duplicate_lines": lambda: 100 * dup_lines(F.col("_lines")) > 50 * F.size("_lines"),
-    "few_distinct_words": lambda: 100 * F.size(F.array_distinct("_words")) < 20 * F.size("_words"),
+METHOD: dict[str, Rule] = {
+    "symbols": lambda t, w, x: 100 * F.regexp_count(t, F.lit("[#*$%&|<>]")) > 20 * F.size(w),
+    "capitals": lambda t, w, x: 100 * F.regexp_count(t, F.lit("[A-Z]")) > 50 * F.char_length(F.array_join(w, "")),
+    "digits": lambda t, w, x: 100 * F.regexp_count(t, F.lit("[0-9]")) > 50 * F.char_length(F.array_join(w, "")),
+    "word_length": lambda t, w, x: ~F.char_length(F.array_join(w, "")).between(2 * F.size(w), 15 * F.size(w)),
+    "duplicate_lines": lambda t, w, x: 100 * dup_lines(x) > 50 * F.size(x),
+    "few_distinct_words": lambda t, w, x: 100 * F.size(F.array_distinct(w)) < 20 * F.size(w),
 }
-
-
-def order_rules(docs: DataFrame, rules: dict[str, Callable[[], Column]], sample_rows: int = 2000, text: str = "text") -> list[str]:
-    """Names of ``rules`` by rejections per second on up to ``sample_rows`` rows, the best first.
+def order_rules(docs: DataFrame, rules: dict[str, Rule], sample_rows: int = 2000, sample_chars: int = 20_000, text: str = "text") -> list[str]:
+    """Names of ``rules`` by rejections per second on the first ``sample_rows`` rows, the best first.
 
     A rule's cost is the time of one pass over the sample less that of a pass
-    without a rule. The sample only sets the order; the verdict is the same in any.
+    without a rule. Sample texts are cut at ``sample_chars`` characters, which bounds
+    the sample. It only sets the order; the verdict is the same in any.
     """
-    sample = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).limit(sample_rows)
-    sample = sample.withColumn("_words", words(F.col("_text"))).withColumn("_lines", lines(F.col("_text"))).cache()
+    spark = docs.sparkSession
+    rows = docs.select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, sample_chars).alias("_text")).take(sample_rows)
+    sample = spark.createDataFrame(rows, "_text string").withColumn("_words", words(F.col("_text"))).withColumn("_lines", lines(F.col("_text"))).cache()
     try:
         n = sample.count()
 
@@ -98,19 +100,19 @@ def order_rules(docs: DataFrame, rules: dict[str, Callable[[], Column]], sample_
         floor = timed(F.lit(False))[1]
         rate = {}
         for name, rule in rules.items():
-            hits, took = timed(rule())
+            hits, took = timed(rule(F.col("_text"), F.col("_words"), F.col("_lines")))
             rate[name] = (hits + 0.5) / (n + 1) / max(took - floor, 1e-4)
         return sorted(rules, key=lambda k: -rate[k])
     finally:
         sample.unpersist()
 
 
-def verdict(order: list[str], rules: dict[str, Callable[[], Column]], given: dict[str, Column] | None = None) -> Column:
+def verdict(order: list[str], rules: dict[str, Rule], t: Column, w: Column, x: Column, given: dict[str, Column] | None = None) -> Column:
     """True if no rule rejects; later rules are not evaluated once one does. ``given``: known values of rules."""
-    rule = lambda k: (given or {}).get(k, None) if k in (given or {}) else rules[k]()
-    out = F.when(F.coalesce(rule(order[0]), F.lit(False)), False)
-    for k in order[1:]:
-        out = out.when(F.coalesce(rule(k), F.lit(False)), False)
+    given = given or {}
+    out = F.when(F.lit(False), False)
+    for k in order:
+        out = out.when(F.coalesce(given[k] if k in given else rules[k](t, w, x), F.lit(False)), False)
     return out.otherwise(True)
 
 
@@ -126,7 +128,7 @@ def score(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
     given = {"symbols": 100 * F.col("n_symbols") > 20 * F.col("n_words"), "duplicate_lines": 100 * F.col("n_dup_lines") > 50 * F.size("_lines"), "word_length": ~F.col("word_chars").between(2 * F.col("n_words"), 15 * F.col("n_words"))}
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = counts(docs).withColumn("base_failed", failed)
-    kept = F.when(F.col("base_failed"), False).otherwise(verdict(order, METHOD, given))
+    kept = F.when(F.col("base_failed"), False).otherwise(verdict(order, METHOD, F.col("_text"), F.col("_words"), F.col("_lines"), given))
     return out.select(F.col("doc_id").cast("long"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
 
@@ -134,9 +136,8 @@ def accepted(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, base rules included; all columns stay."""
     rules = BASE | METHOD
     order = order_rules(docs, rules, sample_rows)
-    judged = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    judged = judged.withColumn("_words", words(F.col("_text"))).withColumn("_lines", lines(F.col("_text")))
-    return judged.where(verdict(order, rules)).select(docs.columns)
+    text = F.coalesce("text", F.lit(""))  # one expression: as a filter it goes below any column that it could use
+    return docs.where(let(text, lambda t: let(words(t), lambda w: let(lines(t), lambda x: verdict(order, rules, t, w, x)))))
 
 
 ORACLE = r"""

@@ -40,7 +40,8 @@ def test_order_does_not_change_the_verdict(spark):
     rules = quality.BASE | quality.METHOD
     judged = docs.withColumn("_text", docs.text)
     judged = judged.withColumn("_words", quality.words(judged._text)).withColumn("_lines", quality.lines(judged._text))
-    one, two = (judged.select(quality.verdict(order, rules).alias("v")).collect() for order in (list(rules), list(rules)[::-1]))
+    parts = [judged[c] for c in ("_text", "_words", "_lines")]
+    one, two = (judged.select(quality.verdict(order, rules, *parts).alias("v")).collect() for order in (list(rules), list(rules)[::-1]))
     assert one == two and 0 < sum(r.v for r in one) < len(one)
     assert set(quality.order_rules(docs, rules, 50)) == set(rules)
 
