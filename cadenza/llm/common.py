@@ -8,6 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,14 @@ from pyspark.sql import functions as F
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+@lru_cache(maxsize=1)
+def _own_folder(application: str) -> str:
+    """A temporary folder for a local master, deleted when the process ends."""
+    folder = tempfile.mkdtemp(prefix="cadenza-")
+    atexit.register(shutil.rmtree, folder, True)
+    return f"file://{folder}"
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
@@ -26,9 +35,7 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="cadenza-")
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_folder(spark.sparkContext.applicationId)
     return root.rstrip("/")
 
 
@@ -69,3 +76,14 @@ def text_or_empty(name: str = "text") -> Column:
 def wide(spark: SparkSession, least: int = 1) -> int:
     """Partitions for rows that fan out in Python: the session's shuffle partitions."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """``n`` integers that hash partitioning by an int column deals to ``n`` different partitions, in order."""
+    found: dict[int, int] = {}
+    size = 16 * n
+    while len(found) < n:
+        ids = spark.range(size).select(F.col("id").cast("int").alias("k"), F.pmod(F.hash(F.col("id").cast("int")), n).alias("p"))
+        found = {r.p: r.k for r in ids.groupBy("p").agg(F.min("k").alias("k")).collect()}
+        size *= 2
+    return [found[p] for p in range(n)]
