@@ -26,15 +26,21 @@ CLOSES |= {k: {"p"} for k in "address article aside blockquote div dl fieldset f
 SCOPE = frozenset("html body article section main div td th table ul ol dl blockquote aside nav header footer form".split())
 
 #: Elements, and words in class, id or role, that hold no article text.
-SKIP_TAGS = frozenset("head nav footer aside form script style noscript template button select option textarea iframe svg canvas object dialog menu map audio video figcaption".split()) - {"figcaption"}
+SKIP_TAGS = frozenset("head nav footer aside form script style noscript template button select option textarea iframe svg canvas object dialog menu map audio video".split())
 SKIP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "nav navbar navigation menu breadcrumb breadcrumbs toc sidebar side aside widget widgets related recommended recommendations trending popular more-links share sharing social follow "
     "comment comments reply replies discussion disqus respond feedback newsletter subscribe subscription signup login register search footer header masthead topbar toolbar pagination pager "
     "copyright legal disclaimer complementary contentinfo dialog skip hidden outbrain taboola".split()
 )
+#: Beginnings of such words, and those that only mark a part of the page's frame: an article inside stays.
+SKIP_STEMS = re.compile("comment|advert|sponsor|sidebar|cookie|newsletter|breadcrumb|paginat|navbar|footer|promo|subscri")
+FRAME_WORDS = frozenset("sidebar side header nav navbar menu search overlay banner toolbar topbar widget hidden".split())
+#: Words that make an article element itself something else.
+NO_ARTICLE = frozenset("comment comments reply ad ads advert advertisement sponsored promo related teaser".split())
 ARTICLE = frozenset(("article", "main"))
 PUNCTUATION = ".,;:!?¡¿。、，！？"
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none""")
 #: Weights of a path and its neighbours in page order.
 KERNEL = np.array([0.1, 0.8, 0.1])
 
@@ -84,10 +90,18 @@ def leaves(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str, b
             close(CLOSES[tag], SCOPE - CLOSES[tag])
         if tag in VOID or attributes.rstrip().endswith("/"):
             continue
-        words = {w for x in NAMES.finditer(attributes) for w in re.split(r"[^a-z]+|(?<=[a-z])(?=[A-Z])", (x[1] or x[2] or x[3] or "").lower())} if "=" in attributes else set()
+        words = {w.lower() for x in NAMES.finditer(attributes) for w in re.split(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])", x[1] or x[2] or x[3] or "")} if "=" in attributes else set()
         count += 1
         inside = any(n.partition(".")[0] in ARTICLE for n in names)
-        skip = bool(skips and skips[-1]) or tag in SKIP_TAGS or (tag == "header" and not inside) or (tag not in ("html", "body", "article", "main") and not words.isdisjoint(SKIP_WORDS)) or re.search(r"\bhidden\b|display\s*:\s*none", attributes) is not None
+        skip = skips[-1] if skips else 0
+        if tag in ARTICLE:
+            skip = 2 if skip == 2 or not words.isdisjoint(NO_ARTICLE) else 0
+        elif tag in SKIP_TAGS or (tag == "header" and not inside) or HIDDEN.search(attributes):
+            skip = 2
+        elif tag not in ("html", "body"):
+            bad = {w for w in words if w in SKIP_WORDS or SKIP_STEMS.match(w)} - ({"header"} if inside else set())
+            if bad:
+                skip = max(skip, 1 if bad <= FRAME_WORDS else 2)
         names.append(tag + "".join(f".{w}" for w in sorted(words) if w))
         numbers.append(count)
         skips.append(skip)

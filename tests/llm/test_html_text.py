@@ -22,6 +22,9 @@ PAGE = "<html><head><title>T</title><style>p{x}</style><script>var t='</p>';</sc
         ("<article><p><b>Open.<br><p>Next one.</p><p>Cut off &am", "Open. Next one. Cut off &am"),
         (f"{BODY}<!-- no --><p>x &lt; y &#233; a\n\t b</p>", WANT + " x < y é a b"),
         ("<article><p>1 < 2 and 3 > 2, yes.</p></article>", "1 < 2 and 3 > 2, yes."),
+        (f"<article><header class='entry-header'><h1>Title</h1></header>{BODY}</article><section id='commentList'><article class='comment'><p>Nice, very, nice, text, of yours.</p></article></section>", "Title " + WANT),
+        (f"<div class='page has-sidebar'><article>{BODY}</article><div class='sideBar'><p>More, of, this, and, that.</p></div></div>", WANT),
+        (f"<div class='siteHeader'>Site, of, words.</div><div class='post'><h1>Head</h1>{BODY}</div><div hidden><p>Not, seen, by, anyone.</p></div>", "Head " + WANT),
         ("", ""),
         ("<nav>menu</nav>", ""),
     ],
