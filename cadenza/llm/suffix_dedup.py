@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, wide
+from .common import discard, materialize, partition_keys, wide
 from .prefix_sort import LoserTree, decode, encode, shared_prefixes
 
 #: Bytes of a repeated string, and of the k-gram that anchors it.
@@ -167,6 +167,7 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
     window start, 7 bits each. A task sends each distinct hash once per batch of text.
     """
     n = wide(docs.sparkSession)
+    keys = partition_keys(docs.sparkSession, n)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -180,16 +181,18 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
             first = np.r_[True, h[1:] != h[:-1]]
             single = first & np.r_[first[1:], True]
             known, reps = ~single, np.flatnonzero(first)
-            target = (h[reps] >> np.uint64(32)).astype(np.int64) * n >> 32
-            cut = np.searchsorted(target, np.arange(n + 1))
+            spread = h[reps] * np.uint64(MULTIPLIER)  # anchors have small hashes
+            target = (spread >> np.uint64(32)).astype(np.int64) * n >> 32
+            order = np.argsort(target, kind="stable")
+            reps, cut = reps[order], np.searchsorted(target[order], np.arange(n + 1))
             out = []
             for t in range(n):
                 i = reps[cut[t] : cut[t + 1]]
                 if len(i):
                     one = single[i]
-                    out.append((t, 0, _pack(h[i].view(np.int64), np.where(one, d[i], 0), np.where(one, r[i], 0), np.where(one, code[i], -1))))
+                    out.append((keys[t], 0, _pack(h[i].view(np.int64), np.where(one, d[i], 0), np.where(one, r[i], 0), np.where(one, code[i], -1))))
             if known.any():
-                out.append((turn % n, 1, _pack(d[known], r[known], code[known])))
+                out.append((keys[turn % n], 1, _pack(d[known], r[known], code[known])))
                 turn += 1
             return _blobs(out)
 
@@ -233,10 +236,10 @@ EDGES = 2  # kind of a blob of (d, r, start) with texts whose windows are still
 
 
 class Run:
-    """Collects records, then sorts, front-codes and deals them out as one run."""
+    """Collects records, then sorts, front-codes and deals them out as one run, to ``keys`` in order of the strings."""
 
-    def __init__(self, n: int, group: int, spans: Callable[[Record], tuple[int, int]], edge: Callable[[Record], tuple[int, bytes]] | None):
-        self.n, self.group, self.spans, self.edge = n, group, spans, edge
+    def __init__(self, keys: list[int], group: int, spans: Callable[[Record], tuple[int, int]], edge: Callable[[Record], tuple[int, bytes]] | None):
+        self.keys, self.group, self.spans, self.edge = keys, group, spans, edge
         self.held: list[Record] = []
         self.turn = 0
 
@@ -267,17 +270,17 @@ class Run:
             rows, shared, marks = [rows[i] for i in travels], shared[travels], many[travels].astype(np.int64)
         along = np.array([(x[1], x[2], x[3]) for x in rows], dtype=np.int64).reshape(-1, 3)
         along = np.c_[along, marks]
-        target = np.array([int.from_bytes(x[0][:4], "big") for x in rows], dtype=np.int64) * self.n >> 32
-        cut = np.searchsorted(target, np.arange(self.n + 1)).tolist()
+        target = np.array([int.from_bytes(x[0][:4], "big") for x in rows], dtype=np.int64) * len(self.keys) >> 32
+        cut = np.searchsorted(target, np.arange(len(self.keys) + 1)).tolist()
         out = []
-        for t in range(self.n):
+        for t, key in enumerate(self.keys):
             lo, hi = cut[t], cut[t + 1]
             if lo < hi:
-                out.append((t, 0, encode([x[0] for x in rows[lo:hi]], shared[lo:hi], along[lo:hi])))
+                out.append((key, 0, encode([x[0] for x in rows[lo:hi]], shared[lo:hi], along[lo:hi])))
         if spans:
-            out.append((self.turn % self.n, SPANS, _pack(*np.array(spans, dtype=np.int64).T)))
+            out.append((self.keys[self.turn % len(self.keys)], SPANS, _pack(*np.array(spans, dtype=np.int64).T)))
         if edges:
-            out.append(((self.turn + 1) % self.n, EDGES, edge_blob([(x[1], x[2], *self.edge(x)) for x in edges])))
+            out.append((self.keys[(self.turn + 1) % len(self.keys)], EDGES, edge_blob([(x[1], x[2], *self.edge(x)) for x in edges])))
         self.turn += 2
         return _blobs(out)
 
@@ -401,9 +404,10 @@ def removals(docs: DataFrame, candidates: DataFrame) -> tuple[DataFrame, list[Da
     """``(d, r, start, end)``: byte spans that repeat; and the tables behind them."""
     spark = docs.sparkSession
     n = wide(spark)
+    keys = partition_keys(spark, n)
 
     def anchor_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = Run(n, 8 + K, anchor_span, anchor_text)
+        run = Run(keys, 8 + K, anchor_span, anchor_text)
         for b in batches:
             for d, r, t, codes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 t = t.as_py()
@@ -414,7 +418,7 @@ def removals(docs: DataFrame, candidates: DataFrame) -> tuple[DataFrame, list[Da
             yield run.flush()
 
     def window_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = Run(n, 0, window_span, None)
+        run = Run(keys, 0, window_span, None)
         for b in batches:
             for blob in b.column(0):
                 for d, r, start, text in edge_rows(blob.as_py()):

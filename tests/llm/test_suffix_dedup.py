@@ -86,7 +86,7 @@ def test_small_runs_and_pieces(monkeypatch, group):
     assert sum((c >> 7 & 127) - (c & 127) + 1 for _, c in codes) == sum(max(0, len(t) - 99) for t in texts.values())
 
     def sort(records, group, spans, edge):
-        run, blobs = suffix_dedup.Run(3, group, spans, edge), {}
+        run, blobs = suffix_dedup.Run([0, 1, 2], group, spans, edge), {}
         for x in [*records, None]:
             if (x and run.add(x)) or (x is None and run.held):
                 for t, kind, blob in zip(*(c.to_pylist() for c in run.flush().columns)):
