@@ -10,7 +10,8 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII upper-case letters to lower case; other bytes stay.
@@ -69,8 +70,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit("")).alias(name)
+@lru_cache(maxsize=4)
+def compressor(level: int = 1) -> zstandard.ZstdCompressor:
+    """A worker's compressor; making one costs more than a small blob."""
+    return zstandard.ZstdCompressor(level=level)
+
+
+@lru_cache(maxsize=1)
+def decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
 
 
 def wide(spark: SparkSession, least: int = 1) -> int:

@@ -10,13 +10,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import compressor, decompressor, materialize, new_path
 
 #: Payloads are padded to a multiple of BLOCK samples and stored as rows of WIDTH 8-bit grey samples.
 BLOCK, WIDTH, PAD = 576, 24, b"\xff"
@@ -101,7 +100,7 @@ def store(docs: DataFrame, uri: str | None = None) -> tuple[DataFrame, DataFrame
     names = ["row", "doc_id", "n_bytes", "media_bytes", "media_sha256", "digests", "chunks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, pack, (disk, root) = TaskContext.get(), zstandard.ZstdCompressor(level=3), fs.FileSystem.from_uri(uri)
+        task, pack, (disk, root) = TaskContext.get(), compressor(3), fs.FileSystem.from_uri(uri)
         path = posixpath.join(root, f"{task.partitionId():06d}-{task.taskAttemptId()}.pack")
         out, at, seen, number = None, 0, set(), task.partitionId() << 40
         for b in batches:
@@ -152,7 +151,7 @@ def rebuild(manifests: DataFrame, places: DataFrame) -> DataFrame:
     kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, stores, files = zstandard.ZstdDecompressor(), {}, {}
+        unpack, stores, files = decompressor(), {}, {}
 
         def piece(ref: dict) -> bytes:
             if ref["file"] not in files:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import zstandard
+
+from .common import compressor, decompressor
 
 #: A record of a run: bytes shared with the record before it, string, and what travels along.
 Item = tuple[int, bytes, tuple[int, ...]]
@@ -41,11 +42,11 @@ def encode(keys: list[bytes], shared: np.ndarray, along: np.ndarray) -> bytes:
     sizes = np.fromiter(map(len, rest), dtype=np.uint8, count=len(rest))
     head = np.array([len(keys), along.shape[1] if len(keys) else 0], dtype=np.int64)
     raw = b"".join([head.tobytes(), shared.tobytes(), sizes.tobytes(), np.ascontiguousarray(along.T, dtype=np.int64).tobytes(), *rest])
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return compressor(1).compress(raw)
 
 
 def decode(blob: bytes) -> Iterator[Item]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = decompressor().decompress(blob)
     n, width = np.frombuffer(raw, np.int64, 2).tolist()
     at = 16
     shared, sizes = (np.frombuffer(raw, np.uint8, n, at + i * n).tolist() for i in range(2))

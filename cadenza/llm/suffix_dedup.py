@@ -28,11 +28,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, partition_keys, wide
+from .common import compressor, decompressor, discard, materialize, partition_keys, wide
 from .prefix_sort import LoserTree, decode, encode, shared_prefixes
 
 #: Bytes of a repeated string, and of the k-gram that anchors it.
@@ -124,11 +123,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]
 
 def _pack(*columns: np.ndarray) -> bytes:
     n = np.array([len(columns), len(columns[0])], dtype=np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([n.tobytes(), *(np.ascontiguousarray(c).view(np.int64).tobytes() for c in columns)]))
+    return compressor(1).compress(b"".join([n.tobytes(), *(np.ascontiguousarray(c).view(np.int64).tobytes() for c in columns)]))
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.int64)
+    x = np.frombuffer(decompressor().decompress(blob), dtype=np.int64)
     return x[2:].reshape(x[0], x[1])
 
 
@@ -289,11 +288,11 @@ def edge_blob(rows: list[tuple[int, int, int, bytes]]) -> bytes:
     """Documents, ties and starts with texts, as one blob."""
     sizes = np.fromiter((len(x[3]) for x in rows), dtype=np.int64, count=len(rows))
     fixed = np.array([x[:3] for x in rows], dtype=np.int64).T
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.int64(len(rows)).tobytes(), fixed.tobytes(), sizes.tobytes(), *(x[3] for x in rows)]))
+    return compressor(1).compress(b"".join([np.int64(len(rows)).tobytes(), fixed.tobytes(), sizes.tobytes(), *(x[3] for x in rows)]))
 
 
 def edge_rows(blob: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = decompressor().decompress(blob)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     d, r, start, size = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n).tolist()
     at = 8 + 32 * n
