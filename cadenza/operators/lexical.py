@@ -86,11 +86,12 @@ def parsed(spark: SparkSession, queries: list[tuple[int, str]], stemmed: bool =
 def boolean_match(terms: DataFrame, index: DataFrame) -> DataFrame:
     """``(qid, id)`` of documents that have an alternative of every needed group and of no negated one.
 
-    An alternative of several terms is a phrase: its terms stand at their offsets. A
+    An alternative of several terms is a phrase: its terms stand at their offsets. From
+    one place an offset is met once at most, so hits are counted, map-side first. A
     query of negated groups alone matches nothing.
     """
     hits = index.join(F.broadcast(terms) if small(terms) else terms, "term").withColumn("base", F.col("pos") - F.col("off"))
-    full = hits.groupBy("qid", "id", "grp", "negated", "alt", "size", "base").agg(F.countDistinct("off").alias("n")).where("n = size")
+    full = hits.groupBy("qid", "id", "grp", "negated", "alt", "size", "base").agg(F.count("*").alias("n")).where("n = size")
     groups = full.select("qid", "id", "grp", "negated").distinct()
     need = terms.groupBy("qid").agg(F.countDistinct(F.when(~F.col("negated"), F.col("grp"))).alias("need"))
     got = groups.groupBy("qid", "id").agg(F.count_if(~F.col("negated")).alias("got"), F.count_if("negated").alias("bad"))
