@@ -59,7 +59,7 @@ def test_edges(spark):
 
 def test_blocks_stay_together_and_epochs_differ(spark):
     docs = frame(spark, [(i, "a", "w w w w") for i in range(300)])
-    got = mixing.copies(docs, Mix(budget=2400, repeats=None, block_tokens=64)).collect()
+    got = mixing.copies(docs, Mix(budget=2400, repeats=None, block_tokens=128)).collect()
     order = [[r.doc_id for r in sorted(got, key=lambda r: (r.block_key, r.doc_key)) if r.epoch == e] for e in (0, 1)]
     assert sorted(order[0]) == sorted(order[1]) == list(range(300)) and order[0] != order[1]
     assert len({r.block for r in got}) == 16
