@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialize
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -66,7 +68,7 @@ METHOD: dict[str, Rule] = {
     "duplicate_lines": lambda t, w, x: 100 * dup_lines(x) > 50 * F.size(x),
     "few_distinct_words": lambda t, w, x: 100 * F.size(F.array_distinct(w)) < 20 * F.size(w),
 }
-def order_rules(docs: DataFrame, rules: dict[str, Rule], sample_rows: int = 1000, sample_chars: int = 10_000, text: str = "text") -> list[str]:
+def order_rules(docs: DataFrame, rules: dict[str, Rule], sample_rows: int = 500, sample_chars: int = 4000, text: str = "text") -> list[str]:
     """Names of ``rules`` by rejections per second on the first ``sample_rows`` rows, the best first.
 
     A rule's cost is the time of one pass over the sample less that of a pass
@@ -75,9 +77,10 @@ def order_rules(docs: DataFrame, rules: dict[str, Rule], sample_rows: int = 1000
     """
     spark = docs.sparkSession
     rows = docs.select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, sample_chars).alias("_text")).take(sample_rows)
-    # as one literal, so that no Python process starts on the executors
+    # by a literal and a small table: no Python process starts on the executors, and no later plan holds the texts
     literal = F.from_json(F.lit(json.dumps([r[0] for r in rows])), "array<string>")
-    sample = spark.range(1).select(F.explode(literal).alias("_text")).withColumn("_words", words(F.col("_text"))).withColumn("_lines", lines(F.col("_text"))).cache()
+    sample = spark.range(1).select(F.explode(literal).alias("_text")).withColumn("_words", words(F.col("_text"))).withColumn("_lines", lines(F.col("_text")))
+    sample = materialize(sample, "rule-sample")
     try:
         n = sample.count()
 
@@ -94,7 +97,7 @@ def order_rules(docs: DataFrame, rules: dict[str, Rule], sample_rows: int = 1000
             rate[name] = (hits + 0.5) / (n + 1) / max(took - floor, 1e-4)
         return sorted(rules, key=lambda k: -rate[k])
     finally:
-        sample.unpersist()
+        discard(sample)
 
 
 def verdict(order: list[str], rules: dict[str, Rule], t: Column, w: Column, x: Column, given: dict[str, Column] | None = None) -> Column:
@@ -106,7 +109,7 @@ def verdict(order: list[str], rules: dict[str, Rule], t: Column, w: Column, x: C
     return out.otherwise(True)
 
 
-def score(docs: DataFrame, sample_rows: int = 1000) -> DataFrame:
+def score(docs: DataFrame, sample_rows: int = 500) -> DataFrame:
     """``doc_id``, the base counts, ``base_failed`` and ``kept``, one row per row of ``docs``.
 
     A null or blank text has no words and fails. Rows with equal or null ids are
@@ -137,7 +140,7 @@ def score(docs: DataFrame, sample_rows: int = 1000) -> DataFrame:
     return out.select("doc_id", "_j.b.*", "_j.base_failed", "_j.kept")
 
 
-def accepted(docs: DataFrame, sample_rows: int = 1000) -> DataFrame:
+def accepted(docs: DataFrame, sample_rows: int = 500) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, base rules included; all columns stay."""
     rules = BASE | METHOD
     order = order_rules(docs, rules, sample_rows)
