@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoded, shared_encoder, tokenizer_path
+from .tokens import MOST_WORDS, encoded, shared_encoder, tokenizer_path
 
 #: A piece: document, first token in it, tokens, sequence, first token there.
 Piece = tuple[int, int, int, int, int]
@@ -64,7 +64,7 @@ def pack_block(lengths: list[int], most: int = 4096, linear: float = 1.0, quadra
     return out
 
 
-def pack(docs: DataFrame, path: str | None = None, most: int = 4096, linear: float = 1.0, quadratic: float = 1 / 1024, block_tokens: int = 1 << 22, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, most: int = 4096, linear: float = 1.0, quadratic: float = 1 / 1024, block_tokens: int = 1 << 22, with_ids: bool = False, most_words: int = MOST_WORDS) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     Documents are encoded and packed where they lie, in blocks of about
@@ -72,7 +72,8 @@ def pack(docs: DataFrame, path: str | None = None, most: int = 4096, linear: flo
     holds one block. Every sequence is full or a power of two long, so padding is
     nil. A null or empty text is one end token; a long text is cut into several
     pieces; rows with equal or null ids are packed one by one; an empty table
-    gives no rows. ``with_ids`` adds the ids themselves. Columns besides
+    gives no rows. ``with_ids`` adds the ids themselves. ``most_words`` bounds a worker's cache of
+    encoded words, not the result. Columns besides
     ``doc_id`` and ``text`` are ignored.
     """
     path = path or tokenizer_path()
@@ -82,7 +83,7 @@ def pack(docs: DataFrame, path: str | None = None, most: int = 4096, linear: flo
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number = shared_encoder(path), TaskContext.get().partitionId() << 40
+        encoder, number = shared_encoder(path, most_words=most_words), TaskContext.get().partitionId() << 40
         held: list[tuple[int | None, np.ndarray]] = []
         tokens = 0
 

@@ -12,6 +12,8 @@ import numpy as np
 
 #: The id appended to each document.
 END_ID = 2
+#: Words that an encoder keeps: about 170 MB.
+MOST_WORDS = 1 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -30,7 +32,7 @@ class Encoder:
     where a text may name a special token.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID, most_words: int = 1 << 20):
+    def __init__(self, path: str, end_id: int = END_ID, most_words: int = MOST_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -87,9 +89,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def shared_encoder(path: str, end_id: int = END_ID) -> Encoder:
+def shared_encoder(path: str, end_id: int = END_ID, most_words: int = MOST_WORDS) -> Encoder:
     """The encoder of a Python worker, which keeps its words from task to task."""
-    return Encoder(path, end_id)
+    return Encoder(path, end_id, most_words)
 
 
 def encoded(encoder: Encoder, batch, at_once: int = 1 << 20) -> Iterator[tuple[int | None, np.ndarray]]:

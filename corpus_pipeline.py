@@ -31,8 +31,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens."""
-    return packing.pack(docs)
+    """Sequences of at most 4096 tokens; a small word cache, as workers still hold memory of earlier stages."""
+    return packing.pack(docs, most_words=1 << 18)
 
 
 STAGES = [("quality rules", rules), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("mixing", mix), ("packing", pack)]
