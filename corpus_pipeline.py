@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import mixing, packing, quality, simhash, suffix_dedup
+from cadenza.llm import mixing, near_copies, packing, quality, suffix_dedup
 from cadenza.llm.common import materialize
 
 
@@ -15,8 +15,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document of smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of texts whose five-word shingles have a Jaccard index of 0.8 or more, and all they reach, the one of smallest id stays."""
+    return near_copies.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
