@@ -2,7 +2,7 @@
 
 The model has two orders. Counts of single words and of word pairs, and the backoff
 weights, are tables; a text is scored token by token, from the pair's count down to
-the word's. Pairs seen once are left to the backoff, as Katz advises.
+the word's. Pairs seen once may be left to the backoff; the query keeps them all.
 
 Documents are first coded in batches: sorted words and a stream of word numbers. A
 batch sends each of its distinct words and pairs once to the partition that owns
@@ -30,7 +30,7 @@ from .common import LOWER, compressor, decompressor, discard, materialize, parti
 START, END = b"", b" "
 #: Bytes of text in a batch, and partitions that a first word's pairs are spread over.
 BATCH, SPREAD = 20 << 20, 16
-#: Counts up to this are discounted; pairs need this count to be kept.
+#: Counts up to this are discounted; pairs need this count to be kept, unless the caller says otherwise.
 LOW, KEPT = 5, 2
 
 
@@ -142,8 +142,8 @@ def unigrams(coded: DataFrame) -> DataFrame:
 PAIRS = "kind string, batch string, p int, blob binary, first string, second string, c long"
 
 
-def pairs(coded: DataFrame, keys: list[int]) -> DataFrame:
-    """Three kinds of rows: ``pair`` with a count of KEPT or more; ``answer``, the counts that a batch
+def pairs(coded: DataFrame, keys: list[int], kept: int = KEPT) -> DataFrame:
+    """Three kinds of rows: ``pair`` with a count of ``kept`` or more; ``answer``, the counts that a batch
     asked for; ``histogram``, in ``c``, how many pairs a partition has of count ``p``, for 1 to LOW + 1.
     Partitions have the numbers ``keys``."""
     n = len(keys)
@@ -197,7 +197,7 @@ def pairs(coded: DataFrame, keys: list[int]) -> DataFrame:
             keys.append(np.repeat(at[:nf], repeat) << 32 | at[nf:])
         uniq, back = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(back, weights=np.concatenate(counts), minlength=len(uniq)).astype(np.int64)
-        answers = np.where(total >= KEPT, total, 0)[back].astype(np.int32)
+        answers = np.where(total >= kept, total, 0)[back].astype(np.int32)
         fields = dict(zip((f.split()[0] for f in PAIRS.split(", ")), (pa.string(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.string(), pa.int64())))
 
         def made(kind: str, **given) -> pa.RecordBatch:
@@ -212,8 +212,8 @@ def pairs(coded: DataFrame, keys: list[int]) -> DataFrame:
             yield made("answer", batch=[batch], p=[p], blob=[squeeze(answers[at : at + len(k)])])
             at += len(k)
         words = list(place)
-        kept = np.flatnonzero(total >= KEPT)
-        for part in np.array_split(kept, 1 + len(kept) // 100_000):
+        held = np.flatnonzero(total >= kept)
+        for part in np.array_split(held, 1 + len(held) // 100_000):
             yield made("pair", first=[words[i].decode() for i in (uniq[part] >> 32).tolist()], second=[words[i].decode() for i in (uniq[part] & 0xFFFFFFFF).tolist()], c=total[part])
 
     sent = coded.select("batch", "held", "sizes", "words", "ids").mapInArrow(send, "p int, batch string, blob binary")
@@ -383,10 +383,10 @@ def evaluate(coded: DataFrame, answers: DataFrame, word_table: DataFrame, model:
     return rows.repartition(wide(coded.sparkSession), "batch").sortWithinPartitions("batch", "kind").mapInArrow(run, RESULT)
 
 
-def fit(coded: DataFrame, keys: list[int]) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
+def fit(coded: DataFrame, keys: list[int], kept: int = KEPT) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
     """The model, its tables of words with weights and of pairs, and the answers to the batches."""
     single = materialize(unigrams(coded), "katz-words")
-    found = materialize(pairs(coded, keys), "katz-pairs", ("kind",))
+    found = materialize(pairs(coded, keys, kept), "katz-pairs", ("kind",))
     cols = [F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *(F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, LOW + 2)), F.coalesce(F.sum(F.when(F.col("word") == END.decode(), F.col("c"))), F.lit(0)).alias("docs")]
     row = single.agg(*cols).first()
     small = [row[f"n{r}"] for r in range(1, LOW + 2)]
@@ -394,13 +394,13 @@ def fit(coded: DataFrame, keys: list[int]) -> tuple[Model, DataFrame, DataFrame,
     factors = good_turing(small)
     saved = sum((1 - d) * r * small[r - 1] for r, d in enumerate(factors, 1))
     unseen = max(saved / row["n"], 1 / (row["n"] + 1)) if row["n"] else 1.0
-    model = Model(row["n"], row["v"], row["docs"], tuple(factors), tuple(good_turing([hist.get(r, 0) for r in range(1, LOW + 2)], KEPT - 1)), unseen, row["n"] - saved)
+    model = Model(row["n"], row["v"], row["docs"], tuple(factors), tuple(good_turing([hist.get(r, 0) for r in range(1, LOW + 2)], kept - 1)), unseen, row["n"] - saved)
     table = materialize(weights(single, found.where("kind = 'pair'").select("first", "second", "c"), model), "katz-weights")
     discard(single)
     return model, table, found.where("kind = 'pair'").select("first", "second", "c"), found.where("kind = 'answer'").select("batch", "p", "blob")
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, kept: int = KEPT) -> DataFrame:
     """Learn from all documents outside the fold, and score every row of ``docs``.
 
     Texts are lower-cased (A-Z) and split at ASCII white space, and one end token
@@ -408,10 +408,11 @@ def score(docs: DataFrame) -> DataFrame:
     model's log10 probability of the text. A null or empty text is the end token
     alone. Rows with equal or null ids count and are scored one by one, a null id
     as the empty id text. If nothing is learned every token is the unseen one. An empty table gives no
-    rows. Columns besides ``doc_id`` and ``text`` are ignored.
+    rows. Columns besides ``doc_id`` and ``text`` are ignored. Pairs of a count under
+    ``kept`` are left to the backoff; 1 keeps all.
     """
     keys = partition_keys(docs.sparkSession, wide(docs.sparkSession))
     coded = materialize(code(docs), "katz-batches")
-    model, table, _, answers = fit(coded, keys)
+    model, table, _, answers = fit(coded, keys, kept)
     words = materialize(word_answers(coded, table, keys), "katz-answers")
     return evaluate(coded, answers, words, model, keys)

@@ -51,7 +51,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(table(spark, sf_dir, "documents"))
+    return katz.score(table(spark, sf_dir, "documents"), kept=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

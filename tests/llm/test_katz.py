@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import pytest
-from cadenza.llm import katz
+from cadenza.llm import katz, queries
 from pyspark.sql import Row
 
 
@@ -90,3 +90,18 @@ def test_nothing_learned(spark):
 def test_held_out_text_is_likelier_than_by_words_alone(spark):
     rows = katz.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_query_keeps_pairs_seen_once(spark):
+    """Against brute force with every pair kept, whose single pairs get their Good-Turing discount."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    model = Brute(rows)
+    pairs = Counter(p for d, t in rows if crc32(str(d).encode()) % 7 != 2 for ws in [tokens(t)] for p in zip(["<s>", *ws], ws))
+    model.d2 = katz.good_turing([sum(v == r for v in pairs.values()) for r in range(1, 7)])
+    for (a, b), v in pairs.items():
+        model.next[a][b] = v
+    assert model.d2[0] > 0
+    got = {r.doc_id: r.score for r in queries.op10_katz(spark, "/root/testdata/sf0.001").collect()}
+    assert got == pytest.approx({d: model.row(d, t)[6] for d, t in rows}, rel=1e-9)
+    for a in ["<s>", *list(model.next)[:40], "never seen"]:
+        assert sum(model.p(a, w) for w in model.c) + model.p(a, "\0unseen") == pytest.approx(1, abs=1e-9)
