@@ -63,7 +63,21 @@ class Scanner:
         for seed, where in places.items():
             self.seeds.add_word(seed, (len(seed), where))
         self.seeds.make_automaton()
-        self.patterns = [regex.compile(rf"(?<= )(?b)(?:{regex.escape(p)}){{e<={k}}}(?= )") for p, _, k in self.notices]
+        self.patterns, self.first = ([regex.compile(rf"(?<= ){flag}(?:{regex.escape(p)}){{e<={k}}}(?= )") for p, _, k in self.notices] for flag in ("(?b)", ""))
+
+    def matches(self, n: int, line: str, lo: int, hi: int) -> Iterator[regex.Match]:
+        """Matches of a notice from left to right; each is the best around the first place that is left.
+
+        The best match of a whole window would skip those before it, so it is
+        sought near the first match only, and then again in what precedes it.
+        """
+        p, _, k = self.notices[n]
+        while m := self.first[n].search(line, lo, hi):
+            best = self.patterns[n].search(line, m.start(), min(hi, m.end() + len(p) + k + 1)) or m
+            while before := self.patterns[n].search(line, m.start(), best.start()):
+                best = before
+            yield best
+            lo = best.end()
 
     def fuzzy(self, line: str) -> list[Found]:
         """Matches in a line of words with a space between, before and after.
@@ -87,7 +101,7 @@ class Scanner:
         for n, spans in windows.items():
             p, label, _ = self.notices[n]
             for begin, stop in spans:
-                for m in self.patterns[n].finditer(line, max(0, begin), min(len(line), stop)):
+                for m in self.matches(n, line, max(0, begin), min(len(line), stop)):
                     edits = sum(m.fuzzy_counts)
                     first = line.count(" ", 0, m.start()) - 1
                     out.append(Found(label, first, first + m[0].count(" "), edits, 1 - edits / len(p)))

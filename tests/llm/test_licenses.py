@@ -53,3 +53,19 @@ def test_windows_lose_no_match():
         line = f" some words {''.join(chars)} and more "
         whole = bool(scanner.patterns[n].search(line))
         assert whole and label in {x.label for x in scanner.fuzzy(line)}
+
+
+def test_adjacent_notices_are_all_found():
+    """A better match later in a window hides none before it."""
+    scanner = licenses.Scanner()
+
+    def spans(line, label="mit", size=2):
+        return [(x.first, x.edits) for x in scanner.fuzzy(line) if x.label == label and x.last - x.first + 1 == size]
+
+    assert spans(" the mit licence and mit license here ") == [(1, 1), (4, 0)]
+    assert spans(" mit licence mit licence mit license mit licence ") == [(0, 1), (2, 1), (4, 0), (6, 1)]
+    notice = "permission is hereby granted free of charge to any person obtaining a copy"
+    assert spans(f" {notice.replace('granted', 'grantd')} {notice} ", size=13) == [(0, 1), (13, 0)]
+    gpl = "gnu general public license"
+    assert spans(f" a {gpl} {gpl.replace('public', 'publik')} {gpl} ", "gpl", 4) == [(1, 0), (5, 1), (9, 0)]
+    assert len(spans(" mit licence" * 5000 + " ")) == 5000
