@@ -53,6 +53,12 @@ def repeat_words(w: Column, n: int = 5) -> Column:
     return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h))).cast("long")
 
 
+def window_distinct(w: Column, n: int = 1000) -> Column:
+    """Distinct words of each run of ``n`` words, added up: their share does not fall with a text's length."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(n))
+    return F.aggregate(starts, F.lit(0), lambda total, i: total + F.size(F.array_distinct(F.slice(w, i, n))))
+
+
 Rule = Callable[[Column, Column, Column], Column]
 
 #: Rules that reject a document, from its text, words and lines; BASE are those of ``base_failed``.
@@ -66,7 +72,7 @@ METHOD: dict[str, Rule] = {
     "digits": lambda t, w, x: 100 * F.regexp_count(t, F.lit("[0-9]")) > 50 * F.char_length(F.array_join(w, "")),
     "word_length": lambda t, w, x: ~F.char_length(F.array_join(w, "")).between(2 * F.size(w), 15 * F.size(w)),
     "duplicate_lines": lambda t, w, x: 100 * dup_lines(x) > 50 * F.size(x),
-    "few_distinct_words": lambda t, w, x: 100 * F.size(F.array_distinct(w)) < 20 * F.size(w),
+    "few_distinct_words": lambda t, w, x: 100 * window_distinct(w) < 20 * F.size(w),
 }
 def order_rules(docs: DataFrame, rules: dict[str, Rule], sample_rows: int = 500, sample_chars: int = 4000, text: str = "text") -> list[str]:
     """Names of ``rules`` by rejections per second on the first ``sample_rows`` rows, the best first.

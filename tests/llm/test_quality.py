@@ -58,3 +58,18 @@ def test_clean_labelled_documents_stay(spark):
     scored = quality.score(docs).join(labels, "doc_id")
     assert scored.where("quality = 1 and not base_failed and not kept").count() == 0
     assert scored.where("quality = 0 and not base_failed and not kept").count() > 0
+
+
+def test_long_clean_text_stays_and_poor_text_goes(spark):
+    """The share of distinct words falls with length in clean text; the verdict must not."""
+    import random
+
+    rng = random.Random(8)
+    made = lambda n, vocabulary: " ".join("".join(rng.choice("etaoinshr") for _ in range(5)) if vocabulary is None else rng.choice(vocabulary) for _ in range(n))
+    clean, poor = made(4000, None).split(), made(30, None).split()
+    texts = [made(60_000, clean), made(3000, clean), made(200, poor[:10]), made(3000, poor)]
+    assert len(set(texts[0].split())) < 0.2 * 60_000
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = quality.score(df).collect()
+    assert not any(r.base_failed for r in rows)
+    assert {r.doc_id for r in rows if r.kept} == {0, 1} == {r.doc_id for r in quality.accepted(df).collect()}
