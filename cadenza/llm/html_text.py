@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
-NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 
 #: Elements without an end tag, and those whose content is not markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,22 +45,31 @@ HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none""")
 KERNEL = np.array([0.1, 0.8, 0.1])
 
 
-def leaves(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str, bool, bool]]:
-    """Text nodes in page order: tag path, element numbers on it, decoded text, whether a block begins, whether it lies in a part to skip."""
-    names, numbers, skips = [], [], []
+def split_words(value: str) -> set[str]:
+    return {w.lower() for w in re.split(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])", value)}
+
+
+def unwanted(words: set[str]) -> set[str]:
+    return {w for w in words if w in SKIP_WORDS or SKIP_STEMS.match(w)}
+
+
+def leaves(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str, bool, bool, bool]]:
+    """Text nodes in page order: tag path, element numbers on it, decoded text, whether a block begins, whether it lies
+    in a part to skip, and whether in one of an article that its class only hints at."""
+    names, numbers, skips, hints = [], [], [], []
     count, begins, at, end = 0, True, 0, len(html)
 
     def text(lo: int, hi: int) -> Iterator[tuple]:
         nonlocal begins
         if hi > lo and (s := unescape(html[lo:hi]) if html.find("&", lo, hi) >= 0 else html[lo:hi]):
-            yield tuple(names), tuple(numbers), s, begins, bool(skips and skips[-1])
+            yield tuple(names), tuple(numbers), s, begins, bool(skips and skips[-1]), bool(hints and hints[-1])
             begins = False
 
     def close(kinds: set[str] | frozenset[str], bound: frozenset[str]) -> bool:
         for i in range(len(names) - 1, -1, -1):
             name = names[i].partition(".")[0]
             if name in kinds:
-                del names[i:], numbers[i:], skips[i:]
+                del names[i:], numbers[i:], skips[i:], hints[i:]
                 return True
             if name in bound:
                 return False
@@ -90,27 +99,36 @@ def leaves(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str, b
             close(CLOSES[tag], SCOPE - CLOSES[tag])
         if tag in VOID or attributes.rstrip().endswith("/"):
             continue
-        words = {w.lower() for x in NAMES.finditer(attributes) for w in re.split(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])", x[1] or x[2] or x[3] or "")} if "=" in attributes else set()
+        given = [(x[1].lower(), x[2] or x[3] or x[4] or "") for x in NAMES.finditer(attributes)] if "=" in attributes else []
+        words = set().union(*(split_words(v) for _, v in given))
         count += 1
         inside = any(n.partition(".")[0] in ARTICLE for n in names)
-        skip = skips[-1] if skips else 0
+        skip, hint = (skips[-1], hints[-1]) if skips else (0, False)
         if tag in ARTICLE:
             skip = 2 if skip == 2 or not words.isdisjoint(NO_ARTICLE) else 0
         elif tag in SKIP_TAGS or (tag == "header" and not inside) or HIDDEN.search(attributes):
             skip = 2
         elif tag not in ("html", "body"):
-            bad = {w for w in words if w in SKIP_WORDS or SKIP_STEMS.match(w)} - ({"header"} if inside else set())
-            if bad:
-                skip = max(skip, 1 if bad <= FRAME_WORDS else 2)
+            if inside:  # an id may name a section's subject; a class decides alone only as the whole name
+                values = [v for k, v in given if k != "id" and unwanted(split_words(v)) - {"header"}]
+                if any(unwanted({v.strip().lower()}) and v.strip().isalpha() for v in values):
+                    skip = 2
+                elif values:
+                    hint = True
+            else:
+                bad = set().union(*(unwanted(w) for _, v in given for x in v.split() if (w := split_words(x)).isdisjoint(("no", "without"))))
+                if bad:
+                    skip = max(skip, 1 if bad <= FRAME_WORDS else 2)
         names.append(tag + "".join(f".{w}" for w in sorted(words) if w))
         numbers.append(count)
         skips.append(skip)
+        hints.append(hint)
 
 
 def path_scores(nodes: list[tuple]) -> dict[tuple[str, ...], float]:
     """Per tag path: text and punctuation per node, smoothed over paths in page order, and fused."""
     sums: dict[tuple[str, ...], list[float]] = {}
-    for path, _, s, _, skip in nodes:
+    for path, _, s, _, skip, _ in nodes:
         if not skip and (n := len("".join(s.split()))):
             x = sums.setdefault(path, [0, 0, 0])
             x[0] += n
@@ -123,6 +141,17 @@ def path_scores(nodes: list[tuple]) -> dict[tuple[str, ...], float]:
     return dict(zip(sums, smooth(chars / count) * (1 + smooth(marks / count))))
 
 
+def list_of(tags: list[str], ids: tuple[int, ...]) -> int:
+    """The number of the innermost list around a node."""
+    at = len(tags) - 1 - tags[::-1].index("li")
+    return ids[max(at - 1, 0)]
+
+
+def links_only(x: list[int]) -> bool:
+    """Whether nearly all characters of a list are in links."""
+    return 10 * x[1] >= 9 * x[0]
+
+
 def content(nodes: list[tuple], share: float = 0.5) -> list[bool]:
     """Which nodes are content.
 
@@ -139,7 +168,7 @@ def content(nodes: list[tuple], share: float = 0.5) -> list[bool]:
     chosen = {p for p, v in scores.items() if v >= least}
     if any(map(in_article, scores)) and (inside := {p for p in chosen if in_article(p)} or {p for p in scores if in_article(p)}):
         chosen = inside
-    picked = [(path, ids) for path, ids, s, _, skip in nodes if not skip and path in chosen and not s.isspace()]
+    picked = [(path, ids) for path, ids, s, _, skip, _ in nodes if not skip and path in chosen and not s.isspace()]
     root = picked[0][1]
     for _, ids in picked[1:]:
         n = 0
@@ -151,20 +180,31 @@ def content(nodes: list[tuple], share: float = 0.5) -> list[bool]:
         root, path = root[:-1], path[:-1]
     whole = path and path[-1].partition(".")[0] != "body"
 
+    # characters of each list, and those in links
+    listed: dict[int, list[int]] = {}
+    for where, ids, s, _, skip, _ in nodes:
+        tags = [n.partition(".")[0] for n in where]
+        if not skip and "li" in tags:
+            n = len("".join(s.split()))
+            x = listed.setdefault(list_of(tags, ids), [0, 0])
+            x[0] += n
+            x[1] += n if "a" in tags else 0
+
     def joins(path: tuple[str, ...], ids: tuple[int, ...]) -> bool:
         if ids[: len(root)] != root:
             return False
-        below = {n.partition(".")[0] for n in path[len(root) :]}
-        return (bool(whole) or bool(below & {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre"})) and not ({"li", "a"} <= below)
+        tags = [n.partition(".")[0] for n in path]
+        below = set(tags[len(root) :])
+        return (bool(whole) or bool(below & {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre"})) and not ({"li", "a"} <= below and links_only(listed[list_of(tags, ids)]))
 
-    return [not skip and (path in chosen or joins(path, ids)) for path, ids, _, _, skip in nodes]
+    return [not skip and (path in chosen or not hint and joins(path, ids)) for path, ids, _, _, skip, hint in nodes]
 
 
 def extract(html: str) -> str:
     """The article's blocks in page order, with single spaces."""
     nodes = list(leaves(html))
     out: list[str] = []
-    for (_, _, s, begins, _), keep in zip(nodes, content(nodes)):
+    for (_, _, s, begins, _, _), keep in zip(nodes, content(nodes)):
         if begins:
             out.append(" ")
         if keep:

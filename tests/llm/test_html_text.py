@@ -59,3 +59,18 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([Row(page_id=1, url=None, html=None, text=1), Row(page_id=None, url="u", html="", text=2), Row(page_id=1, url="u", html="<p>x, y.", text=3)], "page_id long, url string, html string, text int")
     assert sorted((r.text, r.n_chars) for r in main_text(df).collect()) == [("", 0), ("", 0), ("x, y.", 5)]
     assert main_text(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<article>{BODY}<ul><li>See the <a href='/t'>transformer</a> paper</li></ul></article>", WANT + " See the transformer paper"),
+        (f"<article>{BODY}<ul><li><a href='/t'>One more</a></li><li><a href='/u'>Other text</a></li></ul></article>", WANT),
+        (f"<article><section id='related-work'><h2 id='search-algorithms'>Search</h2>{BODY}</section></article>", "Search " + WANT),
+        (f"<article><h2 id='legal-basis'>Basis</h2>{BODY}<p class='notice-period'>A month, or two, of notice, at least, for all of them.</p></article>", "Basis " + WANT + " A month, or two, of notice, at least, for all of them."),
+        (f"<div class='content no-sidebar'><h1>Head</h1>{BODY}</div>", "Head " + WANT),
+        (f"<article>{BODY}<div class='share-buttons'>Send</div><div class='sidebar'>Much, more, text, of, others, here.</div></article>", WANT),
+    ],
+)
+def test_article_text_stays(body, want):
+    assert extract(PAGE.replace("{}", body)) == want
