@@ -165,6 +165,12 @@ def near_duplicates(docs: DataFrame, bits: int = 3, blocks: int = 5, shingle: in
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of their component; rows without an id stay."""
-    first = near_duplicates(docs, **params).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
+    """One row of ``docs`` for each component: of smallest ``doc_id``, then of smallest hash of its text, then any one.
+
+    A row without an id stays only if no member has one.
+    """
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    label = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **params).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
+    first = rows.select("_row", order.alias("o")).join(label, "_row").groupBy("component_id").agg(F.min("o")["_row"].alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(docs.columns)

@@ -3,7 +3,7 @@ import re
 
 import corpus_pipeline
 import pytest
-from cadenza.llm import near_copies
+from cadenza.llm import near_copies, simhash
 
 
 def sets(texts):
@@ -53,3 +53,11 @@ def test_edited_copies_chains_and_split_components(spark, part):
     for d, x in enumerate(brute(texts)):
         want.setdefault(x, d)
     assert sorted(r.doc_id for r in near_copies.keep_one(df, part).collect()) == sorted(want.values())
+
+
+@pytest.mark.parametrize("keep_one", [near_copies.keep_one, simhash.keep_one])
+def test_repeated_rows_and_rows_without_an_id(spark, keep_one):
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(50)) for x in "abce")
+    rows = [(1, a), (1, a), (2, a), (None, a), (3, b), (1, b), (None, c), (None, c), (7, e), (7, e)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, keep_one(df).collect()), key=str) == sorted([(1, a), (1, b), (None, c), (7, e)], key=str)
