@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections import defaultdict
 from collections.abc import Iterator
@@ -16,6 +17,35 @@ END_ID = 2
 MOST_WORDS = 1 << 20
 
 
+#: The parts of a tokenizer file that make its ids word by word: NFC, white space, small letters; then runs
+#: of letters, single digits and runs of other marks, none across white space.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(config: dict) -> bool:
+    """Whether a tokenizer file is known to give a text the ids of its words in a row, whatever the case of A-Z."""
+    plain = not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in config.get("added_tokens") or [])
+    return plain and config.get("normalizer") == NORMALIZER and config.get("pre_tokenizer") == SPLITTER and not config.get("post_processor") and not config.get("truncation")
+
+
+def folded(text: bytes) -> bytes:
+    """``text`` with small letters where that changes no id.
+
+    The tokenizer composes letters with combining marks before it lowers them, and
+    some capitals have no composed form though their small letters have. ASCII
+    letters compose only with marks of U+0300 to U+036F, whose UTF-8 begins with
+    CC or CD. Names of special tokens stay too.
+    """
+    return text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -23,13 +53,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Encodes UTF-8 texts, looking up words that were encoded before.
+    """Encodes UTF-8 texts exactly as the library does.
 
-    The tokenizer of ``path`` must ignore ASCII case, drop ASCII white space, and
-    give a word the same ids in any surroundings, as those with a word-end mark
-    do. A text is then its words' ids in a row, and each word is encoded once
-    until the cache of ``most_words`` is full and starts anew. Case is left alone
-    where a text may name a special token.
+    Where the file of ``path`` is known to work word by word (``by_words``), a text
+    is its words' ids in a row, and each word is encoded once until the cache of
+    ``most_words`` is full and starts anew. With any other file the library gets
+    whole texts.
     """
 
     def __init__(self, path: str, end_id: int = END_ID, most_words: int = MOST_WORDS):
@@ -37,6 +66,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.most_words = Tokenizer.from_file(path), end_id, most_words
+        with open(path, encoding="utf-8") as f:
+            self.by_words = by_words(json.load(f))
         self._clear()
 
     def _clear(self) -> None:
@@ -68,11 +99,14 @@ class Encoder:
 
     def encode_all(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text; words that are new are encoded in one call."""
+        if not self.by_words:
+            got = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            return (np.array([*e.ids, self.end_id], dtype=np.uint32) for e in got)
         if self.known > self.most_words:
             self._clear()
         found = []
         for t in texts:
-            words = (t.lower() if b"<|" not in t else t).split()
+            words = folded(t).split()
             found.append(np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words)))
         if len(self.place) > self.known:
             self._learn()

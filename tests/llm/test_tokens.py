@@ -32,8 +32,25 @@ def test_encoder_equals_the_library(most_words):
         assert e.encode(t.encode()).tolist() == whole(t)
 
 
-def test_files_round_trip(spark):
-    shards = token_files.write(frame(spark), length=16)
+def test_capitals_with_combining_marks():
+    """A capital may have no composed form though its small letter has: the library composes first."""
+    t, e = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path())
+    texts = [f"{chr(c)}{chr(m)}x a{chr(c)}{chr(m)} {chr(c)}\u0323{chr(m)}" for c in range(65, 91) for m in range(0x300, 0x370)]
+    want = [[*x.ids, 2] for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in e.encode_all([s.encode() for s in texts])] == want
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_another_tokenizer_gets_whole_texts(name):
+    t, e = Tokenizer.from_file(tokenizer_path(name)), Encoder(tokenizer_path(name))
+    assert e.by_words == (name == "word_bpe_49k.json")
+    texts = [x or "" for x in TEXTS]
+    assert [x.tolist() for x in e.encode_all([x.encode() for x in texts])] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+
+
+@pytest.mark.parametrize("shard_tokens", [token_files.SHARD_TOKENS, 20])
+def test_files_round_trip(spark, shard_tokens):
+    shards = token_files.write(frame(spark), length=16, shard_tokens=shard_tokens)
     got = sorted(token_files.read(shards).collect(), key=lambda r: r.start)
     rows = sorted(((r.doc_id, r.text or "") for r in frame(spark).collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     at = 0
@@ -48,15 +65,17 @@ def test_sequences_and_masks(tmp_path):
     from pyarrow import fs
 
     store, path = fs.LocalFileSystem(), str(tmp_path / "x.arrow")
-    w = token_files.ShardWriter(store, path, length=4, rows=3)
+    w = token_files.ShardWriter(store, path, length=8, rows=3)
     ids = np.arange(30, dtype=np.uint32)
     for part in np.split(ids, [1, 5, 20]):
         w.add(part)
     w.close()
     r = token_files.ShardReader(store, path, rows=3)
     assert r.ids(11, 15).tolist() == list(range(11, 26))
-    assert r.sequence(5)[0].tolist() == [20, 21, 22, 23] and r.sequence(5)[1].all()
-    assert r.sequence(7)[0].tolist() == [28, 29, 0, 0] and r.sequence(7)[1].tolist() == [True, True, False, False]
+    assert r.sequence(2)[0].tolist() == list(range(16, 24)) and token_files.unpacked(r.sequence(2)[1]).all()
+    ids, mask = r.sequence(3)
+    assert ids.tolist() == [24, 25, 26, 27, 28, 29, 0, 0] and token_files.unpacked(mask).tolist() == [True] * 6 + [False] * 2
+    assert ids.base is not None and mask.base is not None and not mask.flags.owndata and mask.dtype == np.uint8, "views, not copies"
 
 
 def test_empty_tables(spark):
