@@ -1,26 +1,31 @@
-"""Katz backoff language model over words: Good-Turing discounts, exact backoff weights.
-
-The model has two orders. Counts of single words and of word pairs, and the backoff
-weights, are tables; a text is scored token by token, from the pair's count down to
-the word's. Pairs seen once may be left to the backoff; the query keeps them all.
-
-Documents are first coded in batches: sorted words and a stream of word numbers. A
-batch sends each of its distinct words and pairs once to the partition that owns
-them, as sorted blobs, and gets counts back in the same order, so what is exchanged
-grows with distinct pairs per batch and not with tokens.
+"""Katz backoff language model over words: Good-Turing discounts, exact backoff weights, any order.
+
+Counts of words and of longer n-grams, and the backoff weights of contexts, are
+tables dealt to partitions; a text is scored token by token, from the longest n-gram's
+count down to the word's. N-grams of few counts may be left to the backoff; the
+query keeps them all.
+
+Documents are first coded in batches: sorted words and a stream of word numbers. For
+each order a batch sends each of its distinct n-grams once to the partition that owns
+it, with the probability that the order below gives it, and gets the counts back in the
+same order. The owner sums what a context's continuations hold, so a context's weight
+needs no join of n-grams. What is exchanged grows with distinct n-grams per batch and
+not with tokens, and is numeric: a word is named by its XXH64, once that is shown to
+differ for all words of the corpus.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import count
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +33,13 @@ from .common import LOWER, compressor, decompressor, discard, materialize, parti
 
 #: The context before a text and the token after it; no word is empty or has a space.
 START, END = b"", b" "
-#: Bytes of text in a batch, and partitions that a first word's pairs are spread over.
-BATCH, SPREAD = 20 << 20, 16
+#: Bytes of text in a batch.
+BATCH = 20 << 20
 #: Counts up to this are discounted; pairs need this count to be kept, unless the caller says otherwise.
 LOW, KEPT = 5, 2
+#: A context with this share of a partition's tokens has its continuations dealt to more partitions.
+SHARE = 1 / 8
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(doc_id: int | None, folds: int = 7, fold: int = 2) -> bool:
@@ -48,6 +56,10 @@ def expand(blob: bytes) -> bytes:
     return decompressor().decompress(blob)
 
 
+def unpack(blob: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(expand(blob), dtype=kind)
+
+
 def squeeze_words(words: list[bytes]) -> bytes:
     return compressor(3).compress(b"\n".join(words))
 
@@ -56,8 +68,32 @@ def expand_words(blob: bytes) -> list[bytes]:
     return expand(blob).split(b"\n")
 
 
-def owners(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(crc32, words), dtype=np.int64, count=len(words))
+def word_ids(words: list[bytes], salt: str) -> np.ndarray:
+    """XXH64 of each word after ``salt``, as Spark's ``xxhash64`` gives it."""
+    first = salt.encode()
+    return np.fromiter((xxhash.xxh64_intdigest(first + w, 42) for w in words), dtype=np.uint64, count=len(words))
+
+
+def mix(columns: list[np.ndarray]) -> np.ndarray:
+    """One number of each row of word ids; a single id is its own."""
+    out = columns[0]
+    for c in columns[1:]:
+        out = (out ^ out >> np.uint64(31)) * MULTIPLIER + c
+    return out
+
+
+def owners(number: np.ndarray, n: int) -> np.ndarray:
+    """Spark's ``pmod`` of the number as a signed one."""
+    return np.mod(number.view(np.int64), n)
+
+
+def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows by their columns, and where in it a row differs from the one before."""
+    order = np.argsort(columns[0], kind="stable") if len(columns) == 1 else np.lexsort(columns[::-1])
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+    return order, new
 
 
 CODED = "batch string, doc_ids array<bigint>, held array<boolean>, sizes array<int>, words binary, learned binary, ids binary"
@@ -106,118 +142,45 @@ def code(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, CODED)
 
 
-def _numbers(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, the token before each, and whether each is learned from."""
-    ids = np.frombuffer(expand(row["ids"]), dtype=np.int32).astype(np.int64)
-    sizes = np.array(row["sizes"], dtype=np.int64)
-    before = np.r_[0, ids[:-1]]
-    before[np.cumsum(sizes)[:-1]] = 0
-    return ids, before, np.repeat(~np.array(row["held"], dtype=bool), sizes)
-
-
-def _pair_owner(h: np.ndarray, first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
-    return (h[first] + h[second] % SPREAD) % n
-
-
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
             yield {k: b.column(k)[i].as_py() for k in b.schema.names}
 
 
+def _batch(schema: str, **given) -> pa.RecordBatch:
+    """Rows of a DDL ``schema``; columns that are not given are null."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    kinds |= {f"array<{k}>": pa.list_(v) for k, v in list(kinds.items())}
+    fields = [f.split() for f in schema.split(", ")]
+    rows = len(next(iter(given.values())))
+    return pa.record_batch([pa.array(given[k], kinds[t]) if k in given else pa.nulls(rows, kinds[t]) for k, t in fields], names=[k for k, _ in fields])
+
+
 def unigrams(coded: DataFrame) -> DataFrame:
-    """``(word, c)`` of all tokens that are learned from."""
+    """``(word, c)`` of all words, with their counts among the tokens that are learned from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
-            c = np.frombuffer(expand(r["learned"]), dtype=np.int32)
-            words = expand_words(r["words"])
-            at = np.flatnonzero(c)
-            for part in np.array_split(at, 1 + len(at) // 100_000):
-                yield pa.record_batch([pa.array([words[i].decode() for i in part.tolist()], pa.string()), pa.array(c[part].astype(np.int64))], names=["word", "c"])
+            c = unpack(r["learned"], np.int32)
+            words = [w.decode() for w in expand_words(r["words"])]
+            for lo in range(0, len(words), 100_000):
+                yield pa.record_batch([pa.array(words[lo : lo + 100_000], pa.string()), pa.array(c[lo : lo + 100_000].astype(np.int64))], names=["word", "c"])
 
     return coded.select("words", "learned").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-PAIRS = "kind string, batch string, p int, blob binary, first string, second string, c long"
+def id_column(salt: str) -> F.Column:
+    return F.xxhash64(F.concat(F.lit(salt), F.col("word")))
 
 
-def pairs(coded: DataFrame, keys: list[int], kept: int = KEPT) -> DataFrame:
-    """Three kinds of rows: ``pair`` with a count of ``kept`` or more; ``answer``, the counts that a batch
-    asked for; ``histogram``, in ``c``, how many pairs a partition has of count ``p``, for 1 to LOW + 1.
-    Partitions have the numbers ``keys``."""
-    n = len(keys)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            ids, before, learned = _numbers(r)
-            words = expand_words(r["words"])
-            marked = before << 32 | ids << 1 | learned  # a batch has far fewer than 2^31 words
-            marked.sort()
-            both = marked >> 1
-            starts = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
-            counts = np.add.reduceat(marked & 1, starts).astype(np.int32)
-            first, second = both[starts] >> 31, both[starts] & 0x7FFFFFFF
-            p = _pair_owner(owners(words), first, second, n)
-            order = np.argsort(p, kind="stable")
-            cut = np.searchsorted(p[order], np.arange(n + 1))
-            out = []
-            for k in range(n):
-                at = order[cut[k] : cut[k + 1]]
-                if len(at):
-                    f, start, repeat = np.unique(first[at], return_index=True, return_counts=True)
-                    text = b"\n".join([*(words[i] for i in f.tolist()), *(words[i] for i in second[at].tolist())])
-                    head = np.array([len(f), len(at)], dtype=np.int64)
-                    out.append((keys[k], compressor(3).compress(b"".join([head.tobytes(), repeat.astype(np.int32).tobytes(), counts[at].tobytes(), text]))))
-            for i in range(0, len(out), 16):
-                part = out[i : i + 16]
-                yield pa.record_batch([pa.array([k for k, _ in part], pa.int32()), pa.array([r["batch"]] * len(part)), pa.array([x for _, x in part], pa.binary())], names=["p", "batch", "blob"])
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for b in batches:
-            for p, batch, blob in zip(*(b.column(i) for i in range(3))):
-                if (p := p.as_py()) != now and held:
-                    yield from settle(now, held)
-                    held = []
-                now = p
-                held.append((batch.as_py(), blob.as_py()))
-        if held:
-            yield from settle(now, held)
-
-    def settle(p: int, blobs: list[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
-        place: dict[bytes, int] = defaultdict(count().__next__)
-        keys, counts = [], []
-        for _, blob in blobs:
-            raw = expand(blob)
-            nf, n = np.frombuffer(raw, np.int64, 2).tolist()
-            repeat = np.frombuffer(raw, np.int32, nf, 16)
-            counts.append(np.frombuffer(raw, np.int32, n, 16 + 4 * nf))
-            at = np.fromiter(map(place.__getitem__, raw[16 + 4 * nf + 4 * n :].split(b"\n")), dtype=np.int64, count=nf + n)
-            keys.append(np.repeat(at[:nf], repeat) << 32 | at[nf:])
-        uniq, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, weights=np.concatenate(counts), minlength=len(uniq)).astype(np.int64)
-        answers = np.where(total >= kept, total, 0)[back].astype(np.int32)
-        fields = dict(zip((f.split()[0] for f in PAIRS.split(", ")), (pa.string(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.string(), pa.int64())))
-
-        def made(kind: str, **given) -> pa.RecordBatch:
-            rows = len(next(iter(given.values())))
-            given["kind"] = [kind] * rows
-            return pa.record_batch([pa.array(given[k], t) if k in given else pa.nulls(rows, t) for k, t in fields.items()], names=list(fields))
-
-        histogram = np.bincount(np.minimum(total, LOW + 2), minlength=LOW + 3)[1 : LOW + 2].astype(np.int64)
-        yield made("histogram", p=range(1, LOW + 2), c=histogram)
-        at = 0
-        for (batch, _), k in zip(blobs, keys):
-            yield made("answer", batch=[batch], p=[p], blob=[squeeze(answers[at : at + len(k)])])
-            at += len(k)
-        words = list(place)
-        held = np.flatnonzero(total >= kept)
-        for part in np.array_split(held, 1 + len(held) // 100_000):
-            yield made("pair", first=[words[i].decode() for i in (uniq[part] >> 32).tolist()], second=[words[i].decode() for i in (uniq[part] & 0xFFFFFFFF).tolist()], c=total[part])
-
-    sent = coded.select("batch", "held", "sizes", "words", "ids").mapInArrow(send, "p int, batch string, blob binary")
-    return sent.repartition(n, "p").sortWithinPartitions("p").mapInArrow(count_pairs, PAIRS)
+def free_salt(single: DataFrame) -> str:
+    """A salt under which no two words have the same id: the first try, but once in 10^5 corpora of 10^7 words."""
+    for i in range(100):
+        salt = str(i) if i else ""
+        if single.groupBy(id_column(salt).alias("id")).count().where("count > 1").isEmpty():
+            return salt
+    raise ValueError("no salt gives all words different ids")
 
 
 def good_turing(n: list[int], dropped: int = 0) -> list[float]:
@@ -240,7 +203,7 @@ def good_turing(n: list[int], dropped: int = 0) -> list[float]:
 
 @dataclass(frozen=True)
 class Model:
-    """Totals and discounts; the counts and weights are in tables.
+    """Totals and discounts of words; counts and weights are in tables.
 
     ``n`` tokens and ``v`` distinct ones are learned from, ``docs`` documents;
     ``mass`` is the sum of their discounted counts, ``unseen`` the probability of
@@ -251,7 +214,6 @@ class Model:
     v: int
     docs: int
     single: tuple[float, ...]
-    double: tuple[float, ...]
     unseen: float
     mass: float
 
@@ -261,158 +223,373 @@ class Model:
         return (1 - self.unseen) / self.mass if self.mass else 0.0
 
     def word(self, c: np.ndarray) -> np.ndarray:
-        d = np.array([0.0, *self.single, 1.0])[np.minimum(c, LOW + 1)]
-        return np.where(c > 0, self.rate * d * c, self.unseen)
+        return np.where(c > 0, self.rate * discount(c, self.single), self.unseen)
 
 
-def column(c: str, factors: tuple[float, ...]) -> F.Column:
-    """The factor of a count as a column."""
-    out = F.when(F.lit(False), 0.0)
-    for r, d in enumerate(factors, 1):
-        out = out.when(F.col(c) == r, F.lit(d))
-    return out.otherwise(F.lit(1.0))
+def discount(c: np.ndarray, factors: tuple[float, ...]) -> np.ndarray:
+    """Discounted counts."""
+    return np.array([0.0, *factors, 1.0])[np.minimum(c, LOW + 1)] * c
 
 
-def weights(single: DataFrame, double: DataFrame, model: Model) -> DataFrame:
-    """``(word, c, scale, backoff)`` of each learned word and of START.
+def totals(single: DataFrame) -> Model:
+    cols = [F.count_if(F.col("c") > 0).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *(F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, LOW + 2)), F.coalesce(F.sum(F.when(F.col("word") == END.decode(), F.col("c"))), F.lit(0)).alias("docs")]
+    row = single.agg(*cols).first()
+    small = [row[f"n{r}"] for r in range(1, LOW + 2)]
+    factors = good_turing(small)
+    saved = sum((1 - d) * r * small[r - 1] for r, d in enumerate(factors, 1))
+    unseen = max(saved / row["n"], 1 / (row["n"] + 1)) if row["n"] else 1.0
+    return Model(row["n"], row["v"], row["docs"], tuple(factors), unseen, row["n"] - saved)
+
 
-    A pair's probability is ``scale * d * c / c(first)``; what all kept pairs of a
-    first word leave, at least 1 / (c(first) + 1), goes to ``backoff`` times the
-    probability of the second word alone, which sums to exactly the rest.
+# --- questions of batches to tables ---------------------------------------------------------------
+
+
+def _ask(batch: str, columns: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
+    """One row per partition that owns some of the rows of word ids."""
+    p = owners(mix(columns), len(keys))
+    order = np.argsort(p, kind="stable")
+    cut = np.searchsorted(p[order], np.arange(len(keys) + 1)).tolist()
+    out = [(keys[k], squeeze(*(c[order[cut[k] : cut[k + 1]]] for c in columns))) for k in range(len(keys)) if cut[k] < cut[k + 1]]
+    return pa.record_batch([pa.array([k for k, _ in out], pa.int32()), pa.array([batch] * len(out)), pa.array([x for _, x in out], pa.binary())], names=["p", "batch", "blob"])
+
+
+def _in_place(parts: list[tuple[int, bytes]], columns: list[np.ndarray], keys: list[int], width: int) -> np.ndarray:
+    """The answers to ``_ask``, in order of its rows: ``width`` numbers each."""
+    place = {k: i for i, k in enumerate(keys)}
+    p = owners(mix(columns), len(keys))
+    out = np.empty((width, len(p)))
+    got = [unpack(blob, np.float64).reshape(width, -1) for _, blob in sorted(parts, key=lambda x: place[x[0]])]
+    out[:, np.argsort(p, kind="stable")] = np.concatenate(got, axis=1) if got else 0
+    return out
+
+
+def answered(asked: DataFrame, table: DataFrame, width: int, default: tuple[float, ...]) -> DataFrame:
+    """``(batch, p, blob)``: the table's numbers for what was asked, in order; ``default`` for rows that it lacks.
+
+    ``table`` has ``p``, ids ``g0`` to ``g<width - 1>`` and doubles named ``v0`` on. Its rows of a
+    partition are held in memory; questions are looked up together, many at a time.
     """
-    p1 = column("c", model.single) * F.col("c") * F.lit(model.rate)
-    alone = single.select(F.col("word").alias("second"), p1.alias("p1"))
-    d = column("c", model.double)
-    sums = double.join(alone, "second").groupBy("first").agg(F.sum(d * F.col("c")).alias("seen"), F.sum("p1").alias("alone"))
-    spark = single.sparkSession
-    every = single.select("word", "c", F.when(F.col("word") == END.decode(), F.lit(0)).otherwise(F.col("c")).alias("h"))
-    every = every.unionByName(spark.range(1).select(F.lit(START.decode()).alias("word"), F.lit(0).cast("long").alias("c"), F.lit(model.docs).cast("long").alias("h")))
-    x = every.join(sums, every["word"] == sums["first"], "left").select("word", "c", "h", F.coalesce("seen", F.lit(0.0)).alias("seen"), F.coalesce("alone", F.lit(0.0)).alias("alone"))
-    share = F.when(F.col("h") > 0, F.col("seen") / F.col("h")).otherwise(0.0)
-    left = F.greatest(1 - share, F.when(F.col("seen") > 0, 1.0 / (F.col("h") + 1)).otherwise(1.0))
-    return x.select("word", "c", "h", F.when(share > 0, (1 - left) / share).otherwise(1.0).alias("scale"), (left / (1 - F.col("alone"))).alias("backoff"))
-
-
-def word_answers(coded: DataFrame, table: DataFrame, keys: list[int]) -> DataFrame:
-    """``(batch, p, blob)``: for the words of a batch that partition p owns, in order, c, h, scale and backoff."""
+    ids, values = [f"g{i}" for i in range(width)], [f"v{i}" for i in range(len(default))]
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, known = None, [], []
+        questions: list[tuple[str, list[np.ndarray]]] = []
+        waiting = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal questions, waiting, known
+            if not questions:
+                return
+            if len(held) > 1:
+                held[:] = [[np.concatenate(c) for c in zip(*held)]]
+            rows = held[0] if held else [np.zeros(0, np.uint64)] * width + [np.zeros(0)] * len(values)
+            n = len(rows[0])
+            order, new = distinct([np.concatenate([rows[i], *(q[1][i] for q in questions)]) for i in range(width)])
+            first = order[np.flatnonzero(new)]  # the sort is stable: a row of the table comes before what asks for it
+            found = np.empty(len(order), dtype=np.int64)
+            found[order] = first[np.cumsum(new) - 1]
+            at = n
+            for batch, columns in questions:
+                mine = found[at : at + len(columns[0])]
+                at += len(columns[0])
+                out = [np.where(mine < n, np.append(v, d)[np.minimum(mine, n)], d) for v, d in zip(rows[width:], default)]
+                yield _batch("batch string, p int, blob binary", batch=[batch], p=[now], blob=[squeeze(*out)])
+            questions, waiting = [], 0
+
+        for b in batches:
+            p, names = b.column(0).to_numpy(), b.column(1)
+            for lo, hi in _runs(p):
+                if p[lo] != now:
+                    yield from flush()
+                    now, held = int(p[lo]), []
+                part = b.slice(lo, hi - lo)
+                n = part.num_rows - part.column(2).null_count  # rows of the table come first and have no blob
+                table_rows = part.slice(0, part.num_rows - n)
+                if table_rows.num_rows:
+                    held.append([table_rows.column(3 + i).to_numpy().view(np.uint64) for i in range(width)] + [table_rows.column(3 + width + i).to_numpy() for i in range(len(values))])
+                for i in range(part.num_rows - n, part.num_rows):
+                    raw = unpack(part.column(2)[i].as_py(), np.uint64).reshape(width, -1)
+                    questions.append((part.column(1)[i].as_py(), list(raw)))
+                    waiting += raw.shape[1]
+                    if waiting > max(1 << 18, sum(len(h[0]) for h in held)):
+                        yield from flush()
+        yield from flush()
+
+    blank = [F.lit(None).cast(t).alias(c) for c, t in [*((c, "long") for c in ids), *((c, "double") for c in values)]]
+    rows = table.select("p", F.lit("").alias("batch"), F.lit(None).cast("binary").alias("blob"), *ids, *values)
+    rows = rows.unionAll(asked.select("p", "batch", "blob", *blank))
+    return rows.repartition(wide(table.sparkSession), "p").sortWithinPartitions("p", "batch").mapInArrow(answer, "batch string, p int, blob binary")
+
+
+def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    if len(x):
+        cut = (np.flatnonzero(x[1:] != x[:-1]) + 1).tolist()
+        yield from zip([0, *cut], [*cut, len(x)])
+
+
+# --- batches with the probabilities of an order ---------------------------------------------------
+
+#: A batch's documents with tokens, known tokens and base score; word numbers, ids of words; and of the last order that
+#: is done: the number of the n-gram that ends at each token, n-grams' counts and probabilities.
+STATE = "batch string, doc_ids array<long>, held array<boolean>, sizes array<int>, known array<long>, base array<double>, ids binary, words binary, gram binary, counts binary, probs binary"
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+class Batch:
+    """A row of ``STATE`` as arrays."""
+
+    def __init__(self, r: dict):
+        self.row, self.sizes = r, np.array(r["sizes"], dtype=np.int64)
+        self.ids = unpack(r["ids"], np.int32).astype(np.int64)
+        self.words = unpack(r["words"], np.uint64)
+        self.gram = unpack(r["gram"], np.int32).astype(np.int64) if r["gram"] is not None else self.ids
+        self.counts, self.probs = unpack(r["counts"], np.int64), unpack(r["probs"], np.float64)
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.inside = np.arange(len(self.ids)) - np.repeat(starts, self.sizes)
+        self.starts = starts
+        self.learned = np.repeat(~np.array(r["held"], dtype=bool), self.sizes)
+        self.context = np.r_[0, self.gram[:-1] + 1]
+        self.context[starts] = 0  # the n-gram before each token, numbered from 1; 0 is the start of a text
+
+    def columns(self, at: np.ndarray, first: int, last: int, start: np.uint64) -> list[np.ndarray]:
+        """Ids of the words ``first`` to ``last`` places before the tokens ``at``; ``start`` before a text."""
+        out = []
+        for back in range(first, last - 1, -1):
+            there = self.inside[at] >= back
+            out.append(np.where(there, self.words[self.ids[np.where(there, at - back, 0)]], start))
+        return out
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the next order: a token at which each distinct n-gram ends, and each token's number of its n-gram."""
+        _, at, number = np.unique(self.context << 32 | self.ids, return_index=True, return_inverse=True)
+        return at, number
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """A token after each distinct context, and each token's number of its context."""
+        _, at, number = np.unique(self.context, return_index=True, return_inverse=True)
+        return at, number
+
+
+def _joined(state: DataFrame, parts: dict[str, DataFrame], fields: str, run: Callable[[dict, dict], pa.RecordBatch], out: str) -> DataFrame:
+    """Bring each batch together with its answers; ``run`` gets the row and, by kind, ``(p, blob)`` parts, and makes rows of ``out``."""
+    names, kinds = [f.split()[0] for f in fields.split(", ") if not f.startswith("batch ")], list(parts)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        for r in _rows(batches):
+            if r["batch"] != now:
+                now, held = r["batch"], {k: [] for k in kinds}
+            if r["kind"] in held:
+                held[r["kind"]].append((r["p"], r["blob"]))
+            else:  # the text sorts after the answers
+                yield run(r, held)
+
+    rows = state.select("batch", F.lit("~").alias("kind"), F.lit(None).cast("int").alias("p"), F.lit(None).cast("binary").alias("blob"), *names)
+    for kind, x in parts.items():
+        rows = rows.unionAll(x.select("batch", F.lit(kind), "p", "blob", *(F.lit(None).cast(state.schema[c].dataType).alias(c) for c in names)))
+    return rows.repartition(wide(state.sparkSession), "batch").sortWithinPartitions("batch", "kind").mapInArrow(meet, out)
+
+
+def first_state(coded: DataFrame, single: DataFrame, model: Model, salt: str, keys: list[int]) -> DataFrame:
+    """Batches with counts and probabilities of words, and the base score."""
     n = len(keys)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
-            words = expand_words(r["words"])
-            p = owners(words) % n
-            order = np.argsort(p, kind="stable")
-            cut = np.searchsorted(p[order], np.arange(n + 1))
-            out = [(keys[k], squeeze_words([words[i] for i in order[cut[k] : cut[k + 1]].tolist()])) for k in range(n) if cut[k] < cut[k + 1]]
-            yield pa.record_batch([pa.array([k for k, _ in out], pa.int32()), pa.array([r["batch"]] * len(out)), pa.array([x for _, x in out], pa.binary())], names=["p", "batch", "blob"])
+            yield _ask(r["batch"], [word_ids(expand_words(r["words"]), salt)], keys)
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known, values = None, {}, []
-        for b in batches:
-            cols = [b.column(i) for i in range(3)]
-            rows = list(zip(b.column(3).to_pylist(), *(b.column(i).to_pylist() for i in range(4, 8))))
-            for i, (p, batch, blob) in enumerate(zip(*cols)):
-                if (p := p.as_py()) != now:
-                    now, known, values = p, {}, [(0, 0, 1.0, 1.0)]
-                if (batch := batch.as_py()) == "":  # rows of the table come first
-                    known[rows[i][0].encode()] = len(values)
-                    values.append(rows[i][1:])
-                    continue
-                at = [known.get(w, 0) for w in expand_words(blob.as_py())]
-                c, h, scale, backoff = (np.array([values[k][j] for k in at], dtype=t) for j, t in enumerate((np.int64, np.int64, float, float)))
-                yield pa.record_batch([pa.array([batch]), pa.array([p], pa.int32()), pa.array([squeeze(c, h, scale, backoff)], pa.binary())], names=["batch", "p", "blob"])
-
-    asked = coded.select("batch", "words").mapInArrow(ask, "p int, batch string, blob binary")
-    asked = asked.select("p", "batch", "blob", *(F.lit(None).cast(t).alias(c) for c, t in (("word", "string"), ("c", "long"), ("h", "long"), ("scale", "double"), ("backoff", "double"))))
-    owned = table.select(F.get(F.array(*map(F.lit, keys)), (F.crc32(F.col("word").cast("binary")) % n).cast("int")).alias("p"), F.lit("").alias("batch"), F.lit(None).cast("binary").alias("blob"), "word", "c", "h", "scale", "backoff")
-    return owned.unionAll(asked).repartition(n, "p").sortWithinPartitions("p", "batch").mapInArrow(answer, "batch string, p int, blob binary")
+    p = F.get(F.array(*map(F.lit, keys)), F.pmod(id_column(salt), F.lit(n)).cast("int"))
+    table = single.where("c > 0").select(p.alias("p"), id_column(salt).alias("g0"), F.col("c").cast("double").alias("v0"))
+    counts = answered(coded.select("batch", "words").mapInArrow(ask, "p int, batch string, blob binary"), table, 1, (0.0,))
+
+    def run(r: dict, parts: dict) -> pa.RecordBatch:
+        words = word_ids(expand_words(r["words"]), salt)
+        c = _in_place(parts["count"], [words], keys, 1)[0].astype(np.int64)
+        ids, sizes = unpack(r["ids"], np.int32), np.array(r["sizes"], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        base = np.log10((c + 1) / (model.n + model.v + 1))
+        return _batch(STATE, batch=[r["batch"]], doc_ids=[r["doc_ids"]], held=[r["held"]], sizes=[r["sizes"]], known=[np.add.reduceat((c > 0)[ids].astype(np.int64), starts)], base=[np.add.reduceat(base[ids], starts)], ids=[r["ids"]], words=[squeeze(words)], counts=[squeeze(c)], probs=[squeeze(model.word(c))])
 
+    fields = "doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, ids binary"
+    return _joined(coded, {"count": counts}, fields, run, STATE)
 
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+def found_schema(order: int) -> str:
+    ids = "".join(f"g{i} long, " for i in range(order))
+    return f"kind string, batch string, p int, blob binary, {ids}c long, " + "".join(f"n{r} long, " for r in range(1, LOW + 1)) + "more long, alone double"
 
-def evaluate(coded: DataFrame, answers: DataFrame, word_table: DataFrame, model: Model, keys: list[int]) -> DataFrame:
-    """Score the documents of each batch, once its answers have come together."""
-    n, place = len(keys), {k: i for i, k in enumerate(keys)}
-    in_order = lambda parts: sorted(parts, key=lambda x: place[x[0]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, {}
-        for b in batches:
-            for i in range(b.num_rows):
-                r = {k: b.column(k)[i].as_py() for k in b.schema.names}
-                if r["batch"] != now:
-                    now, parts = r["batch"], {"pair": [], "word": []}
-                if r["kind"] in parts:
-                    parts[r["kind"]].append((r["p"], r["blob"]))
-                else:  # "text" sorts between the two; all answers of the batch are read by then
-                    yield score_batch(r, parts)
-
-    def score_batch(r: dict, parts: dict) -> pa.RecordBatch:
-        words = expand_words(r["words"])
-        ids, before, _ = _numbers(r)
-        h = owners(words)
-        table = [np.zeros(len(words), dtype=t) for t in (np.int64, np.int64, float, float)]
-        order = np.argsort(h % n, kind="stable")
+def grams(state: DataFrame, order: int, model: Model, keys: list[int], kept: int) -> DataFrame:
+    """Count the n-grams of an order. Four kinds of rows:
+
+    ``gram``: ids and count ``c`` of each n-gram of count ``kept`` or more; ``answer``: the counts that
+    a batch asked for; ``context``: a partition's part of a context's occurrences ``c``, of its kept n-grams
+    of counts 1 to LOW and the counts of the ``more`` frequent ones, and of what the order below gives to
+    them ``alone``; ``histogram``: in ``c``, how many n-grams a partition has of count ``p``, 1 to LOW + 1.
+    """
+    n, schema = len(keys), found_schema(order)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            b = Batch(r)
+            start = word_ids([START], r["salt"])[0]
+            at, number = b.grams()
+            counts = np.bincount(number[b.learned], minlength=len(at)).astype(np.int32)
+            lower = np.where(counts > 0, b.probs[b.gram[at]], 0.0)
+            columns = b.columns(at, order - 1, 0, start)
+            p = _dealt(b, at, columns, model, n)
+            order_ = np.lexsort([*columns[::-1], p])
+            cut = np.searchsorted(p[order_], np.arange(n + 1)).tolist()
+            out = []
+            for k in range(n):
+                i = order_[cut[k] : cut[k + 1]]
+                if len(i):
+                    mine = [c[i] for c in columns]
+                    new = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in mine[:-1]])])
+                    repeat = np.diff(np.r_[new, len(i)]).astype(np.int32)
+                    out.append((keys[k], squeeze(np.array([len(new), len(i)]), *(c[new] for c in mine[:-1]), repeat, counts[i], mine[-1], lower[i])))
+            yield pa.record_batch([pa.array([k for k, _ in out], pa.int32()), pa.array([r["batch"]] * len(out)), pa.array([x for _, x in out], pa.binary())], names=["p", "batch", "blob"])
+
+    def opened(blob: bytes) -> list[np.ndarray]:
+        """Columns of ids, counts and lower probabilities of a blob."""
+        raw = expand(blob)
+        m, total = np.frombuffer(raw, np.int64, 2).tolist()
+        at = 16
+        contexts = np.frombuffer(raw, np.uint64, (order - 1) * m, at).reshape(order - 1, m)
+        at += 8 * (order - 1) * m
+        repeat, counts = np.frombuffer(raw, np.int32, m, at), np.frombuffer(raw, np.int32, total, at + 4 * m)
+        at += 4 * m + 4 * total
+        last, lower = np.frombuffer(raw, np.uint64, total, at), np.frombuffer(raw, np.float64, total, at + 8 * total)
+        return [*(np.repeat(c, repeat) for c in contexts), last, counts, lower]
+
+    def settle(p: int, names: list[str], blobs: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        *columns, counts, lower = (np.concatenate(c) for c in zip(*blobs))
+        order_, new = distinct(columns)
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(counts[order_].astype(np.int64), first)
+        lower = np.maximum.reduceat(lower[order_], first)
+        columns = [c[order_[first]] for c in columns]
+        back = np.empty(len(order_), dtype=np.int64)
+        back[order_] = np.cumsum(new) - 1
+        yield _batch(schema, kind=["histogram"] * (LOW + 1), p=range(1, LOW + 2), c=np.bincount(np.minimum(total, LOW + 2), minlength=LOW + 3)[1 : LOW + 2])
+        answers = np.where(total >= kept, total, 0)[back]
         at = 0
-        for _, blob in in_order(parts["word"]):
-            raw = expand(blob)
-            k = len(raw) // 32
-            for j, x in enumerate(table):
-                x[order[at : at + k]] = np.frombuffer(raw, x.dtype, k, 8 * k * j)
-            at += k
-        c, hist, scale, backoff = table
-        uniq, back = np.unique(before << 32 | ids, return_inverse=True)
-        first, second = uniq >> 32, uniq & 0xFFFFFFFF
-        found = np.concatenate([np.frombuffer(expand(blob), np.int32) for _, blob in in_order(parts["pair"])]).astype(np.int64)
-        both = np.zeros(len(uniq), dtype=np.int64)
-        both[np.argsort(_pair_owner(h, first, second, n), kind="stable")] = found
-        d = np.array([0.0, *model.double, 1.0])[np.minimum(both, LOW + 1)]
-        pair = scale[first] * d * both / np.maximum(hist[first], 1)
-        logs = np.log10(np.where(both > 0, pair, backoff[first] * model.word(c)[second]))
-        base = np.log10((c + 1) / (model.n + model.v + 1))
-        sizes = np.array(r["sizes"], dtype=np.int64)
-        starts = np.cumsum(sizes) - sizes
-        total = lambda x: np.add.reduceat(x, starts)
-        cols = [pa.array(r["doc_ids"], pa.int64()), pa.array(r["held"]), pa.array(sizes), pa.array(total((c > 0)[ids].astype(np.int64))), pa.array(np.full(len(sizes), model.n)), pa.array(total(base[ids])), pa.array(total(logs[back]))]
-        return pa.record_batch(cols, names=[f.split()[0] for f in RESULT.split(", ")])
+        for batch, blob in zip(names, blobs):
+            size = len(blob[0])
+            yield _batch(schema, kind=["answer"], batch=[batch], p=[p], blob=[squeeze(answers[at : at + size])])
+            at += size
+        contexts = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:-1]])])
+        keep = total >= kept
+        sums = lambda x: np.add.reduceat(x, contexts)
+        stats = {f"n{r}": sums(((total == r) & keep).astype(np.int64)) for r in range(1, LOW + 1)}
+        stats |= {"c": sums(total), "more": sums(np.where((total > LOW) & keep, total, 0)), "alone": sums(np.where(keep & (total > 0), lower, 0.0))}
+        heads = [c[contexts] for c in columns[:-1]]
+        owner = np.array(keys)[owners(mix(heads), n)]
+        seen = np.flatnonzero(stats["c"])
+        for part in np.array_split(seen, 1 + len(seen) // 100_000):
+            ids = {f"g{i}": c[part].view(np.int64) for i, c in enumerate(heads)}
+            yield _batch(schema, kind=["context"] * len(part), p=owner[part].astype(np.int32), **ids, **{k: v[part] for k, v in stats.items()})
+        some = np.flatnonzero(keep & (total > 0))
+        for part in np.array_split(some, 1 + len(some) // 100_000):
+            yield _batch(schema, kind=["gram"] * len(part), c=total[part], **{f"g{i}": c[part].view(np.int64) for i, c in enumerate(columns)})
+
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, held = None, [], []
+        for b in batches:
+            for p, batch, blob in zip(*(b.column(i) for i in range(3))):
+                if (p := p.as_py()) != now and held:
+                    yield from settle(now, names, held)
+                    names, held = [], []
+                now = p
+                names.append(batch.as_py())
+                held.append(opened(blob.as_py()))
+        if held:
+            yield from settle(now, names, held)
 
-    blank = [F.lit(None).cast(t).alias(k) for k, t in (("doc_ids", "array<bigint>"), ("held", "array<boolean>"), ("sizes", "array<int>"), ("words", "binary"), ("ids", "binary"))]
-    rows = coded.select("batch", F.lit("zz_text").alias("kind"), F.lit(None).cast("int").alias("p"), F.lit(None).cast("binary").alias("blob"), "doc_ids", "held", "sizes", "words", "ids")
-    rows = rows.unionAll(answers.select("batch", F.lit("pair"), "p", "blob", *blank)).unionAll(word_table.select("batch", F.lit("word"), "p", "blob", *blank))
-    return rows.repartition(wide(coded.sparkSession), "batch").sortWithinPartitions("batch", "kind").mapInArrow(run, RESULT)
+    sent = state.mapInArrow(send, "p int, batch string, blob binary")
+    return sent.repartition(n, "p").sortWithinPartitions("p").mapInArrow(count_grams, schema)
 
 
-def fit(coded: DataFrame, keys: list[int], kept: int = KEPT) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
-    """The model, its tables of words with weights and of pairs, and the answers to the batches."""
-    single = materialize(unigrams(coded), "katz-words")
-    found = materialize(pairs(coded, keys, kept), "katz-pairs", ("kind",))
-    cols = [F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *(F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, LOW + 2)), F.coalesce(F.sum(F.when(F.col("word") == END.decode(), F.col("c"))), F.lit(0)).alias("docs")]
-    row = single.agg(*cols).first()
-    small = [row[f"n{r}"] for r in range(1, LOW + 2)]
-    hist = {r.p: r.c for r in found.where("kind = 'histogram'").groupBy("p").agg(F.sum("c").alias("c")).collect()}
-    factors = good_turing(small)
-    saved = sum((1 - d) * r * small[r - 1] for r, d in enumerate(factors, 1))
-    unseen = max(saved / row["n"], 1 / (row["n"] + 1)) if row["n"] else 1.0
-    model = Model(row["n"], row["v"], row["docs"], tuple(factors), tuple(good_turing([hist.get(r, 0) for r in range(1, LOW + 2)], kept - 1)), unseen, row["n"] - saved)
-    table = materialize(weights(single, found.where("kind = 'pair'").select("first", "second", "c"), model), "katz-weights")
-    discard(single)
-    return model, table, found.where("kind = 'pair'").select("first", "second", "c"), found.where("kind = 'answer'").select("batch", "p", "blob")
+def _dealt(b: Batch, at: np.ndarray, columns: list[np.ndarray], model: Model, n: int) -> np.ndarray:
+    """The partition of n-grams: by context, and by word too as far as the context's count asks for more than one."""
+    before = b.context[at]
+    size = np.where(before > 0, b.counts[np.maximum(before - 1, 0)], model.docs)
+    spread = 1 + np.minimum(n - 1, (size * (n / SHARE) / max(model.n, 1)).astype(np.int64))
+    return (owners(mix(columns[:-1]), n) + np.mod((columns[-1] >> np.uint64(16)).astype(np.int64), spread)) % n
 
 
-def score(docs: DataFrame, kept: int = KEPT) -> DataFrame:
+def weights(found: DataFrame, order: int, factors: tuple[float, ...]) -> DataFrame:
+    """``(p, g0..., v0, v1)`` of each context that is learned from: what a unit of a discounted count is worth, and the backoff weight.
+
+    An n-gram's probability is ``scale * d * c / c(context)``; what all kept n-grams
+    of a context leave, at least 1 / (c(context) + 1), goes to ``backoff`` times the
+    probability under the shorter context, which sums to exactly the rest.
+    """
+    ids = [f"g{i}" for i in range(order - 1)]
+    sums = found.where("kind = 'context'").groupBy("p", *ids).agg(*(F.sum(c).alias(c) for c in ("c", *(f"n{r}" for r in range(1, LOW + 1)), "more", "alone")))
+    seen = sum((F.col(f"n{r}") * F.lit(r * d) for r, d in enumerate(factors, 1)), F.col("more").cast("double"))
+    share = F.col("seen") / F.col("c")
+    left = F.greatest(1 - share, F.when(F.col("seen") > 0, 1.0 / (F.col("c") + 1)).otherwise(1.0))
+    scale = F.when(share > 0, (1 - left) / share).otherwise(1.0)
+    return sums.withColumn("seen", seen).select("p", *ids, (scale / F.col("c")).alias("v0"), (left / (1 - F.col("alone"))).alias("v1"))
+
+
+def advance(state: DataFrame, found: DataFrame, table: DataFrame, order: int, factors: tuple[float, ...], model: Model, keys: list[int], last: bool) -> tuple[DataFrame, DataFrame]:
+    """Batches with the probabilities of ``order``, or for the last one the scores of their documents; and a table behind them."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            b = Batch(r)
+            yield _ask(r["batch"], b.columns(b.contexts()[0], order - 1, 1, word_ids([START], r["salt"])[0]), keys)
+
+    def run(r: dict, parts: dict) -> pa.RecordBatch:
+        b, n, place = Batch(r), len(keys), {k: i for i, k in enumerate(keys)}
+        start = word_ids([START], r["salt"])[0]
+        at, number = b.contexts()
+        rate, backoff = _in_place(parts["context"], b.columns(at, order - 1, 1, start), keys, 2)
+        end, gram = b.grams()
+        columns = b.columns(end, order - 1, 0, start)
+        counts = np.empty(len(end), dtype=np.int64)
+        counts[np.lexsort([*columns[::-1], _dealt(b, end, columns, model, n)])] = np.concatenate([unpack(blob, np.int64) for _, blob in sorted(parts["count"], key=lambda x: place[x[0]])])
+        own = number[end]
+        probs = np.where(counts > 0, rate[own] * discount(counts, factors), backoff[own] * b.probs[b.gram[end]])
+        if last:
+            score = np.add.reduceat(np.log10(probs)[gram], b.starts)
+            return _batch(RESULT, doc_id=r["doc_ids"], held_out=r["held"], n_tokens=b.sizes, n_known=r["known"], train_tokens=np.full(len(b.sizes), model.n), base_score=r["base"], score=score)
+        same = {k: [r[k]] for k in ("batch", "doc_ids", "held", "sizes", "known", "base", "ids", "words")}
+        return _batch(STATE, **same, gram=[squeeze(gram.astype(np.int32))], counts=[squeeze(counts)], probs=[squeeze(probs)])
+
+    values = materialize(answered(state.mapInArrow(ask, "p int, batch string, blob binary"), table, order - 1, (0.0, 1.0)), "katz-context-answers")
+    return _joined(state, {"count": found.where("kind = 'answer'"), "context": values}, STATE + ", salt string", run, RESULT if last else STATE), values
+
+
+def score(docs: DataFrame, kept: int = KEPT, order: int = 2) -> DataFrame:
     """Learn from all documents outside the fold, and score every row of ``docs``.
 
     Texts are lower-cased (A-Z) and split at ASCII white space, and one end token
     is added. ``base_score`` is the add-one score of the contract, ``score`` the
-    model's log10 probability of the text. A null or empty text is the end token
-    alone. Rows with equal or null ids count and are scored one by one, a null id
+    model's log10 probability of the text, by n-grams of up to ``order`` words. A null or
+    empty text is the end token alone; a text of any length is scored whole, in one
+    batch. Rows with equal or null ids count and are scored one by one, a null id
     as the empty id text. If nothing is learned every token is the unseen one. An empty table gives no
-    rows. Columns besides ``doc_id`` and ``text`` are ignored. Pairs of a count under
+    rows. Columns besides ``doc_id`` and ``text`` are ignored. N-grams of two words or more of a count under
     ``kept`` are left to the backoff; 1 keeps all.
     """
+    if order < 2:
+        raise ValueError("the order is two or more")
     keys = partition_keys(docs.sparkSession, wide(docs.sparkSession))
     coded = materialize(code(docs), "katz-batches")
-    model, table, _, answers = fit(coded, keys, kept)
-    words = materialize(word_answers(coded, table, keys), "katz-answers")
-    return evaluate(coded, answers, words, model, keys)
+    single = materialize(unigrams(coded), "katz-words")
+    model, salt = totals(single), free_salt(single)
+    state = materialize(first_state(coded, single, model, salt, keys), "katz-order-1").withColumn("salt", F.lit(salt))
+    discard(coded)
+    for k in range(2, order + 1):
+        found = materialize(grams(state, k, model, keys, kept), f"katz-grams-{k}", ("kind",))
+        hist = {r.p: r.c for r in found.where("kind = 'histogram'").groupBy("p").agg(F.sum("c").alias("c")).collect()}
+        factors = tuple(good_turing([hist.get(r, 0) for r in range(1, LOW + 2)], kept - 1))
+        table = materialize(weights(found, k, factors), f"katz-weights-{k}")
+        after, values = advance(state, found, table, k, factors, model, keys, k == order)
+        state = materialize(after, "katz-scores" if k == order else f"katz-order-{k}").withColumn("salt", F.lit(salt))
+        discard(values)
+    return state.drop("salt")

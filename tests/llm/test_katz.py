@@ -105,3 +105,59 @@ def test_query_keeps_pairs_seen_once(spark):
     assert got == pytest.approx({d: model.row(d, t)[6] for d, t in rows}, rel=1e-9)
     for a in ["<s>", *list(model.next)[:40], "never seen"]:
         assert sum(model.p(a, w) for w in model.c) + model.p(a, "\0unseen") == pytest.approx(1, abs=1e-9)
+
+
+@pytest.mark.parametrize("kept", [1, 2])
+def test_three_orders_equal_brute_force(spark, kept):
+    """Recursive, over dictionaries: each order's exact rest goes to the order below."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:60] + [(None, None), (3, "")]
+    base = Brute(rows)
+    train = [["<s>", "<s>", *tokens(t)] for d, t in rows if crc32(b"" if d is None else str(d).encode()) % 7 != 2]
+    follow, factors = {}, {}
+    for k in (2, 3):
+        grams = Counter(tuple(ws[i - k + 1 : i + 1]) for ws in train for i in range(2, len(ws)))
+        factors[k] = katz.good_turing([sum(v == r for v in grams.values()) for r in range(1, 7)], kept - 1)
+        for g, v in grams.items():
+            follow.setdefault(g[:-1], {})[g[-1]] = v
+    known = {}
+
+    def left(context):
+        if context not in known:
+            f, d = follow[context], factors[len(context) + 1]
+            h, keep = sum(f.values()), {w: v for w, v in f.items() if v >= kept}
+            share = sum(base.d(d, v) * v for v in keep.values()) / h
+            rest = max(1 - share, 1 / (h + 1)) if share else 1.0
+            known[context] = h, keep, share, rest, rest / (1 - sum(p(context[1:], w) for w in keep))
+        return known[context]
+
+    def p(context, w):
+        if not context:
+            return base.p1(w)
+        if context not in follow:
+            return p(context[1:], w)
+        h, keep, share, rest, backoff = left(context)
+        if w in keep:
+            return (1 - rest) / share * base.d(factors[len(context) + 1], keep[w]) * keep[w] / h
+        return backoff * p(context[1:], w)
+
+    def score(text):
+        ws = ["<s>", "<s>", *tokens(text)]
+        return sum(math.log10(p((ws[i - 2], ws[i - 1]), ws[i])) for i in range(2, len(ws)))
+
+    for context in list(follow)[:: len(follow) // 40]:
+        assert sum(p(context, w) for w in base.c) + p(context, "\0unseen") == pytest.approx(1, abs=1e-9)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.n_tokens, r.score) for r in katz.score(df, kept, 3).collect())
+    want = sorted((len(tokens(t)), score(t)) for _, t in rows)
+    assert [n for n, _ in got] == [n for n, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-9)
+
+
+def test_another_salt_where_two_words_share_an_id(spark, monkeypatch):
+    single = spark.createDataFrame([("a", 1), ("b", 2), ("c", 0)], "word string, c long")
+    assert katz.free_salt(single) == ""
+    from pyspark.sql import functions as F
+
+    own = katz.id_column
+    monkeypatch.setattr(katz, "id_column", lambda salt: own(salt) if salt else F.lit(7))
+    assert katz.free_salt(single) == "1"
+    assert katz.word_ids([b"a", "é".encode()], "1").view("int64").tolist() == [r[0] for r in spark.createDataFrame([("a",), ("é",)], "word string").select(own("1")).collect()]
