@@ -5,36 +5,41 @@ tables dealt to partitions; a text is scored token by token, from the longest n-
 count down to the word's. N-grams of few counts may be left to the backoff; the
 query keeps them all.
 
-Documents are first coded in batches: sorted words and a stream of word numbers. For
-each order a batch sends each of its distinct n-grams once to the partition that owns
-it, with the probability that the order below gives it, and gets the counts back in the
-same order. The owner sums what a context's continuations hold, so a context's weight
-needs no join of n-grams. What is exchanged grows with distinct n-grams per batch and
-not with tokens, and is numeric: a word is named by its XXH64, once that is shown to
-differ for all words of the corpus.
+Documents are first coded in batches, files of sorted words and a stream of word
+numbers. For each order a batch sends each of its distinct n-grams once to the partition
+that owns it, with the probability that the order below gives it, and gets the counts
+back in the same order, with what the owner knows of the contexts: so a context's weight
+needs no join of n-grams. Contexts that are too frequent for one partition are dealt to
+several, whose sums are added up. What is exchanged grows with distinct n-grams per batch
+and not with tokens, and words are exchanged once; from then on they have numbers.
 """
 
 from __future__ import annotations
 
-import uuid
+import posixpath
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import count
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, compressor, decompressor, discard, materialize, partition_keys, wide
+from .common import LOWER, compressor, decompressor, discard, materialize, new_path, partition_keys, wide
 
 #: The context before a text and the token after it; no word is empty or has a space.
 START, END = b"", b" "
+#: The number of START; words have smaller ones.
+START_ID = np.uint64((1 << 64) - 1)
 #: Bytes of text in a batch.
-BATCH = 20 << 20
+BATCH = 10 << 20
 #: Counts up to this are discounted; pairs need this count to be kept, unless the caller says otherwise.
 LOW, KEPT = 5, 2
 #: A context with this share of a partition's tokens has its continuations dealt to more partitions.
@@ -68,23 +73,13 @@ def expand_words(blob: bytes) -> list[bytes]:
     return expand(blob).split(b"\n")
 
 
-def word_ids(words: list[bytes], salt: str) -> np.ndarray:
-    """XXH64 of each word after ``salt``, as Spark's ``xxhash64`` gives it."""
-    first = salt.encode()
-    return np.fromiter((xxhash.xxh64_intdigest(first + w, 42) for w in words), dtype=np.uint64, count=len(words))
-
-
-def mix(columns: list[np.ndarray]) -> np.ndarray:
-    """One number of each row of word ids; a single id is its own."""
-    out = columns[0]
-    for c in columns[1:]:
-        out = (out ^ out >> np.uint64(31)) * MULTIPLIER + c
-    return out
-
-
-def owners(number: np.ndarray, n: int) -> np.ndarray:
-    """Spark's ``pmod`` of the number as a signed one."""
-    return np.mod(number.view(np.int64), n)
+def owners(columns: list[np.ndarray], n: int) -> np.ndarray:
+    """Which of ``n`` partitions each row of word numbers belongs to."""
+    out = np.full(len(columns[0]), 7, dtype=np.uint64)
+    for c in columns:
+        out = (out ^ c) * MULTIPLIER
+        out ^= out >> np.uint64(29)
+    return (out % np.uint64(n)).astype(np.int64)
 
 
 def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,13 +91,20 @@ def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-CODED = "batch string, doc_ids array<bigint>, held array<boolean>, sizes array<int>, words binary, learned binary, ids binary"
+CODED = "doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, learned binary, ids binary"
 
 
-def code(docs: DataFrame) -> DataFrame:
-    """Batches of documents: ids, fold, tokens per document, sorted words, their counts outside the fold, and the tokens as word numbers."""
+def code(docs: DataFrame, uri: str) -> DataFrame:
+    """``(batch, path)`` of files in the shared folder ``uri``, a batch of documents each.
+
+    A file has ids, fold, tokens per document, sorted words, their counts outside the fold, and the
+    tokens as word numbers. Names have the task's attempt, so one that runs again writes other files.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(uri)
+        name, made = f"{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}", 0
+
         def fresh() -> tuple:
             return defaultdict(count().__next__, {}), [], []
 
@@ -110,6 +112,7 @@ def code(docs: DataFrame) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
+            nonlocal made
             words = sorted(place)
             rank = np.empty(len(words), dtype=np.int32)
             rank[np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))] = np.arange(len(words), dtype=np.int32)
@@ -117,9 +120,12 @@ def code(docs: DataFrame) -> DataFrame:
             held = np.array([h for _, h in docs])
             sizes = np.array([len(s) for s in streams], dtype=np.int32)
             learned = np.bincount(ids[np.repeat(~held, sizes)], minlength=len(words)).astype(np.int32)
-            row = (uuid.uuid4().hex, [d for d, _ in docs], held.tolist(), sizes, squeeze_words(words), squeeze(learned), squeeze(ids))
-            kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
-            return pa.record_batch([pa.array([v], type=k) for v, k in zip(row, kinds)], names=[f.split()[0] for f in CODED.split(", ")])
+            row = _batch(CODED, doc_ids=[[d for d, _ in docs]], held=[held.tolist()], sizes=[sizes], words=[squeeze_words(words)], learned=[squeeze(learned)], ids=[squeeze(ids)])
+            path = posixpath.join(root, f"{name}-{made}.arrow")
+            with store.open_output_stream(path) as out, pa.ipc.new_file(out, row.schema) as file:
+                file.write_batch(row)
+            made += 1
+            return _batch("batch string, path string", batch=[f"{name}-{made - 1}"], path=[path])
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -138,8 +144,9 @@ def code(docs: DataFrame) -> DataFrame:
         if docs:
             yield flush()
 
+    fs.FileSystem.from_uri(uri)[0].create_dir(fs.FileSystem.from_uri(uri)[1], recursive=True)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
-    return rows.mapInArrow(run, CODED)
+    return rows.mapInArrow(run, "batch string, path string")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -157,30 +164,88 @@ def _batch(schema: str, **given) -> pa.RecordBatch:
     return pa.record_batch([pa.array(given[k], kinds[t]) if k in given else pa.nulls(rows, kinds[t]) for k, t in fields], names=[k for k, _ in fields])
 
 
-def unigrams(coded: DataFrame) -> DataFrame:
-    """``(word, c)`` of all words, with their counts among the tokens that are learned from."""
+def _blob_rows(b: pa.RecordBatch) -> Iterator[tuple[int, str, bytes]]:
+    for p, batch, blob in zip(*(b.column(i) for i in range(3))):
+        yield p.as_py(), batch.as_py(), blob.as_py()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _sent(batch: str, blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return _batch(SENT, p=[k for k, _ in blobs], batch=[batch] * len(blobs), blob=[x for _, x in blobs])
+
+
+SENT = "p int, batch string, blob binary"
+WORDS = "kind string, batch string, p int, blob binary, word string, id long, c long"
+
+
+def word_owners(words: list[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(crc32, words), dtype=np.int64, count=len(words)) % n
+
+
+def count_words(coded: DataFrame, uri: str, keys: list[int]) -> DataFrame:
+    """Number and count the words. Two kinds of rows: ``word`` with its ``id`` and its count ``c`` among the tokens that
+    are learned from; ``answer``, ids and counts of the words that a batch sent, in order."""
+    n = len(keys)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
-            c = unpack(r["learned"], np.int32)
-            words = [w.decode() for w in expand_words(r["words"])]
-            for lo in range(0, len(words), 100_000):
-                yield pa.record_batch([pa.array(words[lo : lo + 100_000], pa.string()), pa.array(c[lo : lo + 100_000].astype(np.int64))], names=["word", "c"])
+            r |= load(uri, r["path"])
+            words, learned = expand_words(r["words"]), unpack(r["learned"], np.int32)
+            order, cut = _by_owner(word_owners(words, n), n)
+            out = []
+            for k in range(n):
+                at = order[cut[k] : cut[k + 1]]
+                if len(at):
+                    out.append((keys[k], compressor(3).compress(np.int64(len(at)).tobytes() + learned[at].tobytes() + b"\n".join([words[i] for i in at.tolist()]))))
+            yield _sent(r["batch"], out)
+
+    def settle(p: int, blobs: list[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+        place: dict[bytes, int] = defaultdict(count().__next__)
+        asked, counts = [], []
+        for _, blob in blobs:
+            raw = expand(blob)
+            m = int(np.frombuffer(raw, np.int64, 1)[0])
+            counts.append(np.frombuffer(raw, np.int32, m, 8))
+            asked.append(np.fromiter(map(place.__getitem__, raw[8 + 4 * m :].split(b"\n")), dtype=np.int64, count=m))
+        total = np.bincount(np.concatenate(asked), weights=np.concatenate(counts), minlength=len(place)).astype(np.int64)
+        first = keys.index(p) << 40
+        for (batch, _), at in zip(blobs, asked):
+            yield _batch(WORDS, kind=["answer"], batch=[batch], p=[p], blob=[squeeze(at + first, total[at])])
+        words = [w.decode() for w in place]
+        for lo in range(0, len(words), 100_000):
+            hi = min(lo + 100_000, len(words))
+            yield _batch(WORDS, kind=["word"] * (hi - lo), word=words[lo:hi], id=np.arange(first + lo, first + hi), c=total[lo:hi])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _settled(batches, settle)
+
+    return coded.mapInArrow(send, SENT).repartition(n, "p").sortWithinPartitions("p").mapInArrow(run, WORDS)
 
-    return coded.select("words", "learned").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+def _settled(batches: Iterator[pa.RecordBatch], settle: Callable[[int, list[tuple[str, bytes]]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Give ``settle`` the blobs of each partition number."""
+    now, held = None, []
+    for b in batches:
+        for p, batch, blob in _blob_rows(b):
+            if p != now and held:
+                yield from settle(now, held)
+                held = []
+            now = p
+            held.append((batch, blob))
+    if held:
+        yield from settle(now, held)
 
 
-def id_column(salt: str) -> F.Column:
-    return F.xxhash64(F.concat(F.lit(salt), F.col("word")))
+def _by_owner(p: np.ndarray, n: int) -> tuple[np.ndarray, list[int]]:
+    """Rows in order of their partitions, and where each begins."""
+    small = p.astype(np.uint16) if n <= 1 << 16 else p
+    order = np.argsort(small, kind="stable")
+    return order, np.searchsorted(small[order], np.arange(n + 1)).tolist()
 
 
-def free_salt(single: DataFrame) -> str:
-    """A salt under which no two words have the same id: the first try, but once in 10^5 corpora of 10^7 words."""
-    for i in range(100):
-        salt = str(i) if i else ""
-        if single.groupBy(id_column(salt).alias("id")).count().where("count > 1").isEmpty():
-            return salt
-    raise ValueError("no salt gives all words different ids")
+def load(uri: str, path: str) -> dict:
+    """The row of a batch's file."""
+    with fs.FileSystem.from_uri(uri)[0].open_input_file(path) as source:
+        return pa.ipc.open_file(source).get_batch(0).to_pylist()[0]
 
 
 def good_turing(n: list[int], dropped: int = 0) -> list[float]:
@@ -232,6 +297,7 @@ def discount(c: np.ndarray, factors: tuple[float, ...]) -> np.ndarray:
 
 
 def totals(single: DataFrame) -> Model:
+    """The totals of words ``word, c``."""
     cols = [F.count_if(F.col("c") > 0).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *(F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, LOW + 2)), F.coalesce(F.sum(F.when(F.col("word") == END.decode(), F.col("c"))), F.lit(0)).alias("docs")]
     row = single.agg(*cols).first()
     small = [row[f"n{r}"] for r in range(1, LOW + 2)]
@@ -241,327 +307,222 @@ def totals(single: DataFrame) -> Model:
     return Model(row["n"], row["v"], row["docs"], tuple(factors), unseen, row["n"] - saved)
 
 
-# --- questions of batches to tables ---------------------------------------------------------------
-
-
-def _ask(batch: str, columns: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
-    """One row per partition that owns some of the rows of word ids."""
-    p = owners(mix(columns), len(keys))
-    order = np.argsort(p, kind="stable")
-    cut = np.searchsorted(p[order], np.arange(len(keys) + 1)).tolist()
-    out = [(keys[k], squeeze(*(c[order[cut[k] : cut[k + 1]]] for c in columns))) for k in range(len(keys)) if cut[k] < cut[k + 1]]
-    return pa.record_batch([pa.array([k for k, _ in out], pa.int32()), pa.array([batch] * len(out)), pa.array([x for _, x in out], pa.binary())], names=["p", "batch", "blob"])
-
-
-def _in_place(parts: list[tuple[int, bytes]], columns: list[np.ndarray], keys: list[int], width: int) -> np.ndarray:
-    """The answers to ``_ask``, in order of its rows: ``width`` numbers each."""
-    place = {k: i for i, k in enumerate(keys)}
-    p = owners(mix(columns), len(keys))
-    out = np.empty((width, len(p)))
-    got = [unpack(blob, np.float64).reshape(width, -1) for _, blob in sorted(parts, key=lambda x: place[x[0]])]
-    out[:, np.argsort(p, kind="stable")] = np.concatenate(got, axis=1) if got else 0
-    return out
-
-
-def answered(asked: DataFrame, table: DataFrame, width: int, default: tuple[float, ...]) -> DataFrame:
-    """``(batch, p, blob)``: the table's numbers for what was asked, in order; ``default`` for rows that it lacks.
-
-    ``table`` has ``p``, ids ``g0`` to ``g<width - 1>`` and doubles named ``v0`` on. Its rows of a
-    partition are held in memory; questions are looked up together, many at a time.
-    """
-    ids, values = [f"g{i}" for i in range(width)], [f"v{i}" for i in range(len(default))]
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, known = None, [], []
-        questions: list[tuple[str, list[np.ndarray]]] = []
-        waiting = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal questions, waiting, known
-            if not questions:
-                return
-            if len(held) > 1:
-                held[:] = [[np.concatenate(c) for c in zip(*held)]]
-            rows = held[0] if held else [np.zeros(0, np.uint64)] * width + [np.zeros(0)] * len(values)
-            n = len(rows[0])
-            order, new = distinct([np.concatenate([rows[i], *(q[1][i] for q in questions)]) for i in range(width)])
-            first = order[np.flatnonzero(new)]  # the sort is stable: a row of the table comes before what asks for it
-            found = np.empty(len(order), dtype=np.int64)
-            found[order] = first[np.cumsum(new) - 1]
-            at = n
-            for batch, columns in questions:
-                mine = found[at : at + len(columns[0])]
-                at += len(columns[0])
-                out = [np.where(mine < n, np.append(v, d)[np.minimum(mine, n)], d) for v, d in zip(rows[width:], default)]
-                yield _batch("batch string, p int, blob binary", batch=[batch], p=[now], blob=[squeeze(*out)])
-            questions, waiting = [], 0
-
-        for b in batches:
-            p, names = b.column(0).to_numpy(), b.column(1)
-            for lo, hi in _runs(p):
-                if p[lo] != now:
-                    yield from flush()
-                    now, held = int(p[lo]), []
-                part = b.slice(lo, hi - lo)
-                n = part.num_rows - part.column(2).null_count  # rows of the table come first and have no blob
-                table_rows = part.slice(0, part.num_rows - n)
-                if table_rows.num_rows:
-                    held.append([table_rows.column(3 + i).to_numpy().view(np.uint64) for i in range(width)] + [table_rows.column(3 + width + i).to_numpy() for i in range(len(values))])
-                for i in range(part.num_rows - n, part.num_rows):
-                    raw = unpack(part.column(2)[i].as_py(), np.uint64).reshape(width, -1)
-                    questions.append((part.column(1)[i].as_py(), list(raw)))
-                    waiting += raw.shape[1]
-                    if waiting > max(1 << 18, sum(len(h[0]) for h in held)):
-                        yield from flush()
-        yield from flush()
-
-    blank = [F.lit(None).cast(t).alias(c) for c, t in [*((c, "long") for c in ids), *((c, "double") for c in values)]]
-    rows = table.select("p", F.lit("").alias("batch"), F.lit(None).cast("binary").alias("blob"), *ids, *values)
-    rows = rows.unionAll(asked.select("p", "batch", "blob", *blank))
-    return rows.repartition(wide(table.sparkSession), "p").sortWithinPartitions("p", "batch").mapInArrow(answer, "batch string, p int, blob binary")
-
-
-def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Where runs of equal values begin and end."""
-    if len(x):
-        cut = (np.flatnonzero(x[1:] != x[:-1]) + 1).tolist()
-        yield from zip([0, *cut], [*cut, len(x)])
-
-
-# --- batches with the probabilities of an order ---------------------------------------------------
-
-#: A batch's documents with tokens, known tokens and base score; word numbers, ids of words; and of the last order that
-#: is done: the number of the n-gram that ends at each token, n-grams' counts and probabilities.
-STATE = "batch string, doc_ids array<long>, held array<boolean>, sizes array<int>, known array<long>, base array<double>, ids binary, words binary, gram binary, counts binary, probs binary"
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+# --- the orders of a batch ------------------------------------------------------------------------
 
 
 class Batch:
-    """A row of ``STATE`` as arrays."""
-
-    def __init__(self, r: dict):
-        self.row, self.sizes = r, np.array(r["sizes"], dtype=np.int64)
-        self.ids = unpack(r["ids"], np.int32).astype(np.int64)
-        self.words = unpack(r["words"], np.uint64)
-        self.gram = unpack(r["gram"], np.int32).astype(np.int64) if r["gram"] is not None else self.ids
-        self.counts, self.probs = unpack(r["counts"], np.int64), unpack(r["probs"], np.float64)
-        starts = np.cumsum(self.sizes) - self.sizes
-        self.inside = np.arange(len(self.ids)) - np.repeat(starts, self.sizes)
-        self.starts = starts
+    """A batch's tokens, and for the last order that is done the n-gram that ends at each of them, with counts and probabilities."""
+
+    def __init__(self, r: dict, parts: list[tuple[int, bytes]], model: Model, keys: list[int]):
+        self.row, self.model, self.keys, self.order = r, model, keys, 1
+        self.place = {k: i for i, k in enumerate(keys)}
+        self.sizes = np.array(r["sizes"], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = unpack(r["ids"], np.int32)
         self.learned = np.repeat(~np.array(r["held"], dtype=bool), self.sizes)
-        self.context = np.r_[0, self.gram[:-1] + 1]
-        self.context[starts] = 0  # the n-gram before each token, numbered from 1; 0 is the start of a text
-
-    def columns(self, at: np.ndarray, first: int, last: int, start: np.uint64) -> list[np.ndarray]:
-        """Ids of the words ``first`` to ``last`` places before the tokens ``at``; ``start`` before a text."""
+        by, _ = _by_owner(word_owners(expand_words(r["words"]), len(keys)), len(keys))
+        self.words, self.counts = np.empty(len(by), dtype=np.uint64), np.empty(len(by), dtype=np.int64)
+        got = [unpack(blob, np.int64).reshape(2, -1) for blob in self._in_order(parts)]
+        self.words[by], self.counts[by] = np.concatenate(got, axis=1)
+        self.known = self.counts > 0
+        self.base = np.log10((self.counts + 1) / (model.n + model.v + 1))
+        self.gram, self.probs = self.ids, model.word(self.counts)
+        self.deal()
+
+    def _in_order(self, parts: list[tuple[int, bytes]]) -> list[bytes]:
+        return [blob for _, blob in sorted(parts, key=lambda x: self.place[x[0]])]
+
+    def _columns(self, at: np.ndarray, first: int, last: int) -> list[np.ndarray]:
+        """Numbers of the words ``first`` to ``last`` places before the tokens ``at``; START before a text."""
+        inside = at - self.starts[np.searchsorted(self.starts, at, side="right") - 1]
+        return [np.where(inside >= back, self.words[self.ids[np.maximum(at - back, 0)]], START_ID) for back in range(first, last - 1, -1)]
+
+    def deal(self) -> None:
+        """The n-grams of the next order: where one ends, its ids, its partition, and the runs of n-grams with one context there.
+
+        A partition gets n-grams by context, and by word too as far as the context's
+        count asks for more than one partition.
+        """
+        n, k = len(self.keys), self.order
+        context = np.empty(len(self.gram), dtype=np.int64)  # the n-gram before each token, from 1; 0 is the start of a text
+        context[1:] = self.gram[:-1]
+        context[1:] += 1
+        context[self.starts] = 0
+        both, end, number = np.unique(context << 32 | self.ids, return_index=True, return_inverse=True)
+        before = both >> 32
+        columns = self._columns(end, k, 0)
+        size = np.where(before > 0, self.counts[np.maximum(before - 1, 0)], self.model.docs)
+        spread = 1 + np.minimum(n - 1, (size * (n / SHARE) / max(self.model.n, 1)).astype(np.int64))
+        p = (owners(columns[:-1], n) + owners(columns[-1:], 1 << 30) % spread) % n
+        by, self.cut = _by_owner(p, n)
+        self.end, self.split, p, before = end[by], spread[by] > 1, p[by], before[by]
+        self.columns = [c[by] for c in columns]
+        self.new = np.r_[True, (p[1:] != p[:-1]) | (before[1:] != before[:-1])]
+        self.lower, self.number = self.gram[self.end], np.empty(len(by), dtype=np.int64)
+        self.number[by] = np.arange(len(by))
+        self.number = self.number[number]  # each token's n-gram
+
+    def sent(self) -> list[tuple[int, bytes]]:
+        """A blob for each partition that owns n-grams of the next order."""
+        counts = np.bincount(self.number[self.learned], minlength=len(self.end)).astype(np.int32)
+        lower = np.where(counts > 0, self.probs[self.lower], 0.0)
         out = []
-        for back in range(first, last - 1, -1):
-            there = self.inside[at] >= back
-            out.append(np.where(there, self.words[self.ids[np.where(there, at - back, 0)]], start))
+        for k, (lo, hi) in enumerate(zip(self.cut, self.cut[1:])):
+            if lo < hi:
+                new = np.flatnonzero(self.new[lo:hi])
+                repeat = np.diff(np.r_[new, hi - lo]).astype(np.int32)
+                values, code = np.unique(lower[lo:hi], return_inverse=True)
+                head = np.array([len(new), hi - lo, len(values)], dtype=np.int64)
+                heads = [c[lo:hi][new] for c in self.columns[:-1]]
+                out.append((self.keys[k], squeeze(head, values, *heads, self.columns[-1][lo:hi], repeat, counts[lo:hi], code.astype(np.uint32), self.split[lo:hi][new])))
         return out
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of the next order: a token at which each distinct n-gram ends, and each token's number of its n-gram."""
-        _, at, number = np.unique(self.context << 32 | self.ids, return_index=True, return_inverse=True)
-        return at, number
-
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """A token after each distinct context, and each token's number of its context."""
-        _, at, number = np.unique(self.context, return_index=True, return_inverse=True)
-        return at, number
-
-
-def _joined(state: DataFrame, parts: dict[str, DataFrame], fields: str, run: Callable[[dict, dict], pa.RecordBatch], out: str) -> DataFrame:
-    """Bring each batch together with its answers; ``run`` gets the row and, by kind, ``(p, blob)`` parts, and makes rows of ``out``."""
-    names, kinds = [f.split()[0] for f in fields.split(", ") if not f.startswith("batch ")], list(parts)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
-        for r in _rows(batches):
-            if r["batch"] != now:
-                now, held = r["batch"], {k: [] for k in kinds}
-            if r["kind"] in held:
-                held[r["kind"]].append((r["p"], r["blob"]))
-            else:  # the text sorts after the answers
-                yield run(r, held)
-
-    rows = state.select("batch", F.lit("~").alias("kind"), F.lit(None).cast("int").alias("p"), F.lit(None).cast("binary").alias("blob"), *names)
-    for kind, x in parts.items():
-        rows = rows.unionAll(x.select("batch", F.lit(kind), "p", "blob", *(F.lit(None).cast(state.schema[c].dataType).alias(c) for c in names)))
-    return rows.repartition(wide(state.sparkSession), "batch").sortWithinPartitions("batch", "kind").mapInArrow(meet, out)
-
-
-def first_state(coded: DataFrame, single: DataFrame, model: Model, salt: str, keys: list[int]) -> DataFrame:
-    """Batches with counts and probabilities of words, and the base score."""
-    n = len(keys)
+    def climb(self, parts: list[tuple[int, bytes]], table: tuple[list[np.ndarray], np.ndarray], factors: tuple[float, ...]) -> None:
+        """Go to the next order, by the answers to what was sent and the ``table`` of split contexts."""
+        counts, stats = [], []
+        for blob in self._in_order(parts):
+            raw = expand(blob)
+            m = int(np.frombuffer(raw, np.int64, 1)[0])
+            stats.append(np.frombuffer(raw, np.float64, len(STATS) * m, 8).reshape(len(STATS), m))
+            counts.append(np.frombuffer(raw, np.int64, -1, 8 + 8 * len(STATS) * m))
+        counts, stats = np.concatenate(counts), np.concatenate(stats, axis=1)
+        ids, known = table
+        at = np.flatnonzero(self.new & self.split)
+        if len(at) and len(known[0]):
+            by, new = distinct([np.concatenate([c, d[at]]) for c, d in zip(ids, self.columns)])
+            head = np.empty(len(by), dtype=np.int64)  # the sort is stable: a row of the table comes before the contexts that are it
+            head[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+            head = head[len(ids[0]) :]
+            found = head < len(ids[0])
+            stats[:, (np.cumsum(self.new)[at] - 1)[found]] = known[:, head[found]]
+        rate, backoff = weigh(dict(zip(STATS, stats)), factors)
+        own = np.cumsum(self.new) - 1
+        self.probs = np.where(counts > 0, rate[own] * discount(counts, factors), backoff[own] * self.probs[self.lower])
+        self.counts, self.gram, self.order = counts, self.number, self.order + 1
+
+
+#: What is known of a context: its occurrences, its kept n-grams of counts 1 to LOW, the counts of the more frequent ones,
+#: and what the order below gives to them.
+STATS = ("c", *(f"n{r}" for r in range(1, LOW + 1)), "more", "alone")
+
+
+def weigh(x: dict[str, np.ndarray], factors: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """What a unit of a discounted count is worth in a context, and the backoff weight.
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            yield _ask(r["batch"], [word_ids(expand_words(r["words"]), salt)], keys)
-
-    p = F.get(F.array(*map(F.lit, keys)), F.pmod(id_column(salt), F.lit(n)).cast("int"))
-    table = single.where("c > 0").select(p.alias("p"), id_column(salt).alias("g0"), F.col("c").cast("double").alias("v0"))
-    counts = answered(coded.select("batch", "words").mapInArrow(ask, "p int, batch string, blob binary"), table, 1, (0.0,))
+    An n-gram's probability is ``scale * d * c / c(context)``; what all kept n-grams
+    of a context leave, at least 1 / (c(context) + 1), goes to ``backoff`` times the
+    probability under the shorter context, which sums to exactly the rest.
+    """
+    c = np.maximum(x["c"], 1)
+    share = (sum(r * d * x[f"n{r}"] for r, d in enumerate(factors, 1)) + x["more"]) / c
+    left = np.where(share > 0, np.maximum(1 - share, 1 / (c + 1)), 1.0)
+    return np.where(share > 0, (1 - left) / np.where(share > 0, share, 1), 1.0) / c, left / (1 - x["alone"])
 
-    def run(r: dict, parts: dict) -> pa.RecordBatch:
-        words = word_ids(expand_words(r["words"]), salt)
-        c = _in_place(parts["count"], [words], keys, 1)[0].astype(np.int64)
-        ids, sizes = unpack(r["ids"], np.int32), np.array(r["sizes"], dtype=np.int64)
-        starts = np.cumsum(sizes) - sizes
-        base = np.log10((c + 1) / (model.n + model.v + 1))
-        return _batch(STATE, batch=[r["batch"]], doc_ids=[r["doc_ids"]], held=[r["held"]], sizes=[r["sizes"]], known=[np.add.reduceat((c > 0)[ids].astype(np.int64), starts)], base=[np.add.reduceat(base[ids], starts)], ids=[r["ids"]], words=[squeeze(words)], counts=[squeeze(c)], probs=[squeeze(model.word(c))])
 
-    fields = "doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, ids binary"
-    return _joined(coded, {"count": counts}, fields, run, STATE)
+def weights(found: DataFrame, order: int, factors: tuple[float, ...]) -> DataFrame:
+    """The table of contexts: ids ``g0`` on, STATS, ``unit`` and ``backoff`` as ``weigh`` gives them, and whether it is ``split``."""
+    ids = [f"g{i}" for i in range(order - 1)]
+    rows = found.where("kind in ('context', 'part')").select("kind", *ids, *STATS)
+    parts = rows.where("kind = 'part'").groupBy(*ids).agg(*(F.sum(c).alias(c) for c in STATS))
+    rows = rows.where("kind = 'context'").drop("kind").withColumn("split", F.lit(False)).unionByName(parts.withColumn("split", F.lit(True)))
+    share = sum((F.col(f"n{r}") * F.lit(r * d) for r, d in enumerate(factors, 1)), F.col("more")) / F.col("c")
+    left = F.when(F.col("share") > 0, F.greatest(1 - F.col("share"), 1.0 / (F.col("c") + 1))).otherwise(1.0)
+    rows = rows.withColumn("share", share).withColumn("left", left)
+    unit = F.when(F.col("share") > 0, (1 - F.col("left")) / F.col("share")).otherwise(1.0) / F.col("c")
+    return rows.select(*ids, *STATS, "split", unit.alias("unit"), (F.col("left") / (1 - F.col("alone"))).alias("backoff"))
 
 
 def found_schema(order: int) -> str:
     ids = "".join(f"g{i} long, " for i in range(order))
-    return f"kind string, batch string, p int, blob binary, {ids}c long, " + "".join(f"n{r} long, " for r in range(1, LOW + 1)) + "more long, alone double"
+    return f"kind string, batch string, p int, blob binary, {ids}count long, " + ", ".join(f"{k} double" for k in STATS)
 
 
-def grams(state: DataFrame, order: int, model: Model, keys: list[int], kept: int) -> DataFrame:
-    """Count the n-grams of an order. Four kinds of rows:
+def count_grams(batches_of: DataFrame, pass_over: Callable, order: int, keys: list[int], kept: int) -> DataFrame:
+    """Count the n-grams of an order. Five kinds of rows:
 
-    ``gram``: ids and count ``c`` of each n-gram of count ``kept`` or more; ``answer``: the counts that
-    a batch asked for; ``context``: a partition's part of a context's occurrences ``c``, of its kept n-grams
-    of counts 1 to LOW and the counts of the ``more`` frequent ones, and of what the order below gives to
-    them ``alone``; ``histogram``: in ``c``, how many n-grams a partition has of count ``p``, 1 to LOW + 1.
+    ``gram``: ids and ``count`` of each n-gram of count ``kept`` or more; ``context``: STATS of a context;
+    ``part``: a partition's part of a split one; ``answer``: STATS of contexts and counts of n-grams that a
+    batch sent, in order; ``histogram``: how many n-grams a partition has of count ``p``, 1 to LOW + 1.
     """
     n, schema = len(keys), found_schema(order)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            b = Batch(r)
-            start = word_ids([START], r["salt"])[0]
-            at, number = b.grams()
-            counts = np.bincount(number[b.learned], minlength=len(at)).astype(np.int32)
-            lower = np.where(counts > 0, b.probs[b.gram[at]], 0.0)
-            columns = b.columns(at, order - 1, 0, start)
-            p = _dealt(b, at, columns, model, n)
-            order_ = np.lexsort([*columns[::-1], p])
-            cut = np.searchsorted(p[order_], np.arange(n + 1)).tolist()
-            out = []
-            for k in range(n):
-                i = order_[cut[k] : cut[k + 1]]
-                if len(i):
-                    mine = [c[i] for c in columns]
-                    new = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in mine[:-1]])])
-                    repeat = np.diff(np.r_[new, len(i)]).astype(np.int32)
-                    out.append((keys[k], squeeze(np.array([len(new), len(i)]), *(c[new] for c in mine[:-1]), repeat, counts[i], mine[-1], lower[i])))
-            yield pa.record_batch([pa.array([k for k, _ in out], pa.int32()), pa.array([r["batch"]] * len(out)), pa.array([x for _, x in out], pa.binary())], names=["p", "batch", "blob"])
-
-    def opened(blob: bytes) -> list[np.ndarray]:
-        """Columns of ids, counts and lower probabilities of a blob."""
+    def opened(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of n-grams: columns of ids, counts and lower probabilities; of runs: first n-gram and whether it is of a split context."""
         raw = expand(blob)
-        m, total = np.frombuffer(raw, np.int64, 2).tolist()
-        at = 16
-        contexts = np.frombuffer(raw, np.uint64, (order - 1) * m, at).reshape(order - 1, m)
-        at += 8 * (order - 1) * m
-        repeat, counts = np.frombuffer(raw, np.int32, m, at), np.frombuffer(raw, np.int32, total, at + 4 * m)
-        at += 4 * m + 4 * total
-        last, lower = np.frombuffer(raw, np.uint64, total, at), np.frombuffer(raw, np.float64, total, at + 8 * total)
-        return [*(np.repeat(c, repeat) for c in contexts), last, counts, lower]
-
-    def settle(p: int, names: list[str], blobs: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        *columns, counts, lower = (np.concatenate(c) for c in zip(*blobs))
-        order_, new = distinct(columns)
+        m, total, v = np.frombuffer(raw, np.int64, 3).tolist()
+        at = 24
+
+        def take(kind: type, size: int) -> np.ndarray:
+            nonlocal at
+            at += size * np.dtype(kind).itemsize
+            return np.frombuffer(raw, kind, size, at - size * np.dtype(kind).itemsize)
+
+        values, *heads = take(np.float64, v), *(take(np.uint64, m) for _ in range(order - 1))
+        last, repeat, counts, code, split = take(np.uint64, total), take(np.int32, m), take(np.int32, total), take(np.uint32, total), take(np.bool_, m)
+        return [*(np.repeat(c, repeat) for c in heads), last, counts, values[code]], [np.cumsum(repeat) - repeat, split]
+
+    def settle(p: int, blobs: list[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+        rows, runs = zip(*(opened(blob) for _, blob in blobs))
+        *columns, counts, lower = (np.concatenate(c) for c in zip(*rows))
+        sizes = [len(x[0]) for x in rows]
+        del rows
+        by, new = distinct(columns)
         first = np.flatnonzero(new)
-        total = np.add.reduceat(counts[order_].astype(np.int64), first)
-        lower = np.maximum.reduceat(lower[order_], first)
-        columns = [c[order_[first]] for c in columns]
-        back = np.empty(len(order_), dtype=np.int64)
-        back[order_] = np.cumsum(new) - 1
-        yield _batch(schema, kind=["histogram"] * (LOW + 1), p=range(1, LOW + 2), c=np.bincount(np.minimum(total, LOW + 2), minlength=LOW + 3)[1 : LOW + 2])
-        answers = np.where(total >= kept, total, 0)[back]
-        at = 0
-        for batch, blob in zip(names, blobs):
-            size = len(blob[0])
-            yield _batch(schema, kind=["answer"], batch=[batch], p=[p], blob=[squeeze(answers[at : at + size])])
+        total = np.add.reduceat(counts[by].astype(np.int64), first)
+        lower = np.maximum.reduceat(lower[by], first)
+        columns = [c[by[first]] for c in columns]
+        back = np.empty(len(by), dtype=np.int64)  # of each n-gram that was sent, its place among the distinct ones
+        back[by] = np.cumsum(new) - 1
+        yield _batch(schema, kind=["histogram"] * (LOW + 1), p=range(1, LOW + 2), count=np.bincount(np.minimum(total, LOW + 2), minlength=LOW + 3)[1 : LOW + 2])
+        keep = (total >= kept) & (total > 0)
+        starts = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:-1]])]
+        context, contexts = np.cumsum(starts) - 1, np.flatnonzero(starts)
+        sums = lambda x: np.add.reduceat(x, contexts).astype(np.float64)
+        stats = {"c": sums(total)} | {f"n{r}": sums(((total == r) & keep).astype(np.int64)) for r in range(1, LOW + 1)}
+        stats |= {"more": sums(np.where((total > LOW) & keep, total, 0)), "alone": sums(np.where(keep, lower, 0.0))}
+        split, at = np.zeros(len(contexts), dtype=bool), 0
+        for (batch, _), (heads, flags), size in zip(blobs, runs, sizes):
+            mine = back[at : at + size]
+            of = context[mine[heads]]
+            split[of] = flags
+            yield _batch(schema, kind=["answer"], batch=[batch], p=[p], blob=[squeeze(np.int64(len(of)), *(stats[k][of] for k in STATS), np.where(keep, total, 0)[mine])])
             at += size
-        contexts = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:-1]])])
-        keep = total >= kept
-        sums = lambda x: np.add.reduceat(x, contexts)
-        stats = {f"n{r}": sums(((total == r) & keep).astype(np.int64)) for r in range(1, LOW + 1)}
-        stats |= {"c": sums(total), "more": sums(np.where((total > LOW) & keep, total, 0)), "alone": sums(np.where(keep & (total > 0), lower, 0.0))}
-        heads = [c[contexts] for c in columns[:-1]]
-        owner = np.array(keys)[owners(mix(heads), n)]
-        seen = np.flatnonzero(stats["c"])
-        for part in np.array_split(seen, 1 + len(seen) // 100_000):
-            ids = {f"g{i}": c[part].view(np.int64) for i, c in enumerate(heads)}
-            yield _batch(schema, kind=["context"] * len(part), p=owner[part].astype(np.int32), **ids, **{k: v[part] for k, v in stats.items()})
-        some = np.flatnonzero(keep & (total > 0))
+        heads = [c[contexts].view(np.int64) for c in columns[:-1]]
+        for kind in (False, True):
+            some = np.flatnonzero((split == kind) & (stats["c"] > 0))
+            for part in np.array_split(some, 1 + len(some) // 100_000):
+                yield _batch(schema, kind=["part" if kind else "context"] * len(part), **{f"g{i}": c[part] for i, c in enumerate(heads)}, **{k: v[part] for k, v in stats.items()})
+        some = np.flatnonzero(keep)
         for part in np.array_split(some, 1 + len(some) // 100_000):
-            yield _batch(schema, kind=["gram"] * len(part), c=total[part], **{f"g{i}": c[part].view(np.int64) for i, c in enumerate(columns)})
-
-    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, held = None, [], []
-        for b in batches:
-            for p, batch, blob in zip(*(b.column(i) for i in range(3))):
-                if (p := p.as_py()) != now and held:
-                    yield from settle(now, names, held)
-                    names, held = [], []
-                now = p
-                names.append(batch.as_py())
-                held.append(opened(blob.as_py()))
-        if held:
-            yield from settle(now, names, held)
-
-    sent = state.mapInArrow(send, "p int, batch string, blob binary")
-    return sent.repartition(n, "p").sortWithinPartitions("p").mapInArrow(count_grams, schema)
+            yield _batch(schema, kind=["gram"] * len(part), count=total[part], **{f"g{i}": c[part].view(np.int64) for i, c in enumerate(columns)})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _settled(batches, settle)
 
-def _dealt(b: Batch, at: np.ndarray, columns: list[np.ndarray], model: Model, n: int) -> np.ndarray:
-    """The partition of n-grams: by context, and by word too as far as the context's count asks for more than one."""
-    before = b.context[at]
-    size = np.where(before > 0, b.counts[np.maximum(before - 1, 0)], model.docs)
-    spread = 1 + np.minimum(n - 1, (size * (n / SHARE) / max(model.n, 1)).astype(np.int64))
-    return (owners(mix(columns[:-1]), n) + np.mod((columns[-1] >> np.uint64(16)).astype(np.int64), spread)) % n
+    sent = pass_over(lambda b: _sent(b.row["batch"], b.sent()), SENT)
+    return sent.repartition(n, "p").sortWithinPartitions("p").mapInArrow(run, schema)
 
 
-def weights(found: DataFrame, order: int, factors: tuple[float, ...]) -> DataFrame:
-    """``(p, g0..., v0, v1)`` of each context that is learned from: what a unit of a discounted count is worth, and the backoff weight.
+@lru_cache(maxsize=8)
+def split_contexts(path: str, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Ids and STATS of the split contexts of an order, from their small table.
 
-    An n-gram's probability is ``scale * d * c / c(context)``; what all kept n-grams
-    of a context leave, at least 1 / (c(context) + 1), goes to ``backoff`` times the
-    probability under the shorter context, which sums to exactly the rest.
+    A context is split if it has a share of all tokens of at least ``SHARE`` over the
+    number of partitions, so there are at most ``1 / SHARE`` for each partition.
     """
-    ids = [f"g{i}" for i in range(order - 1)]
-    sums = found.where("kind = 'context'").groupBy("p", *ids).agg(*(F.sum(c).alias(c) for c in ("c", *(f"n{r}" for r in range(1, LOW + 1)), "more", "alone")))
-    seen = sum((F.col(f"n{r}") * F.lit(r * d) for r, d in enumerate(factors, 1)), F.col("more").cast("double"))
-    share = F.col("seen") / F.col("c")
-    left = F.greatest(1 - share, F.when(F.col("seen") > 0, 1.0 / (F.col("c") + 1)).otherwise(1.0))
-    scale = F.when(share > 0, (1 - left) / share).otherwise(1.0)
-    return sums.withColumn("seen", seen).select("p", *ids, (scale / F.col("c")).alias("v0"), (left / (1 - F.col("alone"))).alias("v1"))
+    store, root = fs.FileSystem.from_uri(path)
+    x = pq.read_table(root, filesystem=store)
+    ids = [x[f"g{i}"].to_numpy().view(np.uint64) for i in range(width)]
+    return ids, np.array([x[k].to_numpy() for k in STATS])
 
 
-def advance(state: DataFrame, found: DataFrame, table: DataFrame, order: int, factors: tuple[float, ...], model: Model, keys: list[int], last: bool) -> tuple[DataFrame, DataFrame]:
-    """Batches with the probabilities of ``order``, or for the last one the scores of their documents; and a table behind them."""
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            b = Batch(r)
-            yield _ask(r["batch"], b.columns(b.contexts()[0], order - 1, 1, word_ids([START], r["salt"])[0]), keys)
-
-    def run(r: dict, parts: dict) -> pa.RecordBatch:
-        b, n, place = Batch(r), len(keys), {k: i for i, k in enumerate(keys)}
-        start = word_ids([START], r["salt"])[0]
-        at, number = b.contexts()
-        rate, backoff = _in_place(parts["context"], b.columns(at, order - 1, 1, start), keys, 2)
-        end, gram = b.grams()
-        columns = b.columns(end, order - 1, 0, start)
-        counts = np.empty(len(end), dtype=np.int64)
-        counts[np.lexsort([*columns[::-1], _dealt(b, end, columns, model, n)])] = np.concatenate([unpack(blob, np.int64) for _, blob in sorted(parts["count"], key=lambda x: place[x[0]])])
-        own = number[end]
-        probs = np.where(counts > 0, rate[own] * discount(counts, factors), backoff[own] * b.probs[b.gram[end]])
-        if last:
-            score = np.add.reduceat(np.log10(probs)[gram], b.starts)
-            return _batch(RESULT, doc_id=r["doc_ids"], held_out=r["held"], n_tokens=b.sizes, n_known=r["known"], train_tokens=np.full(len(b.sizes), model.n), base_score=r["base"], score=score)
-        same = {k: [r[k]] for k in ("batch", "doc_ids", "held", "sizes", "known", "base", "ids", "words")}
-        return _batch(STATE, **same, gram=[squeeze(gram.astype(np.int32))], counts=[squeeze(counts)], probs=[squeeze(probs)])
-
-    values = materialize(answered(state.mapInArrow(ask, "p int, batch string, blob binary"), table, order - 1, (0.0, 1.0)), "katz-context-answers")
-    return _joined(state, {"count": found.where("kind = 'answer'"), "context": values}, STATE + ", salt string", run, RESULT if last else STATE), values
+
+def result(b: Batch) -> pa.RecordBatch:
+    """The scores of a batch's documents, once all orders are done."""
+    total = lambda x: np.add.reduceat(x, b.starts)
+    return _batch(RESULT, doc_id=b.row["doc_ids"], held_out=b.row["held"], n_tokens=b.sizes, n_known=total(b.known[b.ids].astype(np.int64)), train_tokens=np.full(len(b.sizes), b.model.n), base_score=total(b.base[b.ids]), score=total(np.log10(b.probs)[b.gram]))
 
 
 def score(docs: DataFrame, kept: int = KEPT, order: int = 2) -> DataFrame:
@@ -578,18 +539,46 @@ def score(docs: DataFrame, kept: int = KEPT, order: int = 2) -> DataFrame:
     """
     if order < 2:
         raise ValueError("the order is two or more")
-    keys = partition_keys(docs.sparkSession, wide(docs.sparkSession))
-    coded = materialize(code(docs), "katz-batches")
-    single = materialize(unigrams(coded), "katz-words")
-    model, salt = totals(single), free_salt(single)
-    state = materialize(first_state(coded, single, model, salt, keys), "katz-order-1").withColumn("salt", F.lit(salt))
-    discard(coded)
+    spark = docs.sparkSession
+    keys, uri = partition_keys(spark, wide(spark)), new_path(spark, "katz-files")
+    coded = materialize(code(docs, uri), "katz-batches")
+    found = [materialize(count_words(coded, uri, keys), "katz-words", ("kind",))]
+    model = totals(found[0].where("kind = 'word'").select("word", "c"))
+    factors, tables = [], []
+
+    def pass_over(make: Callable[[Batch], pa.RecordBatch], schema: str) -> DataFrame:
+        """Meet each batch with the answers of all orders so far, climb them, and ``make`` rows of ``schema``."""
+        by_order, split, last = tuple(factors), tuple(tables), len(found)
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held = None, {}
+            for r in _rows(batches):
+                if r["batch"] != now:
+                    now, held = r["batch"], defaultdict(list)
+                if r["path"] is None:
+                    held[r["kind"]].append((r["p"], r["blob"]))
+                    continue
+                b = Batch(load(uri, r["path"]) | {"batch": now}, held["1"], model, keys)  # the path sorts after the answers
+                for k in range(2, last + 1):
+                    b.climb(held[str(k)], split_contexts(split[k - 2], k - 1), by_order[k - 2])
+                    if k < last or schema != RESULT:
+                        b.deal()
+                held = {}
+                yield make(b)
+
+        rows = coded.select("batch", F.lit("~").alias("kind"), F.lit(None).cast("int").alias("p"), F.lit(None).cast("binary").alias("blob"), "path")
+        for k, x in enumerate(found, 1):
+            rows = rows.unionAll(x.where("kind = 'answer'").select("batch", F.lit(str(k)), "p", "blob", F.lit(None).cast("string")))
+        return rows.repartition(wide(spark), "batch").sortWithinPartitions("batch", "kind").mapInArrow(meet, schema)
+
     for k in range(2, order + 1):
-        found = materialize(grams(state, k, model, keys, kept), f"katz-grams-{k}", ("kind",))
-        hist = {r.p: r.c for r in found.where("kind = 'histogram'").groupBy("p").agg(F.sum("c").alias("c")).collect()}
-        factors = tuple(good_turing([hist.get(r, 0) for r in range(1, LOW + 2)], kept - 1))
-        table = materialize(weights(found, k, factors), f"katz-weights-{k}")
-        after, values = advance(state, found, table, k, factors, model, keys, k == order)
-        state = materialize(after, "katz-scores" if k == order else f"katz-order-{k}").withColumn("salt", F.lit(salt))
-        discard(values)
-    return state.drop("salt")
+        now = materialize(count_grams(coded, pass_over, k, keys, kept), f"katz-grams-{k}", ("kind",))
+        hist = {r.p: r.c for r in now.where("kind = 'histogram'").groupBy("p").agg(F.sum("count").alias("c")).collect()}
+        factors.append(tuple(good_turing([hist.get(r, 0) for r in range(1, LOW + 2)], kept - 1)))
+        table = materialize(weights(now, k, factors[-1]), f"katz-weights-{k}")
+        small = materialize(table.where("split").select(*(f"g{i}" for i in range(k - 1)), *STATS), f"katz-split-{k}")
+        tables.append(small._cadenza_path)
+        found.append(now)
+    out = materialize(pass_over(result, RESULT), "katz-scores")
+    discard(coded)
+    return out

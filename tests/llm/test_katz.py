@@ -150,14 +150,3 @@ def test_three_orders_equal_brute_force(spark, kept):
     got = sorted((r.n_tokens, r.score) for r in katz.score(df, kept, 3).collect())
     want = sorted((len(tokens(t)), score(t)) for _, t in rows)
     assert [n for n, _ in got] == [n for n, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-9)
-
-
-def test_another_salt_where_two_words_share_an_id(spark, monkeypatch):
-    single = spark.createDataFrame([("a", 1), ("b", 2), ("c", 0)], "word string, c long")
-    assert katz.free_salt(single) == ""
-    from pyspark.sql import functions as F
-
-    own = katz.id_column
-    monkeypatch.setattr(katz, "id_column", lambda salt: own(salt) if salt else F.lit(7))
-    assert katz.free_salt(single) == "1"
-    assert katz.word_ids([b"a", "é".encode()], "1").view("int64").tolist() == [r[0] for r in spark.createDataFrame([("a",), ("é",)], "word string").select(own("1")).collect()]
