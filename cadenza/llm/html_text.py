@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
-NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 
 #: Elements without an end tag, and those whose content is not markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -25,55 +27,63 @@ CLOSES |= {k: {"p"} for k in "address article aside blockquote div dl fieldset f
 #: An end tag or start tag does not close elements beyond these.
 SCOPE = frozenset("html body article section main div td th table ul ol dl blockquote aside nav header footer form".split())
 
-#: Elements, and words in class, id or role, that hold no article text.
+#: Kinds of element that hold no article text: menus, footers, sidebars, forms, scripts, styles and what is not text.
 SKIP_TAGS = frozenset("head nav footer aside form script style noscript template button select option textarea iframe svg canvas object dialog menu map audio video".split())
-SKIP_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "nav navbar navigation menu breadcrumb breadcrumbs toc sidebar side aside widget widgets related recommended recommendations trending popular more-links share sharing social follow "
-    "comment comments reply replies discussion disqus respond feedback newsletter subscribe subscription signup login register search footer header masthead topbar toolbar pagination pager "
-    "copyright legal disclaimer complementary contentinfo dialog skip hidden outbrain taboola".split()
-)
-#: Beginnings of such words, and those that only mark a part of the page's frame: an article inside stays.
-SKIP_STEMS = re.compile("comment|advert|sponsor|sidebar|cookie|newsletter|breadcrumb|paginat|navbar|footer|promo|subscri")
-FRAME_WORDS = frozenset("sidebar side header nav navbar menu search overlay banner toolbar topbar widget hidden".split())
-#: Words that make an article element itself something else.
-NO_ARTICLE = frozenset("comment comments reply ad ads advert advertisement sponsored promo related teaser".split())
 ARTICLE = frozenset(("article", "main"))
-PUNCTUATION = ".,;:!?¡¿。、，！？"
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none""")
+#: Names in class, id or role of the kinds of text that an article is without.
+NAMED = frozenset(
+    "menu menus nav navbar navigation header footer sidebar notice notices cookie cookies consent ad ads advert adverts advertisement advertisements sponsored form comment comments reply replies".split()
+)
+#: Blocks of running text, and of lists and tables: the element around them is what they are part of.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption td th ul ol dl table thead tbody tfoot tr header hgroup figure".split())
+PUNCTUATION = ".,;:!?¡¿。、，！？"
 #: Weights of a path and its neighbours in page order.
-KERNEL = np.array([0.1, 0.8, 0.1])
+KERNEL = np.array([0.05, 0.9, 0.05])
+#: Factor of a path through an article element, and of one through an element with a name of NAMED.
+IN_ARTICLE, BY_NAME = 3.0, 1 / 16
+#: What a path's own blocks count for in its score, against the best element around them.
+OWN = 0.4
+#: A path is content if its score is this share of the page's best, and this much.
+SHARE, LEAST = 0.55, 0.6
 
 
-def split_words(value: str) -> set[str]:
-    return {w.lower() for w in re.split(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])", value)}
+@dataclass(slots=True)
+class Leaf:
+    """A text node: tag path down to its block, decoded text, whether a block begins with it, and whether it is in a link."""
 
+    path: tuple[str, ...]
+    text: str
+    begins: bool
+    linked: bool
 
-def unwanted(words: set[str]) -> set[str]:
-    return {w for w in words if w in SKIP_WORDS or SKIP_STEMS.match(w)}
 
+def step(tag: str, attributes: str) -> str:
+    """An element's part of a tag path: its tag, and its class, id and role names."""
+    given = [x[2] or x[3] or x[4] or "" for x in NAMES.finditer(attributes)] if "=" in attributes else []
+    return ".".join([tag, *sorted({n for v in given for n in v.split()})])
 
-def leaves(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str, bool, bool, bool]]:
-    """Text nodes in page order: tag path, element numbers on it, decoded text, whether a block begins, whether it lies
-    in a part to skip, and whether in one of an article that its class only hints at."""
-    names, numbers, skips, hints = [], [], [], []
-    count, begins, at, end = 0, True, 0, len(html)
 
-    def text(lo: int, hi: int) -> Iterator[tuple]:
+def leaves(html: str) -> Iterator[Leaf]:
+    """Text nodes in page order, without those in elements of SKIP_TAGS, hidden ones and headers of the page."""
+    names, skips = [], []
+    depths: list[int] = [0]  # for each open element, and for none: how many steps lead to the block
+    begins, at, end = True, 0, len(html)
+
+    def text(lo: int, hi: int) -> Iterator[Leaf]:
         nonlocal begins
-        if hi > lo and (s := unescape(html[lo:hi]) if html.find("&", lo, hi) >= 0 else html[lo:hi]):
-            yield tuple(names), tuple(numbers), s, begins, bool(skips and skips[-1]), bool(hints and hints[-1])
+        if hi > lo and not (skips and skips[-1]) and (s := unescape(html[lo:hi]) if html.find("&", lo, hi) >= 0 else html[lo:hi]):
+            yield Leaf(tuple(names[: depths[-1]]), s, begins, "a" in (n.partition(".")[0] for n in names[depths[-1] :]))
             begins = False
 
-    def close(kinds: set[str] | frozenset[str], bound: frozenset[str]) -> bool:
+    def close(kinds: set[str] | frozenset[str], bound: frozenset[str]) -> None:
         for i in range(len(names) - 1, -1, -1):
             name = names[i].partition(".")[0]
             if name in kinds:
-                del names[i:], numbers[i:], skips[i:], hints[i:]
-                return True
+                del names[i:], skips[i:], depths[i + 1 :]
+                return
             if name in bound:
-                return False
-        return False
+                return
 
     while at < end:
         m = TOKEN.search(html, at)
@@ -99,117 +109,112 @@ def leaves(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str, b
             close(CLOSES[tag], SCOPE - CLOSES[tag])
         if tag in VOID or attributes.rstrip().endswith("/"):
             continue
-        given = [(x[1].lower(), x[2] or x[3] or x[4] or "") for x in NAMES.finditer(attributes)] if "=" in attributes else []
-        words = set().union(*(split_words(v) for _, v in given))
-        count += 1
-        inside = any(n.partition(".")[0] in ARTICLE for n in names)
-        skip, hint = (skips[-1], hints[-1]) if skips else (0, False)
-        if tag in ARTICLE:
-            skip = 2 if skip == 2 or not words.isdisjoint(NO_ARTICLE) else 0
-        elif tag in SKIP_TAGS or (tag == "header" and not inside) or HIDDEN.search(attributes):
-            skip = 2
-        elif tag not in ("html", "body"):
-            if inside:  # an id may name a section's subject; a class decides alone only as the whole name
-                values = [v for k, v in given if k != "id" and unwanted(split_words(v)) - {"header"}]
-                if any(unwanted({v.strip().lower()}) and v.strip().isalpha() for v in values):
-                    skip = 2
-                elif values:
-                    hint = True
-            else:
-                bad = set().union(*(unwanted(w) for _, v in given for x in v.split() if (w := split_words(x)).isdisjoint(("no", "without"))))
-                if bad:
-                    skip = max(skip, 1 if bad <= FRAME_WORDS else 2)
-        names.append(tag + "".join(f".{w}" for w in sorted(words) if w))
-        numbers.append(count)
-        skips.append(skip)
-        hints.append(hint)
-
-
-def path_scores(nodes: list[tuple]) -> dict[tuple[str, ...], float]:
-    """Per tag path: text and punctuation per node, smoothed over paths in page order, and fused."""
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for path, _, s, _, skip, _ in nodes:
-        if not skip and (n := len("".join(s.split()))):
-            x = sums.setdefault(path, [0, 0, 0])
-            x[0] += n
-            x[1] += sum(map(s.count, PUNCTUATION))
-            x[2] += 1
-    if not sums:
-        return {}
-    chars, marks, count = np.array(list(sums.values()), dtype=float).T
-    smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), KERNEL, mode="valid")
-    return dict(zip(sums, smooth(chars / count) * (1 + smooth(marks / count))))
+        page_header = tag == "header" and not any(n.partition(".")[0] in ARTICLE for n in names)
+        skips.append(bool(skips and skips[-1]) or tag in SKIP_TAGS or page_header or bool(HIDDEN.search(attributes)))
+        names.append(step(tag, attributes))
+        depths.append(depths[-1] if tag in INLINE else len(names))
 
 
-def list_of(tags: list[str], ids: tuple[int, ...]) -> int:
-    """The number of the innermost list around a node."""
-    at = len(tags) - 1 - tags[::-1].index("li")
-    return ids[max(at - 1, 0)]
+def named(name: str) -> float:
+    """How far a class, id or role names something of NAMED: the share of its words."""
+    words = [w.lower() for w in re.split(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])", name) if w]
+    return 1.0 if "".join(words) in NAMED else sum(w in NAMED for w in words) / max(len(words), 1)
 
 
-def links_only(x: list[int]) -> bool:
-    """Whether nearly all characters of a list are in links."""
-    return 10 * x[1] >= 9 * x[0]
+@lru_cache(maxsize=1 << 14)
+def kind(path: tuple[str, ...]) -> float:
+    """What a path's elements say of its text: more inside an article, less by names.
 
-
-def content(nodes: list[tuple], share: float = 0.5) -> list[bool]:
-    """Which nodes are content.
-
-    Paths whose score is ``share`` of the standard deviation or more are; if any
-    of them lies in an article or main element, only those. Then all nodes in the
-    smallest block that holds the chosen ones join them, save link lists: titles
-    and short paragraphs have paths of their own.
+    A name counts by the share of its words, inside an article only as a whole, and
+    headers are the article's own there.
+    """
+    factor, inside = 1.0, False
+    for x in path:
+        tag, *names = x.split(".")
+        if tag in ("html", "body"):
+            continue
+        if inside:
+            share = float(any(named(n) == 1 and n.lower() != "header" for n in names))
+        else:
+            share = sum(map(named, names)) / max(len(names), 1)
+        if tag in ARTICLE and not inside:
+            inside = True
+            factor *= IN_ARTICLE
+        factor *= BY_NAME**share
+    return factor
+
+
+def path_sums(nodes: list[Leaf]) -> dict[tuple[str, ...], np.ndarray]:
+    """Characters, punctuation marks, blocks and linked characters of each tag path with text, in page order."""
+    sums: dict[tuple[str, ...], np.ndarray] = {}
+    blank = False  # a block began with white space
+    for x in nodes:
+        blank = x.begins or blank
+        if n := len("".join(x.text.split())):
+            sums.setdefault(x.path, np.zeros(4))
+            sums[x.path] += (n, sum(map(x.text.count, PUNCTUATION)), blank, n if x.linked else 0)
+            blank = False
+    for v in sums.values():
+        v[2] = max(v[2], 1)
+    return sums
+
+
+def around(path: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """The paths of what a block of running text is part of: all elements around it up to the body, or else the body."""
+    tags = [x.partition(".")[0] for x in path]
+    if not path or tags[-1] not in RUNNING:
+        return []
+    outer = [path[:i] for i in range(1, len(path)) if tags[i - 1] not in RUNNING and tags[i - 1] not in ("html", "body")]
+    return outer or [path[: max((i + 1 for i, t in enumerate(tags) if t == "body"), default=0)]]
+
+
+def path_scores(nodes: list[Leaf]) -> dict[tuple[str, ...], float]:
+    """The score of each tag path.
+
+    Characters and punctuation marks per block are smoothed over the paths in page
+    order and fused as logarithms. The same of all text in the best element around
+    it counts too: titles and short paragraphs have paths of their own. Times
+    ``kind``, and next to nothing where nearly all text is links, it is the path's.
     """
+    sums = path_sums(nodes)
+    if not sums:
+        return {}
+    chars, marks, blocks, linked = np.array(list(sums.values())).T
+    smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), KERNEL, mode="valid")
+    own = np.log1p(smooth(chars / blocks)) + np.log1p(smooth(marks / blocks))
+    whole: dict[tuple[str, ...], np.ndarray] = {}
+    for path, v in sums.items():
+        for outer in around(path):
+            whole.setdefault(outer, np.zeros(4))
+    for path, v in sums.items():
+        for i in range(len(path) + 1):
+            if path[:i] in whole:
+                whole[path[:i]] += v
+    part_of = {p: np.log1p(v[0] / v[2]) + np.log1p(v[1] / v[2]) for p, v in whole.items()}
+    out = {}
+    for path, x, unlinked in zip(sums, own, 1 - (linked / chars) ** 4):
+        best = max((part_of[p] for p in around(path)), default=x)
+        out[path] = float((OWN * x + (1 - OWN) * best) * unlinked * kind(path))
+    return out
+
+
+def content(nodes: list[Leaf]) -> list[bool]:
+    """Which nodes are content: those whose path's score is SHARE of the best, and LEAST."""
     scores = path_scores(nodes)
-    if not scores:
-        return [False] * len(nodes)
-    least = share * float(np.std(list(scores.values())))
-    in_article = lambda path: any(n.partition(".")[0] in ARTICLE for n in path)
-    chosen = {p for p, v in scores.items() if v >= least}
-    if any(map(in_article, scores)) and (inside := {p for p in chosen if in_article(p)} or {p for p in scores if in_article(p)}):
-        chosen = inside
-    picked = [(path, ids) for path, ids, s, _, skip, _ in nodes if not skip and path in chosen and not s.isspace()]
-    root = picked[0][1]
-    for _, ids in picked[1:]:
-        n = 0
-        while n < min(len(root), len(ids)) and root[n] == ids[n]:
-            n += 1
-        root = root[:n]
-    path = picked[0][0][: len(root)]
-    while root and path[-1].partition(".")[0] not in ("article", "main", "section", "div", "td", "body"):
-        root, path = root[:-1], path[:-1]
-    whole = path and path[-1].partition(".")[0] != "body"
-
-    # characters of each list, and those in links
-    listed: dict[int, list[int]] = {}
-    for where, ids, s, _, skip, _ in nodes:
-        tags = [n.partition(".")[0] for n in where]
-        if not skip and "li" in tags:
-            n = len("".join(s.split()))
-            x = listed.setdefault(list_of(tags, ids), [0, 0])
-            x[0] += n
-            x[1] += n if "a" in tags else 0
-
-    def joins(path: tuple[str, ...], ids: tuple[int, ...]) -> bool:
-        if ids[: len(root)] != root:
-            return False
-        tags = [n.partition(".")[0] for n in path]
-        below = set(tags[len(root) :])
-        return (bool(whole) or bool(below & {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre"})) and not ({"li", "a"} <= below and links_only(listed[list_of(tags, ids)]))
-
-    return [not skip and (path in chosen or not hint and joins(path, ids)) for path, ids, _, _, skip, hint in nodes]
+    least = max(LEAST, SHARE * max(scores.values(), default=0))
+    return [scores.get(x.path, 0.0) >= least for x in nodes]
 
 
 def extract(html: str) -> str:
     """The article's blocks in page order, with single spaces."""
     nodes = list(leaves(html))
     out: list[str] = []
-    for (_, _, s, begins, _, _), keep in zip(nodes, content(nodes)):
-        if begins:
+    for x, keep in zip(nodes, content(nodes)):
+        if x.begins:
             out.append(" ")
         if keep:
-            out.append(s)
-        elif not s.isspace():
+            out.append(x.text)
+        elif not x.text.isspace():
             out.append(" ")
     return " ".join("".join(out).split())
 

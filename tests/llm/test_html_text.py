@@ -1,7 +1,11 @@
+import math
 import re
+from collections import Counter
 from html import unescape
+from html.parser import HTMLParser
 
 import pytest
+from cadenza.llm import html_text
 from cadenza.llm.html_text import extract, main_text
 from pyspark.sql import Row
 
@@ -74,3 +78,105 @@ def test_edge_rows(spark):
 )
 def test_article_text_stays(body, want):
     assert extract(PAGE.replace("{}", body)) == want
+
+
+LONG = "<p>A long paragraph of running text, with clauses, names, and numbers; it goes on for a while, as articles do, and ends here.</p><p>Another one follows, of much the same kind, though it is shorter, and it ends too.</p>"
+PLAIN = " ".join(re.sub("<[^>]*>", " ", LONG).split())
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<div><div>Home</div><div>About us</div><div><h2>Head</h2>{LONG}</div><div>2024 me</div></div>", f"Head {PLAIN}"),
+        (f"<table><tr><td><a href='/a'>One</a></td><td><a href='/b'>Two</a></td></tr></table><div><h1>Head</h1>{LONG}</div>", f"Head {PLAIN}"),
+        (f"<ul><li><a href='/a'>One link</a></li><li><a href='/b'>Other link</a></li></ul><h1>Head</h1>{LONG}<ul><li><a href='/c'>More, of it</a></li></ul>", f"Head {PLAIN}"),
+        (f"<div>{LONG}<ul><li>first, second</li><li>a <a href='/c'>third</a> one</li></ul></div><span>menu</span>", f"{PLAIN} first, second a third one"),
+    ],
+)
+def test_pages_without_article_class_or_id(body, want):
+    assert extract(PAGE.replace("{}", body)) == want
+
+
+class Paths(HTMLParser):
+    """Blocks of well-formed pages: tag path and text, by the library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.blocks, self.new = [], [], True
+
+    def handle_starttag(self, tag, attrs):
+        names = sorted({n for k, v in attrs if k in ("class", "id", "role") for n in v.split()})
+        if tag in html_text.VOID:
+            self.new = True
+            return
+        self.open.append(".".join([tag, *names]))
+        self.new |= tag not in html_text.INLINE
+
+    def handle_endtag(self, tag):
+        if tag not in html_text.VOID:
+            self.open.pop()
+        self.new |= tag not in html_text.INLINE
+
+    def handle_data(self, text):
+        tags = [x.split(".")[0] for x in self.open]
+        if set(tags) & html_text.SKIP_TAGS or ("header" in tags and not {"article", "main"} & set(tags[: tags.index("header")])) or not text.strip():
+            return
+        n = max((i + 1 for i, t in enumerate(tags) if t not in html_text.INLINE), default=0)
+        if self.new or not self.blocks:
+            self.blocks.append((tuple(self.open[:n]), []))
+        self.blocks[-1][1].append((text, "a" in tags[n:]))
+        self.new = False
+
+
+def brute_paths(html):
+    """Text of the blocks whose path's score is high enough; every sum is taken by looking at all blocks."""
+    parser = Paths()
+    parser.feed(html)
+    blocks = parser.blocks
+    size = lambda s: len("".join(s.split()))
+    paths = list(dict.fromkeys(p for p, _ in blocks))
+
+    def ratios(prefix, whole=False):
+        mine = [ts for p, ts in blocks if (p[: len(prefix)] if whole else p) == prefix]
+        texts = [x for ts in mine for x in ts]
+        return sum(size(t) for t, _ in texts) / len(mine), sum(c in html_text.PUNCTUATION for t, _ in texts for c in t) / len(mine), sum(size(t) for t, a in texts if a) / max(1, sum(size(t) for t, _ in texts))
+
+    own = [ratios(p) for p in paths]
+    score = {}
+    for i, p in enumerate(paths):
+        near = [own[max(i - 1, 0)], own[i], own[min(i + 1, len(paths) - 1)]]
+        x = sum(math.log(1 + sum(w * r[k] for w, r in zip(html_text.KERNEL, near))) for k in (0, 1))
+        around = [math.log(1 + r[0]) + math.log(1 + r[1]) for q in html_text.around(p) for r in [ratios(q, True)]]
+        score[p] = (html_text.OWN * x + (1 - html_text.OWN) * max(around, default=x)) * (1 - own[i][2] ** 4) * html_text.kind(p)
+    least = max(html_text.LEAST, html_text.SHARE * max(score.values(), default=0))
+    return " ".join(" ".join("".join(t for t, _ in ts).split()) for p, ts in blocks if score[p] >= least)
+
+
+WELL_FORMED = [
+    f"<nav><ul><li><a href='/x'>Home</a></li></ul></nav><div class='ad'>Buy this, now.</div><article><h1>Title</h1>{BODY}{LONG}</article><footer>me</footer>",
+    f"<div class='page'><div>Menu</div><div class='text'><h2>Head</h2>{LONG}<ul><li>one, <a href='/o'>two</a></li></ul></div><div id='comments'><p>Nice, very, nice.</p></div></div>",
+    f"<header><p>Site name, here.</p></header><main><header><h1>Big</h1></header>{LONG}<blockquote>Said, and done.</blockquote></main><aside>Side.</aside>",
+    "<p>x</p>",
+    "<div><p>One, two.</p><div>three</div></div><div class='cookie-notice'>We use cookies, and more, of all kinds.</div>",
+]
+
+
+@pytest.mark.parametrize("body", WELL_FORMED)
+def test_paths_equal_brute_force(body):
+    html = f"<html><head><title>T</title></head><body>{body}</body></html>"
+    assert extract(html) == brute_paths(html)
+
+
+def test_scores_decide(spark, monkeypatch):
+    """With one score for all paths most pages give another text, and a worse one."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [brute(h).split() for h in pages]
+
+    def f1():
+        got = [extract(h).split() for h in pages]
+        return sum(2 * sum((Counter(g) & Counter(w)).values()) / max(1, len(g) + len(w)) for g, w in zip(got, want)) / len(pages), sum(g != w for g, w in zip(got, want))
+
+    scored, _ = f1()
+    monkeypatch.setattr(html_text, "path_scores", lambda nodes: {x.path: 1.0 for x in nodes})
+    constant, changed = f1()
+    assert scored >= 0.98 and constant < scored - 0.01 and changed > len(pages) / 2
