@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -65,46 +66,62 @@ class Scanner:
         self.seeds.make_automaton()
         self.patterns, self.first = ([regex.compile(rf"(?<= ){flag}(?:{regex.escape(p)}){{e<={k}}}(?= )") for p, _, k in self.notices] for flag in ("(?b)", ""))
 
-    def matches(self, n: int, line: str, lo: int, hi: int) -> Iterator[regex.Match]:
-        """Matches of a notice from left to right; each is the best around the first place that is left.
+    def matches(self, n: int, line: str, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+        """``(start, end, edits)`` of a notice's matches from left to right; each is the best around the first place that is left.
 
         The best match of a whole window would skip those before it, so it is
         sought near the first match only, and then again in what precedes it.
         """
         p, _, k = self.notices[n]
-        while m := self.first[n].search(line, lo, hi):
+        while hi - lo >= len(p) - k and (m := self.first[n].search(line, lo, hi)):
             best = self.patterns[n].search(line, m.start(), min(hi, m.end() + len(p) + k + 1)) or m
             while before := self.patterns[n].search(line, m.start(), best.start()):
                 best = before
-            yield best
+            yield best.start(), best.end(), sum(best.fuzzy_counts)
             lo = best.end()
 
-    def fuzzy(self, line: str) -> list[Found]:
-        """Matches in a line of words with a space between, before and after.
+    def around_exact(self, n: int, line: str, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+        """The same matches: those without edits are found as plain strings, the others between them."""
+        p = self.notices[n][0]
+        while (at := line.find(f" {p} ", max(0, lo - 1), hi + 1)) >= 0:
+            yield from self.matches(n, line, lo, at + 1)
+            lo = at + 1 + len(p)
+            yield at + 1, lo, 0
+        yield from self.matches(n, line, lo, hi)
+
+    def windows(self, line: str) -> dict[int, list[list[int]]]:
+        """For each notice, where its matches can be.
 
         A match with k edits leaves one of k + 1 pieces of the notice untouched,
         so each piece found marks a window that must hold the match; windows
-        that touch are searched as one. Matches of a notice do not overlap.
+        that touch are one.
         """
-        windows: dict[int, list[list[int]]] = {}
+        out: dict[int, list[list[int]]] = {}
         for end, (size, where) in self.seeds.iter(line):
             for n, at in where:
                 p, _, k = self.notices[n]
                 begin = end + 1 - size - at - k - 1
                 stop = begin + len(p) + 2 * k + 2
-                mine = windows.setdefault(n, [])
+                mine = out.setdefault(n, [])
                 if mine and begin <= mine[-1][1]:
                     mine[-1] = [min(mine[-1][0], begin), max(mine[-1][1], stop)]
                 else:
                     mine.append([begin, stop])
-        out = []
-        for n, spans in windows.items():
+        return out
+
+    def fuzzy(self, line: str) -> list[Found]:
+        """Matches in a line of words with a space between, before and after; those of a notice do not overlap."""
+        out: list[Found] = []
+        spaces = None
+        for n, spans in self.windows(line).items():
             p, label, _ = self.notices[n]
-            for begin, stop in spans:
-                for m in self.matches(n, line, max(0, begin), min(len(line), stop)):
-                    edits = sum(m.fuzzy_counts)
-                    first = line.count(" ", 0, m.start()) - 1
-                    out.append(Found(label, first, first + m[0].count(" "), edits, 1 - edits / len(p)))
+            hits = [m for begin, stop in spans for m in self.around_exact(n, line, max(0, begin), min(len(line), stop))]
+            if not hits:
+                continue
+            spaces = _spaces(line) if spaces is None else spaces
+            starts, ends, edits = np.array(hits).T
+            first, after = np.searchsorted(spaces, starts) - 1, np.searchsorted(spaces, ends)
+            out += [Found(label, *x, e, 1 - e / len(p)) for *x, e in zip(first.tolist(), (after - 1).tolist(), edits.tolist())]
         return out
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[str, int]], list[Found]]:
@@ -112,14 +129,23 @@ class Scanner:
         words = text.translate(WORDS).split()
         line = f" {b' '.join(words).decode('latin-1')} "
         base = []
+        spaces = None
         for phrase, label in BASE:
-            at = line.find(f" {phrase} ")
+            starts, at = [], line.find(f" {phrase} ")
             while at >= 0:
-                base.append((label, line.count(" ", 0, at)))
+                starts.append(at)
                 at = line.find(f" {phrase} ", at + 1)
+            if starts:
+                spaces = _spaces(line) if spaces is None else spaces
+                base += [(label, i) for i in np.searchsorted(spaces, starts).tolist()]
         return len(words), base, self.fuzzy(line)
 
 
+def _spaces(line: str) -> np.ndarray:
+    """Where the spaces of a line are: the word after a space has the space's number."""
+    return np.flatnonzero(np.frombuffer(line.encode("latin-1"), dtype=np.uint8) == 32)
+
+
 @lru_cache(maxsize=1)
 def _scanner() -> Scanner:
     return Scanner()
@@ -133,7 +159,8 @@ def scan(docs: DataFrame) -> DataFrame:
     those of notices matched with edits, at word bounds. ``spans`` has
     ``label:first word-last word:edits`` of each such match, semicolon-joined.
     ``score`` is 1 with a base phrase, else the best match's share of characters
-    without edit, else 0. A null or empty text has no words and no labels; rows
+    without edit, else 0. A text is scanned whole, in time that grows with its length
+    and its matches alone. A null or empty text has no words and no labels; rows
     with equal or null ids are scanned one by one; an empty table gives no rows;
     columns besides ``doc_id`` and ``text`` are ignored. Nothing is shuffled.
     """

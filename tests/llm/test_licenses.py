@@ -69,3 +69,47 @@ def test_adjacent_notices_are_all_found():
     gpl = "gnu general public license"
     assert spans(f" a {gpl} {gpl.replace('public', 'publik')} {gpl} ", "gpl", 4) == [(1, 0), (5, 1), (9, 0)]
     assert len(spans(" mit licence" * 5000 + " ")) == 5000
+
+
+LICENSE_LINE = "Released under the MIT License. Licensed under the Apache License, Version 2.0. GNU Genral Public License. All rights reserved. CC BY 4.0\n"
+
+
+def test_many_matches_take_linear_time():
+    """A text of 10 MB of license lines."""
+    import time
+
+    scanner, times = licenses.Scanner(), []
+    for size in (1 << 20, 10 << 20):
+        text = (LICENSE_LINE * (size // len(LICENSE_LINE) + 1)).encode()
+        began = time.process_time()
+        n, base, found = scanner.scan(text)
+        times.append(time.process_time() - began)
+        lines = size // len(LICENSE_LINE) + 1
+        assert len(base) == 3 * lines and n == 24 * lines and len([x for x in found if x.label == "gpl"]) == lines
+    assert times[1] < 20 * times[0]
+
+
+def whole_line(scanner, line):
+    """Every notice sought in the whole line, without seeds or windows; words are counted from the start."""
+    out = []
+    for n, (p, label, _) in enumerate(scanner.notices):
+        for start, end, edits in scanner.matches(n, line, 0, len(line)):
+            first = line.count(" ", 0, start) - 1
+            out.append((label, first, first + line.count(" ", start, end), edits, 1 - edits / len(p)))
+    return out
+
+
+def test_documents_equal_a_search_of_whole_lines(spark):
+    """Labels, score and spans of all documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    texts |= {-1 - i: t for i, t in enumerate([LICENSE_LINE * 5, "mit licence mit license mit licence apache licens released under teh mit license", "gnu general public license gnu genral public license"])}
+    scanner = licenses.Scanner()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in licenses.scan(df).collect():
+        words = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), texts[r.doc_id] or ""))
+        found = whole_line(scanner, " " + " ".join(words).encode().decode("latin-1") + " ")
+        base = brute(texts[r.doc_id])
+        assert set(r.labels.split(",")) - {""} == {x[0] for x in found} | set(base[4].split(",")) - {""}
+        assert r.score == pytest.approx(1.0 if base[1] else max((x[4] for x in found), default=0.0))
+        assert sorted(r.spans.split(";")) == sorted([f"{x[0]}:{x[1]}-{x[2]}:{x[3]}" for x in found] or [""])
