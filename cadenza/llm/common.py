@@ -53,7 +53,15 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers, None)
+    if partition_by:
+        spark.conf.set(writers, "16")  # a file per value at once, instead of sorting the rows
+    try:
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    finally:
+        if partition_by:
+            spark.conf.set(writers, before) if before else spark.conf.unset(writers)
     out = spark.read.schema(df.schema).parquet(path)
     out._cadenza_path = path
     del df
@@ -62,12 +70,17 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     return out
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared folder."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that no later step reads."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._cadenza_path)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df._cadenza_path)
 
 
 @lru_cache(maxsize=4)

@@ -5,8 +5,7 @@ tables dealt to partitions; a text is scored token by token, from the longest n-
 count down to the word's. N-grams of few counts may be left to the backoff; the
 query keeps them all.
 
-Documents are first coded in batches, files of sorted words and a stream of word
-numbers. For each order a batch sends each of its distinct n-grams once to the partition
+Documents are first coded in batches, files of words and a stream of word numbers. For each order a batch sends each of its distinct n-grams once to the partition
 that owns it, with the probability that the order below gives it, and gets the counts
 back in the same order, with what the owner knows of the contexts: so a context's weight
 needs no join of n-grams. Contexts that are too frequent for one partition are dealt to
@@ -32,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, compressor, decompressor, discard, materialize, new_path, partition_keys, wide
+from .common import LOWER, compressor, decompressor, discard, materialize, new_path, partition_keys, remove, wide
 
 #: The context before a text and the token after it; no word is empty or has a space.
 START, END = b"", b" "
 #: The number of START; words have smaller ones.
 START_ID = np.uint64((1 << 64) - 1)
 #: Bytes of text in a batch.
-BATCH = 10 << 20
+BATCH = 8 << 20
 #: Counts up to this are discounted; pairs need this count to be kept, unless the caller says otherwise.
 LOW, KEPT = 5, 2
 #: A context with this share of a partition's tokens has its continuations dealt to more partitions.
@@ -52,17 +51,33 @@ def held_out(doc_id: int | None, folds: int = 7, fold: int = 2) -> bool:
     return crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == fold
 
 
-def squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed blob."""
-    return compressor(1).compress(b"".join(a.tobytes() for a in arrays))
+KINDS = tuple(map(np.dtype, ("bool", "int32", "uint32", "int64", "uint64", "float64")))
 
 
-def expand(blob: bytes) -> bytes:
-    return decompressor().decompress(blob)
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob; their bytes are dealt to planes, of which the higher ones are mostly zero."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (KINDS.index(a.dtype), len(a)))], dtype=np.int64)
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return compressor(1).compress(b"".join([head.tobytes(), *planes]))
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    """The arrays of ``squeeze``."""
+    raw = decompressor().decompress(blob)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    head = np.frombuffer(raw, np.int64, 2 * n, 8).tolist()
+    out, at = [], 8 + 16 * n
+    for kind, size in zip(head[::2], head[1::2]):
+        width = KINDS[kind].itemsize
+        planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(KINDS[kind]))
+        at += size * width
+    return out
 
 
-def unpack(blob: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(expand(blob), dtype=kind)
+def delta(x: np.ndarray) -> np.ndarray:
+    """Differences modulo 2^64, which are small where numbers ascend; ``np.cumsum`` undoes it."""
+    return np.diff(x, prepend=np.uint64(0))
 
 
 def squeeze_words(words: list[bytes]) -> bytes:
@@ -70,7 +85,7 @@ def squeeze_words(words: list[bytes]) -> bytes:
 
 
 def expand_words(blob: bytes) -> list[bytes]:
-    return expand(blob).split(b"\n")
+    return decompressor().decompress(blob).split(b"\n")
 
 
 def owners(columns: list[np.ndarray], n: int) -> np.ndarray:
@@ -97,7 +112,7 @@ CODED = "doc_ids array<long>, held array<boolean>, sizes array<int>, words binar
 def code(docs: DataFrame, uri: str) -> DataFrame:
     """``(batch, path)`` of files in the shared folder ``uri``, a batch of documents each.
 
-    A file has ids, fold, tokens per document, sorted words, their counts outside the fold, and the
+    A file has ids, fold, tokens per document, words, frequent ones first, their counts outside the fold, and the
     tokens as word numbers. Names have the task's attempt, so one that runs again writes other files.
     """
 
@@ -113,10 +128,13 @@ def code(docs: DataFrame, uri: str) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal made
-            words = sorted(place)
+            ids = np.concatenate(streams)
+            order = np.argsort(-np.bincount(ids, minlength=len(place)), kind="stable")  # frequent words get small numbers
+            known = list(place)
+            words = [known[i] for i in order.tolist()]
             rank = np.empty(len(words), dtype=np.int32)
-            rank[np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))] = np.arange(len(words), dtype=np.int32)
-            ids = rank[np.concatenate(streams)]
+            rank[order] = np.arange(len(words), dtype=np.int32)
+            ids = rank[ids]
             held = np.array([h for _, h in docs])
             sizes = np.array([len(s) for s in streams], dtype=np.int32)
             learned = np.bincount(ids[np.repeat(~held, sizes)], minlength=len(words)).astype(np.int32)
@@ -189,7 +207,7 @@ def count_words(coded: DataFrame, uri: str, keys: list[int]) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             r |= load(uri, r["path"])
-            words, learned = expand_words(r["words"]), unpack(r["learned"], np.int32)
+            words, (learned,) = expand_words(r["words"]), unpack(r["learned"])
             order, cut = _by_owner(word_owners(words, n), n)
             out = []
             for k in range(n):
@@ -202,18 +220,18 @@ def count_words(coded: DataFrame, uri: str, keys: list[int]) -> DataFrame:
         place: dict[bytes, int] = defaultdict(count().__next__)
         asked, counts = [], []
         for _, blob in blobs:
-            raw = expand(blob)
+            raw = decompressor().decompress(blob)
             m = int(np.frombuffer(raw, np.int64, 1)[0])
             counts.append(np.frombuffer(raw, np.int32, m, 8))
             asked.append(np.fromiter(map(place.__getitem__, raw[8 + 4 * m :].split(b"\n")), dtype=np.int64, count=m))
         total = np.bincount(np.concatenate(asked), weights=np.concatenate(counts), minlength=len(place)).astype(np.int64)
-        first = keys.index(p) << 40
+        ids = np.arange(len(place)) * n + keys.index(p)
         for (batch, _), at in zip(blobs, asked):
-            yield _batch(WORDS, kind=["answer"], batch=[batch], p=[p], blob=[squeeze(at + first, total[at])])
+            yield _batch(WORDS, kind=["answer"], batch=[batch], p=[p], blob=[squeeze(ids[at], total[at])])
         words = [w.decode() for w in place]
         for lo in range(0, len(words), 100_000):
-            hi = min(lo + 100_000, len(words))
-            yield _batch(WORDS, kind=["word"] * (hi - lo), word=words[lo:hi], id=np.arange(first + lo, first + hi), c=total[lo:hi])
+            part = slice(lo, lo + 100_000)
+            yield _batch(WORDS, kind=["word"] * len(words[part]), word=words[part], id=ids[part], c=total[part])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _settled(batches, settle)
@@ -318,12 +336,15 @@ class Batch:
         self.place = {k: i for i, k in enumerate(keys)}
         self.sizes = np.array(r["sizes"], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.ids = unpack(r["ids"], np.int32)
+        (self.ids,) = unpack(r["ids"])
         self.learned = np.repeat(~np.array(r["held"], dtype=bool), self.sizes)
         by, _ = _by_owner(word_owners(expand_words(r["words"]), len(keys)), len(keys))
-        self.words, self.counts = np.empty(len(by), dtype=np.uint64), np.empty(len(by), dtype=np.int64)
-        got = [unpack(blob, np.int64).reshape(2, -1) for blob in self._in_order(parts)]
-        self.words[by], self.counts[by] = np.concatenate(got, axis=1)
+        numbers, counts = (np.concatenate(x) for x in zip(*(unpack(blob) for blob in self._in_order(parts))))
+        order = np.argsort(numbers)  # words are renamed in order of their numbers, which ascend in what is sent
+        self.words, self.counts = numbers[order].astype(np.uint64), counts[order]
+        rank = np.empty(len(by), dtype=np.int32)
+        rank[by[order]] = np.arange(len(by), dtype=np.int32)
+        self.ids = rank[self.ids]
         self.known = self.counts > 0
         self.base = np.log10((self.counts + 1) / (model.n + model.v + 1))
         self.gram, self.probs = self.ids, model.word(self.counts)
@@ -372,20 +393,15 @@ class Batch:
                 new = np.flatnonzero(self.new[lo:hi])
                 repeat = np.diff(np.r_[new, hi - lo]).astype(np.int32)
                 values, code = np.unique(lower[lo:hi], return_inverse=True)
-                head = np.array([len(new), hi - lo, len(values)], dtype=np.int64)
-                heads = [c[lo:hi][new] for c in self.columns[:-1]]
-                out.append((self.keys[k], squeeze(head, values, *heads, self.columns[-1][lo:hi], repeat, counts[lo:hi], code.astype(np.uint32), self.split[lo:hi][new])))
+                heads = [delta(c[lo:hi][new]) for c in self.columns[:-1]]
+                out.append((self.keys[k], squeeze(*heads, repeat, self.split[lo:hi][new], self.columns[-1][lo:hi], counts[lo:hi], code.astype(np.uint32), values)))
         return out
 
     def climb(self, parts: list[tuple[int, bytes]], table: tuple[list[np.ndarray], np.ndarray], factors: tuple[float, ...]) -> None:
         """Go to the next order, by the answers to what was sent and the ``table`` of split contexts."""
-        counts, stats = [], []
-        for blob in self._in_order(parts):
-            raw = expand(blob)
-            m = int(np.frombuffer(raw, np.int64, 1)[0])
-            stats.append(np.frombuffer(raw, np.float64, len(STATS) * m, 8).reshape(len(STATS), m))
-            counts.append(np.frombuffer(raw, np.int64, -1, 8 + 8 * len(STATS) * m))
-        counts, stats = np.concatenate(counts), np.concatenate(stats, axis=1)
+        got = [unpack(blob) for blob in self._in_order(parts)]
+        counts, *stats = (np.concatenate(x) for x in zip(*got))
+        del got
         ids, known = table
         at = np.flatnonzero(self.new & self.split)
         if len(at) and len(known[0]):
@@ -394,7 +410,8 @@ class Batch:
             head[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1]
             head = head[len(ids[0]) :]
             found = head < len(ids[0])
-            stats[:, (np.cumsum(self.new)[at] - 1)[found]] = known[:, head[found]]
+            for x, value in zip(stats, known):
+                x[(np.cumsum(self.new)[at] - 1)[found]] = value[head[found]]
         rate, backoff = weigh(dict(zip(STATS, stats)), factors)
         own = np.cumsum(self.new) - 1
         self.probs = np.where(counts > 0, rate[own] * discount(counts, factors), backoff[own] * self.probs[self.lower])
@@ -419,17 +436,20 @@ def weigh(x: dict[str, np.ndarray], factors: tuple[float, ...]) -> tuple[np.ndar
     return np.where(share > 0, (1 - left) / np.where(share > 0, share, 1), 1.0) / c, left / (1 - x["alone"])
 
 
+def parts_of(found: DataFrame, order: int) -> DataFrame:
+    """STATS of the split contexts: the sums of their parts."""
+    return found.where("kind = 'part'").groupBy(*(f"g{i}" for i in range(order - 1))).agg(*(F.sum(c).alias(c) for c in STATS))
+
+
 def weights(found: DataFrame, order: int, factors: tuple[float, ...]) -> DataFrame:
-    """The table of contexts: ids ``g0`` on, STATS, ``unit`` and ``backoff`` as ``weigh`` gives them, and whether it is ``split``."""
+    """The table of contexts: ids ``g0`` on, occurrences ``c``, ``unit`` and ``backoff`` as ``weigh`` gives them."""
     ids = [f"g{i}" for i in range(order - 1)]
-    rows = found.where("kind in ('context', 'part')").select("kind", *ids, *STATS)
-    parts = rows.where("kind = 'part'").groupBy(*ids).agg(*(F.sum(c).alias(c) for c in STATS))
-    rows = rows.where("kind = 'context'").drop("kind").withColumn("split", F.lit(False)).unionByName(parts.withColumn("split", F.lit(True)))
+    rows = found.where("kind = 'context'").select(*ids, *STATS).unionByName(parts_of(found, order))
     share = sum((F.col(f"n{r}") * F.lit(r * d) for r, d in enumerate(factors, 1)), F.col("more")) / F.col("c")
     left = F.when(F.col("share") > 0, F.greatest(1 - F.col("share"), 1.0 / (F.col("c") + 1))).otherwise(1.0)
     rows = rows.withColumn("share", share).withColumn("left", left)
     unit = F.when(F.col("share") > 0, (1 - F.col("left")) / F.col("share")).otherwise(1.0) / F.col("c")
-    return rows.select(*ids, *STATS, "split", unit.alias("unit"), (F.col("left") / (1 - F.col("alone"))).alias("backoff"))
+    return rows.select(*ids, "c", unit.alias("unit"), (F.col("left") / (1 - F.col("alone"))).alias("backoff"))
 
 
 def found_schema(order: int) -> str:
@@ -448,18 +468,8 @@ def count_grams(batches_of: DataFrame, pass_over: Callable, order: int, keys: li
 
     def opened(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Of n-grams: columns of ids, counts and lower probabilities; of runs: first n-gram and whether it is of a split context."""
-        raw = expand(blob)
-        m, total, v = np.frombuffer(raw, np.int64, 3).tolist()
-        at = 24
-
-        def take(kind: type, size: int) -> np.ndarray:
-            nonlocal at
-            at += size * np.dtype(kind).itemsize
-            return np.frombuffer(raw, kind, size, at - size * np.dtype(kind).itemsize)
-
-        values, *heads = take(np.float64, v), *(take(np.uint64, m) for _ in range(order - 1))
-        last, repeat, counts, code, split = take(np.uint64, total), take(np.int32, m), take(np.int32, total), take(np.uint32, total), take(np.bool_, m)
-        return [*(np.repeat(c, repeat) for c in heads), last, counts, values[code]], [np.cumsum(repeat) - repeat, split]
+        *heads, repeat, split, last, counts, code, values = unpack(blob)
+        return [*(np.repeat(np.cumsum(c, dtype=np.uint64), repeat) for c in heads), last, counts, values[code]], [np.cumsum(repeat) - repeat, split]
 
     def settle(p: int, blobs: list[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
         rows, runs = zip(*(opened(blob) for _, blob in blobs))
@@ -469,6 +479,7 @@ def count_grams(batches_of: DataFrame, pass_over: Callable, order: int, keys: li
         by, new = distinct(columns)
         first = np.flatnonzero(new)
         total = np.add.reduceat(counts[by].astype(np.int64), first)
+        del counts
         lower = np.maximum.reduceat(lower[by], first)
         columns = [c[by[first]] for c in columns]
         back = np.empty(len(by), dtype=np.int64)  # of each n-gram that was sent, its place among the distinct ones
@@ -480,12 +491,13 @@ def count_grams(batches_of: DataFrame, pass_over: Callable, order: int, keys: li
         sums = lambda x: np.add.reduceat(x, contexts).astype(np.float64)
         stats = {"c": sums(total)} | {f"n{r}": sums(((total == r) & keep).astype(np.int64)) for r in range(1, LOW + 1)}
         stats |= {"more": sums(np.where((total > LOW) & keep, total, 0)), "alone": sums(np.where(keep, lower, 0.0))}
+        counts = np.where(keep, total, 0)
         split, at = np.zeros(len(contexts), dtype=bool), 0
         for (batch, _), (heads, flags), size in zip(blobs, runs, sizes):
             mine = back[at : at + size]
             of = context[mine[heads]]
             split[of] = flags
-            yield _batch(schema, kind=["answer"], batch=[batch], p=[p], blob=[squeeze(np.int64(len(of)), *(stats[k][of] for k in STATS), np.where(keep, total, 0)[mine])])
+            yield _batch(schema, kind=["answer"], batch=[batch], p=[p], blob=[squeeze(counts[mine], *(stats[k][of] for k in STATS))])
             at += size
         heads = [c[contexts].view(np.int64) for c in columns[:-1]]
         for kind in (False, True):
@@ -540,7 +552,7 @@ def score(docs: DataFrame, kept: int = KEPT, order: int = 2) -> DataFrame:
     if order < 2:
         raise ValueError("the order is two or more")
     spark = docs.sparkSession
-    keys, uri = partition_keys(spark, wide(spark)), new_path(spark, "katz-files")
+    keys, uri = partition_keys(spark, 2 * wide(spark)), new_path(spark, "katz-files")
     coded = materialize(code(docs, uri), "katz-batches")
     found = [materialize(count_words(coded, uri, keys), "katz-words", ("kind",))]
     model = totals(found[0].where("kind = 'word'").select("word", "c"))
@@ -575,10 +587,11 @@ def score(docs: DataFrame, kept: int = KEPT, order: int = 2) -> DataFrame:
         now = materialize(count_grams(coded, pass_over, k, keys, kept), f"katz-grams-{k}", ("kind",))
         hist = {r.p: r.c for r in now.where("kind = 'histogram'").groupBy("p").agg(F.sum("count").alias("c")).collect()}
         factors.append(tuple(good_turing([hist.get(r, 0) for r in range(1, LOW + 2)], kept - 1)))
-        table = materialize(weights(now, k, factors[-1]), f"katz-weights-{k}")
-        small = materialize(table.where("split").select(*(f"g{i}" for i in range(k - 1)), *STATS), f"katz-split-{k}")
-        tables.append(small._cadenza_path)
+        tables.append(materialize(parts_of(now, k), f"katz-split-{k}")._cadenza_path)
+        materialize(weights(now, k, factors[-1]), f"katz-weights-{k}")
+        remove(spark, f"{now._cadenza_path}/kind=context", f"{now._cadenza_path}/kind=part")
         found.append(now)
     out = materialize(pass_over(result, RESULT), "katz-scores")
     discard(coded)
+    remove(spark, uri, *tables, *(f"{x._cadenza_path}/kind=answer" for x in found))
     return out
