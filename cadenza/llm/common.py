@@ -44,7 +44,7 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/cadenza/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     Lost executors then cost at most the work since the last such table. The
@@ -53,15 +53,7 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    writers = "spark.sql.maxConcurrentOutputFileWriters"
-    before = spark.conf.get(writers, None)
-    if partition_by:
-        spark.conf.set(writers, "16")  # a file per value at once, instead of sorting the rows
-    try:
-        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    finally:
-        if partition_by:
-            spark.conf.set(writers, before) if before else spark.conf.unset(writers)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cadenza_path = path
     del df

@@ -38,7 +38,7 @@ START, END = b"", b" "
 #: The number of START; words have smaller ones.
 START_ID = np.uint64((1 << 64) - 1)
 #: Bytes of text in a batch.
-BATCH = 8 << 20
+BATCH = 12 << 20
 #: Counts up to this are discounted; pairs need this count to be kept, unless the caller says otherwise.
 LOW, KEPT = 5, 2
 #: A context with this share of a partition's tokens has its continuations dealt to more partitions.
@@ -554,7 +554,7 @@ def score(docs: DataFrame, kept: int = KEPT, order: int = 2) -> DataFrame:
     spark = docs.sparkSession
     keys, uri = partition_keys(spark, 2 * wide(spark)), new_path(spark, "katz-files")
     coded = materialize(code(docs, uri), "katz-batches")
-    found = [materialize(count_words(coded, uri, keys), "katz-words", ("kind",))]
+    found = [materialize(count_words(coded, uri, keys), "katz-words")]
     model = totals(found[0].where("kind = 'word'").select("word", "c"))
     factors, tables = [], []
 
@@ -584,14 +584,13 @@ def score(docs: DataFrame, kept: int = KEPT, order: int = 2) -> DataFrame:
         return rows.repartition(wide(spark), "batch").sortWithinPartitions("batch", "kind").mapInArrow(meet, schema)
 
     for k in range(2, order + 1):
-        now = materialize(count_grams(coded, pass_over, k, keys, kept), f"katz-grams-{k}", ("kind",))
+        now = materialize(count_grams(coded, pass_over, k, keys, kept), f"katz-grams-{k}")
         hist = {r.p: r.c for r in now.where("kind = 'histogram'").groupBy("p").agg(F.sum("count").alias("c")).collect()}
         factors.append(tuple(good_turing([hist.get(r, 0) for r in range(1, LOW + 2)], kept - 1)))
         tables.append(materialize(parts_of(now, k), f"katz-split-{k}")._cadenza_path)
         materialize(weights(now, k, factors[-1]), f"katz-weights-{k}")
-        remove(spark, f"{now._cadenza_path}/kind=context", f"{now._cadenza_path}/kind=part")
         found.append(now)
     out = materialize(pass_over(result, RESULT), "katz-scores")
     discard(coded)
-    remove(spark, uri, *tables, *(f"{x._cadenza_path}/kind=answer" for x in found))
+    remove(spark, uri)
     return out
