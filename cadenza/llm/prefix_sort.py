@@ -12,6 +12,8 @@ from .common import compressor, decompressor
 Item = tuple[int, bytes, tuple[int, ...]]
 
 WIDEST = 255
+#: Strings of a run that are compressed, and read, together.
+BLOCK = 512
 
 
 def shared_prefixes(keys: list[bytes]) -> np.ndarray:
@@ -34,30 +36,39 @@ def shared_prefixes(keys: list[bytes]) -> np.ndarray:
 
 
 def encode(keys: list[bytes], shared: np.ndarray, along: np.ndarray) -> bytes:
-    """Front-code a sorted run; ``along`` has a row of int64 per string."""
+    """Front-code a sorted run, in blocks of BLOCK strings that are compressed one by one; ``along`` has a row of int64 per string."""
     shared = shared.astype(np.uint8).copy()
     if len(keys):
         shared[0] = 0
-    rest = [k[s:] for k, s in zip(keys, shared.tolist())]
-    sizes = np.fromiter(map(len, rest), dtype=np.uint8, count=len(rest))
-    head = np.array([len(keys), along.shape[1] if len(keys) else 0], dtype=np.int64)
-    raw = b"".join([head.tobytes(), shared.tobytes(), sizes.tobytes(), np.ascontiguousarray(along.T, dtype=np.int64).tobytes(), *rest])
-    return compressor(1).compress(raw)
+    out = []
+    for lo in range(0, len(keys), BLOCK):
+        part = shared[lo : lo + BLOCK]
+        rest = [k[s:] for k, s in zip(keys[lo : lo + BLOCK], part.tolist())]
+        sizes = np.fromiter(map(len, rest), dtype=np.uint8, count=len(rest))
+        rows = along[lo : lo + BLOCK]
+        head = np.array([len(rest), rows.shape[1]], dtype=np.int64)
+        out.append(compressor(1).compress(b"".join([head.tobytes(), part.tobytes(), sizes.tobytes(), np.ascontiguousarray(rows.T, dtype=np.int64).tobytes(), *rest])))
+    return b"".join([np.array([len(out), *map(len, out)], dtype=np.int64).tobytes(), *out])
 
 
 def decode(blob: bytes) -> Iterator[Item]:
-    raw = decompressor().decompress(blob)
-    n, width = np.frombuffer(raw, np.int64, 2).tolist()
-    at = 16
-    shared, sizes = (np.frombuffer(raw, np.uint8, n, at + i * n).tolist() for i in range(2))
-    at += 2 * n
-    along = np.frombuffer(raw, np.int64, n * width, at).reshape(width, n)
-    at += 8 * n * width
-    key = b""
-    for s, size, row in zip(shared, sizes, zip(*along.tolist())):
-        key = key[:s] + raw[at : at + size]
-        at += size
-        yield s, key, row
+    """The records of a run; one block of it is open at a time."""
+    blocks = int(np.frombuffer(blob, np.int64, 1)[0])
+    sizes = np.frombuffer(blob, np.int64, blocks, 8).tolist()
+    begin, key = 8 + 8 * blocks, b""
+    for length in sizes:
+        raw = decompressor().decompress(blob[begin : begin + length])
+        begin += length
+        n, width = np.frombuffer(raw, np.int64, 2).tolist()
+        at = 16
+        shared, rests = (np.frombuffer(raw, np.uint8, n, at + i * n).tolist() for i in range(2))
+        at += 2 * n
+        along = np.frombuffer(raw, np.int64, n * width, at).reshape(width, n)
+        at += 8 * n * width
+        for s, size, row in zip(shared, rests, zip(*along.tolist())):
+            key = key[:s] + raw[at : at + size]
+            at += size
+            yield s, key, row
 
 
 class LoserTree:

@@ -72,5 +72,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_mixing": mixing.ORACLE,
+        "op7_suffix_dedup": suffix_dedup.ORACLE,
         "op9_quality": quality.ORACLE,
     }

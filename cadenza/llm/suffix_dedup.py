@@ -7,10 +7,8 @@ k-gram occurs once in the corpus are unique. For the other anchors, the suffixes
 that start there are sorted, each with the text before it that its windows cover
 (first round). An anchor whose text equals an earlier one's repeats as a whole, and
 one that is alone with its k-gram is unique. The others, at the edges of repeats,
-stand together in the order, a k-gram at a time, and their windows are compared
-there. A k-gram with more than ``GROUP`` different texts, at the edges of a passage
-that very many documents share, is not held in one task: the 100-byte suffix
-prefixes of its windows are sorted themselves (second round).
+stand together in the order, a k-gram at a time; which of their windows repeat is
+found by sorting these windows themselves, as 100-byte suffix prefixes (second round).
 
 Both rounds are the same merge sort: tasks sort runs, front-code them, and deal
 them out by a leading hash of the string, so that ranges are even and equal strings
@@ -28,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +37,6 @@ from .prefix_sort import LoserTree, decode, encode, shared_prefixes
 WINDOW, K = 100, 40
 #: Bytes of text hashed at once, of text whose anchors are sent at once, and records of a run.
 PIECE, BATCH, RUN = 1 << 20, 1 << 23, 100_000
-#: Texts of a k-gram whose windows are compared in one task.
-GROUP = 2000
 MULTIPLIER = 0x9E3779B97F4A7C15
 NULL_ID = -(1 << 63)
 
@@ -170,7 +167,7 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        size = turn = 0
+        size, turn = 0, TaskContext.get().partitionId()  # so that tasks do not all begin with the same target
 
         def flush() -> pa.RecordBatch:
             nonlocal turn
@@ -237,10 +234,9 @@ EDGES = 2  # kind of a blob of (d, r, start) with texts whose windows are still
 class Run:
     """Collects records, then sorts, front-codes and deals them out as one run, to ``keys`` in order of the strings."""
 
-    def __init__(self, keys: list[int], group: int, spans: Callable[[Record], tuple[int, int]], edge: Callable[[Record], tuple[int, bytes]] | None):
-        self.keys, self.group, self.spans, self.edge = keys, group, spans, edge
+    def __init__(self, keys: list[int], group: int, spans: Callable[[Record], tuple[int, int]], edge: Callable[[Record], tuple[int, bytes]] | None, turn: int = 0):
+        self.keys, self.group, self.spans, self.edge, self.turn = keys, group, spans, edge, turn
         self.held: list[Record] = []
-        self.turn = 0
 
     def add(self, x: Record) -> bool:
         self.held.append(x)
@@ -248,8 +244,9 @@ class Run:
 
     def flush(self) -> pa.RecordBatch:
         """Equal strings keep their first record, the others are spans to remove. Where ``group`` leading
-        bytes mean that windows may be shared, a group of more than GROUP strings sends its first one only,
-        marked, and the windows of all of them are open."""
+        bytes mean that windows may be shared, a group of several strings sends its first one only,
+        marked, and the windows of all of them are open. ``turn`` says to whom spans and edges go; tasks
+        begin with different ones."""
         rows, self.held = self.held, []
         rows.sort()
         shared = shared_prefixes([x[0] for x in rows])
@@ -263,7 +260,7 @@ class Run:
         if self.edge:
             head = np.r_[True, shared[1:] < self.group]
             number = np.cumsum(head) - 1
-            many = np.bincount(number)[number] > GROUP
+            many = np.bincount(number)[number] > 1
             edges = [rows[i] for i in np.flatnonzero(many)]
             travels = np.flatnonzero(head | ~many)
             rows, shared, marks = [rows[i] for i in travels], shared[travels], many[travels].astype(np.int64)
@@ -322,54 +319,32 @@ def merge(blobs: list[tuple[int, bytes]], group: int, spans: Callable[[Record],
             yield _edge_batch(blob)
     gone: list[tuple[int, int, int, int]] = []
     edges: list[tuple[int, int, int, bytes]] = []
-    held: list[Record] = []  # different strings of a group, until all are known
-    large, size, before = False, 0, None
-
-    def settle() -> None:
-        """Compare the windows of a group: those that an earlier record has too are spans to remove."""
-        nonlocal held
-        if len(held) > 1:
-            seen: set[bytes] = set()
-            held.sort(key=lambda x: x[1:])
-            for x in held:
-                start, text = edge(x)
-                since = -1
-                for i in range(len(text) - WINDOW + 1):
-                    w = text[i : i + WINDOW]
-                    if w not in seen:
-                        seen.add(w)
-                        if since >= 0:
-                            gone.append((x[1], x[2], start + since, start + i - 1 + WINDOW))
-                            since = -1
-                    elif since < 0:
-                        since = i
-                if since >= 0:
-                    gone.append((x[1], x[2], start + since, start + len(text)))
-        held = []
-
+    first: list[Record] = []  # the only string of a group, until there is another
+    seen = is_open = False
+    size, before = 0, None
     for shared, key, (d, r, pos, mark) in LoserTree([decode(b) for kind, b in blobs if kind == 0]):
         x = (key, d, r, pos)
-        if edge and shared < group:
-            settle()
-            large = False
-        if shared == len(key) == size:
-            if x != before:
-                gone.append((d, r, *spans(x)))
-        elif edge and not mark:
-            held.append(x)
+        again = shared == len(key) == size
+        if again and x != before:
+            gone.append((d, r, *spans(x)))
+        if edge:
+            if shared < group:
+                first, seen, is_open = [], False, False
+            if mark or (seen and not again):
+                is_open = True
+            if not mark and not again:  # the windows of marked ones are open already
+                first.append(x)
+            if is_open:
+                edges += [(y[1], y[2], *edge(y)) for y in first]
+                first = []
+            seen = True
         size, before = len(key), x
-        if edge and (mark or len(held) > GROUP):
-            large = True
-        if large:
-            edges += [(y[1], y[2], *edge(y)) for y in held]
-            held = []
         if len(gone) >= 100_000:
             yield _span_batch(np.array(gone, dtype=np.int64).T)
             gone = []
         if len(edges) >= 20_000:
             yield _edge_batch(edge_blob(edges))
             edges = []
-    settle()
     if gone:
         yield _span_batch(np.array(gone, dtype=np.int64).T)
     if edges:
@@ -406,7 +381,7 @@ def removals(docs: DataFrame, candidates: DataFrame) -> tuple[DataFrame, list[Da
     keys = partition_keys(spark, n)
 
     def anchor_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = Run(keys, 8 + K, anchor_span, anchor_text)
+        run = Run(keys, 8 + K, anchor_span, anchor_text, 2 * TaskContext.get().partitionId())
         for b in batches:
             for d, r, t, codes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 t = t.as_py()
@@ -417,7 +392,7 @@ def removals(docs: DataFrame, candidates: DataFrame) -> tuple[DataFrame, list[Da
             yield run.flush()
 
     def window_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = Run(keys, 0, window_span, None)
+        run = Run(keys, 0, window_span, None, TaskContext.get().partitionId())
         for b in batches:
             for blob in b.column(0):
                 for d, r, start, text in edge_rows(blob.as_py()):
@@ -516,3 +491,20 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         return done.select(F.col("k0").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     own = {c: F.col(f"k{i}").alias(c) for i, c in enumerate(kept)} | {"text": F.col("text")}
     return done.select(*(own[c] for c in docs.columns), *(c for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256") if c not in docs.columns))
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+c AS (SELECT doc_id, n, j, substr(h, 2000 * j + 1, 2198) AS part FROM (SELECT *, unnest(range(0, n // 1000 + 1)) AS j FROM d)),
+w AS (SELECT doc_id, 1000 * j + k AS i, substr(part, 2 * k + 1, 200) AS s FROM (SELECT *, unnest(range(0, least(1000, n - 99 - 1000 * j))) AS k FROM c)),
+p AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w),
+t AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM p WHERE k > 1),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM t),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM g GROUP BY doc_id, run),
+e AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (SELECT e.doc_id, sum(z - a) AS removed, count(*) AS spans, max(z) AS last,
+             string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS kept FROM e JOIN d ON e.doc_id = d.doc_id GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept || substr(h, CAST(2 * last + 1 AS BIGINT)), h))) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
