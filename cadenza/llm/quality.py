@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import json
+import math
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
+#: Documents of a sample, the seed of their choice, and characters that a timed run goes over.
+SAMPLE_ROWS, SEED, SAMPLE_CHARS = 500, 9, 2_000_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -74,38 +78,73 @@ METHOD: dict[str, Rule] = {
     "duplicate_lines": lambda t, w, x: 100 * dup_lines(x) > 50 * F.size(x),
     "few_distinct_words": lambda t, w, x: 100 * window_distinct(w) < 20 * F.size(w),
 }
-def order_rules(docs: DataFrame, rules: dict[str, Rule], sample_rows: int = 500, sample_chars: int = 4000, text: str = "text") -> list[str]:
-    """Names of ``rules`` by rejections per second on the first ``sample_rows`` rows, the best first.
 
-    A rule's cost is the time of one pass over the sample less that of a pass
-    without a rule. Sample texts are cut at ``sample_chars`` characters, which bounds
-    the sample. It only sets the order; the verdict is the same in any.
+
+@dataclass(frozen=True)
+class Estimate:
+    """What a rule does to a sample: rows it rejects, of how many, and seconds it takes for a million characters."""
+
+    name: str
+    rejected: int
+    rows: int
+    seconds: float
+
+    @property
+    def rate(self) -> float:
+        """Rejections per cost. Costs count by their power of two, so that small differences of two timings do not matter."""
+        return (self.rejected + 0.5) / (self.rows + 1) / 2.0 ** round(math.log2(self.seconds))
+
+
+def draw(docs: DataFrame, rows: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The whole texts of ``rows`` documents at random: those whose keys have the smallest hashes, the same ones each time.
+
+    The keys alone are read to find the hashes; ``rows`` of these come to the driver.
+    """
+    rank = F.xxhash64(F.col(key), F.lit(SEED))
+    least = [r.h for r in docs.select(rank.alias("h")).orderBy("h").limit(rows).collect()]
+    return docs.where(rank <= F.lit(max(least, default=0))).select(F.coalesce(F.col(text), F.lit("")).alias("_text")).limit(rows)
+
+
+def estimate_rules(docs: DataFrame, rules: dict[str, Rule], sample_rows: int = SAMPLE_ROWS, rounds: int = 3, text: str = "text", key: str = "doc_id") -> list[Estimate]:
+    """Rejections and costs of ``rules`` on a random sample of ``sample_rows`` whole texts.
+
+    Every rule runs once before anything is timed. Then ``rounds`` passes time a run
+    without a rule and one of each rule, and a rule's cost is the median of its
+    differences. A run goes over the sample as often as makes SAMPLE_CHARS characters.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, sample_chars).alias("_text")).take(sample_rows)
-    # by a literal and a small table: no Python process starts on the executors, and no later plan holds the texts
-    literal = F.from_json(F.lit(json.dumps([r[0] for r in rows])), "array<string>")
-    sample = spark.range(1).select(F.explode(literal).alias("_text")).withColumn("_words", words(F.col("_text"))).withColumn("_lines", lines(F.col("_text")))
-    sample = materialize(sample, "rule-sample")
+    sample = draw(docs, sample_rows, text, key).withColumn("_words", words(F.col("_text"))).withColumn("_lines", lines(F.col("_text")))
+    sample = materialize(sample.coalesce(1), "rule-sample")
     try:
-        n = sample.count()
+        n, chars = sample.agg(F.count("*"), F.coalesce(F.sum(F.char_length("_text")), F.lit(0))).first()
+        times = max(1, min(1000, SAMPLE_CHARS // max(chars, 1)))
+        repeated = sample.coalesce(1).withColumn("_time", F.explode(F.sequence(F.lit(1), F.lit(times))))
 
         def timed(rule: Column) -> tuple[int, float]:
             began = time.perf_counter()
-            hits = sample.agg(F.count_if(rule)).first()[0]
-            return hits, time.perf_counter() - began
-
-        timed(F.lit(False))
-        floor = timed(F.lit(False))[1]
-        rate = {}
-        for name, rule in rules.items():
-            hits, took = timed(rule(F.col("_text"), F.col("_words"), F.col("_lines")))
-            rate[name] = (hits + 0.5) / (n + 1) / max(took - floor, 1e-4)
-        return sorted(rules, key=lambda k: -rate[k])
+            hits = repeated.agg(F.count_if(rule)).first()[0]
+            return hits // times, time.perf_counter() - began
+
+        columns = {name: rule(F.col("_text"), F.col("_words"), F.col("_lines")) for name, rule in rules.items()}
+        nothing = F.length("_text") < 0
+        hits = {name: timed(c)[0] for name, c in columns.items()}
+        timed(nothing)
+        took: dict[str, list[float]] = {name: [] for name in rules}
+        for _ in range(rounds):
+            floor = timed(nothing)[1]
+            for name, c in columns.items():
+                took[name].append(timed(c)[1] - floor)
+        least = 1e-3 * max(chars * times, 1) / 1e6
+        return [Estimate(name, hits[name], n, max(median(took[name]), least) / max(chars * times, 1) * 1e6) for name in rules]
     finally:
         discard(sample)
 
 
+def order_rules(docs: DataFrame, rules: dict[str, Rule], sample_rows: int = SAMPLE_ROWS, text: str = "text", key: str = "doc_id") -> list[str]:
+    """Names of ``rules`` by rejections per cost, the best first; equal ones as they are given. The verdict is the same in any order."""
+    found = {e.name: e.rate for e in estimate_rules(docs, rules, sample_rows, text=text, key=key)}
+    return sorted(rules, key=lambda k: -found[k])
+
+
 def verdict(order: list[str], rules: dict[str, Rule], t: Column, w: Column, x: Column, given: dict[str, Column] | None = None) -> Column:
     """True if no rule rejects; later rules are not evaluated once one does. ``given``: known values of rules."""
     given = given or {}
@@ -115,12 +154,13 @@ def verdict(order: list[str], rules: dict[str, Rule], t: Column, w: Column, x: C
     return out.otherwise(True)
 
 
-def score(docs: DataFrame, sample_rows: int = 500) -> DataFrame:
+def score(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id``, the base counts, ``base_failed`` and ``kept``, one row per row of ``docs``.
 
     A null or blank text has no words and fails. Rows with equal or null ids are
     judged one by one; an empty table gives no rows; columns besides ``doc_id``
-    and ``text`` are ignored. Nothing is shuffled.
+    and ``text`` are ignored. Texts are judged whole, one at a time; rules on distinct
+    words go by windows, so that a long clean text passes. Nothing is shuffled.
     """
     docs = docs.select("doc_id", "text")
     order = order_rules(docs, METHOD, sample_rows)
@@ -146,8 +186,12 @@ def score(docs: DataFrame, sample_rows: int = 500) -> DataFrame:
     return out.select("doc_id", "_j.b.*", "_j.base_failed", "_j.kept")
 
 
-def accepted(docs: DataFrame, sample_rows: int = 500) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, base rules included; all columns stay."""
+def accepted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, base rules included; all columns stay.
+
+    Null and blank texts go. Rows with equal or null ids are judged one by one; an
+    empty table stays empty; texts are judged whole.
+    """
     rules = BASE | METHOD
     order = order_rules(docs, rules, sample_rows)
     text = F.coalesce("text", F.lit(""))  # one expression: as a filter it goes below any column that it could use
@@ -171,7 +215,7 @@ b AS (
          CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines,
-         CAST(len(list_distinct(ws)) AS BIGINT) AS n_distinct,
+         CAST(coalesce(list_sum([len(list_distinct(ws[k * 1000 + 1:k * 1000 + 1000])) FOR k IN range(0, (len(ws) + 999) // 1000)]), 0) AS BIGINT) AS n_distinct,
          CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper,
          CAST(length(regexp_replace(t, '[^0-9]', '', 'g')) AS BIGINT) AS n_digits
   FROM w LEFT JOIN r ON w.doc_id = r.doc_id),

@@ -73,3 +73,44 @@ def test_long_clean_text_stays_and_poor_text_goes(spark):
     rows = quality.score(df).collect()
     assert not any(r.base_failed for r in rows)
     assert {r.doc_id for r in rows if r.kept} == {0, 1} == {r.doc_id for r in quality.accepted(df).collect()}
+
+
+def test_cheap_and_selective_rules_come_first(spark):
+    """Planted rules: the order follows rejections per cost, and stays the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    slow = lambda t, w: quality.repeat_words(w) + quality.repeat_words(w, 4) + quality.repeat_words(w, 6)
+    from pyspark.sql import functions as F
+
+    rules = {
+        "slow_rare": lambda t, w, x: slow(t, w) > 10**6,
+        "slow_frequent": lambda t, w, x: slow(t, w) > -1,
+        "cheap_rare": lambda t, w, x: F.size(w) > 10**6,
+        "cheap_frequent": lambda t, w, x: F.size(w) > 1,
+    }
+    found = {e.name: e for e in quality.estimate_rules(docs, rules)}
+    assert found["slow_rare"].seconds > 4 * found["cheap_rare"].seconds
+    assert found["slow_rare"].rejected == found["cheap_rare"].rejected == 0 and found["cheap_frequent"].rejected > 400 and found["cheap_frequent"].rows == 500
+    assert {tuple(quality.order_rules(docs, rules)) for _ in range(5)} == {("cheap_frequent", "slow_frequent", "cheap_rare", "slow_rare")}
+
+
+def test_sample_is_of_whole_texts_and_the_same_each_time(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.text for r in docs.collect()}
+    one, two = (sorted(r[0] for r in quality.draw(d, 100).collect()) for d in (docs, docs.repartition(5)))
+    assert one == two and len(one) == 100 and set(one) <= texts
+    ids = spark.createDataFrame([(None, "a"), (None, None), (1, "b"), (1, "c")], "doc_id long, text string")
+    assert quality.draw(ids, 3).count() == 3 and quality.draw(ids.limit(0), 3).count() == 0
+
+
+def test_long_texts_equal_the_sql(spark):
+    """Distinct words go by windows in the query and in its SQL."""
+    import duckdb
+
+    rows = [(i, " ".join(f"w{(k * 7) % m}x" for k in range(n))) for i, (n, m) in enumerate([(1000, 150), (1000, 300), (5000, 900), (20000, 2500), (1999, 199), (30, 30)])]
+    duck = duckdb.connect()
+    duck.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    found = duck.sql(quality.ORACLE)
+    want = sorted(dict(zip([d[0] for d in found.description], r)).items() for r in found.fetchall())
+    got = sorted(sorted(r.asDict().items()) for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(sorted(w) for w in want) and len({dict(g)["kept"] for g in got}) == 2
