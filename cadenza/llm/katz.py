@@ -384,17 +384,16 @@ class Batch:
         self.number = self.number[number]  # each token's n-gram
 
     def sent(self) -> list[tuple[int, bytes]]:
-        """A blob for each partition that owns n-grams of the next order."""
+        """A blob for each partition that owns n-grams of the next order; a word's count stands for its probability."""
         counts = np.bincount(self.number[self.learned], minlength=len(self.end)).astype(np.int32)
-        lower = np.where(counts > 0, self.probs[self.lower], 0.0)
+        lower = np.where(counts > 0, self.counts[self.lower] if self.order == 1 else self.probs[self.lower], 0)
         out = []
         for k, (lo, hi) in enumerate(zip(self.cut, self.cut[1:])):
             if lo < hi:
                 new = np.flatnonzero(self.new[lo:hi])
                 repeat = np.diff(np.r_[new, hi - lo]).astype(np.int32)
-                values, code = np.unique(lower[lo:hi], return_inverse=True)
                 heads = [delta(c[lo:hi][new]) for c in self.columns[:-1]]
-                out.append((self.keys[k], squeeze(*heads, repeat, self.split[lo:hi][new], self.columns[-1][lo:hi], counts[lo:hi], code.astype(np.uint32), values)))
+                out.append((self.keys[k], squeeze(*heads, repeat, self.split[lo:hi][new], self.columns[-1][lo:hi], counts[lo:hi], lower[lo:hi])))
         return out
 
     def climb(self, parts: list[tuple[int, bytes]], table: tuple[list[np.ndarray], np.ndarray], factors: tuple[float, ...]) -> None:
@@ -457,7 +456,7 @@ def found_schema(order: int) -> str:
     return f"kind string, batch string, p int, blob binary, {ids}count long, " + ", ".join(f"{k} double" for k in STATS)
 
 
-def count_grams(batches_of: DataFrame, pass_over: Callable, order: int, keys: list[int], kept: int) -> DataFrame:
+def count_grams(pass_over: Callable, order: int, model: Model, keys: list[int], kept: int) -> DataFrame:
     """Count the n-grams of an order. Five kinds of rows:
 
     ``gram``: ids and ``count`` of each n-gram of count ``kept`` or more; ``context``: STATS of a context;
@@ -468,8 +467,9 @@ def count_grams(batches_of: DataFrame, pass_over: Callable, order: int, keys: li
 
     def opened(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Of n-grams: columns of ids, counts and lower probabilities; of runs: first n-gram and whether it is of a split context."""
-        *heads, repeat, split, last, counts, code, values = unpack(blob)
-        return [*(np.repeat(np.cumsum(c, dtype=np.uint64), repeat) for c in heads), last, counts, values[code]], [np.cumsum(repeat) - repeat, split]
+        *heads, repeat, split, last, counts, lower = unpack(blob)
+        lower = np.where(counts > 0, model.word(lower), 0.0) if order == 2 else lower
+        return [*(np.repeat(np.cumsum(c, dtype=np.uint64), repeat) for c in heads), last, counts, lower], [np.cumsum(repeat) - repeat, split]
 
     def settle(p: int, blobs: list[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
         rows, runs = zip(*(opened(blob) for _, blob in blobs))
@@ -552,7 +552,7 @@ def score(docs: DataFrame, kept: int = KEPT, order: int = 2) -> DataFrame:
     if order < 2:
         raise ValueError("the order is two or more")
     spark = docs.sparkSession
-    keys, uri = partition_keys(spark, 2 * wide(spark)), new_path(spark, "katz-files")
+    keys, uri = partition_keys(spark, wide(spark)), new_path(spark, "katz-files")
     coded = materialize(code(docs, uri), "katz-batches")
     found = [materialize(count_words(coded, uri, keys), "katz-words")]
     model = totals(found[0].where("kind = 'word'").select("word", "c"))
@@ -584,7 +584,7 @@ def score(docs: DataFrame, kept: int = KEPT, order: int = 2) -> DataFrame:
         return rows.repartition(wide(spark), "batch").sortWithinPartitions("batch", "kind").mapInArrow(meet, schema)
 
     for k in range(2, order + 1):
-        now = materialize(count_grams(coded, pass_over, k, keys, kept), f"katz-grams-{k}")
+        now = materialize(count_grams(pass_over, k, model, keys, kept), f"katz-grams-{k}")
         hist = {r.p: r.c for r in now.where("kind = 'histogram'").groupBy("p").agg(F.sum("count").alias("c")).collect()}
         factors.append(tuple(good_turing([hist.get(r, 0) for r in range(1, LOW + 2)], kept - 1)))
         tables.append(materialize(parts_of(now, k), f"katz-split-{k}")._cadenza_path)
