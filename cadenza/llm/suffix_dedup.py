@@ -8,7 +8,9 @@ that start there are sorted, each with the text before it that its windows cover
 (first round). An anchor whose text equals an earlier one's repeats as a whole, and
 one that is alone with its k-gram is unique. The others, at the edges of repeats,
 stand together in the order, a k-gram at a time; which of their windows repeat is
-found by sorting these windows themselves, as 100-byte suffix prefixes (second round).
+found by sorting these windows themselves, as 100-byte suffix prefixes: where they meet
+if they fit a run, else, as at the edges of a passage that very many documents share,
+by exchanging them too (second round).
 
 Both rounds are the same merge sort: tasks sort runs, front-code them, and deal
 them out by a leading hash of the string, so that ranges are even and equal strings
@@ -244,7 +246,7 @@ class Run:
 
     def flush(self) -> pa.RecordBatch:
         """Equal strings keep their first record, the others are spans to remove. Where ``group`` leading
-        bytes mean that windows may be shared, a group of several strings sends its first one only,
+        bytes mean that windows may be shared, a group with more than RUN windows sends its first string only,
         marked, and the windows of all of them are open. ``turn`` says to whom spans and edges go; tasks
         begin with different ones."""
         rows, self.held = self.held, []
@@ -260,7 +262,7 @@ class Run:
         if self.edge:
             head = np.r_[True, shared[1:] < self.group]
             number = np.cumsum(head) - 1
-            many = np.bincount(number)[number] > 1
+            many = np.bincount(number, weights=[n_windows(x[0]) for x in rows])[number] > RUN
             edges = [rows[i] for i in np.flatnonzero(many)]
             travels = np.flatnonzero(head | ~many)
             rows, shared, marks = [rows[i] for i in travels], shared[travels], many[travels].astype(np.int64)
@@ -319,25 +321,47 @@ def merge(blobs: list[tuple[int, bytes]], group: int, spans: Callable[[Record],
             yield _edge_batch(blob)
     gone: list[tuple[int, int, int, int]] = []
     edges: list[tuple[int, int, int, bytes]] = []
-    first: list[Record] = []  # the only string of a group, until there is another
-    seen = is_open = False
-    size, before = 0, None
+    held: list[Record] = []  # the strings of a group, as long as their windows fit a run
+    total = size = 0
+    before = None
+
+    def settle() -> None:
+        """Sort the windows of a group: those that equal the one before are spans to remove."""
+        nonlocal held, total
+        if len(held) > 1:
+            windows = []
+            for x in held:
+                start, text = edge(x)
+                windows += [(text[i : i + WINDOW], x[1], x[2], start + i) for i in range(len(text) - WINDOW + 1)]
+            windows.sort()
+            again = sorted((y[1:] for x, y in zip(windows, windows[1:]) if x[0] == y[0]))
+            first = last = None
+            for d, r, start in again:
+                if first and last == (d, r, start - 1):
+                    last = (d, r, start)
+                    continue
+                if first:
+                    gone.append((*first, last[2] + WINDOW))
+                first = last = (d, r, start)
+            if first:
+                gone.append((*first, last[2] + WINDOW))
+        held, total = [], 0
+
     for shared, key, (d, r, pos, mark) in LoserTree([decode(b) for kind, b in blobs if kind == 0]):
         x = (key, d, r, pos)
+        if edge and shared < group:
+            settle()
         again = shared == len(key) == size
         if again and x != before:
             gone.append((d, r, *spans(x)))
         if edge:
-            if shared < group:
-                first, seen, is_open = [], False, False
-            if mark or (seen and not again):
-                is_open = True
             if not mark and not again:  # the windows of marked ones are open already
-                first.append(x)
-            if is_open:
-                edges += [(y[1], y[2], *edge(y)) for y in first]
-                first = []
-            seen = True
+                held.append(x)
+                total += n_windows(key)
+            if mark or total > RUN:
+                total = RUN + 1  # the group stays open
+                edges += [(y[1], y[2], *edge(y)) for y in held]
+                held = []
         size, before = len(key), x
         if len(gone) >= 100_000:
             yield _span_batch(np.array(gone, dtype=np.int64).T)
@@ -345,12 +369,18 @@ def merge(blobs: list[tuple[int, bytes]], group: int, spans: Callable[[Record],
         if len(edges) >= 20_000:
             yield _edge_batch(edge_blob(edges))
             edges = []
+    settle()
     if gone:
         yield _span_batch(np.array(gone, dtype=np.int64).T)
     if edges:
         yield _edge_batch(edge_blob(edges))
 
 
+def n_windows(key: bytes) -> int:
+    """How many windows an anchor's key stands for."""
+    return key[8 + K] - key[9 + K] + 1
+
+
 def anchor_key(text: bytes, code: int) -> bytes:
     """k-gram hash, k-gram, the two distances, and the text to the right and, reversed, to the left."""
     at, far, near = code >> 14, code >> 7 & 127, code & 127
