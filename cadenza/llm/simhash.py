@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -42,29 +43,35 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sh
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
-def split_bits(blocks: int) -> list[tuple[int, int]]:
-    """``(shift, mask)`` of ``blocks`` runs that cover 64 bits."""
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    return [(lo, (1 << hi - lo) - 1) for lo, hi in zip(cuts, cuts[1:])]
+def split_bits(mask: int, parts: int) -> list[int]:
+    """Masks of ``parts`` runs of about equally many bits that make up ``mask``."""
+    places = [i for i in range(64) if mask >> i & 1]
+    cuts = [len(places) * i // parts for i in range(parts + 1)]
+    return [sum(1 << i for i in places[lo:hi]) for lo, hi in zip(cuts, cuts[1:]) if lo < hi]
 
 
-def near(x: np.ndarray, bits: int, split: bool = True) -> list[tuple[int, int]]:
+def near(x: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links that span the components of ``x`` (distinct uint64) under a Hamming distance of at most ``bits``.
 
-    A node's hits leave the list of open nodes, so a tight group of m costs about
-    m comparisons and gives m - 1 links. A long list is first split once more:
-    of ``bits`` + 1 blocks a close pair shares one.
+    A long list is split once more by the bits that vary in it: of ``bits`` + 1 runs of them
+    a close pair shares one. In a short one a node's hits leave the list of open
+    nodes, so a tight group of m costs about m comparisons and gives m - 1 links.
     """
+    if len(x) <= COMPARE_BLOCK:
+        return spanning(x, bits)
+    links: list[tuple[int, int]] = []
+    for mask in split_bits(int(np.bitwise_or.reduce(x) & ~np.bitwise_and.reduce(x)), bits + 1):
+        key = x & np.uint64(mask)
+        order = np.argsort(key, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            if len(part) > 1:
+                links += near(x[part], bits) if len(part) <= len(x) // 2 else spanning(x[part], bits)
+    return links
+
+
+def spanning(x: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """The same by comparing each node with the open ones."""
     links: list[tuple[int, int]] = []
-    if split and len(x) > COMPARE_BLOCK:
-        for shift, mask in split_bits(bits + 1):
-            key = (x >> np.uint64(shift)) & np.uint64(mask)
-            order = np.argsort(key, kind="stable")
-            edges = np.flatnonzero(np.diff(key[order])) + 1
-            for part in np.split(order, edges):
-                if len(part) > 1:
-                    links += near(x[part], bits, False)
-        return links
     rest = x
     while len(rest) > 1:
         front, rest = [rest[0]], rest[1:]
@@ -79,13 +86,14 @@ def near(x: np.ndarray, bits: int, split: bool = True) -> list[tuple[int, int]]:
     return links
 
 
-def cross(x: np.ndarray, y: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links between two lists, one at least for each component that spans both."""
-    links: list[tuple[int, int]] = []
-    for a in x:
-        hit = y[np.bitwise_count(y ^ a) <= bits]
-        links += [(int(a), int(b)) for b in hit]
-    return links
+def signed(x: int) -> int:
+    """A 64-bit number as Spark's long."""
+    return x - (1 << 64) if x >> 63 else x
+
+
+def bucketed(rows: DataFrame) -> DataFrame:
+    """``(fp, mask, bucket)``: a bucket for the bits of each fingerprint that its ``mask`` selects."""
+    return rows.select("fp", "mask", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
 
 
 def links(fps: DataFrame, bits: int = 3, blocks: int = 5, salt_rows: int = 200_000) -> DataFrame:
@@ -94,54 +102,56 @@ def links(fps: DataFrame, bits: int = 3, blocks: int = 5, salt_rows: int = 200_0
     Fingerprints are split into ``blocks`` runs; a pair at ``bits`` or fewer
     differing bits agrees on ``blocks - bits`` of them, so one row goes out for
     each choice of that many runs. Rows that meet on a choice are compared by
-    Hamming distance. A bucket of more than ``salt_rows`` rows is dealt to a
-    triangle of salted parts, so no task holds more than two parts of it.
+    Hamming distance. A bucket of more than ``salt_rows`` rows is split by the same
+    argument, as often as it takes: its other bits make ``bits + 1`` runs, of which a
+    close pair shares one. So no task holds more than that, and a bucket of any size
+    costs ``bits + 1`` rows for each of its rows, not all pairs of its parts.
     """
     spark = fps.sparkSession
-    runs = split_bits(blocks)
-    keys = []
-    for i, pick in enumerate(combinations(runs, blocks - bits)):
-        parts = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(m)) for s, m in pick]
-        keys.append(F.xxhash64(F.lit(i), *parts))
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("bucket"))
-    big = materialize(rows.groupBy("bucket").count().where(F.col("count") > salt_rows), "big-buckets")
-    n = F.ceil(F.col("count") / salt_rows).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), n).cast("int")
-    if big.isEmpty():
-        dealt = rows.select("bucket", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("own"), "fp")
-    else:
-        salted = rows.join(big, "bucket", "left").withColumn("n", F.coalesce(n, F.lit(1))).withColumn("own", F.coalesce(own, F.lit(0)))
-        salted = salted.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        dealt = salted.select("bucket", F.least("own", "o").alias("a"), F.greatest("own", "o").alias("b"), "own", "fp")
+    runs = split_bits((1 << 64) - 1, blocks)
+    first = [signed(sum(pick)) for pick in combinations(runs, blocks - bits)]
+    now = bucketed(fps.select("fp", F.explode(F.array(*map(F.lit, first))).alias("mask")))
+    done: list[DataFrame] = []
+    while True:
+        big = materialize(now.groupBy("bucket", "mask").count().where(F.col("count") > salt_rows).select("bucket", "mask"), "big-buckets")
+        deeper = [(r.mask, signed((r.mask | run) % (1 << 64))) for r in big.select("mask").distinct().collect() for run in split_bits(~r.mask % (1 << 64), bits + 1)]
+        if not deeper:
+            discard(big)
+            done.append(now)
+            break
+        done.append(now.join(big, ["bucket", "mask"], "left_anti"))
+        finer = spark.createDataFrame(deeper, "mask long, finer long")
+        rows = now.join(big, ["bucket", "mask"], "left_semi").join(F.broadcast(finer), "mask")
+        now = materialize(bucketed(rows.select("fp", F.col("finer").alias("mask")).distinct()), "finer-buckets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(fp: np.ndarray, own: np.ndarray, a: int, b: int) -> list[tuple[int, int]]:
-            if a == b:
-                return near(np.unique(fp), bits) if len(fp) > 1 else []
-            return cross(np.unique(fp[own == a]), np.unique(fp[own == b]), bits)
+        now, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            fp = np.concatenate(held)
+            return made(near(np.unique(fp), bits) if len(fp) > 1 else [])
 
-        held: list[tuple] = []
         for batch in batches:
-            bk, a, b, own = (batch.column(i).to_numpy() for i in range(4))
-            fp = batch.column(4).to_numpy().view(np.uint64)
-            new = np.flatnonzero((np.diff(bk) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)) + 1
+            bucket, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            new = np.flatnonzero(np.diff(bucket)) + 1
             out: list[tuple[int, int]] = []
-            for lo, hi in zip(np.r_[0, new], np.r_[new, len(bk)]):
-                key = (bk[lo], a[lo], b[lo])
-                if held and held[0][0] != key:
-                    out += flush(np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), *held[0][0][1:])
+            for lo, hi in zip(np.r_[0, new], np.r_[new, len(bucket)]):
+                if held and now != bucket[lo]:
+                    if sum(map(len, held)) > 1:
+                        out += near(np.unique(np.concatenate(held)), bits)
                     held = []
-                held.append((key, fp[lo:hi], own[lo:hi]))
+                now = bucket[lo]
+                held.append(fp[lo:hi])
             yield made(out)
         if held:
-            yield made(flush(np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), *held[0][0][1:]))
+            yield flush()
 
     def made(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
         x = np.array(pairs, dtype=np.uint64).reshape(-1, 2).view(np.int64)
         return pa.record_batch([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["u", "v"])
 
-    grouped = dealt.repartition(wide(spark), "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    return grouped.mapInArrow(run, "u long, v long")
+    dealt = reduce(DataFrame.unionAll, (x.select("bucket", "fp") for x in done))
+    return dealt.repartition(wide(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, bits: int = 3, blocks: int = 5, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -152,7 +162,7 @@ def near_duplicates(docs: DataFrame, bits: int = 3, blocks: int = 5, shingle: in
     zero and link like any other; rows with a null ``doc_id`` take part and get
     the id of their component, null if no member has one; equal ids stay
     separate rows. An empty table gives no rows. Columns besides ``doc_id`` and
-    ``text`` are ignored.
+    ``text`` are ignored. Texts of any length are read whole, one at a time.
     """
     own = materialize(fingerprints(docs, shingle=shingle, seed=seed), "fingerprints")
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")

@@ -74,3 +74,36 @@ def test_query_on_documents(spark):
     assert got(simhash.near_duplicates(docs)) == brute(rows)
     kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
     assert kept == {c for _, _, c in brute(rows)}
+
+
+def test_large_buckets_give_spanning_links_in_linear_space(spark):
+    """Tight and loose groups of thousands in one bucket: few links, the components of all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(0, 1 << 60))
+    tight = [base ^ (1 << i) ^ (1 << j) ^ (1 << k) for i in range(24) for j in range(i) for k in range(j)]
+    loose = [int(x) << 26 for x in rng.integers(0, 1 << 37, 3000)]
+    prints = sorted({x % (1 << 63) for x in [base, *tight, *loose]})
+    fps = spark.createDataFrame([(x,) for x in prints], "fp long")
+    found = simhash.links(fps, salt_rows=500).collect()
+    whole = simhash.spanning(np.array(prints, dtype=np.uint64), 3)
+
+    def classes(pairs):
+        label = {x: x for x in prints}
+
+        def root(x):
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        for a, b in pairs:
+            a, b = root(a), root(b)
+            label[max(a, b)] = min(a, b)
+        return {x: root(x) for x in prints}
+
+    assert all(bin(r.u ^ r.v).count("1") <= 3 for r in found)
+    assert classes([(r.u, r.v) for r in found]) == classes(whole)
+    assert len(found) < 300 * len(prints), "not all pairs"
+    assert classes(simhash.near(np.array(prints, dtype=np.uint64), 3)) == classes(whole)
