@@ -12,6 +12,8 @@ from .quality import words
 
 #: A block's name has at most so many hexadecimal digits: at most 65,536 blocks a source.
 MOST_DIGITS = 4
+#: Columns of a copy.
+ADDED = ("epoch", "block", "block_key", "doc_key", "n_tokens")
 
 
 @dataclass(frozen=True)
@@ -113,7 +115,7 @@ def copies(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     ids. An empty table gives no rows. Other columns stay as they are, save
     those named like the added ones, which are replaced.
     """
-    names = [c for c in docs.columns if c not in ("epoch", "block", "block_key", "doc_key", "n_tokens")]
+    names = [c for c in docs.columns if c not in ADDED]
     rows = token_counts(docs.select(names))
     counted = materialize(rows.select("doc_id", "_source", "n_tokens"), "mix-documents")
     _, share, blocks, taken = plan(counted, mix)
@@ -130,8 +132,10 @@ def copies(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The copies with the columns of ``docs`` alone."""
-    return copies(docs, mix).select([c for c in docs.columns])
+    """The copies with the columns of ``docs`` alone, those named like the columns of ``copies`` too."""
+    kept = {c: f"_own_{c}" for c in docs.columns if c in ADDED}
+    out = copies(docs.withColumnsRenamed(kept), mix)
+    return out.select([F.col(kept.get(c, c)).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -1,4 +1,9 @@
-"""Near copies by five-word Jaccard: MinHash buckets, loose components, exact check inside them."""
+"""Near copies by five-word Jaccard: SimHash links, MinHash buckets for what they miss, exact check inside loose components.
+
+SimHash at few bits finds copies with few edits. Texts at a Jaccard index of 0.8 differ in
+about 10 of 64 bits, a distance at which pigeonhole blocks are too short to tell texts apart;
+so candidates come from MinHash buckets too. Every link is then checked by the true index.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, materialize, wide
+from . import simhash
+from .common import discard, materialize, wide
 from .graph import components
 
 #: Rows a band and bands: a pair at Jaccard 0.8 shares no bucket with probability (1 - 0.8 ** 6) ** 50 = 2.6e-7.
@@ -23,11 +29,16 @@ FACTORS = _RNG.integers(0, 1 << 31, (BAND * BANDS, 1), dtype=np.uint32) * np.uin
 ADDENDS = _RNG.integers(0, 1 << 32, (BAND * BANDS, 1), dtype=np.uint32)
 
 
-def shingles(text: bytes, width: int = 5) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, ascending; a shorter text is one shingle."""
-    words = text.translate(LOWER).split()
-    grams = zip(*(words[i:] for i in range(width))) if len(words) >= width else [words]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), 42) for g in grams), dtype="<u8"))
+#: Words of a shingle.
+WORDS = 5
+#: The one shingle of a text without a word.
+NO_WORD = np.array([xxhash.xxh64_intdigest(b"", 42)], dtype="<u8")
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending; a text without a word has one of its own."""
+    h = simhash.shingle_hashes(text, WORDS)
+    return np.unique(h) if len(h) else NO_WORD
 
 
 def buckets(x: np.ndarray) -> list[int]:
@@ -66,21 +77,33 @@ def spanning(nodes: list[int], sets: list[np.ndarray], percent: int = 80) -> lis
 
 
 def signed(rows: DataFrame) -> DataFrame:
-    """``(row, node, n, buckets)``: equal shingle sets are one node."""
+    """``(row, node, n, fp, buckets)``: equal shingle sets are one node; ``fp`` is the SimHash of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for t in b.column(1):
-                x = shingles(t.as_py())
+                h = simhash.shingle_hashes(t.as_py(), WORDS)
+                x = np.unique(h) if len(h) else NO_WORD
                 nodes.append(xxhash.xxh64_intdigest(x.tobytes(), 7))
                 sizes.append(len(x))
+                prints.append(simhash.majority(h))
                 keys += buckets(x)
-            flat = pa.array(np.array(keys, dtype=np.uint64).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.record_batch([b.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists], names=["row", "node", "n", "buckets"])
+            long = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), long(keys))
+            yield pa.record_batch([b.column(0), long(nodes), pa.array(sizes, pa.int64()), long(prints), lists], names=["row", "node", "n", "fp", "buckets"])
+
+    return rows.mapInArrow(run, "row long, node long, n long, fp long, buckets array<long>")
+
 
-    return rows.mapInArrow(run, "row long, node long, n long, buckets array<long>")
+def simhash_links(own: DataFrame) -> DataFrame:
+    """``(u, v)`` of nodes whose fingerprints are equal or linked, by the SimHash operator's blocks."""
+    prints = materialize(own.groupBy("fp").agg(F.min("node").alias("first")), "five-word-fingerprints")
+    same = own.select("node", "fp").join(prints, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    pairs = simhash.links(prints.select("fp"))
+    for side in ("u", "v"):
+        pairs = pairs.join(prints.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_node")), side)
+    return same.unionAll(pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")))
 
 
 def verified(members: DataFrame, part: int = PART) -> DataFrame:
@@ -124,20 +147,21 @@ def keep_one(docs: DataFrame, part: int = PART) -> DataFrame:
 
     Of a component the row of smallest ``doc_id`` stays, then of smallest hash of
     its text, then any one; a row without an id stays only if no member has one.
-    Null and blank texts are one shingle, the empty one.
+    Null and blank texts are one shingle, the empty one. Texts of any length are read
+    whole. An empty table stays empty; other columns are kept as they are.
     """
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = materialize(docs.withColumn("_near_row", F.monotonically_increasing_id()), "rows")
     text = F.coalesce("text", F.lit("")).cast("binary").alias("t")
-    own = materialize(signed(rows.select(F.col("_row").alias("row"), text)), "signatures")
+    own = materialize(signed(rows.select(F.col("_near_row").alias("row"), text)), "signatures")
     hits = own.select("node", F.explode("buckets").alias("bucket"))
     shared = hits.groupBy("bucket").agg(F.min("node").alias("v"), F.max("node").alias("x")).where("v < x").select("bucket", "v")
-    loose = components(hits.join(shared, "bucket").select(F.col("node").alias("u"), "v"))
-    chosen = own.groupBy("node").agg(F.min("row").alias("_row"), F.first("n").alias("n")).join(loose, "node")
-    members = materialize(rows.join(chosen, "_row").select("root", "node", "n", text), "loose-components")
+    loose = components(simhash_links(own).unionAll(hits.join(shared, "bucket").select(F.col("node").alias("u"), "v")))
+    chosen = own.groupBy("node").agg(F.min("row").alias("_near_row"), F.first("n").alias("n")).join(loose, "node")
+    members = materialize(rows.select("_near_row", text).join(chosen, "_near_row").select("root", "node", "n", "t"), "loose-components")
     roots = components(verified(members, part))
-    label = own.select(F.col("row").alias("_row"), "node").join(roots, "node", "left").select("_row", F.coalesce("root", "node").alias("root"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
-    first = rows.select("_row", order.alias("o")).join(label, "_row").groupBy("root").agg(F.min("o")["_row"].alias("_row"))
-    first = materialize(first.select("_row"), "first-rows")
+    label = own.select(F.col("row").alias("_near_row"), "node").join(roots, "node", "left").select("_near_row", F.coalesce("root", "node").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_near_row")
+    first = rows.select("_near_row", order.alias("o")).join(label, "_near_row").groupBy("root").agg(F.min("o")["_near_row"].alias("_near_row"))
+    first = materialize(first.select("_near_row"), "first-rows")
     discard(members, own)
-    return rows.join(first, "_row", "left_semi").select(docs.columns)
+    return rows.join(first, "_near_row", "left_semi").select(docs.columns)

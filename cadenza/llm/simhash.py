@@ -19,19 +19,28 @@ from .graph import components
 SHINGLE_BLOCK, COMPARE_BLOCK = 1 << 15, 2048
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text; 0 if it has no word."""
+def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included; fewer words are one shingle, none give none."""
     words = text.translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     grams = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else [words]
-    h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), seed) for g in grams), dtype="<u8")
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), seed) for g in grams), dtype="<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), SHINGLE_BLOCK):
         ones += np.unpackbits(h[at : at + SHINGLE_BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash of a text; 0 if it has no word."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 3, seed: int = 42) -> DataFrame:
     """``(doc_id, fp)`` with one row per row of ``docs``; a null text counts as empty."""
 

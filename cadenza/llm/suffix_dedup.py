@@ -486,16 +486,16 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     names of figures.
     """
     spark = docs.sparkSession
-    base = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_t": F.coalesce("text", F.lit("")).cast("binary")})
+    base = docs.withColumns({"_dedup_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_dedup_bytes": F.coalesce("text", F.lit("")).cast("binary")})
     twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    base = base.withColumn("_r", F.xxhash64("_t") if twice else F.lit(0).cast("long"))
-    slim = base.select(F.col("_d").alias("d"), F.col("_r").alias("r"), F.col("_t").alias("t"))
+    base = base.withColumn("_dedup_tie", F.xxhash64("_dedup_bytes") if twice else F.lit(0).cast("long"))
+    slim = base.select(F.col("_dedup_id").alias("d"), F.col("_dedup_tie").alias("r"), F.col("_dedup_bytes").alias("t"))
     slim = slim.dropDuplicates(["d", "r"]) if twice else slim
     candidates = materialize(repeated_anchors(slim), "suffix-candidates")
     spans, _ = removals(slim, candidates)
     discard(candidates)
-    lists = spans.groupBy("d", "r").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    rows = base.join(lists, (base["_d"] == lists["d"]) & (base["_r"] == lists["r"]), "left")
+    lists = spans.groupBy("d", "r").agg(F.collect_list(F.struct("start", "end")).alias("_dedup_spans"))
+    rows = base.join(lists, (base["_dedup_id"] == lists["d"]) & (base["_dedup_tie"] == lists["r"]), "left")
     figures = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     kept = [c for c in docs.columns if c != "text"] if with_text else ["doc_id"]
 
@@ -515,7 +515,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[2:], *made[: 5 if with_text else 4]], names=[*(f"k{i}" for i in range(len(kept))), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * with_text])
 
     fields = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))
-    rows = rows.select(F.col("_t").alias("t"), "_spans", *(docs[c].alias(f"k{i}") for i, c in enumerate(kept)))
+    rows = rows.select(F.col("_dedup_bytes").alias("t"), "_dedup_spans", *(docs[c].alias(f"k{i}") for i, c in enumerate(kept)))
     done = rows.mapInArrow(finish, f"{fields}, {figures}" + ", text string" * with_text)
     if not with_text:
         return done.select(F.col("k0").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
