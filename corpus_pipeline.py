@@ -1,4 +1,9 @@
-"""A training-corpus pipeline over ``documents``: rules, near duplicates, repeated passages, mixing, packing."""
+"""A training-corpus pipeline over ``documents``: rules, near duplicates, repeated passages, mixing, packing.
+
+Each stage takes documents with ``doc_id``, ``text``, ``source`` and any other columns, which it keeps; all but the last
+return the same columns. Null and blank texts go with the rules. Rows with equal ids are documents of their own, as are
+rows without one. Texts of any length are taken whole; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +20,10 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts whose five-word shingles have a Jaccard index of 0.8 or more, and all they reach, the one of smallest id stays."""
+    """Of texts whose five-word shingles have a Jaccard index of 0.8 or more, and all they reach, the one of smallest id stays.
+
+    SimHash links at few bits and MinHash buckets are candidates; the true index decides.
+    """
     return near_copies.keep_one(docs)
 
 
