@@ -6,6 +6,7 @@ import hashlib
 import posixpath
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
@@ -15,12 +16,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compressor, decompressor, materialize, new_path
+from .common import compressor, decompressor, materialize, new_path, wide
 
 #: Payloads are padded to a multiple of BLOCK samples and stored as rows of WIDTH 8-bit grey samples.
 BLOCK, WIDTH, PAD = 576, 24, b"\xff"
 #: Chunk sizes in bytes: least, most, and the bits of the hash that are zero at a cut (2048 bytes on average).
 LEAST, MOST, CUT_BITS = 512, 16384, 11
+#: Bytes of media put together at once; bytes between chunks that one read goes over, and that it may span.
+GROUP_BYTES, GAP, RANGE = 16 << 20, 1 << 14, 4 << 20
 #: Bytes that a gear hash of 32 bits depends on.
 REACH = 32
 
@@ -138,50 +141,128 @@ def index(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("digest").agg(F.min(F.struct("file", "offset", "stored", "uri")).alias("place"))
 
 
+#: A chunk's place: folder, file, first byte, bytes.
+Place = tuple[str, str, int, int]
+
+
+def _place(ref: dict) -> Place:
+    return ref["uri"], ref["file"], ref["offset"], ref["stored"]
+
+
+def _groups(b: pa.RecordBatch, most: int) -> Iterator[list[dict]]:
+    """Rows of a batch by about ``most`` bytes of media."""
+    held, size = [], 0
+    for i in range(b.num_rows):
+        held.append(b.slice(i, 1).to_pylist()[0])
+        size += held[-1]["media_bytes"]
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+class Packs:
+    """Reads chunks from pack files in order of their places; neighbours come with one read."""
+
+    def __init__(self):
+        self.stores: dict[str, fs.FileSystem] = {}
+        self.reads = 0
+
+    def frames(self, places: set[Place]) -> Iterator[tuple[Place, bytes]]:
+        """The stored bytes of places, file by file."""
+        for (uri, file), mine in groupby(sorted(places), key=lambda p: p[:2]):
+            if uri not in self.stores:
+                self.stores[uri] = fs.FileSystem.from_uri(uri)[0]
+            with self.stores[uri].open_input_file(file) as source:
+                near: list[Place] = []
+                for p in [*mine, None]:
+                    if near and (p is None or p[2] - near[-1][2] - near[-1][3] > GAP or p[2] - near[0][2] > RANGE):
+                        first = near[0][2]
+                        data = source.read_at(near[-1][2] + near[-1][3] - first, first)
+                        self.reads += 1
+                        yield from ((q, data[q[2] - first : q[2] - first + q[3]]) for q in near)
+                        near = []
+                    near.append(p)
+
+    def chunks(self, places: set[Place]) -> dict[Place, bytes]:
+        unpack = decompressor()
+        return {p: unpack.decompress(frame) for p, frame in self.frames(places)}
+
+
 def rebuild(manifests: DataFrame, places: DataFrame) -> DataFrame:
     """Read every row's chunks in order, check the whole against ``media_sha256``, and compute features.
 
     Chunk lists join the index on the digest; a row's places come together with
-    their ordinals, bytes are read from the packs only where they are used.
+    their ordinals. Bytes are read where they are used, for about GROUP_BYTES of media
+    at once in order of their places, so that chunks that lie together are one read.
     """
     refs = manifests.select("row", F.posexplode("digests").alias("pos", "digest")).join(places, "digest")
     lists = refs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "place.file", "place.offset", "place.stored", "place.uri"))).alias("refs"))
     rows = manifests.select("row", "doc_id", "n_bytes", "media_bytes", "media_sha256").join(lists, "row")
+    # rows are numbered as they were written: neighbours share packs
+    rows = rows.repartition(wide(manifests.sparkSession), F.shiftright("row", 12)).sortWithinPartitions("row")
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks"]
     kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, stores, files = decompressor(), {}, {}
+        packs = Packs()
+        for b in batches:
+            for group in _groups(b, GROUP_BYTES):
+                found = packs.chunks({_place(ref) for r in group for ref in r["refs"]})
+                cols: list[list] = [[] for _ in names]
+                for r in group:
+                    media = b"".join([found[_place(ref)] for ref in r["refs"]])
+                    digest = hashlib.sha256(media)
+                    if digest.digest() != r["media_sha256"] or len(media) != r["media_bytes"]:
+                        raise ValueError(f"the stored chunks of document {r['doc_id']} do not give its media")
+                    samples = from_media(media)
+                    row = (r["doc_id"], r["n_bytes"], len(samples), hashlib.sha256(samples).hexdigest(), crc32(samples[-32:]), len(media), digest.hexdigest(), feature(samples), len(r["refs"]))
+                    for c, v in zip(cols, row):
+                        c.append(v)
+                yield pa.record_batch([pa.array(c, type=k) for c, k in zip(cols, kinds)], names=names)
 
-        def piece(ref: dict) -> bytes:
-            if ref["file"] not in files:
-                if ref["uri"] not in stores:
-                    stores[ref["uri"]] = fs.FileSystem.from_uri(ref["uri"])[0]
-                if len(files) >= 256:
-                    files.pop(next(iter(files))).close()
-                files[ref["file"]] = stores[ref["uri"]].open_input_file(ref["file"])
-            return unpack.decompress(files[ref["file"]].read_at(ref["stored"], ref["offset"]))
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long")
 
+
+def reclaim(places: DataFrame, uri: str) -> DataFrame:
+    """Rewrite the packs in the folder ``uri`` with the chunks of the index ``places`` alone; returns the new index.
+
+    Copies that other tasks wrote, and the files of tasks that failed, go once the new
+    index is written. Each task copies the live chunks of some files, in order.
+    """
+    spark = places.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, packs, (disk, root) = TaskContext.get(), Packs(), fs.FileSystem.from_uri(uri)
+        path = posixpath.join(root, f"live-{task.partitionId():06d}-{task.taskAttemptId()}.pack")
+        out, at = None, 0
         for b in batches:
-            cols: list[list] = [[] for _ in names]
-            for r in b.to_pylist():
-                media = b"".join(map(piece, r["refs"]))
-                digest = hashlib.sha256(media)
-                if digest.digest() != r["media_sha256"] or len(media) != r["media_bytes"]:
-                    raise ValueError(f"the stored chunks of document {r['doc_id']} do not give its media")
-                samples = from_media(media)
-                row = (r["doc_id"], r["n_bytes"], len(samples), hashlib.sha256(samples).hexdigest(), crc32(samples[-32:]), len(media), digest.hexdigest(), feature(samples), len(r["refs"]))
-                for c, v in zip(cols, row):
-                    c.append(v)
-            yield pa.record_batch([pa.array(c, type=k) for c, k in zip(cols, kinds)], names=names)
+            rows = {_place(r): r["digest"] for r in b.to_pylist()}
+            made = []
+            for place, frame in packs.frames(set(rows)):
+                out = out or disk.open_output_stream(path)
+                out.write(frame)
+                made.append((rows[place], path, at, len(frame), uri))
+                at += len(frame)
+            yield pa.record_batch([pa.array(c, type=k) for c, k in zip(zip(*made) if made else [()] * 5, (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["digest", "file", "offset", "stored", "uri"])
+        if out:
+            out.close()
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long")
+    flat = places.select("digest", "place.file", "place.offset", "place.stored", "place.uri").repartition(wide(spark), "file").sortWithinPartitions("file", "offset")
+    new = materialize(flat.mapInArrow(run, "digest binary, file string, offset long, stored long, uri string").groupBy("digest").agg(F.min(F.struct("file", "offset", "stored", "uri")).alias("place")), "media-index")
+    live = {r.file for r in new.select("place.file").distinct().collect()}
+    store, root = fs.FileSystem.from_uri(uri)
+    for f in store.get_file_info(fs.FileSelector(root)):
+        if f.path not in live:
+            store.delete_file(f.path)
+    return new
 
 
 def media(docs: DataFrame) -> DataFrame:
     """Store ``docs`` as deduplicated media and return each document's figures from the stored bytes.
 
-    A null or empty text is one block of padding. Long texts are many chunks,
+    A null or empty text is one block of padding. Long texts are many chunks, put together one document at a time,
     short ones a single one. Equal texts share all chunks and give equal values;
     rows with equal or null ids are stored one by one. An empty table gives no
     rows. Columns besides ``doc_id`` and ``text`` are ignored.

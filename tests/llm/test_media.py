@@ -68,3 +68,46 @@ def test_damage_is_seen(spark):
 
 def test_empty_table(spark):
     assert media.media(frame(spark).limit(0)).collect() == []
+
+
+def test_feature_by_loops():
+    import math
+
+    data = bytes((i * i) % 251 for i in range(576 * 3))
+    n, w = len(data), media.WIDTH
+    mean = sum(data) / n
+    sd = math.sqrt(sum((b - mean) ** 2 for b in data) / n)
+    entropy = -sum(data.count(v) / n * math.log2(data.count(v) / n) for v in set(data))
+    across = [abs(data[i] - data[i + 1]) for i in range(n - 1) if i % w < w - 1]
+    down = [abs(data[i] - data[i + w]) for i in range(n - w)]
+    want = f"mean={mean:.4f};sd={sd:.4f};entropy={entropy:.4f};across={sum(across) / len(across):.4f};down={sum(down) / len(down):.4f}"
+    assert media.feature(data) == want
+
+
+def test_neighbours_come_with_one_read(tmp_path):
+    path = tmp_path / "x.pack"
+    frames = [media.compressor(3).compress(bytes([i]) * 50) for i in range(100)]
+    path.write_bytes(b"".join(frames))
+    ends = np.cumsum([len(f) for f in frames])
+    places = {("file:///", str(path), int(e) - len(f), len(f)) for e, f in zip(ends, frames)}
+    packs = media.Packs()
+    found = packs.chunks(places)
+    assert packs.reads == 1 and sorted(found.values()) == [bytes([i]) * 50 for i in range(100)]
+
+
+def test_reclaim_leaves_only_live_chunks(spark):
+    """Copies of other tasks and files of failed ones go; every document comes back from what is left."""
+    from pyarrow import fs
+
+    docs = frame(spark).repartition(4)
+    uri = media.new_path(spark, "test-packs")
+    manifests, chunks = media.store(docs.union(docs), uri)
+    store, root = fs.FileSystem.from_uri(uri)
+    with store.open_output_stream(f"{root}/failed.pack") as out:
+        out.write(b"left by a task that failed")
+    size = lambda: sum(f.size for f in store.get_file_info(fs.FileSelector(root)))
+    before, want = size(), sorted(map(str, media.rebuild(manifests, media.index(chunks)).collect()))
+    new = media.reclaim(media.index(chunks), uri)
+    stored = sum(r.place.stored for r in new.collect())
+    assert size() == stored < before
+    assert sorted(map(str, media.rebuild(manifests, new).collect())) == want
