@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from itertools import count, takewhile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,8 +12,6 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 from .quality import words
 
-#: A block's name has at most so many hexadecimal digits: at most 65,536 blocks a source.
-MOST_DIGITS = 4
 #: Columns of a copy.
 ADDED = ("epoch", "block", "block_key", "doc_key", "n_tokens")
 
@@ -19,8 +19,9 @@ ADDED = ("epoch", "block", "block_key", "doc_key", "n_tokens")
 @dataclass(frozen=True)
 class Mix:
     """``budget``: tokens to give out, by default as many as there are. The exponent is the
-    largest in [0, 1] whose weights have at least ``entropy`` nats (if given), then at least
-    the smallest at which no source repeats more than ``repeats`` times (if given)."""
+    largest in [0, 1] whose weights have at least ``entropy`` nats if that is given, else the
+    smallest at which no source repeats more than ``repeats`` times. Limits that no exponent
+    meets, alone or together, are an error."""
 
     budget: int | None = None
     entropy: float | None = None
@@ -61,12 +62,19 @@ def exponent(sources: DataFrame, mix: Mix, total: int, budget: int, tree: int =
         return lo if keep_low else lo + step
 
     low = 0.0
+    if mix.repeats is not None and budget > mix.repeats * total:
+        raise ValueError(f"a budget of {budget} tokens out of {total} repeats some source more than {mix.repeats} times under any weights")
+    if mix.entropy is not None and mix.entropy > math.log(stats.count()) + 1e-12:
+        raise ValueError(f"weights of {stats.count()} sources have less than {mix.entropy} nats")
     if mix.repeats is not None:
         low = bisect(f"r / z * {budget / total!r}D > {float(mix.repeats)!r}D", True)
         low = 1.0 if low >= 1 - 2.0**-mix.halvings else low and low + 2.0**-mix.halvings
     if mix.entropy is None:
         return low
-    return max(low, bisect(f"ln(z) - s / z >= {float(mix.entropy)!r}D", True))
+    high = bisect(f"ln(z) - s / z >= {float(mix.entropy)!r}D", True)
+    if low > high + 2.0 ** (1 - mix.halvings):
+        raise ValueError(f"at {mix.entropy} nats some source repeats more than {mix.repeats} times")
+    return high
 
 
 def plan(docs: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -80,7 +88,8 @@ def plan(docs: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame, DataFrame, Da
     live = sources.where("tokens > 0").withColumn("q", F.pow(F.col("tokens") / F.lit(float(total or 1)), F.lit(x)))
     z = (live.agg(F.sum("q")).first()[0] or 1.0) if total else 1.0
     share = live.select("_source", "tokens", F.round(F.col("q") / F.lit(z) * F.lit(float(budget))).cast("long").alias("want"))
-    digits = sum((F.col("tokens") > mix.block_tokens * 16**d).cast("int") for d in range(MOST_DIGITS))
+    sizes = takewhile(lambda n: n < 1 << 63, (mix.block_tokens * 16**d for d in count()))
+    digits = sum((F.col("tokens") > n).cast("int") for n in sizes)
     share = share.select("_source", "tokens", "want", F.expr("want div tokens").alias("epochs"), F.expr("want % tokens").alias("rest"), digits.alias("digits"))
     share = materialize(share, "mix-shares")
     seed = F.lit(mix.seed)
@@ -107,7 +116,8 @@ def copies(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     epochs: each is a permutation of the source's blocks, and of the documents in
     a block (sort by ``epoch, block_key, doc_key``). The last epoch stops before
     the first document beyond the budget. Sums run over blocks, then inside the
-    one block per source that is cut, so no task sees a whole source.
+    one block per source that is cut, so no task sees a whole source. Blocks have about
+    ``block_tokens`` tokens however large a source is. Texts are counted whole.
 
     A null source is one of its own. Null and blank texts have no tokens and go
     along with their block; a source without tokens has no weight and gives no
@@ -152,7 +162,7 @@ bis AS (
 x AS (SELECT CASE WHEN lo >= 1 - pow(2, -30) THEN 1.0 WHEN lo = 0 THEN 0.0 ELSE lo + pow(2, -30) END AS x FROM bis WHERE i = 30),
 w AS (SELECT s, tokens, CAST(round(pow(p, x) / (SELECT sum(pow(p, x)) FROM p, x) * total) AS BIGINT) AS want FROM p, x),
 sh AS (SELECT s, tokens, want // tokens AS epochs, want % tokens AS rest,
-       CAST(tokens > 65536 AS INT) + CAST(tokens > 1048576 AS INT) + CAST(tokens > 16777216 AS INT) + CAST(tokens > 268435456 AS INT) AS digits FROM w),
+       list_sum([CAST(tokens > 65536 * CAST(pow(16, k) AS BIGINT) AS INT) FOR k IN range(0, 12)]) AS digits FROM w),
 pl AS (SELECT d.*, epochs, rest, substr(md5('17:block:' || doc_id), 1, digits) AS block FROM d JOIN sh ON d.s = sh.s),
 bl AS (SELECT s, block, epochs, rest, sum(n_tokens) AS n FROM pl GROUP BY s, block, epochs, rest),
 be AS (SELECT *, sum(n) OVER (PARTITION BY s ORDER BY md5('17:' || epochs || ':' || s || ':' || block), block) AS e FROM bl),

@@ -63,3 +63,37 @@ def test_blocks_stay_together_and_epochs_differ(spark):
     order = [[r.doc_id for r in sorted(got, key=lambda r: (r.block_key, r.doc_key)) if r.epoch == e] for e in (0, 1)]
     assert sorted(order[0]) == sorted(order[1]) == list(range(300)) and order[0] != order[1]
     assert len({r.block for r in got}) == 16
+
+
+@pytest.mark.parametrize(
+    ("mix", "message"),
+    [
+        (Mix(budget=10_000_000, repeats=2.0), "repeats some source"),
+        (Mix(entropy=5.0, repeats=None), "less than 5.0 nats"),
+        (Mix(budget=2000, entropy=1.38, repeats=1.2), "nats some source repeats"),
+    ],
+)
+def test_limits_that_cannot_be_met_are_an_error(spark, mix, message):
+    with pytest.raises(ValueError, match=message):
+        mixing.copies(table(spark), mix)
+
+
+def test_blocks_of_a_large_source_stay_small(spark):
+    """The number of digits follows the tokens of the source."""
+    docs = frame(spark, [(i, "a", "w " * 20) for i in range(3000)])
+    got = mixing.copies(docs, Mix(repeats=1.0, block_tokens=1)).collect()
+    assert {len(r.block) for r in got} == {4} and len({r.block for r in got}) > 2800
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+    from cadenza.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    found = duck.sql(mixing.ORACLE)
+    names = [d[0] for d in found.description]
+    want = sorted((tuple(r[names.index(c)] for c in sorted(names)) for r in found.fetchall()), key=str)
+    df = queries.op6_mixing(spark, sf)
+    assert sorted((tuple(r[c] for c in sorted(names)) for r in df.collect()), key=str) == want
