@@ -162,7 +162,7 @@ bis AS (
 x AS (SELECT CASE WHEN lo >= 1 - pow(2, -30) THEN 1.0 WHEN lo = 0 THEN 0.0 ELSE lo + pow(2, -30) END AS x FROM bis WHERE i = 30),
 w AS (SELECT s, tokens, CAST(round(pow(p, x) / (SELECT sum(pow(p, x)) FROM p, x) * total) AS BIGINT) AS want FROM p, x),
 sh AS (SELECT s, tokens, want // tokens AS epochs, want % tokens AS rest,
-       list_sum([CAST(tokens > 65536 * CAST(pow(16, k) AS BIGINT) AS INT) FOR k IN range(0, 12)]) AS digits FROM w),
+       CAST(list_sum([CAST(tokens > 65536 * CAST(pow(16, k) AS BIGINT) AS INT) FOR k IN range(0, 12)]) AS BIGINT) AS digits FROM w),
 pl AS (SELECT d.*, epochs, rest, substr(md5('17:block:' || doc_id), 1, digits) AS block FROM d JOIN sh ON d.s = sh.s),
 bl AS (SELECT s, block, epochs, rest, sum(n_tokens) AS n FROM pl GROUP BY s, block, epochs, rest),
 be AS (SELECT *, sum(n) OVER (PARTITION BY s ORDER BY md5('17:' || epochs || ':' || s || ':' || block), block) AS e FROM bl),
