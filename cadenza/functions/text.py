@@ -30,8 +30,12 @@ def normalize(token: Column) -> Column:
     return F.regexp_replace(F.lower(token), r"(?U)[^\w-]", "")
 
 
+#: Fixed value: a word that ends a sentence.
+SENTENCE_END = r"""[.?!]["')\]]*$"""
+
+
 def ends_sentence(word: Column) -> Column:
-    return word.rlike(r"""[.?!]["')\]]*$""")
+    return word.rlike(SENTENCE_END)
 
 
 def last_words(text: Column, n: int) -> Column:

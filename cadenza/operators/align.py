@@ -93,7 +93,8 @@ def assign_speakers(words: DataFrame, spans: DataFrame, least: float = MIN_SPAN,
     after = starts.unionByName(asks).withColumn("after", F.min("x").over(upto)).where("k = 1").select("file", "word_pos", "after")
     out = words.join(hits, ["file", "word_pos"], "left").join(before, ["file", "word_pos"], "left").join(after, ["file", "word_pos"], "left")
     gap = lambda side, d: F.when(F.col(side).isNotNull(), F.struct(d.alias("d"), F.abs(F.col(f"{side}.p")).alias("p"), F.col(f"{side}.speaker").alias("speaker")))
-    nearest = F.least(gap("before", F.col("start") - F.col("before.t")), gap("after", F.col("after.t") - F.col("end")))["speaker"]
+    apart = lambda side: distance(F.col("start"), F.col("end"), F.col(f"{side}.t"), F.col(f"{side}.t"))
+    nearest = F.least(gap("before", apart("before")), gap("after", apart("after")))["speaker"]
     out = out.withColumn("speaker", F.coalesce("_over", "_in", nearest)).withColumn("low", F.col("_over").isNull() & F.col("_in").isNull())
     if missing == "skip":
         out = out.where("speaker is not null")

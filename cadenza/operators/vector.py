@@ -23,10 +23,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """``(qid, id, score, rank)``: the ``k`` nearest of each query by cosine, then id; null vectors last.
 

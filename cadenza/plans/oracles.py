@@ -187,7 +187,7 @@ def oracle_sql() -> dict[str, str]:
             b AS (SELECT file, count(*) AS n_spans, count(*) FILTER ("end" - "start" < %d) AS n_dropped FROM sp GROUP BY file)
             SELECT a.file, n_turns, n_words, n_low, n_spans, n_dropped, round(100.0::DOUBLE * n_low / n_words, 6) AS low_pct FROM a JOIN b ON a.file = b.file""" % MIN_SPAN_MS,
         "low_turns": "WITH " + WORDS + "," + turns("asg") + """, a AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY turn_pos) AS rank FROM tu WHERE n_low > 0)
-            SELECT file, turn_pos, rank, n_low, substr(text, 1, 80) AS snippet FROM a WHERE rank <= 3""",
+            SELECT file, turn_pos, rank, n_low, substr(text, 1, 80) AS snippet FROM a WHERE rank <= 15""",
         "backchannel": f"""WITH a AS (SELECT conv_id, turn, string_split(text, '.') AS ls FROM conversations), b AS (SELECT conv_id, turn, unnest(ls) AS s, unnest(range(0, len(ls))) AS part FROM a),
             c AS (SELECT conv_id, turn, part, list_filter(list_transform(regexp_extract_all(s, '\\S+'), lambda x: regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}_-]', '', 'g')), lambda x: x <> '') AS t FROM b)
             SELECT conv_id, turn, part, len(t) > 0 AND len(list_filter(t, lambda x: x NOT IN ({fillers}))) = 0 AS is_backchannel FROM c""",

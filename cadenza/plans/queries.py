@@ -149,7 +149,7 @@ def align_report(spark, d):
 
 @query
 def low_turns(spark, d):
-    x = align.low_turns(aligned(spark, d), 3)
+    x = align.low_turns(aligned(spark, d))
     return x.select("file", "turn_pos", long("rank"), long("n_low"), text.snippet(F.col("text"), 80).alias("snippet"))
 
 

@@ -149,7 +149,7 @@ def test_search_modes(spark, searcher):
 def test_command_line(spark, searcher, capsys):
     cli.main([searcher[0], "moon", "-k", "2", "--mode", "all"])
     out = capsys.readouterr().out
-    assert "== keyword (2 results) ==" in out and "== hybrid (2 results) ==" in out and "00:00-00:00" in out and "vec= -" in out
+    assert "keyword: 2 found" in out and "hybrid: 2 found" in out and "f.wav @ 00:00 to 00:00 | A: moon base plans" in out and "(words #" in out and "words #1, meaning #" in out
 
 
 def test_report(spark, searcher, tmp_path):
