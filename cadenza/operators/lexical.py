@@ -18,6 +18,8 @@ from ..functions.stem import stem, stem_column
 LEXEME = r"\d+(?:\.\d+)?|\p{L}+"
 #: Weight of a minimal cover without noise.
 WEIGHT = 0.1
+#: Buckets of a stored index by term, and terms that a filter on it names at most.
+BUCKETS, MOST_TERMS = 64, 10_000
 
 
 @lru_cache(maxsize=1)
@@ -83,19 +85,57 @@ def parsed(spark: SparkSession, queries: list[tuple[int, str]], stemmed: bool =
     return spark.createDataFrame(rows, PARSED)
 
 
+def needed(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows of ``index`` whose term is asked for; of a stored index only their buckets and row groups are read.
+
+    Terms of queries are a stated set. If they are few they become a filter that reaches the scan, else a join.
+    """
+    asked = terms.select("term").distinct()
+    found = [r.term for r in asked.limit(MOST_TERMS + 1).collect()]
+    if len(found) > MOST_TERMS:
+        return index.join(asked, "term", "left_semi")
+    rows = index.where(F.col("term").isin(*found)) if found else index.limit(0)
+    if "bucket" in index.columns and found:
+        buckets = {r[0] for r in asked.select(bucket_of("term")).distinct().collect()}
+        rows = rows.where(F.col("bucket").isin(*buckets))
+    return rows.drop("bucket")
+
+
+def bucket_of(term: str) -> Column:
+    """The bucket of a stored index that holds a term."""
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
 def boolean_match(terms: DataFrame, index: DataFrame) -> DataFrame:
     """``(qid, id)`` of documents that have an alternative of every needed group and of no negated one.
 
-    An alternative of several terms is a phrase: its terms stand at their offsets. From
-    one place an offset is met once at most, so hits are counted, map-side first. A
-    query of negated groups alone matches nothing.
+    A single word is looked for by document, its places do not matter. An alternative
+    of several terms is a phrase: its terms stand at their offsets. Its
+    rarest term says where it can be, and only there the others are looked for, each
+    at one place. A query of negated groups alone matches nothing.
     """
-    hits = index.join(F.broadcast(terms) if small(terms) else terms, "term").withColumn("base", F.col("pos") - F.col("off"))
-    full = hits.groupBy("qid", "id", "grp", "negated", "alt", "size", "base").agg(F.count("*").alias("n")).where("n = size")
-    groups = full.select("qid", "id", "grp", "negated").distinct()
+    index = needed(index, terms)
+    group = ["qid", "grp", "negated", "alt", "size"]
+    full = index.select("id", "term").distinct().join(hint(terms.where("size = 1"), terms), "term").select("qid", "id", "grp", "negated")
+    phrases = terms.where("size > 1")
+    if not phrases.isEmpty():
+        counts = index.join(hint(phrases.select("term").distinct(), terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+        rare = F.row_number().over(Window.partitionBy("qid", "grp", "alt").orderBy(F.coalesce("n", F.lit(0)), "off"))
+        ordered = phrases.join(counts, "term", "left").withColumn("r", rare)
+        lead, rest = ordered.where("r = 1").select(*group, "term", "off"), ordered.where("r > 1").select("qid", "grp", "alt", "term", "off")
+        begins = index.join(hint(lead, terms), "term").select(*group, "id", (F.col("pos") - F.col("off")).alias("base"))
+        places = begins.join(hint(rest, terms), ["qid", "grp", "alt"]).withColumn("pos", F.col("base") + F.col("off"))
+        hits = places.join(index, ["id", "term", "pos"])
+        full = full.unionAll(hits.groupBy(*group, "id", "base").agg(F.count("*").alias("n")).where("n = size - 1").select("qid", "id", "grp", "negated"))
+    groups = full.distinct()
     need = terms.groupBy("qid").agg(F.countDistinct(F.when(~F.col("negated"), F.col("grp"))).alias("need"))
     got = groups.groupBy("qid", "id").agg(F.count_if(~F.col("negated")).alias("got"), F.count_if("negated").alias("bad"))
-    return got.join(F.broadcast(need) if small(terms) else need, "qid").where("got = need and bad = 0 and need > 0").select("qid", "id")
+    return got.join(hint(need, terms), "qid").where("got = need and bad = 0 and need > 0").select("qid", "id")
+
+
+def hint(df: DataFrame, terms: DataFrame) -> DataFrame:
+    """A table made of query terms, broadcast if these are proven small."""
+    return F.broadcast(df) if small(terms) else df
 
 
 def small(df: DataFrame, most_bytes: int = 8 << 20) -> bool:
@@ -111,11 +151,12 @@ def cover_density(terms: DataFrame, index: DataFrame, matches: DataFrame) -> Dat
     at the earliest of the terms' latest positions; of covers with one start the first
     end counts.
     """
+    index = needed(index, terms)
     wanted = terms.where("not negated").select("qid", "term").distinct()
     need = wanted.groupBy("qid").agg(F.collect_set("term").alias("all_terms"))
-    hits = index.join(F.broadcast(wanted) if small(terms) else wanted, "term").join(matches, ["qid", "id"], "left_semi")
+    hits = index.join(hint(wanted, terms), "term").join(matches, ["qid", "id"], "left_semi")
     listed = hits.groupBy("qid", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("hits"))
-    listed = listed.join(F.broadcast(need) if small(terms) else need, "qid")
+    listed = listed.join(hint(need, terms), "qid")
     empty = F.transform("all_terms", lambda _: F.lit(None).cast("long"))
     state = F.struct(empty.alias("last"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("covers"))
 

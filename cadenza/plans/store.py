@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.lexical import postings
+from ..operators import lexical
 
 DDL = """CREATE TABLE IF NOT EXISTS {name} (
   id BIGINT NOT NULL, file STRING NOT NULL, speaker STRING NOT NULL, start_ms INT NOT NULL, end_ms INT NOT NULL,
@@ -16,27 +22,110 @@ def create(spark: SparkSession, name: str = "chunks") -> None:
     spark.sql(DDL.format(name=name))
 
 
-def with_ids(chunks: DataFrame, file: str = "stem", pos: str = "chunk_pos") -> DataFrame:
-    """Ids from 1 in order of file and place.
+def with_ids(chunks: DataFrame, file: str = "stem", pos: str = "chunk_pos", block: int = 1 << 16) -> DataFrame:
+    """Ids from 1 in order of file and place, an integer.
 
-    A file's first id follows from the files' sizes, which are summed over one row per
-    file; numbering inside a file needs that file's rows only.
+    Rows are counted by file and block of places; a block's first id is the sum of the counts before
+    it, over one row per block, and numbering inside a block needs that block's rows only. So a
+    file of any size is dealt to many tasks.
     """
-    sizes = chunks.groupBy(file).agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy(file).orderBy(pos))
-    return chunks.withColumn("_in", inside).join(before, file).withColumn("id", (F.col("_before") + F.col("_in")).cast("long")).drop("_in", "_before")
+    rows = chunks.withColumn("_block", F.floor(F.col(pos) / block))
+    sizes = rows.groupBy(file, "_block").agg(F.count("*").alias("_n"))
+    before = Window.orderBy(file, "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(file, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(file, "_block").orderBy(pos))
+    return rows.withColumn("_in", inside).join(starts, [file, "_block"]).withColumn("id", (F.col("_before") + F.col("_in")).cast("long")).select(*chunks.columns, "id")
+
+
+def write_index(docs: DataFrame, path: str, stemmed: bool = True, stops: frozenset[str] | None = None) -> None:
+    """Write the postings of ``docs`` in buckets by term, sorted inside, so that a query reads few row groups of few buckets."""
+    rows = lexical.postings(docs, stemmed, stops).withColumn("bucket", lexical.bucket_of("term"))
+    rows.repartition("bucket", "term").sortWithinPartitions("bucket", "term", "id", "pos").write.partitionBy("bucket").mode("overwrite").parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def ingest(chunks: DataFrame, path: str) -> DataFrame:
-    """Replace the table at ``path`` (embedded rows with ids) and its postings, sorted by term for skipping."""
+    """Replace the store at ``path`` (embedded rows with ids, and their postings) as a whole.
+
+    Both tables are written to a folder of their own; a pointer that names it is renamed
+    into place last. Readers see the old store or the new one, a load that fails
+    leaves the old one, and of concurrent loads the last pointer wins. The folder before the
+    replaced one goes; whoever still reads the replaced one can.
+    """
     spark = chunks.sparkSession
-    chunks.select("id", "file", "speaker", "start_ms", "end_ms", "text", "n_words", "embedding").write.mode("overwrite").parquet(f"{path}/chunks")
-    stored = spark.read.parquet(f"{path}/chunks")
-    postings(stored).repartitionByRange("term").sortWithinPartitions("term", "id", "pos").write.mode("overwrite").parquet(f"{path}/postings")
+    version = f"v-{uuid.uuid4().hex}"
+    chunks.select("id", "file", "speaker", "start_ms", "end_ms", "text", "n_words", "embedding").write.parquet(f"{path}/{version}/chunks")
+    stored = spark.read.parquet(f"{path}/{version}/chunks")
+    write_index(stored, f"{path}/{version}/postings")
+    old = versions(spark, path)
+    fs, pointer = _hadoop(spark, f"{path}/CURRENT")
+    _, fresh = _hadoop(spark, f"{path}/{version}/CURRENT")
+    out = fs.create(fresh, True)
+    out.write(bytearray("\n".join([version, *old[:1]]), "utf-8"))
+    out.close()
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    rename = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(fresh, pointer, options)
+    for gone in old[1:]:
+        fs.delete(_hadoop(spark, f"{path}/{gone}")[1], True)
     return stored
 
 
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The folder of the store at ``path``, and the one before it; none if there is no store."""
+    fs, pointer = _hadoop(spark, f"{path}/CURRENT")
+    if not fs.exists(pointer):
+        return []
+    return spark.read.text(pointer.toString(), wholetext=True).first()[0].split("\n")
+
+
+def tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The chunks and postings of the store at ``path``."""
+    found = versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no store at {path}")
+    return spark.read.parquet(f"{path}/{found[0]}/chunks"), spark.read.parquet(f"{path}/{found[0]}/postings")
+
+
+@lru_cache(maxsize=1)
+def _own_folder(application: str) -> str:
+    folder = tempfile.mkdtemp(prefix="cadenza-")
+    atexit.register(shutil.rmtree, folder, True)
+    return f"file://{folder}"
+
+
+def working_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a local master gets a temporary folder and a cluster an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own_folder(spark.sparkContext.applicationId)
+    return root.rstrip("/")
+
+
+_INDEXES: dict[tuple, str] = {}
+
+
+def index_of(docs: DataFrame, source: str, stemmed: bool, stops: frozenset[str] | None) -> DataFrame:
+    """The stored postings of ``docs``, which come from the path ``source``: written once in a session while that stays as it is."""
+    spark = docs.sparkSession
+    fs, path = _hadoop(spark, source)
+    status = fs.getFileStatus(path)
+    key = (spark.sparkContext.applicationId, source, status.getModificationTime(), status.getLen(), stemmed, stops)
+    if key not in _INDEXES:
+        target = f"{working_folder(spark)}/cadenza-index/{uuid.uuid4().hex}"
+        write_index(docs, target, stemmed, stops)
+        _INDEXES[key] = target
+    return spark.read.parquet(_INDEXES[key])
+
+
 def by_file(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("file").agg(F.count("*").alias("n_chunks"), F.sum("n_words").alias("n_words"))
 

@@ -129,3 +129,39 @@ def test_audio_model_adapter(spark, tmp_path):
     schema = StructType([StructField("file", StringType()), StructField("n", LongType())])
     out = files.run_model(found, lambda: lambda path, content: {"file": path.rpartition("/")[2], "n": len(content)}, schema)
     assert [tuple(r) for r in out.collect()] == [("a.wav", 3)]
+
+
+def test_recordings_without_a_document_are_recognised(spark, tmp_path):
+    """A second run does what the first left; documents read back like any others."""
+    import json
+
+    from cadenza import schemas
+    from cadenza.plans import build
+
+    for name in ("a", "b b"):
+        (tmp_path / f"{name}.wav").write_bytes(name.encode())
+    out = tmp_path / "out"
+    out.mkdir()
+    (out / "a.json").write_text(json.dumps({"file": "a.wav", "turns": []}))
+
+    def load():
+        return lambda path, content: {"file": path.rpartition("/")[2], "turns": [{"speaker": content.decode(), "start": 0.0, "end": 1.5}]}
+
+    assert build.recognise(spark, str(tmp_path), str(out), load, schemas.DIARIZATION) == 1
+    assert build.recognise(spark, str(tmp_path), str(out), load, schemas.DIARIZATION) == 0
+    assert sorted(p.name for p in out.iterdir() if p.suffix == ".json") == ["a.json", "b b.json"]
+    found = files.spans(files.read_json(spark, str(out), schemas.DIARIZATION)).collect()
+    assert [(r.file.replace("%20", " "), r.speaker, r.end) for r in found] == [("b b", "b b", 1.5)]
+
+
+def test_skipped_files_are_named(spark, tmp_path):
+    import json
+
+    from cadenza.plans import build
+
+    for folder, names in (("t", ("x", "y")), ("d", ("x",))):
+        (tmp_path / folder).mkdir()
+        for n in names:
+            body = {"file": n, "segments": []} if folder == "t" else {"file": n, "turns": []}
+            (tmp_path / folder / f"{n}.json").write_text(json.dumps(body))
+    assert [tuple(r) for r in build.skipped(spark, str(tmp_path / "t"), str(tmp_path / "d")).collect()] == [("y", "no speaker spans")]

@@ -133,7 +133,7 @@ def searcher(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("store"))
     for _ in range(2):  # a second load replaces the first
         store.ingest(vector.embed(store.with_ids(made)), path)
-    return path, Searcher(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"))
+    return path, Searcher(*store.tables(spark, path))
 
 
 def test_search_modes(spark, searcher):
@@ -146,6 +146,41 @@ def test_search_modes(spark, searcher):
         s.search([(0, "x")], 2, "fuzzy")
 
 
+def test_a_store_is_replaced_as_a_whole(spark, searcher, tmp_path):
+    """Readers see one load or the other; a load that fails leaves the store; older folders go."""
+    path = str(tmp_path / "s")
+    rows = lambda text: vector.embed(store.with_ids(spark.createDataFrame([("f", 0, "f.wav", "A", 0, 1, text, 1, text)], "stem string, chunk_pos int, file string, speaker string, start_ms int, end_ms int, text string, n_words int, embed_text string")))
+    with pytest.raises(FileNotFoundError):
+        store.tables(spark, path)
+    for text in ("one", "two", "three"):
+        store.ingest(rows(text), path)
+        chunks, index = store.tables(spark, path)
+        assert [r.text for r in chunks.collect()] == [text] and index.count() == 1
+    broken = rows("four").withColumn("text", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):
+        store.ingest(broken, path)
+    assert [r.text for r in store.tables(spark, path)[0].collect()] == ["three"]
+    assert len(store.versions(spark, path)) == 2
+
+
+def test_ids_in_blocks(spark):
+    rows = [(f, p) for f in ("b", "a", "c") for p in range(50) if (p * 7) % 3]
+    df = spark.createDataFrame(rows, "stem string, chunk_pos int").repartition(5)
+    got = [(r.stem, r.chunk_pos) for r in store.with_ids(df, block=8).orderBy("id").collect()]
+    assert got == sorted(rows) and store.with_ids(df).agg(F.min("id"), F.max("id")).first() == (1, len(rows))
+
+
+def test_stored_index_is_pruned(spark, tmp_path):
+    """A query reads its terms' buckets only, and gives what the whole index gives."""
+    texts = spark.createDataFrame([(i, f"word{i % 7} other{i % 11} alpha beta{i}") for i in range(200)], "id long, text string")
+    store.write_index(texts, str(tmp_path / "i"), False, frozenset())
+    index, asked = spark.read.parquet(str(tmp_path / "i")), lexical.parsed(spark, [(0, "alpha word"), (1, '"other alpha"'), (2, "alpha -beta")], False, frozenset())
+    whole = lexical.postings(texts, False, frozenset())
+    assert sorted(lexical.boolean_match(asked, index).collect()) == sorted(lexical.boolean_match(asked, whole).collect())
+    plan = lexical.needed(index, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "PushedFilters: [In(term" in plan
+
+
 def test_command_line(spark, searcher, capsys):
     cli.main([searcher[0], "moon", "-k", "2", "--mode", "all"])
     out = capsys.readouterr().out
