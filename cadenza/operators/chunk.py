@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,14 +38,19 @@ def sum_tokens(words: Column) -> Column:
 
 
 def split_sentences(words: Column) -> Column:
-    """Array of sentences; one ends at a sentence-final word, the rest is one more."""
-    fresh = F.struct(F.array().cast(f"array<array<{WORD}>>").alias("done"), F.array().cast(f"array<{WORD}>").alias("open"))
+    """Array of sentences; one ends at a sentence-final word, the rest is one more. Each word is copied once."""
+    last = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: (i == F.size(words)) | ends_sentence(F.get(words, i - 1)["word"]))
+    return F.when(F.size(words) > 0, one_by_one(words, last)).otherwise(F.array().cast(f"array<array<{WORD}>>"))
+
+
+def one_by_one(values: Column, ends: Column) -> Column:
+    """The parts of an array up to each place of ``ends``, which ascend from 1."""
+    return bound(ends, lambda e: F.transform(e, lambda end, i: F.slice(values, F.coalesce(F.get(e, i - 1), F.lit(0)) + 1, end - F.coalesce(F.get(e, i - 1), F.lit(0)))))
 
-    def step(a: Column, w: Column) -> Column:
-        now = F.concat(a["open"], F.array(w))
-        return F.when(ends_sentence(w["word"]), F.struct(F.concat(a["done"], F.array(now)).alias("done"), F.array().cast(f"array<{WORD}>").alias("open"))).otherwise(F.struct(a["done"].alias("done"), now.alias("open")))
 
-    return F.aggregate(words, fresh, step, lambda a: F.when(F.size(a["open"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def split_turn(words: Column, target: int = TARGET) -> Column:
@@ -72,8 +79,18 @@ def merge_small(chunks: Column, least: int = MIN_WORDS, most: int = MOST_WORDS,
 
     Merged chunks stay within ``most`` tokens with their context, and keep the
     earlier one's context. One pass: a small chunk that the last result cannot take
-    waits for the next one, and is tested again once merged.
+    waits for the next one, and is tested again once merged. Of two neighbours that are
+    not small the second begins anew, whatever came before; so the pass goes over the stretches
+    between such places, each by itself, and copies no earlier results.
     """
+    big = lambda i: F.get(chunks, i - 1)["n"] >= least
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(chunks), F.lit(1))), lambda i: (i == F.size(chunks)) | (big(i) & big(i + 1)))
+    done = F.flatten(F.transform(one_by_one(chunks, ends), lambda part: merge_stretch(part, least, most, context_words, same_speaker)))
+    return F.when(F.size(chunks) > 0, done).otherwise(F.array().cast(f"array<{CHUNK}>"))
+
+
+def merge_stretch(chunks: Column, least: int, most: int, context_words: int, same_speaker: bool) -> Column:
+    """The pass of ``merge_small`` over a few chunks."""
     array = f"array<{CHUNK}>"
     fresh = F.struct(F.array().cast(array).alias("out"), F.array().cast(array).alias("wait"))
     fits = lambda a, b: ((a["speaker"] == b["speaker"]) if same_speaker else F.lit(True)) & (a["n"] + b["n"] + context_words <= most)

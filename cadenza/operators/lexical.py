@@ -176,7 +176,10 @@ def cover_density(terms: DataFrame, index: DataFrame, matches: DataFrame) -> Dat
 
 
 def keyword_search(terms: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """``(qid, id, score, rank)``: the best ``k`` matches of each query by score, then id."""
+    """``(qid, id, score, rank)``: the best ``k`` matches of each query by score, then id.
+
+    Scores count to the ninth digit, so that equal sums tie in whatever order they were added up.
+    """
     scored = cover_density(terms, index, boolean_match(terms, index))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

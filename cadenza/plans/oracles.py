@@ -125,8 +125,8 @@ vs AS (SELECT a.id // 20 AS qid, b.id, list_cosine_similarity(b.v, a.v) AS score
 vc AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vs)"""
 
 
-def fused(k: int) -> str:
-    return KEYWORD + "," + VECTOR + f""",
+def fused(k: int, keyword: str = KEYWORD, vector: str = VECTOR) -> str:
+    return keyword + "," + vector + f""",
 fu AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id, a.rank AS kw_rank, b.rank AS vec_rank,
               coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS score
        FROM (SELECT * FROM kw WHERE rank <= 30) a FULL OUTER JOIN (SELECT * FROM vc WHERE rank <= 30) b ON a.qid = b.qid AND a.id = b.id),
@@ -134,6 +134,15 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, least(
 hy AS (SELECT * FROM fr WHERE rank <= {k})"""
 
 
+#: Scores that tie to the ninth digit; vectors of documents, for the numbers that search_moments asks.
+MOMENTS = fused(
+    5,
+    KEYWORD.replace("round(CAST(sum(v) AS DOUBLE), 6)", "round(CAST(sum(v) AS DOUBLE), 9)").replace("FROM b3 WHERE i < 2)", "FROM b3 WHERE i < 2 AND qid % 4 < 3 AND qid * 20 IN (SELECT vec_id FROM embeddings))"),
+    VECTOR.replace(" AND a.id <> b.id", " AND a.id // 20 IN (SELECT qid FROM q) AND b.id IN (SELECT doc_id FROM documents)"),
+)
+PHRASE = """p AS (SELECT item_id AS qid, regexp_extract_all(lower(text), '\\d+(?:\\.\\d+)?|\\p{L}+') AS ls FROM benchmark),
+a AS (SELECT qid, ls[1] AS t1, ls[2] AS t2 FROM p)"""
+
 EVAL = "WITH " + fused(10) + """,
 mo AS (SELECT qid, mode, rank, id % 7 AS file, id % 50 * 1000 AS start_ms, id % 50 * 1000 + 10000 AS end_ms FROM (
   SELECT qid, 'keyword' AS mode, rank, id FROM kw WHERE rank <= 10 UNION ALL SELECT qid, 'vector', rank, id FROM vc WHERE rank <= 10 UNION ALL SELECT qid, 'hybrid', rank, id FROM hy) x),
@@ -212,6 +221,12 @@ def oracle_sql() -> dict[str, str]:
         "rrf_fuse": "WITH " + fused(10) + " SELECT qid, id, round(score, 9) AS score, kw_rank, vec_rank, rank FROM hy",
         "hybrid_search": "WITH " + fused(5) + """ SELECT hy.qid, hy.rank, hy.id, d.source, substr(d.text, 1, 140) AS snippet, round(hy.score, 9) AS score,
             coalesce(CAST(kw_rank AS VARCHAR), '-') AS kw_rank, coalesce(CAST(vec_rank AS VARCHAR), '-') AS vec_rank FROM hy JOIN documents d ON d.doc_id = hy.id""",
+        "search_forms": "WITH " + HAVE + ", " + PHRASE + """ SELECT qid, id FROM mat WHERE qid % 4 = 0 UNION SELECT qid, id FROM h WHERE qid % 4 = 1
+            UNION SELECT qid, id FROM h WHERE qid % 4 = 2 AND i = 0 AND NOT EXISTS (SELECT 1 FROM h g WHERE g.qid = h.qid AND g.id = h.id AND g.i = 1)
+            UNION SELECT a.qid, x.id FROM a JOIN ix x ON x.term = a.t1 JOIN ix y ON y.id = x.id AND y.pos = x.pos + 1 AND y.term = a.t2 WHERE a.qid % 4 = 3 AND a.qid IN (SELECT qid FROM q)
+            UNION SELECT a.qid, x.id FROM a JOIN ix x ON x.term = a.t1 WHERE a.t2 IS NULL AND a.qid % 4 = 3 AND a.qid IN (SELECT qid FROM q)""",
+        "search_moments": "WITH " + MOMENTS + """ SELECT hy.qid, hy.rank, hy.id, d.source AS file, d.lang AS speaker, d.doc_id * 1000 AS start_ms, d.doc_id * 1000 + 900 AS end_ms, substr(d.text, 1, 140) AS snippet,
+            round(hy.score, 9) AS score, kw_rank, vec_rank FROM hy JOIN documents d ON d.doc_id = hy.id""",
         "format_moment": "WITH " + EVENTS + """, m AS (SELECT *, "start" % 10000000 // 1000 AS s FROM e)
             SELECT file, pos, CASE WHEN s // 60 < 100 THEN lpad(CAST(s // 60 AS VARCHAR), 2, '0') ELSE CAST(s // 60 AS VARCHAR) END || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS at,
             CASE WHEN pos % 3 > 0 THEN CAST(pos AS VARCHAR) ELSE '-' END AS rank, substr(event_type, 1, 3) AS snippet FROM m""",

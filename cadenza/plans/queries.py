@@ -11,6 +11,7 @@ from ..functions import text
 from ..operators import align, chunk, evaluate, fuse, lexical, vector
 from ..sources import files, tables
 from . import store
+from .search import Searcher
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -298,6 +299,38 @@ def hybrid_search(spark, d):
     return found.select("qid", long("rank"), "id", "source", text.snippet(F.col("text")).alias("snippet"), F.round("score", 9).alias("score"), text.rank_or_dash(F.col("kw_rank")).alias("kw_rank"), text.rank_or_dash(F.col("vec_rank")).alias("vec_rank"))
 
 
+def query_texts(spark, d) -> list[tuple[int, str]]:
+    """Search texts of the benchmark items that have terms: by number both words, either, the first without the second, or a phrase."""
+    words: dict[int, list[str]] = {}
+    for r in tables.benchmark_terms(spark, d).orderBy("qid", "i").collect():
+        words.setdefault(r.qid, []).append(r.term)
+    first = lexical.lexemes(F.col("text"))
+    phrases = {r.item_id: r.two for r in tables.table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(first, F.lit(1), F.lit(2)), " ").alias("two")).collect()}
+    forms = (" ".join, " or ".join, " -".join)
+    return [(q, forms[q % 4](w) if q % 4 < 3 else f'"{phrases[q]}"') for q, w in sorted(words.items())]
+
+
+@query
+def search_forms(spark, d):
+    """All matches of parsed search texts, through the searcher."""
+    s = Searcher(tables.documents(spark, d), index(spark, d), stemmed=False, stops=frozenset())
+    return s.ranks(query_texts(spark, d), 1 << 30, "keyword").select("qid", "id")
+
+
+@query
+def search_moments(spark, d):
+    """Hybrid search of both words and a stored vector, through the searcher, with the columns of moments."""
+    v = tables.vectors(spark, d).select("id", "embedding")
+    docs = tables.table(spark, d, "documents").withColumnRenamed("doc_id", "id").join(v, "id")
+    chunks = docs.select("id", F.col("source").alias("file"), F.col("lang").alias("speaker"), (F.col("id") * 1000).alias("start_ms"), (F.col("id") * 1000 + 900).alias("end_ms"), "text", "embedding")
+    asked = [(q, " ".join(t.replace('"', "").split(" or ")).replace(" -", " ")) for q, t in query_texts(spark, d) if q % 4 < 3]
+    known = {r.id // 20: r.embedding for r in v.where(F.col("id").isin([20 * q for q, _ in asked])).collect()}
+    asked = [(q, t) for q, t in asked if q in known]
+    s = Searcher(chunks, index(spark, d), lambda _: [known[q] for q, _ in asked], False, frozenset())
+    x = s.search(asked, 5)
+    return x.select("qid", long("rank"), "id", "file", "speaker", "start_ms", "end_ms", text.snippet(F.col("text")).alias("snippet"), F.round("score", 9).alias("score"), long("kw_rank"), long("vec_rank"))
+
+
 @query
 def format_moment(spark, d):
     e = tables.timed_events(spark, d)

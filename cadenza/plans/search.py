@@ -15,11 +15,13 @@ MODES = ("keyword", "vector", "hybrid")
 
 @dataclass
 class Searcher:
-    """Chunks with vectors, their postings, and an encoder of query texts (rows ``qid, query`` of strings to ``qid, query`` of vectors)."""
+    """Chunks with vectors, their postings (stemmed and without stop words or not), and an encoder of a list of query texts."""
 
     chunks: DataFrame
     index: DataFrame
     encode: object = None
+    stemmed: bool = True
+    stops: frozenset[str] | None = None
 
     def _vectors(self, queries: list[tuple[int, str]]) -> DataFrame:
         spark = self.chunks.sparkSession
@@ -35,7 +37,7 @@ class Searcher:
         none = F.lit(None).cast("int")
         arms = {}
         if mode != "vector":
-            arms["keyword"] = lexical.keyword_search(lexical.parsed(self.chunks.sparkSession, queries), self.index, depth)
+            arms["keyword"] = lexical.keyword_search(lexical.parsed(self.chunks.sparkSession, queries, self.stemmed, self.stops), self.index, depth)
         if mode != "keyword":
             arms["vector"] = vector.vector_search(self._vectors(queries), self.chunks, depth)
         if mode == "hybrid":
