@@ -7,9 +7,11 @@ Documents are rows ``id, text``; postings are ``id, term, pos`` with positions f
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+import zlib
+from collections import Counter
+from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem, stem_column
@@ -85,25 +87,45 @@ def parsed(spark: SparkSession, queries: list[tuple[int, str]], stemmed: bool =
     return spark.createDataFrame(rows, PARSED)
 
 
+def pinned(terms: DataFrame) -> DataFrame:
+    """``terms`` as a local table if they are few: a stated set of queries, which no later plan needs to make again."""
+    if hasattr(terms, "_cadenza_terms"):
+        return terms
+    rows = terms.limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        terms._cadenza_terms = None
+        return terms
+    out = terms.sparkSession.createDataFrame(rows, terms.schema)
+    out._cadenza_terms = rows
+    return out
+
+
 def needed(index: DataFrame, terms: DataFrame) -> DataFrame:
     """The rows of ``index`` whose term is asked for; of a stored index only their buckets and row groups are read.
 
-    Terms of queries are a stated set. If they are few they become a filter that reaches the scan, else a join.
+    Few terms become a filter that reaches the scan, many a join.
     """
-    asked = terms.select("term").distinct()
-    found = [r.term for r in asked.limit(MOST_TERMS + 1).collect()]
-    if len(found) > MOST_TERMS:
-        return index.join(asked, "term", "left_semi")
-    rows = index.where(F.col("term").isin(*found)) if found else index.limit(0)
-    if "bucket" in index.columns and found:
-        buckets = {r[0] for r in asked.select(bucket_of("term")).distinct().collect()}
-        rows = rows.where(F.col("bucket").isin(*buckets))
-    return rows.drop("bucket")
+    rows = pinned(terms)._cadenza_terms
+    if rows is None:
+        return index.join(terms.select("term").distinct(), "term", "left_semi").drop("bucket")
+    found = sorted({r.term for r in rows})
+    if not found:
+        return index.limit(0).drop("bucket")
+    out = index.where(F.col("term").isin(*found))
+    if "bucket" in index.columns:
+        buckets = {bucket_number(t) for t in found}
+        out = out.where(F.col("bucket").isin(*sorted(buckets)))
+    return out.drop("bucket")
+
+
+def bucket_number(term: str) -> int:
+    """The bucket of a stored index that holds a term."""
+    return zlib.crc32(term.encode()) % BUCKETS
 
 
 def bucket_of(term: str) -> Column:
-    """The bucket of a stored index that holds a term."""
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int").alias("bucket")
+    """The same as a column."""
+    return (F.crc32(F.col(term).cast("binary")) % BUCKETS).cast("int").alias("bucket")
 
 
 def boolean_match(terms: DataFrame, index: DataFrame) -> DataFrame:
@@ -114,28 +136,67 @@ def boolean_match(terms: DataFrame, index: DataFrame) -> DataFrame:
     rarest term says where it can be, and only there the others are looked for, each
     at one place. A query of negated groups alone matches nothing.
     """
+    terms = pinned(terms)
     index = needed(index, terms)
     group = ["qid", "grp", "negated", "alt", "size"]
-    full = index.select("id", "term").distinct().join(hint(terms.where("size = 1"), terms), "term").select("qid", "id", "grp", "negated")
-    phrases = terms.where("size > 1")
-    if not phrases.isEmpty():
-        counts = index.join(hint(phrases.select("term").distinct(), terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    found: list[DataFrame] = []
+    singles, phrases = (pinned(terms.where(c)) for c in ("size = 1", "size > 1"))
+    if some(singles):
+        found.append(index.select("id", "term").distinct().join(hint(singles, terms), "term").select("qid", "id", "grp", "negated"))
+    if some(phrases):
+        places = numbered(index, phrases)
+        lead, rest = rarest(numbered(phrases, phrases), places)
+        begins = places.join(hint(lead, terms), "term").select(*group, "id", (F.col("pos") - F.col("off")).alias("base"))
+        others = begins.join(hint(rest.select("qid", "grp", "alt", "term", "off"), terms), ["qid", "grp", "alt"]).withColumn("pos", F.col("base") + F.col("off"))
+        hits = others.join(places, ["id", "pos", "term"])
+        found.append(hits.groupBy(*group, "id", "base").agg(F.count("*").alias("n")).where("n = size - 1").select("qid", "id", "grp", "negated"))
+    if not found:
+        return index.select(F.lit(0).cast("long").alias("qid"), "id").limit(0)
+    if terms._cadenza_terms is None:
+        need = terms.groupBy("qid").agg(F.countDistinct(F.when(~F.col("negated"), F.col("grp"))).alias("need"))
+    else:
+        groups = {(r.qid, r.grp) for r in terms._cadenza_terms if not r.negated}
+        need = index.sparkSession.createDataFrame(sorted(Counter(q for q, _ in groups).items()), "qid long, need int")
+    got = reduce(DataFrame.unionAll, found).groupBy("qid", "id").agg(F.size(F.collect_set(F.when(~F.col("negated"), F.col("grp")))).alias("got"), F.max("negated").alias("bad"))
+    return got.join(hint(need, terms), "qid").where("got = need and not bad and need > 0").select("qid", "id")
+
+
+def some(terms: DataFrame) -> bool:
+    """Whether there are terms, or may be."""
+    return terms._cadenza_terms is None or bool(terms._cadenza_terms)
+
+
+def rarest(phrases: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rarest term of each phrase, and its other terms."""
+    keys, spark = ["qid", "grp", "negated", "alt", "size", "term", "off"], phrases.sparkSession
+    counts = places.groupBy("term").agg(F.count("*").alias("n"))
+    rows = pinned(phrases)._cadenza_terms
+    if rows is None:
         rare = F.row_number().over(Window.partitionBy("qid", "grp", "alt").orderBy(F.coalesce("n", F.lit(0)), "off"))
         ordered = phrases.join(counts, "term", "left").withColumn("r", rare)
-        lead, rest = ordered.where("r = 1").select(*group, "term", "off"), ordered.where("r > 1").select("qid", "grp", "alt", "term", "off")
-        begins = index.join(hint(lead, terms), "term").select(*group, "id", (F.col("pos") - F.col("off")).alias("base"))
-        places = begins.join(hint(rest, terms), ["qid", "grp", "alt"]).withColumn("pos", F.col("base") + F.col("off"))
-        hits = places.join(index, ["id", "term", "pos"])
-        full = full.unionAll(hits.groupBy(*group, "id", "base").agg(F.count("*").alias("n")).where("n = size - 1").select("qid", "id", "grp", "negated"))
-    groups = full.distinct()
-    need = terms.groupBy("qid").agg(F.countDistinct(F.when(~F.col("negated"), F.col("grp"))).alias("need"))
-    got = groups.groupBy("qid", "id").agg(F.count_if(~F.col("negated")).alias("got"), F.count_if("negated").alias("bad"))
-    return got.join(hint(need, terms), "qid").where("got = need and bad = 0 and need > 0").select("qid", "id")
+        return ordered.where("r = 1").select(keys), ordered.where("r > 1").select(keys)
+    n = {r.term: r.n for r in counts.collect()}
+    lead: dict[tuple, Row] = {}
+    for r in sorted(rows, key=lambda r: (n.get(r.term, 0), r.off)):
+        lead.setdefault((r.qid, r.grp, r.alt), r)
+    first, schema = list(lead.values()), phrases.select(keys).schema
+    chosen = {id(r) for r in first}
+    made = ([tuple(r[k] for k in keys) for r in part] for part in (first, [r for r in rows if id(r) not in chosen]))
+    return tuple(spark.createDataFrame(x, schema) for x in made)
+
+
+def numbered(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows`` of the terms of ``terms`` with numbers in their place, if these are few."""
+    known = pinned(terms)._cadenza_terms
+    if known is None:
+        return rows
+    numbers = rows.sparkSession.createDataFrame([(t, i) for i, t in enumerate(sorted({r["term"] for r in known}))], "term string, _n int")
+    return rows.join(F.broadcast(numbers), "term").withColumn("term", F.col("_n")).drop("_n")
 
 
 def hint(df: DataFrame, terms: DataFrame) -> DataFrame:
-    """A table made of query terms, broadcast if these are proven small."""
-    return F.broadcast(df) if small(terms) else df
+    """A table made of query terms, broadcast if these are proven few."""
+    return F.broadcast(df) if pinned(terms)._cadenza_terms is not None else df
 
 
 def small(df: DataFrame, most_bytes: int = 8 << 20) -> bool:
@@ -151,6 +212,7 @@ def cover_density(terms: DataFrame, index: DataFrame, matches: DataFrame) -> Dat
     at the earliest of the terms' latest positions; of covers with one start the first
     end counts.
     """
+    terms = pinned(terms)
     index = needed(index, terms)
     wanted = terms.where("not negated").select("qid", "term").distinct()
     need = wanted.groupBy("qid").agg(F.collect_set("term").alias("all_terms"))
@@ -180,6 +242,7 @@ def keyword_search(terms: DataFrame, index: DataFrame, k: int) -> DataFrame:
 
     Scores count to the ninth digit, so that equal sums tie in whatever order they were added up.
     """
+    terms = pinned(terms)
     scored = cover_density(terms, index, boolean_match(terms, index))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -260,7 +260,7 @@ def keyword_phrase(spark, d):
 
 def keyword_arm(spark, d, k: int = fuse.POOL) -> DataFrame:
     """Arms rank by rounded scores, so that ties are the same for every summation order."""
-    t, i = terms(spark, d), index(spark, d)
+    t, i = lexical.pinned(terms(spark, d)), index(spark, d)
     scored = lexical.cover_density(t, i, lexical.boolean_match(t, i)).withColumn("score", F.round("score", 6))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -342,8 +342,9 @@ def format_moment(spark, d):
 
 def moments(spark, d) -> DataFrame:
     """Results of all modes; a document is a moment of file ``id mod 7`` and ten seconds from second ``id mod 50``."""
-    arms = [keyword_arm(spark, d, 10).withColumn("mode", F.lit("keyword")), vector_arm(spark, d, 10).withColumn("mode", F.lit("vector")), fused(spark, d).withColumn("mode", F.lit("hybrid"))]
-    rows = [a.select("qid", "mode", "rank", "id") for a in arms]
+    keyword, vectors = keyword_arm(spark, d), vector_arm(spark, d, fuse.POOL)  # the best ten are the first of these
+    arms = {"keyword": keyword.where("rank <= 10"), "vector": vectors.where("rank <= 10"), "hybrid": fuse.rrf_fuse(keyword, vectors, 10)}
+    rows = [a.select("qid", F.lit(mode).alias("mode"), "rank", "id") for mode, a in arms.items()]
     start = F.col("id") % 50 * 1000
     return rows[0].union(rows[1]).union(rows[2]).select("qid", "mode", "rank", (F.col("id") % 7).alias("file"), start.alias("start_ms"), (start + 10_000).alias("end_ms"))
 

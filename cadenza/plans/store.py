@@ -38,9 +38,12 @@ def with_ids(chunks: DataFrame, file: str = "stem", pos: str = "chunk_pos", bloc
 
 
 def write_index(docs: DataFrame, path: str, stemmed: bool = True, stops: frozenset[str] | None = None) -> None:
-    """Write the postings of ``docs`` in buckets by term, sorted inside, so that a query reads few row groups of few buckets."""
+    """Write the postings of ``docs`` in buckets by term, sorted inside, so that a query reads few row groups of few buckets.
+
+    A task writes a bucket's postings of a million ids, so frequent words of many documents are many tasks' work.
+    """
     rows = lexical.postings(docs, stemmed, stops).withColumn("bucket", lexical.bucket_of("term"))
-    rows.repartition("bucket", "term").sortWithinPartitions("bucket", "term", "id", "pos").write.partitionBy("bucket").mode("overwrite").parquet(path)
+    rows.repartition("bucket", F.shiftright("id", 20)).sortWithinPartitions("bucket", "term", "id", "pos").write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 
 def _hadoop(spark: SparkSession, path: str):
