@@ -199,11 +199,6 @@ def hint(df: DataFrame, terms: DataFrame) -> DataFrame:
     return F.broadcast(df) if pinned(terms)._cadenza_terms is not None else df
 
 
-def small(df: DataFrame, most_bytes: int = 8 << 20) -> bool:
-    """Whether Spark's own size estimate proves that a table fits a broadcast."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most_bytes
-
-
 def cover_density(terms: DataFrame, index: DataFrame, matches: DataFrame) -> DataFrame:
     """``(qid, id, score)``: 0.1 / (1 + noise) summed over minimal covers.
 

@@ -5,13 +5,17 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lexical import small
+from ..working import new_path
 
 #: Texts that an encoder is given at once.
 BATCH = 32
@@ -19,23 +23,92 @@ BATCH = 32
 DIMENSIONS = 384
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Unit-length rows of an Arrow list column as float64, and which of them are vectors at all.
 
-
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    Null and zero vectors, those with null elements and, if ``width`` is given, those of another width are not.
+    """
+    sizes = np.where(np.asarray(column.is_valid()), np.asarray(column.value_lengths().fill_null(0)), -1)
+    width = max(sizes, default=0) if width is None else width
+    ok = (sizes == width) & (width > 0)
+    out = np.zeros((len(column), max(int(width), 0)))
+    if ok.any():
+        flat = column.filter(pa.array(ok)).flatten().cast(pa.float64())
+        out[ok] = flat.fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(-1, width)
+    norms = np.sqrt(np.einsum("ij,ij->i", out, out))
+    ok &= np.isfinite(norms) & (norms > 0)
+    out[ok] /= norms[ok, None]
+    out[~ok] = 0
+    return out, ok
+
+
+def query_blocks(path: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """The stored queries, so many at a time."""
+    store, root = fs.FileSystem.from_uri(path)
+    for f in sorted(x.path for x in store.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet")):
+        yield from pq.ParquetFile(f, filesystem=store).iter_batches(rows)
+
+
+class Best:
+    """The best ``k`` of each query of a block so far, by score to the twelfth digit, then id; vectors without a score last."""
+
+    def __init__(self, block: pa.RecordBatch, k: int):
+        self.qid, self.own, self.k = block.column(0), block.column(1).to_pylist(), k
+        self.q, self.ok = matrix(block.column(2))
+        self.found: list[list[tuple[float, int]]] = [[] for _ in self.own]
+
+    def add(self, ids: np.ndarray, x: np.ndarray, ok: np.ndarray) -> None:
+        """Meet rows in ascending order of ids."""
+        scores = np.round(x @ self.q.T, 12) if x.shape[1] == self.q.shape[1] else np.zeros((len(ids), len(self.own)))
+        scores = np.where(ok[:, None] & self.ok & (x.shape[1] == self.q.shape[1]), scores, -np.inf)
+        more = self.k + 1  # one may be the query's own
+        least = np.partition(scores, -more, axis=0)[-more] if len(ids) > more else np.full(len(self.own), -np.inf)
+        for j, own in enumerate(self.own):
+            at = np.flatnonzero(scores[:, j] >= least[j])
+            if least[j] == -np.inf:  # those without a score fill up in order of ids
+                at = np.r_[np.flatnonzero(scores[:, j] > -np.inf), np.flatnonzero(scores[:, j] == -np.inf)[:more]]
+            mine = [(-s, i) for s, i in zip(scores[at, j].tolist(), ids[at].tolist()) if i != own]
+            self.found[j] = sorted(self.found[j] + mine)[: self.k]
+
+    def rows(self) -> pa.RecordBatch:
+        n = [len(f) for f in self.found]
+        flat = [x for f in self.found for x in f]
+        scores = np.array([-s for s, _ in flat], dtype=np.float64)
+        return pa.record_batch([self.qid.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array([i for _, i in flat], pa.int64()), pa.array(scores, mask=np.isinf(scores))], names=["qid", "id", "score"])
+
+
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024, held: int = 64) -> DataFrame:
     """``(qid, id, score, rank)``: the ``k`` nearest of each query by cosine, then id; null vectors last.
 
     ``queries`` (``qid, query``, and ``own``, an id that a query must not find, if there
-    is such a column) are a stated set that meets all rows: as a broadcast if its size
-    allows, else in a block join. Each task keeps its own best ``k`` per query before
-    anything is shuffled.
+    is such a column) are a stated set that meets all rows. They are written to the working folder
+    once; every task reads them a block at a time and multiplies each batch of vectors with it, so
+    neither side is collected, copied per row or shuffled. A task keeps its best ``k`` per query of up to
+    ``held`` blocks from batch to batch, of more blocks it gives out each batch's.
     """
-    own = F.col("own") if "own" in queries.columns else F.lit(None).cast("long")
-    stated = queries.select("qid", own.alias("_own"), F.col("query").alias("_q"), F.sqrt(dot(F.col("query"), F.col("query"))).alias("_qn"))
-    rows = vectors.select("id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("_n"))
-    pairs = rows.join(F.broadcast(stated) if small(queries) else stated, ~F.col("id").eqNullSafe(F.col("_own")))
-    scored = pairs.select("qid", "id", (dot(F.col("embedding"), F.col("_q")) / (F.col("_n") * F.col("_qn"))).alias("score"))
+    spark = queries.sparkSession
+    own = F.col("own") if "own" in queries.columns else F.lit(None)
+    path = new_path(spark, "queries")
+    queries.select("qid", own.cast("long").alias("own"), F.col("query").cast("array<double>").alias("query")).write.parquet(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[Best] | None = None
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            order = np.argsort(ids, kind="stable")
+            x, ok = matrix(b.column(1))
+            if kept is None:
+                first = [Best(q, k) for q in islice(query_blocks(path, block), held + 1)]
+                kept = first if len(first) <= held else []
+            for best in kept or (Best(q, k) for q in query_blocks(path, block)):
+                best.add(ids[order], x[order], ok[order])
+                if not kept:
+                    yield best.rows()
+        for best in kept or []:
+            yield best.rows()
+
+    kind = queries.schema["qid"].dataType.simpleString()
+    scored = vectors.select(F.col("id").cast("long"), "embedding").mapInArrow(run, f"qid {kind}, id long, score double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc_nulls_last(), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

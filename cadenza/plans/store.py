@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import lexical
+from ..working import new_path
 
 DDL = """CREATE TABLE IF NOT EXISTS {name} (
   id BIGINT NOT NULL, file STRING NOT NULL, speaker STRING NOT NULL, start_ms INT NOT NULL, end_ms INT NOT NULL,
@@ -96,23 +93,6 @@ def tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/{found[0]}/chunks"), spark.read.parquet(f"{path}/{found[0]}/postings")
 
 
-@lru_cache(maxsize=1)
-def _own_folder(application: str) -> str:
-    folder = tempfile.mkdtemp(prefix="cadenza-")
-    atexit.register(shutil.rmtree, folder, True)
-    return f"file://{folder}"
-
-
-def working_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a local master gets a temporary folder and a cluster an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = _own_folder(spark.sparkContext.applicationId)
-    return root.rstrip("/")
-
-
 _INDEXES: dict[tuple, str] = {}
 
 
@@ -123,7 +103,7 @@ def index_of(docs: DataFrame, source: str, stemmed: bool, stops: frozenset[str]
     status = fs.getFileStatus(path)
     key = (spark.sparkContext.applicationId, source, status.getModificationTime(), status.getLen(), stemmed, stops)
     if key not in _INDEXES:
-        target = f"{working_folder(spark)}/cadenza-index/{uuid.uuid4().hex}"
+        target = new_path(spark, "index")
         write_index(docs, target, stemmed, stops)
         _INDEXES[key] = target
     return spark.read.parquet(_INDEXES[key])

@@ -56,6 +56,24 @@ def test_vectors(spark):
     assert [r.id for r in vector.vector_search(own, v, 2).orderBy("rank").collect()] == [5, 2]
 
 
+@pytest.mark.parametrize(("block", "held"), [(1024, 64), (3, 64), (3, 2)])
+def test_blocks_of_queries(spark, block, held):
+    """Against all pairs in numpy: ties by id, nulls last, a query's own row left out, vectors of other widths without a score."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.integers(-2, 3, 4)]) for i in range(60)]
+    rows = [(i, v if any(v) else [1.0, 0.0, 0.0, 0.0]) for i, v in rows] + [(100, None), (101, [1.0]), (102, [0.0] * 4), (103, [1.0, None, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([(i, i, rows[i][1]) for i in range(10)], "qid long, own long, query array<double>")
+    got = {}
+    for r in vector.vector_search(q, v, 62, block, held).orderBy("rank").collect():
+        got.setdefault(r.qid, []).append((r.id, r.score))
+    for i in range(10):
+        a = np.array(rows[i][1])
+        want = sorted((-round(float(a @ np.array(w) / np.linalg.norm(a) / np.linalg.norm(w)), 9), j) for j, w in rows[:60] if j != i)
+        assert [j for j, _ in got[i]] == [j for _, j in want] + [100, 101, 102]
+        assert [s for _, s in got[i][:59]] == pytest.approx([-s for s, _ in want], abs=1e-8) and got[i][59:] == [(100, None), (101, None), (102, None)]
+
+
 def test_encoder_width_is_checked(spark):
     df = spark.createDataFrame([("a b",), ("",)], "embed_text string")
     rows = vector.embed(df).collect()
