@@ -39,8 +39,12 @@ def sum_tokens(words: Column) -> Column:
 
 def split_sentences(words: Column) -> Column:
     """Array of sentences; one ends at a sentence-final word, the rest is one more. Each word is copied once."""
-    last = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: (i == F.size(words)) | ends_sentence(F.get(words, i - 1)["word"]))
-    return F.when(F.size(words) > 0, one_by_one(words, last)).otherwise(F.array().cast(f"array<array<{WORD}>>"))
+
+    def parts(words: Column) -> Column:
+        last = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: (i == F.size(words)) | ends_sentence(F.get(words, i - 1)["word"]))
+        return F.when(F.size(words) > 0, one_by_one(words, last)).otherwise(F.array().cast(f"array<array<{WORD}>>"))
+
+    return bound(words, parts)
 
 
 def one_by_one(values: Column, ends: Column) -> Column:
@@ -83,10 +87,14 @@ def merge_small(chunks: Column, least: int = MIN_WORDS, most: int = MOST_WORDS,
     not small the second begins anew, whatever came before; so the pass goes over the stretches
     between such places, each by itself, and copies no earlier results.
     """
-    big = lambda i: F.get(chunks, i - 1)["n"] >= least
-    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(chunks), F.lit(1))), lambda i: (i == F.size(chunks)) | (big(i) & big(i + 1)))
-    done = F.flatten(F.transform(one_by_one(chunks, ends), lambda part: merge_stretch(part, least, most, context_words, same_speaker)))
-    return F.when(F.size(chunks) > 0, done).otherwise(F.array().cast(f"array<{CHUNK}>"))
+
+    def stretches(chunks: Column) -> Column:
+        big = lambda i: F.get(chunks, i - 1)["n"] >= least
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(chunks), F.lit(1))), lambda i: (i == F.size(chunks)) | (big(i) & big(i + 1)))
+        done = F.flatten(F.transform(one_by_one(chunks, ends), lambda part: merge_stretch(part, least, most, context_words, same_speaker)))
+        return F.when(F.size(chunks) > 0, done).otherwise(F.array().cast(f"array<{CHUNK}>"))
+
+    return bound(chunks, stretches)
 
 
 def merge_stretch(chunks: Column, least: int, most: int, context_words: int, same_speaker: bool) -> Column:
