@@ -179,8 +179,9 @@ def near_duplicates(docs: DataFrame, bits: int = 3, blocks: int = 5, shingle: in
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = materialize(rooted.join(least, "root").select("fp", "component_id"), "fingerprint-components")
-    discard(distinct)
-    return own.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = materialize(own.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), "components")
+    discard(distinct, own, labels)
+    return out
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
