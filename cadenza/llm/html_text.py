@@ -50,39 +50,108 @@ SHARE, LEAST = 0.55, 0.6
 
 @dataclass(slots=True)
 class Leaf:
-    """A text node: tag path down to its block, decoded text, whether a block begins with it, and whether it is in a link."""
+    """A text node: number of the tag path down to its block, decoded text, whether a block begins with it, and whether it is in a link."""
 
-    path: tuple[str, ...]
+    path: int
     text: str
     begins: bool
     linked: bool
 
 
+class Paths:
+    """The tag paths of a page as a tree: each has its parent and a last step, so that a path costs the same at any depth.
+
+    A parent has a smaller number than its children; 0 is the empty path.
+    """
+
+    def __init__(self):
+        self.parent, self.step, self.known = [0], [""], {}
+
+    def child(self, parent: int, step: str) -> int:
+        if (parent, step) not in self.known:
+            self.known[parent, step] = len(self.parent)
+            self.parent.append(parent)
+            self.step.append(step)
+        return self.known[parent, step]
+
+    def tag(self, path: int) -> str:
+        return self.step[path].partition(".")[0]
+
+    def factors(self) -> list[float]:
+        """What the elements of each path say of its text: more inside an article, less by names.
+
+        A name counts by the share of its words, inside an article only as a whole, and
+        headers are the article's own there.
+        """
+        out, inside = [1.0], [False]
+        for path in range(1, len(self.parent)):
+            above = self.parent[path]
+            tag, *names = self.step[path].split(".")
+            factor, within = out[above], inside[above]
+            if tag not in ("html", "body"):
+                if within:
+                    share = float(any(named(n) == 1 and n.lower() != "header" for n in names))
+                else:
+                    share = sum(map(named, names)) / max(len(names), 1)
+                if tag in ARTICLE and not within:
+                    within = True
+                    factor *= IN_ARTICLE
+                factor *= BY_NAME**share
+            out.append(factor)
+            inside.append(within)
+        return out
+
+    def whole(self, sums: dict[int, np.ndarray]) -> list[np.ndarray]:
+        """The sums of all paths that begin with each path."""
+        out = [np.zeros(4) for _ in self.parent]
+        for path, x in sums.items():
+            out[path] += x
+        for path in range(len(out) - 1, 0, -1):
+            out[self.parent[path]] += out[path]
+        return out
+
+    def around(self, value: list[float]) -> list[float | None]:
+        """For each path of a block of running text, the best value of what it is part of: all elements around it
+        that are no running text, up to the body, or else the body. For other paths nothing."""
+        best: list[float | None] = [None]  # of the elements on a path
+        body = [0]
+        out: list[float | None] = [None]
+        for path in range(1, len(self.parent)):
+            above, tag = self.parent[path], self.tag(path)
+            outer, frame = best[above], body[above]
+            out.append((outer if outer is not None else value[frame]) if tag in RUNNING else None)
+            if tag not in RUNNING and tag not in ("html", "body"):
+                outer = value[path] if outer is None else max(outer, value[path])
+            best.append(outer)
+            body.append(path if tag == "body" else frame)
+        return out
+
+
 def step(tag: str, attributes: str) -> str:
     """An element's part of a tag path: its tag, and its class, id and role names."""
     given = [x[2] or x[3] or x[4] or "" for x in NAMES.finditer(attributes)] if "=" in attributes else []
     return ".".join([tag, *sorted({n for v in given for n in v.split()})])
 
 
-def leaves(html: str) -> Iterator[Leaf]:
+def leaves(html: str, paths: Paths) -> Iterator[Leaf]:
     """Text nodes in page order, without those in elements of SKIP_TAGS, hidden ones and headers of the page."""
-    names, skips = [], []
-    depths: list[int] = [0]  # for each open element, and for none: how many steps lead to the block
+    names: list[str] = []
+    #: Of each open element, and of none: path down to the block, in a link or not, without text or not, in an article or not.
+    blocks, linked, skips, inside = [0], [False], [False], [False]
     begins, at, end = True, 0, len(html)
 
     def text(lo: int, hi: int) -> Iterator[Leaf]:
         nonlocal begins
-        if hi > lo and not (skips and skips[-1]) and (s := unescape(html[lo:hi]) if html.find("&", lo, hi) >= 0 else html[lo:hi]):
-            yield Leaf(tuple(names[: depths[-1]]), s, begins, "a" in (n.partition(".")[0] for n in names[depths[-1] :]))
+        if hi > lo and not skips[-1] and (s := unescape(html[lo:hi]) if html.find("&", lo, hi) >= 0 else html[lo:hi]):
+            yield Leaf(blocks[-1], s, begins, linked[-1])
             begins = False
 
     def close(kinds: set[str] | frozenset[str], bound: frozenset[str]) -> None:
         for i in range(len(names) - 1, -1, -1):
-            name = names[i].partition(".")[0]
-            if name in kinds:
-                del names[i:], skips[i:], depths[i + 1 :]
+            if names[i] in kinds:
+                del names[i:], blocks[i + 1 :], linked[i + 1 :], skips[i + 1 :], inside[i + 1 :]
                 return
-            if name in bound:
+            if names[i] in bound:
                 return
 
     while at < end:
@@ -109,44 +178,27 @@ def leaves(html: str) -> Iterator[Leaf]:
             close(CLOSES[tag], SCOPE - CLOSES[tag])
         if tag in VOID or attributes.rstrip().endswith("/"):
             continue
-        page_header = tag == "header" and not any(n.partition(".")[0] in ARTICLE for n in names)
-        skips.append(bool(skips and skips[-1]) or tag in SKIP_TAGS or page_header or bool(HIDDEN.search(attributes)))
-        names.append(step(tag, attributes))
-        depths.append(depths[-1] if tag in INLINE else len(names))
+        names.append(tag)
+        skips.append(skips[-1] or tag in SKIP_TAGS or (tag == "header" and not inside[-1]) or bool(HIDDEN.search(attributes)))
+        inside.append(inside[-1] or tag in ARTICLE)
+        if tag in INLINE:
+            blocks.append(blocks[-1])
+            linked.append(linked[-1] or tag == "a")
+        else:
+            blocks.append(paths.child(blocks[-1], step(tag, attributes)))
+            linked.append(False)
 
 
+@lru_cache(maxsize=1 << 14)
 def named(name: str) -> float:
     """How far a class, id or role names something of NAMED: the share of its words."""
     words = [w.lower() for w in re.split(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])", name) if w]
     return 1.0 if "".join(words) in NAMED else sum(w in NAMED for w in words) / max(len(words), 1)
 
 
-@lru_cache(maxsize=1 << 14)
-def kind(path: tuple[str, ...]) -> float:
-    """What a path's elements say of its text: more inside an article, less by names.
-
-    A name counts by the share of its words, inside an article only as a whole, and
-    headers are the article's own there.
-    """
-    factor, inside = 1.0, False
-    for x in path:
-        tag, *names = x.split(".")
-        if tag in ("html", "body"):
-            continue
-        if inside:
-            share = float(any(named(n) == 1 and n.lower() != "header" for n in names))
-        else:
-            share = sum(map(named, names)) / max(len(names), 1)
-        if tag in ARTICLE and not inside:
-            inside = True
-            factor *= IN_ARTICLE
-        factor *= BY_NAME**share
-    return factor
-
-
-def path_sums(nodes: list[Leaf]) -> dict[tuple[str, ...], np.ndarray]:
+def path_sums(nodes: list[Leaf]) -> dict[int, np.ndarray]:
     """Characters, punctuation marks, blocks and linked characters of each tag path with text, in page order."""
-    sums: dict[tuple[str, ...], np.ndarray] = {}
+    sums: dict[int, np.ndarray] = {}
     blank = False  # a block began with white space
     for x in nodes:
         blank = x.begins or blank
@@ -159,22 +211,13 @@ def path_sums(nodes: list[Leaf]) -> dict[tuple[str, ...], np.ndarray]:
     return sums
 
 
-def around(path: tuple[str, ...]) -> list[tuple[str, ...]]:
-    """The paths of what a block of running text is part of: all elements around it up to the body, or else the body."""
-    tags = [x.partition(".")[0] for x in path]
-    if not path or tags[-1] not in RUNNING:
-        return []
-    outer = [path[:i] for i in range(1, len(path)) if tags[i - 1] not in RUNNING and tags[i - 1] not in ("html", "body")]
-    return outer or [path[: max((i + 1 for i, t in enumerate(tags) if t == "body"), default=0)]]
-
-
-def path_scores(nodes: list[Leaf]) -> dict[tuple[str, ...], float]:
+def path_scores(nodes: list[Leaf], paths: Paths) -> dict[int, float]:
     """The score of each tag path.
 
     Characters and punctuation marks per block are smoothed over the paths in page
     order and fused as logarithms. The same of all text in the best element around
     it counts too: titles and short paragraphs have paths of their own. Times
-    ``kind``, and next to nothing where nearly all text is links, it is the path's.
+    the factor of its elements, and next to nothing where nearly all text is links, it is the path's.
     """
     sums = path_sums(nodes)
     if not sums:
@@ -182,34 +225,30 @@ def path_scores(nodes: list[Leaf]) -> dict[tuple[str, ...], float]:
     chars, marks, blocks, linked = np.array(list(sums.values())).T
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), KERNEL, mode="valid")
     own = np.log1p(smooth(chars / blocks)) + np.log1p(smooth(marks / blocks))
-    whole: dict[tuple[str, ...], np.ndarray] = {}
-    for path, v in sums.items():
-        for outer in around(path):
-            whole.setdefault(outer, np.zeros(4))
-    for path, v in sums.items():
-        for i in range(len(path) + 1):
-            if path[:i] in whole:
-                whole[path[:i]] += v
-    part_of = {p: np.log1p(v[0] / v[2]) + np.log1p(v[1] / v[2]) for p, v in whole.items()}
+    total = np.array(paths.whole(sums))
+    each = np.maximum(total[:, 2], 1)
+    around = paths.around((np.log1p(total[:, 0] / each) + np.log1p(total[:, 1] / each)).tolist())
+    factors = paths.factors()
     out = {}
-    for path, x, unlinked in zip(sums, own, 1 - (linked / chars) ** 4):
-        best = max((part_of[p] for p in around(path)), default=x)
-        out[path] = float((OWN * x + (1 - OWN) * best) * unlinked * kind(path))
+    for path, x, unlinked in zip(sums, own.tolist(), (1 - (linked / chars) ** 4).tolist()):
+        best = x if around[path] is None else around[path]
+        out[path] = (OWN * x + (1 - OWN) * best) * unlinked * factors[path]
     return out
 
 
-def content(nodes: list[Leaf]) -> list[bool]:
+def content(nodes: list[Leaf], paths: Paths) -> list[bool]:
     """Which nodes are content: those whose path's score is SHARE of the best, and LEAST."""
-    scores = path_scores(nodes)
+    scores = path_scores(nodes, paths)
     least = max(LEAST, SHARE * max(scores.values(), default=0))
     return [scores.get(x.path, 0.0) >= least for x in nodes]
 
 
 def extract(html: str) -> str:
     """The article's blocks in page order, with single spaces."""
-    nodes = list(leaves(html))
+    paths = Paths()
+    nodes = list(leaves(html, paths))
     out: list[str] = []
-    for x, keep in zip(nodes, content(nodes)):
+    for x, keep in zip(nodes, content(nodes, paths)):
         if x.begins:
             out.append(" ")
         if keep:
