@@ -2,7 +2,7 @@ import random
 from pathlib import Path
 
 import pytest
-from cadenza.llm import common
+from cadenza.llm import common, graph
 from cadenza.llm.graph import components
 from pyspark.sql import functions as F
 
@@ -42,9 +42,11 @@ def test_partition_keys_are_one_per_partition(spark):
     assert sorted(r.p for r in rows) == list(range(7)) and all(keys[r.p] == r.k for r in rows)
 
 
-def test_components_equal_union_find(spark):
+@pytest.mark.parametrize("small", [graph.SMALL, 10])
+def test_components_equal_union_find(spark, small, monkeypatch):
+    monkeypatch.setattr(graph, "SMALL", small)
     rng = random.Random(3)
-    edges = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(60)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 5000 + i) for i in range(50)] + [(7, 7)]
+    edges = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(60)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 5000 + i) for i in range(50)] + [(9000 + 7 * (i % 3), 10_000 + i) for i in range(4000)] + [(7, 7)]
     root = {x: x for e in edges for x in e}
 
     def find(x):
