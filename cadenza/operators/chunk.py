@@ -120,6 +120,31 @@ def merge_stretch(chunks: Column, least: int, most: int, context_words: int, sam
     return F.aggregate(chunks, fresh, step, lambda a: F.concat(a["out"], a["wait"]))
 
 
+def merge_rows(rows: DataFrame, file: str, pos: str, chunk: str, least: int = MIN_WORDS, most: int = MOST_WORDS, context_words: int = CONTEXT_WORDS, same_speaker: bool = True, block: int = 1 << 16) -> DataFrame:
+    """``merge_small`` over rows, for files that are too long for one row: ``file, chunk_pos, c``.
+
+    A file is cut between two neighbours that are not small, as there the pass begins anew, and
+    each stretch is merged in a row of its own. Where the cuts are, and a result's
+    place, follow from blocks of ``block`` places, an integer, and from one row per block: no window holds a file.
+    """
+    at = rows.select(F.col(file).alias("file"), F.col(pos).cast("long").alias("pos"), F.col(chunk).alias("c"), F.floor(F.col(pos) / block).alias("b"))
+    inside, before = Window.partitionBy("file", "b").orderBy("pos"), Window.partitionBy("file").orderBy("b")
+    n = F.col("c.n")
+    edges = at.groupBy("file", "b").agg(F.max_by(n, "pos").alias("last")).select("file", "b", F.lag("last").over(before).alias("above"))
+    at = at.join(edges, ["file", "b"]).withColumn("prior", F.coalesce(F.lag(n).over(inside), "above"))
+    cut = F.col("prior").isNull() | ((F.col("prior") >= least) & (n >= least))
+    at = at.withColumn("begins", F.when(cut, F.col("pos"))).drop("above", "prior")
+    lasts = at.groupBy("file", "b").agg(F.max("begins").alias("m")).select("file", "b", F.max("m").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    at = at.join(lasts, ["file", "b"]).withColumn("stretch", F.coalesce(F.max("begins").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "carried"))
+    lists = at.groupBy("file", "stretch").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("l"))
+    done = lists.select("file", "stretch", F.floor(F.col("stretch") / block).alias("b"), merge_stretch(F.transform("l", lambda e: e["c"]), least, most, context_words, same_speaker).alias("out"))
+    size = F.size("out").cast("long")
+    ahead = done.groupBy("file", "b").agg(F.sum(size).alias("k")).select("file", "b", F.coalesce(F.sum("k").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    earlier = Window.partitionBy("file", "b").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    placed = done.join(ahead, ["file", "b"]).withColumn("first", F.col("start") + F.coalesce(F.sum(size).over(earlier), F.lit(0)))
+    return placed.select("file", "first", F.posexplode("out").alias("i", "c")).select("file", (F.col("first") + F.col("i")).alias("chunk_pos"), "c")
+
+
 def to_output(file: Column, chunk: Column) -> list[Column]:
     """Columns of a stored chunk."""
     text = F.array_join(F.transform(chunk["words"], lambda w: w["word"]), " ")

@@ -190,9 +190,8 @@ def merge_small(spark, d):
     docs = tables.table(spark, d, "documents").select("source", "doc_id", F.floor(F.col("n_chars") / 40).cast("int").alias("n"))
     word = F.struct(F.col("doc_id").cast("string").alias("word"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"))
     one = F.struct(F.lit("a").alias("speaker"), F.array(word).alias("words"), F.lit("").alias("context"), F.col("n")).cast(chunk.CHUNK)
-    by = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", one.alias("c")))).alias("l"))
-    x = by.select("source", F.posexplode(chunk.merge_small(F.transform("l", lambda e: e["c"]))).alias("pos", "c"))
-    return x.select("source", long("pos"), long("c.n", "n"), F.array_join(F.transform("c.words", lambda w: w["word"]), " ").alias("ids"))
+    x = chunk.merge_rows(docs.withColumn("c", one), "source", "doc_id", "c")
+    return x.select(F.col("file").alias("source"), F.col("chunk_pos").alias("pos"), long("c.n", "n"), F.array_join(F.transform("c.words", lambda w: w["word"]), " ").alias("ids"))
 
 
 def chunked(spark, d) -> DataFrame:

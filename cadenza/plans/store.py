@@ -102,7 +102,7 @@ def index_of(docs: DataFrame, source: str, stemmed: bool, stops: frozenset[str]
     fs, path = _hadoop(spark, source)
     status = fs.getFileStatus(path)
     key = (spark.sparkContext.applicationId, source, status.getModificationTime(), status.getLen(), stemmed, stops)
-    if key not in _INDEXES:
+    if key not in _INDEXES or not fs.exists(_hadoop(spark, _INDEXES[key])[1]):
         target = new_path(spark, "index")
         write_index(docs, target, stemmed, stops)
         _INDEXES[key] = target
