@@ -8,11 +8,17 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: The ASCII upper-case letters to lower case; other bytes stay.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -75,6 +81,52 @@ def discard(*tables: DataFrame) -> None:
         remove(df.sparkSession, df._cadenza_path)
 
 
+def at_places(rows: DataFrame, place: str, chosen: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``place`` is in ``chosen``, with the other columns of that, integers.
+
+    ``place`` is the ``monotonically_increasing_id`` that ``rows`` were written with, so the rows that one task
+    wrote have a number in its upper bits. ``chosen`` (``place`` and integers, each place once) is written in buckets of
+    these numbers, and a task reads the buckets of its own rows: the rows are not shuffled.
+    """
+    spark = rows.sparkSession
+    n, path = wide(spark), new_path(spark, "places")
+    bucket = F.pmod(F.shiftright(place, 33), F.lit(n)).cast("int")
+    more = [c for c in chosen.columns if c != place]
+    listed = chosen.select(place, *(F.col(c).cast("long") for c in more)).withColumn("_bucket", bucket)
+    listed.repartition(n, "_bucket").sortWithinPartitions("_bucket", place).write.partitionBy("_bucket").parquet(path)
+    schema = StructType([*rows.schema.fields, *(StructField(c, LongType()) for c in more)])
+    at = rows.columns.index(place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        known: dict[int, pa.Table] = {}
+
+        def load(b: int) -> pa.Table:
+            if b not in known:
+                if len(known) >= 4:
+                    known.pop(next(iter(known)))
+                folder = f"{root}/_bucket={b}"
+                found = store.get_file_info(folder).type == fs.FileType.Directory
+                known[b] = pq.read_table(folder, filesystem=store, partitioning=None).sort_by(place) if found else None
+            return known[b]
+
+        for batch in batches:
+            places = batch.column(at).to_numpy()
+            for b in np.unique((places >> 33) % n).tolist():
+                table = load(b)
+                if table is None:
+                    continue
+                ids = table[place].to_numpy()
+                where = np.minimum(np.searchsorted(ids, places), len(ids) - 1)
+                hit = np.flatnonzero(ids[where] == places)
+                if len(hit):
+                    out = batch.take(pa.array(hit))
+                    extra = [table[c].take(pa.array(where[hit])).combine_chunks() for c in more]
+                    yield pa.RecordBatch.from_arrays([*out.columns, *extra], names=[*batch.schema.names, *more])
+
+    return rows.mapInArrow(run, schema)
+
+
 @lru_cache(maxsize=4)
 def compressor(level: int = 1) -> zstandard.ZstdCompressor:
     """A worker's compressor; making one costs more than a small blob."""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import discard, materialize, wide
+from .common import at_places, discard, materialize, wide
 from .graph import components
 
 #: Rows a band and bands: a pair at Jaccard 0.8 shares no bucket with probability (1 - 0.8 ** 6) ** 50 = 2.6e-7.
@@ -157,11 +157,12 @@ def keep_one(docs: DataFrame, part: int = PART) -> DataFrame:
     shared = hits.groupBy("bucket").agg(F.min("node").alias("v"), F.max("node").alias("x")).where("v < x").select("bucket", "v")
     loose = components(simhash_links(own).unionAll(hits.join(shared, "bucket").select(F.col("node").alias("u"), "v")))
     chosen = own.groupBy("node").agg(F.min("row").alias("_near_row"), F.first("n").alias("n")).join(loose, "node")
-    members = materialize(rows.select("_near_row", text).join(chosen, "_near_row").select("root", "node", "n", "t"), "loose-components")
+    members = at_places(rows.select("_near_row", text), "_near_row", chosen.select("_near_row", "root", "node", "n"))
+    members = materialize(members.select("root", "node", "n", "t"), "loose-components")
     roots = components(verified(members, part))
     label = own.select(F.col("row").alias("_near_row"), "node").join(roots, "node", "left").select("_near_row", F.coalesce("root", "node").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_near_row")
     first = rows.select("_near_row", order.alias("o")).join(label, "_near_row").groupBy("root").agg(F.min("o")["_near_row"].alias("_near_row"))
     first = materialize(first.select("_near_row"), "first-rows")
     discard(members, own)
-    return rows.join(first, "_near_row", "left_semi").select(docs.columns)
+    return at_places(rows, "_near_row", first).select(docs.columns)

@@ -61,3 +61,14 @@ def test_components_equal_union_find(spark, small, monkeypatch):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_rows_at_places(spark):
+    """Rows of several writers, read in other splits; places of writers without a chosen row."""
+    df = spark.range(1000).repartition(7).withColumns({"place": F.monotonically_increasing_id(), "t": F.concat(F.lit("x"), "id"), "a": F.array("id")})
+    rows = common.materialize(df, "test-rows")
+    chosen = rows.where("id % 10 = 0 and id < 500").select("place", (F.col("id") * 2).alias("double"))
+    got = common.at_places(rows, "place", chosen).collect()
+    assert sorted((r.id, r.t, r.a, r.double) for r in got) == [(i, f"x{i}", [i], 2 * i) for i in range(0, 500, 10)]
+    assert common.at_places(rows, "place", chosen.select("place").limit(0)).collect() == []
+    assert common.at_places(rows, "place", chosen.select("place")).columns == rows.columns
