@@ -320,7 +320,7 @@ def search_forms(spark, d):
 def search_moments(spark, d):
     """Hybrid search of both words and a stored vector, through the searcher, with the columns of moments."""
     v = tables.vectors(spark, d).select("id", "embedding")
-    docs = tables.table(spark, d, "documents").withColumnRenamed("doc_id", "id").join(v, "id")
+    docs = tables.table(spark, d, "documents").withColumnRenamed("doc_id", "id").join(v, "id", "left")
     chunks = docs.select("id", F.col("source").alias("file"), F.col("lang").alias("speaker"), (F.col("id") * 1000).alias("start_ms"), (F.col("id") * 1000 + 900).alias("end_ms"), "text", "embedding")
     asked = [(q, " ".join(t.replace('"', "").split(" or ")).replace(" -", " ")) for q, t in query_texts(spark, d) if q % 4 < 3]
     known = {r.id // 20: r.embedding for r in v.where(F.col("id").isin([20 * q for q, _ in asked])).collect()}
