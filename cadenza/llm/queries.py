@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, katz, licenses, media, mixing, packing, quality, simhash, suffix_dedup, token_files
+from . import cap_filters, fill_middle, html_text, katz, licenses, media, mixing, packing, quality, simhash, suffix_dedup, token_files, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"), kept=1)
 
 
+def op11_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transformed(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -66,6 +78,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses,
         "op9_quality": op9_quality,
         "op10_katz": op10_katz,
+        "op11_cap_filters": op11_cap_filters,
+        "op12_whitening": op12_whitening,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
@@ -74,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_mixing": mixing.ORACLE,
         "op7_suffix_dedup": suffix_dedup.ORACLE,
         "op9_quality": quality.ORACLE,
+        "op13_fill_middle": fill_middle.ORACLE,
     }
