@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Markers before the prefix, the suffix and the middle.
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
-#: 64-bit words of a directory block, and bytes of text that one bit vector covers at least before the next begins.
-BLOCK, SPAN = 8, 1 << 24
+#: 64-bit words of a directory block, and bytes of text after which a bit vector, or a batch that is given out, ends.
+BLOCK, SPAN = 8, 1 << 22
 
 
 class Boundaries:
@@ -98,7 +98,10 @@ def restored(output: bytes, form: str) -> bytes:
     return prefix + middle + suffix
 
 
-def transformed(docs: DataFrame, seed: int = 1, plain_percent: int = 10, spm_percent: int = 20, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+Derive = Callable[[list[bytes], list[str]], list[pa.Array]]
+
+
+def transformed(docs: DataFrame, seed: int = 1, plain_percent: int = 10, spm_percent: int = 20, text: str = "text", id_col: str = "doc_id", derive: Derive = lambda outputs, forms: [pa.array(outputs, pa.binary())], derived: str = "output binary") -> DataFrame:
     """``(doc_id, n, form, prefix_chars, middle_chars, output)``, one row per row of ``docs``; ``output`` is binary UTF-8.
 
     The cuts, and whether a document stays plain or puts its suffix first, follow from the SHA-256 of
@@ -107,51 +110,41 @@ def transformed(docs: DataFrame, seed: int = 1, plain_percent: int = 10, spm_per
     ``n``, and two selects the byte cuts, without decoding a text. Null texts count as empty and stay
     plain, as do texts with a marker in them. A null id is hashed as no digits. Equal rows give equal rows;
     an empty table gives none; columns besides the two are ignored. Texts of any length are taken whole.
+    ``derive`` makes other columns, named by ``derived``, of the outputs and forms in the same pass.
     """
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256)
     hashes = [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long").alias(f"h{i + 1}") for i in range(4)]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"), *hashes)
+    names = ["doc_id", "n", "form", "prefix_chars", "middle_chars", *(c.split()[0] for c in derived.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            h = [batch.column(2 + i).to_numpy() for i in range(4)]
-            n, points, places = cuts(texts, h[0], h[1])
-            forms, outputs = [], []
-            for value, h3, h4, (a, b) in zip(texts, h[2], h[3], places.tolist()):
+            texts, (h1, h2, h3, h4) = batch.column(1), (batch.column(2 + i).to_numpy() for i in range(4))
+            n, points, places = cuts(texts, h1, h2)
+            lo, forms, outputs, held = 0, [], [], 0
+            for i, value in enumerate(texts):
                 raw = value.as_py()
-                plain = not raw or h3 % 100 >= 100 - plain_percent or PREFIX in raw or SUFFIX in raw or MIDDLE in raw
-                forms.append("plain" if plain else "spm" if h4 % 100 < spm_percent else "psm")
-                outputs.append(arranged(raw, forms[-1], a, b))
-                if sum(map(len, outputs[-64:])) > SPAN or len(outputs) >= 1024:
-                    yield rows_of(batch, n, points, forms, outputs)
-                    outputs = []
-            if outputs:
-                yield rows_of(batch, n, points, forms, outputs)
-
-    def rows_of(batch: pa.RecordBatch, n: np.ndarray, points: np.ndarray, forms: list[str], outputs: list[bytes]) -> pa.RecordBatch:
-        """The rows of the last ``outputs``, which end where ``forms`` does."""
-        lo, hi = len(forms) - len(outputs), len(forms)
-        plain = np.array([f == "plain" for f in forms[lo:]])
-        return pa.record_batch(
-            [batch.column(0)[lo:hi], pa.array(n[lo:hi]), pa.array(forms[lo:]), pa.array(points[lo:hi, 0], mask=plain), pa.array(points[lo:hi, 1] - points[lo:hi, 0], mask=plain), pa.array(outputs, pa.binary())],
-            names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"],
-        )
-
-    return rows.mapInArrow(run, "doc_id long, n long, form string, prefix_chars long, middle_chars long, output binary")
-
-
-def digests(made: DataFrame) -> DataFrame:
-    """Rows of ``transformed`` with digests of the output and of the text rebuilt from it."""
+                plain = not raw or h3[i] % 100 >= 100 - plain_percent or PREFIX in raw or SUFFIX in raw or MIDDLE in raw
+                forms.append("plain" if plain else "spm" if h4[i] % 100 < spm_percent else "psm")
+                outputs.append(arranged(raw, forms[-1], *places[i].tolist()))
+                held += len(raw)
+                if held > SPAN or i + 1 == len(texts):
+                    at, alone = slice(lo, i + 1), np.array([f == "plain" for f in forms])
+                    sizes = [pa.array(points[at, 0], mask=alone), pa.array(points[at, 1] - points[at, 0], mask=alone)]
+                    yield pa.record_batch([batch.column(0)[at], pa.array(n[at]), pa.array(forms), *sizes, *derive(outputs, forms)], names=names)
+                    lo, forms, outputs, held = i + 1, [], [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pairs = list(zip(b.column("output"), b.column("form").to_pylist()))
-            out = [hashlib.sha256(o.as_py()).hexdigest() for o, _ in pairs]
-            back = [hashlib.sha256(restored(o.as_py(), f)).hexdigest() for o, f in pairs]
-            yield pa.record_batch([*b.columns[:5], pa.array(out, pa.string()), pa.array(back, pa.string())], names=[*b.schema.names[:5], "output_sha256", "restored_sha256"])
+    return rows.mapInArrow(run, f"doc_id long, n long, form string, prefix_chars long, middle_chars long, {derived}")
+
+
+def digests(docs: DataFrame, **params) -> DataFrame:
+    """Rows of ``transformed`` with digests of the output, and of the text rebuilt from it, in its place."""
+
+    def derive(outputs: list[bytes], forms: list[str]) -> list[pa.Array]:
+        back = (restored(o, f) for o, f in zip(outputs, forms))
+        return [pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()) for texts in (outputs, back)]
 
-    return made.mapInArrow(run, "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string")
+    return transformed(docs, derive=derive, derived="output_sha256 string, restored_sha256 string", **params)
 
 
 ORACLE = """

@@ -63,7 +63,7 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fill_middle.digests(fill_middle.transformed(table(spark, sf_dir, "documents")))
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
