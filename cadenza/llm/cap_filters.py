@@ -19,6 +19,8 @@ from .graph import components
 EXCEEDED, CODES, WORDS = 48, 8, 512
 #: Leaders that a task holds, rows of a filter that one task compares, members of a stored block.
 LEADERS, MOST_ROWS, MEMBERS = 1 << 16, 1 << 15, 512
+#: Rows of a bucket that is compared together with others, and rows that are compared at once.
+SHORT, HELD = 64, 1 << 16
 #: Slack for rounding in angles.
 SLACK = 1e-7
 
@@ -235,61 +237,71 @@ def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def meeting(within: float, smallest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Compare the groups of each bucket of sorted rows of ``SKETCHES``."""
+    """Compare the groups of each bucket of sorted rows of ``SKETCHES``: many short buckets at once, a long one in blocks."""
     radius = within / 2
 
-    def bucket(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        gid, part, lo, hi = (rows[c].to_numpy() for c in ("gid", "part", "lo", "hi"))
-        delta = rows["wide"].to_numpy() * radius
-        order = np.lexsort((-delta, gid))  # of a group's rows the one of largest radius
-        first = order[np.concatenate([[True], np.diff(gid[order]) > 0])]
-        gid, part, delta = gid[first], part[first], delta[first]
-        unit, lost = (rows[c].to_numpy()[first].astype(np.float64) for c in ("unit", "lost"))
-        q = np.frombuffer(b"".join(rows["sketch"].take(pa.array(first)).to_pylist()), dtype=np.int8).reshape(len(first), -1).astype(np.float32)
-        across = lo[0] != hi[0]
-        us, vs = [], []
-        for i in range(0, len(gid), 512):
-            a = slice(i, i + 512)
-            for j in range(0, i + 1, 512):
-                b = slice(j, j + 512)
-                cos = (q[a] @ q[b].T).astype(np.float64) * unit[a][:, None] * unit[b] + lost[a][:, None] + lost[b] + lost[a][:, None] * lost[b] + 1e-5
-                turn = within + delta[a][:, None]
-                hit = (cos >= np.cos(turn + delta[b])) & (gid[a][:, None] > gid[b])
-                if across:
-                    hit &= part[a][:, None] != part[b]
-                u, v = np.nonzero(hit)
-                if smallest:
-                    u, at = np.unique(u, return_index=True)
-                    v = v[at]
-                us.append(gid[a][u])
-                vs.append(gid[b][v])
-        return np.concatenate(us), np.concatenate(vs)
+    def close(wide: np.ndarray, unit: np.ndarray, lost: np.ndarray, a, b, dots: np.ndarray) -> np.ndarray:
+        """Whether groups may be within the angle, with all that their sketches may be wrong by; ``a`` and ``b`` index so that shapes agree."""
+        cos = dots.astype(np.float64) * unit[a] * unit[b] + lost[a] + lost[b] + lost[a] * lost[b] + 1e-5
+        return cos >= np.cos(within + radius * wide[a] + radius * wide[b])
+
+    def met(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of all buckets of ``rows``, whose vectors have one width."""
+        code, gid, part, lo, hi = (rows[c].to_numpy() for c in ("code", "gid", "part", "lo", "hi"))
+        wide, unit, lost = (rows[c].to_numpy().astype(np.float64) for c in ("wide", "unit", "lost"))
+        q = np.frombuffer(b"".join(rows["sketch"].to_pylist()), dtype=np.int8).reshape(len(gid), -1)
+        begins = np.flatnonzero(np.concatenate([[True], (np.diff(code) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)]))
+        sizes = np.diff(np.concatenate([begins, [len(gid)]]))
+        left = np.repeat(np.where(sizes <= SHORT, sizes, 0), sizes) - (np.arange(len(gid)) - np.repeat(begins, sizes))
+        for step in range(1, min(SHORT, int(sizes.max()))):
+            a = np.flatnonzero(left > step)
+            b = a + step
+            ok = (gid[a] != gid[b]) & ((lo[a] == hi[a]) | (part[a] != part[b]))
+            a, b = a[ok], b[ok]
+            ok = close(wide, unit, lost, a, b, np.einsum("ij,ij->i", q[a].astype(np.float32), q[b].astype(np.float32)))
+            yield np.maximum(gid[a[ok]], gid[b[ok]]), np.minimum(gid[a[ok]], gid[b[ok]])
+        for begin, size in zip(begins[sizes > SHORT], sizes[sizes > SHORT]):
+            at = np.arange(begin, begin + size)
+            at = at[np.lexsort((-wide[at], gid[at]))]  # of a group's rows the one of largest radius
+            at = at[np.concatenate([[True], np.diff(gid[at]) > 0])]
+            x = q[at].astype(np.float32)
+            for i in range(0, len(at), 512):
+                for j in range(0, i + 1, 512):
+                    a, b = at[i : i + 512], at[j : j + 512]
+                    hit = close(wide, unit, lost, a[:, None], b, x[i : i + 512] @ x[j : j + 512].T) & (gid[a][:, None] > gid[b])
+                    if lo[begin] != hi[begin]:
+                        hit &= part[a][:, None] != part[b]
+                    u, v = np.nonzero(hit)
+                    if smallest:
+                        u, first = np.unique(u, return_index=True)
+                        v = v[first]
+                    yield gid[a][u], gid[b][v]
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        widths = rows["code"].to_numpy() >> 32
+        cuts = np.flatnonzero(np.diff(widths)) + 1
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), rows.num_rows]):
+            found = list(met(rows.slice(begin, end - begin)))
+            u, v = (np.concatenate(x) for x in zip(*found)) if found else ([], [])
+            if len(u):
+                u, v = np.unique(np.stack([u, v]), axis=1)
+                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        key = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held)
-            if rows.num_rows > 1:
-                u, v = bucket(rows)
-                if len(u):
-                    yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = [batch.column(batch.schema.names.index(c)).to_numpy() for c in ("code", "lo", "hi")]
-            new = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
-            for lo, hi in zip(np.concatenate([[0], new]), np.concatenate([new, [batch.num_rows]])):
-                now = tuple(int(k[lo]) for k in keys)
-                if held and now != key:
-                    yield from flush()
-                    held = []
-                key = now
-                held.append(batch.slice(lo, hi - lo))
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= HELD:
+                rows = pa.Table.from_batches(held)
+                keys = [rows[c].to_numpy() for c in ("code", "lo", "hi")]
+                last = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
+                whole = int(last[-1]) + 1 if len(last) else 0  # the last bucket may go on
+                if whole:
+                    yield from pairs(rows.slice(0, whole))
+                    held = rows.slice(whole).to_batches()
         if held:
-            yield from flush()
+            yield from pairs(pa.Table.from_batches(held))
 
     return run
 

@@ -127,3 +127,14 @@ def test_query_equals_brute_force(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in v.collect()]
     assert got(v) == brute(rows)
+
+
+def test_short_and_long_buckets_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = unit(rng, 32)
+    rows = [(i, near(rng, v, 0.97).tolist()) for i in range(90)] + [(100 + i, unit(rng, 32).tolist()) for i in range(50)]
+    df = table(spark, rows).repartition(3)
+    found = got(df)
+    monkeypatch.setattr(cap_filters, "SHORT", 2)
+    monkeypatch.setattr(cap_filters, "HELD", 50)
+    assert got(df) == found
