@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem, stem_column
+from . import block_index
 
 #: A number with an optional fraction, or a run of letters.
 LEXEME = r"\d+(?:\.\d+)?|\p{L}+"
 #: Weight of a minimal cover without noise.
 WEIGHT = 0.1
-#: Buckets of a stored index by term, and terms that a filter on it names at most.
-BUCKETS, MOST_TERMS = 64, 10_000
+#: Buckets of a stored index by term, terms that a filter on it names at most, and terms that are a local table at most.
+BUCKETS, NAMED, MOST_TERMS = 64, 512, 10_000
 
 
 @lru_cache(maxsize=1)
@@ -100,24 +101,45 @@ def pinned(terms: DataFrame) -> DataFrame:
     return out
 
 
-def needed(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """The rows of ``index`` whose term is asked for; of a stored index only their buckets and row groups are read.
+def chosen(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows of a table by term whose term is asked for; of a stored one only their buckets and row groups are read.
 
-    Few terms become a filter that reaches the scan, many a join.
+    Few terms become a filter that reaches the scan, more a filter of buckets and a broadcast of the terms, many a join.
     """
-    rows = pinned(terms)._cadenza_terms
+    terms = pinned(terms)
+    rows = terms._cadenza_terms
     if rows is None:
         return index.join(terms.select("term").distinct(), "term", "left_semi").drop("bucket")
     found = sorted({r.term for r in rows})
     if not found:
         return index.limit(0).drop("bucket")
-    out = index.where(F.col("term").isin(*found))
+    out = index.where(F.col("term").isin(*found)) if len(found) <= NAMED else index.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
     if "bucket" in index.columns:
         buckets = {bucket_number(t) for t in found}
         out = out.where(F.col("bucket").isin(*sorted(buckets)))
     return out.drop("bucket")
 
 
+def needed(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """``id, term, pos`` of the terms that are asked for; ``index`` is rows of these, or blocks of ids."""
+    rows = chosen(index, terms)
+    return block_index.postings(rows) if "gaps" in index.columns else rows
+
+
+def holders(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """Distinct ``id, term`` of the terms that are asked for; of blocks without reading a position."""
+    rows = chosen(index, terms)
+    if "slots" in index.columns:
+        rows = rows.select("block", "term", F.explode("slots").alias("slot")).withColumn("id", block_index.id_of(F.col("slot")))
+    return rows.select("id", "term").distinct()
+
+
+def occurrences(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """``term, n``: how often the terms that are asked for occur; of blocks from their skip entries."""
+    rows = chosen(index, terms)
+    return rows.groupBy("term").agg(F.sum("n_postings").alias("n") if "n_postings" in index.columns else F.count("*").alias("n"))
+
+
 def bucket_number(term: str) -> int:
     """The bucket of a stored index that holds a term."""
     return zlib.crc32(term.encode()) % BUCKETS
@@ -137,21 +159,20 @@ def boolean_match(terms: DataFrame, index: DataFrame) -> DataFrame:
     at one place. A query of negated groups alone matches nothing.
     """
     terms = pinned(terms)
-    index = needed(index, terms)
     group = ["qid", "grp", "negated", "alt", "size"]
     found: list[DataFrame] = []
     singles, phrases = (pinned(terms.where(c)) for c in ("size = 1", "size > 1"))
     if some(singles):
-        found.append(index.select("id", "term").distinct().join(hint(singles, terms), "term").select("qid", "id", "grp", "negated"))
+        found.append(holders(index, singles).join(hint(singles, terms), "term").select("qid", "id", "grp", "negated"))
     if some(phrases):
-        places = numbered(index, phrases)
-        lead, rest = rarest(numbered(phrases, phrases), places)
+        places = numbered(needed(index, phrases), phrases)
+        lead, rest = rarest(numbered(phrases, phrases), numbered(occurrences(index, phrases), phrases))
         begins = places.join(hint(lead, terms), "term").select(*group, "id", (F.col("pos") - F.col("off")).alias("base"))
         others = begins.join(hint(rest.select("qid", "grp", "alt", "term", "off"), terms), ["qid", "grp", "alt"]).withColumn("pos", F.col("base") + F.col("off"))
         hits = others.join(places, ["id", "pos", "term"])
         found.append(hits.groupBy(*group, "id", "base").agg(F.count("*").alias("n")).where("n = size - 1").select("qid", "id", "grp", "negated"))
     if not found:
-        return index.select(F.lit(0).cast("long").alias("qid"), "id").limit(0)
+        return index.sparkSession.createDataFrame([], "qid long, id long")
     if terms._cadenza_terms is None:
         need = terms.groupBy("qid").agg(F.countDistinct(F.when(~F.col("negated"), F.col("grp"))).alias("need"))
     else:
@@ -166,10 +187,9 @@ def some(terms: DataFrame) -> bool:
     return terms._cadenza_terms is None or bool(terms._cadenza_terms)
 
 
-def rarest(phrases: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rarest term of each phrase, and its other terms."""
+def rarest(phrases: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rarest term of each phrase by ``counts`` (``term, n``), and its other terms."""
     keys, spark = ["qid", "grp", "negated", "alt", "size", "term", "off"], phrases.sparkSession
-    counts = places.groupBy("term").agg(F.count("*").alias("n"))
     rows = pinned(phrases)._cadenza_terms
     if rows is None:
         rare = F.row_number().over(Window.partitionBy("qid", "grp", "alt").orderBy(F.coalesce("n", F.lit(0)), "off"))
@@ -205,7 +225,7 @@ def cover_density(terms: DataFrame, index: DataFrame, matches: DataFrame) -> Dat
     A cover is a shortest stretch with every needed term; its noise is the number of
     positions in it that match no term. For each hit the cover that ends there starts
     at the earliest of the terms' latest positions; of covers with one start the first
-    end counts.
+    end counts. One pass over a document's hits keeps each term's latest place and the score so far.
     """
     terms = pinned(terms)
     index = needed(index, terms)
@@ -214,22 +234,32 @@ def cover_density(terms: DataFrame, index: DataFrame, matches: DataFrame) -> Dat
     hits = index.join(hint(wanted, terms), "term").join(matches, ["qid", "id"], "left_semi")
     listed = hits.groupBy("qid", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("hits"))
     listed = listed.join(hint(need, terms), "qid")
-    empty = F.transform("all_terms", lambda _: F.lit(None).cast("long"))
-    state = F.struct(empty.alias("last"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("covers"))
+    place = "struct<pos:bigint,nth:int>"
+    fresh = F.struct(
+        F.transform("all_terms", lambda _: F.lit(None).cast(place)).alias("last"),
+        F.lit(None).cast(place).alias("at"),
+        F.lit(None).cast("bigint").alias("start"),
+        F.lit(0.0).alias("score"),
+    )
 
     def step(a: Column, h: Column) -> Column:
-        last = F.transform("all_terms", lambda t, i: F.when(t == h["term"], h["pos"]).otherwise(F.get(a["last"], i)))
-        return F.struct(last.alias("last"), a["covers"].alias("covers"), h["pos"].alias("pos"))
-
-    def with_cover(a: Column) -> Column:
-        start = F.when(F.forall(a["last"], lambda p: p.isNotNull()), F.array_min(a["last"]))
-        prior = F.get(a["covers"], F.size(a["covers"]) - 1)["start"]
-        new = start.isNotNull() & (prior.isNull() | (prior != start))
-        return F.struct(a["last"].alias("last"), F.when(new, F.concat(a["covers"], F.array(F.struct(start.alias("start"), a["pos"].alias("end"))))).otherwise(a["covers"]).alias("covers"))
-
-    folded = listed.withColumn("covers", F.aggregate("hits", state, lambda a, h: F.element_at(F.transform(F.array(step(a, h)), with_cover), 1), lambda a: a["covers"]))
-    one = lambda c: F.lit(WEIGHT) / (1 + c["end"] - c["start"] - (F.size(F.array_distinct(F.filter(F.transform("hits", lambda h: h["pos"]), lambda p: p.between(c["start"], c["end"])))) - 1))
-    return folded.select("qid", "id", F.aggregate("covers", F.lit(0.0), lambda s, c: s + one(c)).alias("score"))
+        """Places are numbered as they come, so that the matches in a cover are a difference of numbers."""
+        nth = F.when(a["at"]["pos"] == h["pos"], a["at"]["nth"]).otherwise(F.coalesce(a["at"]["nth"], F.lit(0)) + 1)
+        at = F.struct(h["pos"].alias("pos"), nth.alias("nth")).cast(place)
+        return F.struct(F.transform("all_terms", lambda t, i: F.when(t == h["term"], at).otherwise(F.get(a["last"], i))).alias("last"), at.alias("at"), a["start"].alias("start"), a["score"].alias("score"))
+
+    def first_end(a: Column) -> Column:
+        return F.struct(a.alias("a"), F.when(F.forall(a["last"], lambda p: p.isNotNull()), F.array_min(a["last"])).alias("first"))
+
+    def scored(x: Column) -> Column:
+        a, first = x["a"], x["first"]
+        new = first.isNotNull() & (a["start"].isNull() | (a["start"] != first["pos"]))
+        noise = a["at"]["pos"] - first["pos"] - (a["at"]["nth"] - first["nth"])
+        return F.struct(a["last"].alias("last"), a["at"].alias("at"), F.when(new, first["pos"]).otherwise(a["start"]).alias("start"), F.when(new, a["score"] + F.lit(WEIGHT) / (1 + noise)).otherwise(a["score"]).alias("score"))
+
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    score = F.aggregate("hits", fresh, lambda a, h: once(once(step(a, h), first_end), scored), lambda a: a["score"])
+    return listed.select("qid", "id", score.alias("score"))
 
 
 def keyword_search(terms: DataFrame, index: DataFrame, k: int) -> DataFrame:

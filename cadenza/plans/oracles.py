@@ -167,6 +167,28 @@ SPOKEN = EVENTS + """,
 so AS (SELECT file, pos AS word_pos, event_type || '.' || (pos % 7) AS word, "start", "end", event_type AS speaker, pos % 5 = 0 AS low FROM e)"""
 TURN_COLUMNS = 'SELECT file, turn_pos, speaker, "start", "end", text, n_words, n_low FROM tu'
 
+DF = """
+tf AS (SELECT term, id, count(*) AS tf FROM ix GROUP BY term, id),
+dl AS (SELECT id, len(ls) AS dl FROM ix0),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
+
+
+def bm25(asked: str) -> str:
+    """CTEs that rank all documents by BM25 for the terms ``asked`` (``qid, term, weight``)."""
+    return f"""{asked},
+av AS (SELECT count(*) AS n, avg(dl) AS a FROM dl),
+bs AS (SELECT w.qid, tf.id, round(CAST(sum(w.weight * ln(1 + (av.n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) * (tf.tf * 2.2::DOUBLE / (tf.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.dl / av.a)))) AS DOUBLE), 6) AS score
+       FROM wa w JOIN tf ON tf.term = w.term JOIN df ON df.term = w.term JOIN dl ON dl.id = tf.id, av GROUP BY w.qid, tf.id),
+br AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bs)"""
+
+
+#: DuckDB counts edits of bytes, so letters of two bytes become capitals, which lower-case words lack.
+ASCII = "translate({}, 'ßäçèéêíñóöüàâîïôûùœæáúëø', 'ABCDEFGHIJKLMNOPQRSTUVWX')"
+FUZZY = "WITH " + INDEX + "," + TERMS + "," + DF + """,
+ms AS (SELECT DISTINCT qid, substr(term, 1, 2) || substr(term, 4) AS term FROM q),
+vo AS (SELECT term, df, """ + ASCII.format("term") + """ AS a FROM df),
+fz AS (SELECT m.term, vo.term AS match, levenshtein(m.a, vo.a) AS distance, vo.df FROM (SELECT DISTINCT term, """ + ASCII.format("term") + """ AS a FROM ms) m JOIN vo ON abs(length(m.term) - length(vo.term)) <= 2 AND levenshtein(m.a, vo.a) <= CASE WHEN length(m.term) < 3 THEN 0 WHEN length(m.term) < 6 THEN 1 ELSE 2 END)"""
+
 
 def oracle_sql() -> dict[str, str]:
     fillers = ", ".join(f"'{w}'" for w in FILLERS)
@@ -218,6 +240,16 @@ def oracle_sql() -> dict[str, str]:
             UNION SELECT a.qid, x.id FROM a JOIN ix x ON x.term = a.t1 WHERE a.t2 IS NULL""",
         "keyword_rank": "WITH " + KEYWORD + " SELECT qid, id, score, rank FROM kw WHERE rank <= 10",
         "vector_topk": "WITH " + VECTOR + " SELECT qid, id, round(score, 6) AS score, rank FROM vc WHERE rank <= 10",
+        "bm25_rank": "WITH " + INDEX + "," + TERMS + "," + DF + "," + bm25("wa AS (SELECT qid, term, 1.0::DOUBLE AS weight FROM q)") + " SELECT qid, id, score, rank FROM br WHERE rank <= 10",
+        "fuzzy_terms": FUZZY + " SELECT term, match, distance, df AS n_docs FROM fz",
+        "fuzzy_rank": FUZZY + "," + bm25("wa AS (SELECT ms.qid, fz.match AS term, power(0.5::DOUBLE, min(fz.distance)) AS weight FROM ms JOIN fz ON fz.term = ms.term GROUP BY ms.qid, fz.match)") + " SELECT qid, id, score, rank FROM br WHERE rank <= 10",
+        "vector_cells_all": "WITH " + VECTOR + " SELECT qid, id, round(score, 6) AS score, rank FROM vc WHERE rank <= 10",
+        "store_upsert": """WITH a AS (SELECT row_number() OVER (ORDER BY source, doc_id) AS id, doc_id, source AS file, coalesce(text, '') AS text FROM documents),
+            o AS (SELECT file FROM (SELECT file, row_number() OVER (ORDER BY file) AS r FROM (SELECT DISTINCT source AS file FROM documents) x) y WHERE r % 2 = 1),
+            b AS (SELECT a.id, a.file, a.doc_id, a.text || CASE WHEN o.file IS NOT NULL AND a.doc_id IN (SELECT doc_id FROM labels) THEN ' revised' ELSE '' END AS text, o.file IS NOT NULL AS touched FROM a LEFT JOIN o ON a.file = o.file),
+            c AS (SELECT id, file, doc_id AS start_ms, text FROM b WHERE NOT touched OR length(text) >= 200
+                  UNION ALL SELECT (SELECT count(*) FROM documents) + row_number() OVER (ORDER BY item_id), 'benchmark', item_id, text FROM benchmark)
+            SELECT id, file, start_ms, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS n_words, CAST(len(regexp_extract_all(lower(text), '\\d+(?:\\.\\d+)?|\\p{L}+')) AS BIGINT) AS n_terms, md5(text) AS md5 FROM c""",
         "rrf_fuse": "WITH " + fused(10) + " SELECT qid, id, round(score, 9) AS score, kw_rank, vec_rank, rank FROM hy",
         "hybrid_search": "WITH " + fused(5) + """ SELECT hy.qid, hy.rank, hy.id, d.source, substr(d.text, 1, 140) AS snippet, round(hy.score, 9) AS score,
             coalesce(CAST(kw_rank AS VARCHAR), '-') AS kw_rank, coalesce(CAST(vec_rank AS VARCHAR), '-') AS vec_rank FROM hy JOIN documents d ON d.doc_id = hy.id""",

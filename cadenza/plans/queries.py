@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import align, chunk, evaluate, fuse, lexical, vector
+from ..operators import align, block_index, chunk, evaluate, fuse, fuzzy, lexical, vector, vector_index
 from ..sources import files, tables
+from ..working import new_path
 from . import store
 from .search import Searcher
 
@@ -71,7 +72,7 @@ def ingest_by_file(spark, d):
 @query
 def ingest_health(spark, d):
     docs = tables.documents(spark, d).join(tables.vectors(spark, d), "id", "left")
-    return store.health(docs, index(spark, d))
+    return store.health(docs, stored_index(spark, d).lengths)
 
 
 @query
@@ -212,11 +213,15 @@ def chunk_size_report(spark, d):
 # --- search ---
 
 
-def index(spark, d) -> DataFrame:
-    """The stored postings of the documents, unstemmed, which DuckDB can make too."""
+def stored_index(spark, d) -> block_index.Index:
+    """The stored index of the documents, unstemmed, which DuckDB can make too."""
     return store.index_of(tables.documents(spark, d), f"{d}/documents.parquet", False, frozenset())
 
 
+def index(spark, d) -> DataFrame:
+    return stored_index(spark, d).blocks
+
+
 def terms(spark, d, kind: str = "and") -> DataFrame:
     """Query rows of a kind: both terms, either, the first without the second, or the first two words as a phrase."""
     t = tables.benchmark_terms(spark, d)
@@ -233,7 +238,7 @@ def terms(spark, d, kind: str = "and") -> DataFrame:
 
 @query
 def postings(spark, d):
-    x = index(spark, d)
+    x = block_index.postings(index(spark, d))
     return x.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_docs"), F.sum("pos").alias("sum_pos"))
 
 
@@ -282,6 +287,72 @@ def vector_topk(spark, d):
     return vector_arm(spark, d, 10).select("qid", "id", F.round("score", 6).alias("score"), long("rank"))
 
 
+@query
+def bm25_rank(spark, d):
+    """The best ten documents for the two long words of each benchmark item."""
+    return block_index.bm25(tables.benchmark_terms(spark, d), stored_index(spark, d), 10, digits=6).select("qid", "id", "score", long("rank"))
+
+
+def misspelt(spark, d) -> DataFrame:
+    """The two long words of each benchmark item without their third letter."""
+    t = tables.benchmark_terms(spark, d)
+    return t.select("qid", F.concat(F.substring("term", 1, 2), F.substring("term", 4, 100)).alias("term"))
+
+
+@query
+def fuzzy_terms(spark, d):
+    """Words of the documents within two edits of misspelt query words."""
+    found = fuzzy.matches(misspelt(spark, d), stored_index(spark, d).terms.select("term", "n_docs"))
+    return found.select("term", "match", long("distance"), long("n_docs"))
+
+
+@query
+def fuzzy_rank(spark, d):
+    """BM25 over the words near misspelt query words, each at half the weight per edit."""
+    i = stored_index(spark, d)
+    return block_index.bm25(fuzzy.expanded(misspelt(spark, d), i.terms), i, 10, digits=6).select("qid", "id", "score", long("rank"))
+
+
+def vector_cells(spark, d) -> tuple[DataFrame, str]:
+    """Queries as of ``vector_arm``, and the folder of the vectors' cells."""
+    v = tables.vectors(spark, d)
+    path = new_path(spark, "cells")
+    vector_index.write(v, path)
+    return v.where("id % 20 = 0").select((F.col("id") / 20).cast("long").alias("qid"), F.col("id").alias("own"), F.col("embedding").alias("query")), path
+
+
+@query
+def vector_cells_all(spark, d):
+    """All cells probed: every row is in one cell, and the result is that of ``vector_topk``."""
+    asked, path = vector_cells(spark, d)
+    return vector_index.search(asked, path, 10, vector_index.CELLS).select("qid", "id", F.round("score", 6).alias("score"), long("rank"))
+
+
+@query
+def vector_cells_few(spark, d):
+    """The cells probed that make up a recall of 0.9 or more."""
+    asked, path = vector_cells(spark, d)
+    return vector_index.search(asked, path, 10).select("qid", "id", F.round("score", 6).alias("score"), long("rank"))
+
+
+@query
+def store_upsert(spark, d):
+    """A store of all documents after an update of every second source: labelled texts are revised, short ones go, benchmark items come."""
+    docs = tables.table(spark, d, "documents").select("doc_id", F.col("source").alias("file"), F.col("lang").alias("speaker"), F.col("doc_id").cast("int").alias("start_ms"), F.coalesce("text", F.lit("")).alias("text"))
+    rest = [(F.col("start_ms") + 1).alias("end_ms"), "text", text.count_tokens(F.col("text")).alias("n_words"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding")]
+    path = new_path(spark, "store")
+    store.ingest(store.with_ids(docs.select("file", "speaker", "start_ms", *rest), "file", "start_ms"), path, False, frozenset())
+    nth = F.row_number().over(Window.orderBy("file"))  # one row per source
+    odd = docs.select("file").distinct().withColumn("nth", nth).where("nth % 2 = 1").select("file")
+    labelled = tables.table(spark, d, "labels").select("doc_id", F.lit(" revised").alias("more"))
+    revised = docs.join(odd, "file", "left_semi").join(labelled, "doc_id", "left").withColumn("text", F.concat("text", F.coalesce("more", F.lit("")))).where(F.length("text") >= 200)
+    items = tables.table(spark, d, "benchmark").select(F.lit("benchmark").alias("file"), F.lit("en").alias("speaker"), F.col("item_id").cast("int").alias("start_ms"), "text")
+    changed = revised.select("file", "speaker", "start_ms", "text").unionByName(items)
+    store.upsert(changed.select("file", "speaker", "start_ms", *rest), path, odd.unionByName(items.select("file").distinct()), False, frozenset())
+    chunks, i = store.opened(spark, path)
+    return chunks.join(i.lengths, "id").select("id", "file", long("start_ms"), long("n_words"), long("n_terms"), F.md5("text").alias("md5"))
+
+
 def fused(spark, d, k: int = 10) -> DataFrame:
     return fuse.rrf_fuse(keyword_arm(spark, d), vector_arm(spark, d, fuse.POOL), k)
 

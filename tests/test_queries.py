@@ -15,11 +15,15 @@ def duck():
     return c
 
 
+#: Approximate; tests/test_vector_index.py holds it against the exact query.
+WITHOUT_SQL = {"vector_cells_few"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(queries.REGISTRY) == set(oracles.oracle_sql())
+    assert set(queries.REGISTRY) - WITHOUT_SQL == set(oracles.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(queries.REGISTRY))
+@pytest.mark.parametrize("name", sorted(set(queries.REGISTRY) - WITHOUT_SQL))
 def test_query_equals_its_oracle(spark, duck, name):
     df = queries.REGISTRY[name](spark, SF)
     found = duck.sql(oracles.oracle_sql()[name])

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from cadenza import cli
 from cadenza.functions.stem import stem
-from cadenza.operators import evaluate, fuse, lexical, vector
+from cadenza.operators import block_index, evaluate, fuse, lexical, vector
 from cadenza.plans import report, store
 from cadenza.plans.search import Searcher
 from cadenza.sources import files
@@ -191,8 +191,7 @@ def test_ids_in_blocks(spark):
 def test_stored_index_is_pruned(spark, tmp_path):
     """A query reads its terms' buckets only, and gives what the whole index gives."""
     texts = spark.createDataFrame([(i, f"word{i % 7} other{i % 11} alpha beta{i}") for i in range(200)], "id long, text string")
-    store.write_index(texts, str(tmp_path / "i"), False, frozenset())
-    index, asked = spark.read.parquet(str(tmp_path / "i")), lexical.parsed(spark, [(0, "alpha word"), (1, '"other alpha"'), (2, "alpha -beta")], False, frozenset())
+    index, asked = block_index.write(texts, str(tmp_path / "i"), False, frozenset()).blocks, lexical.parsed(spark, [(0, "alpha word"), (1, '"other alpha"'), (2, "alpha -beta")], False, frozenset())
     whole = lexical.postings(texts, False, frozenset())
     assert sorted(lexical.boolean_match(asked, index).collect()) == sorted(lexical.boolean_match(asked, whole).collect())
     plan = lexical.needed(index, asked)._jdf.queryExecution().executedPlan().toString()
