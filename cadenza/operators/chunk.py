@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import BACKCHANNELS, count_tokens, ends_sentence, is_backchannel, last_words, to_ms
 
 TARGET, MIN_WORDS, CONTEXT_WORDS, MOST_WORDS = 100, 20, 25, 180
+#: Pieces of a turn, as a power of two.
+PIECE_BITS = 24
 #: A word in a fold: its element, tokens, and whether it ends a sentence.
 WORD = "struct<word:string,start:double,end:double>"
 CHUNK = f"struct<speaker:string,words:array<{WORD}>,context:string,n:int>"
@@ -60,22 +62,28 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 def split_turn(words: Column, target: int = TARGET) -> Column:
     """Pack whole sentences greedily into pieces of at most ``target`` tokens.
 
-    A longer sentence closes the open piece and is cut every ``target`` words.
+    A longer sentence closes the open piece and is cut every ``target`` words. The pass over the
+    sentences keeps where pieces end, and the words are copied once.
     """
-    none, nothing = F.array().cast(f"array<{WORD}>"), F.array().cast(f"array<array<{WORD}>>")
-    fresh = F.struct(nothing.alias("done"), none.alias("open"), F.lit(0).alias("n"))
-    closed = lambda a: F.when(F.size(a["open"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])
+    ints = F.array().cast("array<int>")
+    fresh = F.struct(ints.alias("ends"), F.lit(0).alias("at"), F.lit(0).alias("open"), F.lit(0).alias("n"))
+    closed = lambda a: F.when(a["open"] > 0, F.concat(a["ends"], F.array(a["at"]))).otherwise(a["ends"])
 
     def step(a: Column, s: Column) -> Column:
-        n = sum_tokens(s)
-        cut = F.transform(F.sequence(F.lit(1), F.size(s), F.lit(target)), lambda i: F.slice(s, i, F.lit(target)))
+        """Of the words up to ``at`` the last ``open`` ones, of ``n`` tokens, are in no closed piece."""
+        end = a["at"] + s["size"]
+        cuts = F.transform(F.sequence(F.lit(1), F.ceil(s["size"] / target).cast("int")), lambda i: F.least(a["at"] + i * target, end))
         return (
-            F.when(n > target, F.struct(F.concat(closed(a), cut).alias("done"), none.alias("open"), F.lit(0).alias("n")))
-            .when((F.size(a["open"]) > 0) & (a["n"] + n > target), F.struct(closed(a).alias("done"), s.alias("open"), n.alias("n")))
-            .otherwise(F.struct(a["done"].alias("done"), F.concat(a["open"], s).alias("open"), (a["n"] + n).alias("n")))
+            F.when(s["n"] > target, F.struct(F.concat(closed(a), cuts).alias("ends"), end.alias("at"), F.lit(0).alias("open"), F.lit(0).alias("n")))
+            .when((a["open"] > 0) & (a["n"] + s["n"] > target), F.struct(closed(a).alias("ends"), end.alias("at"), s["size"].alias("open"), s["n"].alias("n")))
+            .otherwise(F.struct(a["ends"].alias("ends"), end.alias("at"), (a["open"] + s["size"]).alias("open"), (a["n"] + s["n"]).alias("n")))
         )
 
-    return F.aggregate(split_sentences(words), fresh, step, closed)
+    def packed(words: Column) -> Column:
+        sizes = F.transform(split_sentences(words), lambda s: F.struct(F.size(s).alias("size"), sum_tokens(s).alias("n")))
+        return one_by_one(words, F.aggregate(sizes, fresh, step, closed))
+
+    return bound(words, packed)
 
 
 def merge_small(chunks: Column, least: int = MIN_WORDS, most: int = MOST_WORDS, context_words: int = CONTEXT_WORDS, same_speaker: bool = True) -> Column:
@@ -83,57 +91,68 @@ def merge_small(chunks: Column, least: int = MIN_WORDS, most: int = MOST_WORDS,
 
     Merged chunks stay within ``most`` tokens with their context, and keep the
     earlier one's context. One pass: a small chunk that the last result cannot take
-    waits for the next one, and is tested again once merged. Of two neighbours that are
-    not small the second begins anew, whatever came before; so the pass goes over the stretches
-    between such places, each by itself, and copies no earlier results.
+    waits for the next one, and is tested again once merged.
     """
-
-    def stretches(chunks: Column) -> Column:
-        big = lambda i: F.get(chunks, i - 1)["n"] >= least
-        ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(chunks), F.lit(1))), lambda i: (i == F.size(chunks)) | (big(i) & big(i + 1)))
-        done = F.flatten(F.transform(one_by_one(chunks, ends), lambda part: merge_stretch(part, least, most, context_words, same_speaker)))
-        return F.when(F.size(chunks) > 0, done).otherwise(F.array().cast(f"array<{CHUNK}>"))
-
-    return bound(chunks, stretches)
+    none = F.array().cast(f"array<{CHUNK}>")
+    return bound(chunks, lambda c: F.when(F.size(c) > 0, merge_stretch(c, least, most, context_words, same_speaker)).otherwise(none))
 
 
 def merge_stretch(chunks: Column, least: int, most: int, context_words: int, same_speaker: bool) -> Column:
-    """The pass of ``merge_small`` over a few chunks."""
-    array = f"array<{CHUNK}>"
-    fresh = F.struct(F.array().cast(array).alias("out"), F.array().cast(array).alias("wait"))
-    fits = lambda a, b: ((a["speaker"] == b["speaker"]) if same_speaker else F.lit(True)) & (a["n"] + b["n"] + context_words <= most)
-    merged = lambda a, b: F.struct(a["speaker"].alias("speaker"), F.concat(a["words"], b["words"]).alias("words"), a["context"].alias("context"), (a["n"] + b["n"]).alias("n"))
-
-    def place(out: Column, e: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        back = (F.size(out) > 0) & F.coalesce(fits(last, e), F.lit(False))
+    """The pass of ``merge_small``: it keeps the places where results end, the last result's size, and the chunk that waits."""
+    last = "struct<n:int,speaker:string>"
+    fresh = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("at"), F.lit(None).cast(last).alias("out"), F.lit(None).cast(last).alias("wait"), F.lit(0).alias("since"))
+    fits = lambda a, b: F.coalesce(((a["speaker"] == b["speaker"]) if same_speaker else F.lit(True)) & (a["n"] + b["n"] + context_words <= most), F.lit(False))
+    one = lambda n, speaker: F.struct(n.alias("n"), speaker.alias("speaker")).cast(last)
+    state = lambda ends, at, out, wait, since: F.struct(ends.alias("ends"), at.alias("at"), out.alias("out"), wait.alias("wait"), since.alias("since"))
+    none = F.lit(None).cast(last)
+    before = lambda ends, out, place: F.when(out.isNotNull(), F.concat(ends, F.array(place))).otherwise(ends)
+
+    def taken(x: Column) -> Column:
+        """The chunk ``e``, which begins at ``since``, joins the last result, becomes one, or waits."""
+        a, e = x["a"], x["e"]
         return (
-            F.when(e["n"] >= least, F.struct(F.concat(out, F.array(e)).alias("out"), F.array().cast(array).alias("wait")))
-            .when(back, F.struct(F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(merged(last, e))).alias("out"), F.array().cast(array).alias("wait")))
-            .otherwise(F.struct(out.alias("out"), F.array(e).alias("wait")))
+            F.when(e["n"] >= least, state(before(a["ends"], a["out"], a["since"]), a["at"], e, none, a["since"]))
+            .when(a["out"].isNotNull() & fits(a["out"], e), state(a["ends"], a["at"], one(a["out"]["n"] + e["n"], a["out"]["speaker"]), none, a["since"]))
+            .otherwise(state(a["ends"], a["at"], a["out"], e, a["since"]))
         )
 
     def step(a: Column, e: Column) -> Column:
-        waiting = F.get(a["wait"], 0)
-        return F.when(F.size(a["wait"]) == 0, place(a["out"], e)).when(fits(waiting, e), place(a["out"], merged(waiting, e))).otherwise(place(F.concat(a["out"], a["wait"]), e))
+        at, new = a["at"] + 1, one(e["n"], e["speaker"])
+        joined = F.struct(state(a["ends"], at, a["out"], none, a["since"]).alias("a"), one(a["wait"]["n"] + e["n"], a["wait"]["speaker"]).alias("e"))
+        alone = F.struct(state(a["ends"], at, a["out"], none, a["at"]).alias("a"), new.alias("e"))
+        after = F.struct(state(before(a["ends"], a["out"], a["since"]), at, a["wait"], none, a["at"]).alias("a"), new.alias("e"))
+        return bound(F.when(a["wait"].isNull(), alone).when(fits(a["wait"], e), joined).otherwise(after), taken)
+
+    def finish(a: Column) -> Column:
+        return F.when(a["wait"].isNotNull(), F.concat(before(a["ends"], a["out"], a["since"]), F.array(a["at"]))).otherwise(F.concat(a["ends"], F.array(a["at"])))
+
+    def merged(part: Column) -> Column:
+        first, n = F.get(part, 0), F.aggregate(part, F.lit(0), lambda a, c: a + c["n"])
+        return F.struct(first["speaker"].alias("speaker"), F.flatten(F.transform(part, lambda c: c["words"])).alias("words"), first["context"].alias("context"), n.alias("n"))
 
-    return F.aggregate(chunks, fresh, step, lambda a: F.concat(a["out"], a["wait"]))
+    return F.transform(bound(chunks, lambda c: one_by_one(c, F.aggregate(c, fresh, step, finish))), merged)
 
 
 def merge_rows(rows: DataFrame, file: str, pos: str, chunk: str, least: int = MIN_WORDS, most: int = MOST_WORDS, context_words: int = CONTEXT_WORDS, same_speaker: bool = True, block: int = 1 << 16) -> DataFrame:
     """``merge_small`` over rows, for files that are too long for one row: ``file, chunk_pos, c``.
 
-    A file is cut between two neighbours that are not small, as there the pass begins anew, and
-    each stretch is merged in a row of its own. Where the cuts are, and a result's
+    A file is cut between two neighbours where nothing that comes before matters for what follows, and
+    each stretch is merged in a row of its own: where both are not small, where the two can never be in one result
+    (another speaker, or too long together), and before a chunk that is not small if the small one
+    before it is sure to have joined the one before that. Where the cuts are, and a result's
     place, follow from blocks of ``block`` places, an integer, and from one row per block: no window holds a file.
     """
     at = rows.select(F.col(file).alias("file"), F.col(pos).cast("long").alias("pos"), F.col(chunk).alias("c"), F.floor(F.col(pos) / block).alias("b"))
     inside, before = Window.partitionBy("file", "b").orderBy("pos"), Window.partitionBy("file").orderBy("b")
-    n = F.col("c.n")
-    edges = at.groupBy("file", "b").agg(F.max_by(n, "pos").alias("last")).select("file", "b", F.lag("last").over(before).alias("above"))
-    at = at.join(edges, ["file", "b"]).withColumn("prior", F.coalesce(F.lag(n).over(inside), "above"))
-    cut = F.col("prior").isNull() | ((F.col("prior") >= least) & (n >= least))
-    at = at.withColumn("begins", F.when(cut, F.col("pos"))).drop("above", "prior")
+    own = F.struct(F.col("c.n").alias("n"), F.col("c.speaker").alias("speaker"))
+    edges = at.groupBy("file", "b").agg(F.max_by(own, "pos").alias("last")).select("file", "b", F.lag("last").over(before).alias("above"))
+    at = at.join(edges, ["file", "b"]).withColumn("prior", F.coalesce(F.lag(own).over(inside), "above")).withColumn("second", F.lag(own, 2).over(inside))
+    n, p, q = F.col("c.n"), F.col("prior"), F.col("second")
+    same = lambda a, b: (a == b) if same_speaker else F.lit(True)
+    never = (~same(p["speaker"], F.col("c.speaker"))) | (p["n"] + n + context_words > most)
+    joined = (n >= least) & (p["n"] < least) & (q["n"] >= least) & same(q["speaker"], p["speaker"]) & (q["n"] + least - 1 + p["n"] + context_words <= most)
+    cut = p.isNull() | ((p["n"] >= least) & (n >= least)) | F.coalesce(never, F.lit(False)) | F.coalesce(joined, F.lit(False))
+    at = at.withColumn("begins", F.when(cut, F.col("pos"))).drop("above", "prior", "second")
     lasts = at.groupBy("file", "b").agg(F.max("begins").alias("m")).select("file", "b", F.max("m").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     at = at.join(lasts, ["file", "b"]).withColumn("stretch", F.coalesce(F.max("begins").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "carried"))
     lists = at.groupBy("file", "stretch").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("l"))
@@ -162,15 +181,13 @@ def to_output(file: Column, chunk: Column) -> list[Column]:
 def chunk(turns: DataFrame, target: int = TARGET, least: int = MIN_WORDS, most: int = MOST_WORDS, context_words: int = CONTEXT_WORDS, same_speaker: bool = True, vocabulary: tuple[str, ...] = BACKCHANNELS) -> DataFrame:
     """``file, chunk_pos`` and the columns of a chunk, for all files at once.
 
-    Pieces are packed turn by turn; merging needs a file's pieces in order, so they
-    meet in one array per file.
+    Pieces are packed turn by turn and merged as rows, so no row holds a file.
     """
     kept = with_context(drop_backchannels(turns, vocabulary), context_words)
     pieces = F.transform(split_turn(F.transform("words", lambda w: w.cast(WORD)), target), lambda p: F.struct(F.col("speaker"), p.alias("words"), F.col("context"), sum_tokens(p).alias("n")).cast(CHUNK))
-    by_turn = kept.select("file", "turn_pos", pieces.alias("pieces"))
-    by_file = by_turn.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("turn_pos", "pieces"))).alias("turns"))
-    flat = F.flatten(F.transform("turns", lambda t: t["pieces"]))
-    rows = by_file.select("file", F.posexplode(merge_small(flat, least, most, context_words, same_speaker)).alias("chunk_pos", "c"))
+    by_piece = kept.select("file", F.col("turn_pos").cast("long").alias("turn_pos"), F.posexplode(pieces).alias("i", "c"))
+    placed = by_piece.select("file", (F.shiftleft("turn_pos", PIECE_BITS) + F.col("i")).alias("pos"), "c")
+    rows = merge_rows(placed, "file", "pos", "c", least, most, context_words, same_speaker, block=1 << (PIECE_BITS + 16))
     out = rows.select("chunk_pos", *to_output(F.col("file"), F.col("c")))
     limit = F.when(count_tokens(F.col("embed_text")) > most, F.raise_error(F.lit(f"embed_text of more than {most} words"))).otherwise(F.col("embed_text"))
     return out.withColumn("embed_text", limit)
