@@ -33,19 +33,20 @@ ARTICLE = frozenset(("article", "main"))
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none""")
 #: Names in class, id or role of the kinds of text that an article is without.
 NAMED = frozenset(
-    "menu menus nav navbar navigation header footer sidebar notice notices cookie cookies consent ad ads advert adverts advertisement advertisements sponsored form comment comments reply replies".split()
+    """menu menus nav navbar navigation header footer sidebar notice notices cookie cookies consent ad ads advert adverts advertisement advertisements sponsored promo promotion promotions form
+    comment comments reply replies discussion discussions""".split()
 )
 #: Blocks of running text, and of lists and tables: the element around them is what they are part of.
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption td th ul ol dl table thead tbody tfoot tr header hgroup figure".split())
 PUNCTUATION = ".,;:!?¡¿。、，！？"
 #: Weights of a path and its neighbours in page order.
 KERNEL = np.array([0.05, 0.9, 0.05])
-#: Factor of a path through an article element, and of one through an element with a name of NAMED.
-IN_ARTICLE, BY_NAME = 3.0, 1 / 16
+#: Factor of a path through an element with a name of NAMED.
+BY_NAME = 1 / 16
 #: What a path's own blocks count for in its score, against the best element around them.
-OWN = 0.4
+OWN = 0.25
 #: A path is content if its score is this share of the page's best, and this much.
-SHARE, LEAST = 0.55, 0.6
+SHARE, LEAST = 0.72, 0.6
 
 
 @dataclass(slots=True)
@@ -78,7 +79,7 @@ class Paths:
         return self.step[path].partition(".")[0]
 
     def factors(self) -> list[float]:
-        """What the elements of each path say of its text: more inside an article, less by names.
+        """What the names of each path's elements say of its text.
 
         A name counts by the share of its words, inside an article only as a whole, and
         headers are the article's own there.
@@ -93,9 +94,7 @@ class Paths:
                     share = float(any(named(n) == 1 and n.lower() != "header" for n in names))
                 else:
                     share = sum(map(named, names)) / max(len(names), 1)
-                if tag in ARTICLE and not within:
-                    within = True
-                    factor *= IN_ARTICLE
+                within = within or tag in ARTICLE
                 factor *= BY_NAME**share
             out.append(factor)
             inside.append(within)
@@ -136,6 +135,7 @@ def step(tag: str, attributes: str) -> str:
 def leaves(html: str, paths: Paths) -> Iterator[Leaf]:
     """Text nodes in page order, without those in elements of SKIP_TAGS, hidden ones and headers of the page."""
     names: list[str] = []
+    where: dict[str, list[int]] = {}  # places of the open elements of each name
     #: Of each open element, and of none: path down to the block, in a link or not, without text or not, in an article or not.
     blocks, linked, skips, inside = [0], [False], [False], [False]
     begins, at, end = True, 0, len(html)
@@ -146,13 +146,16 @@ def leaves(html: str, paths: Paths) -> Iterator[Leaf]:
             yield Leaf(blocks[-1], s, begins, linked[-1])
             begins = False
 
+    def last(kinds: set[str] | frozenset[str]) -> int:
+        return max((where[k][-1] for k in kinds if where.get(k)), default=-1)
+
     def close(kinds: set[str] | frozenset[str], bound: frozenset[str]) -> None:
-        for i in range(len(names) - 1, -1, -1):
-            if names[i] in kinds:
-                del names[i:], blocks[i + 1 :], linked[i + 1 :], skips[i + 1 :], inside[i + 1 :]
-                return
-            if names[i] in bound:
-                return
+        """Close the last open element of a kind and all in it, unless one of ``bound`` is open in it."""
+        i = last(kinds)
+        if i >= 0 and i >= last(bound):
+            for name in names[i:]:
+                where[name].pop()
+            del names[i:], blocks[i + 1 :], linked[i + 1 :], skips[i + 1 :], inside[i + 1 :]
 
     while at < end:
         m = TOKEN.search(html, at)
@@ -178,6 +181,7 @@ def leaves(html: str, paths: Paths) -> Iterator[Leaf]:
             close(CLOSES[tag], SCOPE - CLOSES[tag])
         if tag in VOID or attributes.rstrip().endswith("/"):
             continue
+        where.setdefault(tag, []).append(len(names))
         names.append(tag)
         skips.append(skips[-1] or tag in SKIP_TAGS or (tag == "header" and not inside[-1]) or bool(HIDDEN.search(attributes)))
         inside.append(inside[-1] or tag in ARTICLE)
@@ -215,7 +219,7 @@ def path_scores(nodes: list[Leaf], paths: Paths) -> dict[int, float]:
     """The score of each tag path.
 
     Characters and punctuation marks per block are smoothed over the paths in page
-    order and fused as logarithms. The same of all text in the best element around
+    order and fused as logarithms with the characters of the path in all. The same of all text in the best element around
     it counts too: titles and short paragraphs have paths of their own. Times
     the factor of its elements, and next to nothing where nearly all text is links, it is the path's.
     """
@@ -224,10 +228,10 @@ def path_scores(nodes: list[Leaf], paths: Paths) -> dict[int, float]:
         return {}
     chars, marks, blocks, linked = np.array(list(sums.values())).T
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), KERNEL, mode="valid")
-    own = np.log1p(smooth(chars / blocks)) + np.log1p(smooth(marks / blocks))
+    own = np.log1p(smooth(chars / blocks)) + np.log1p(smooth(marks / blocks)) + np.log1p(chars)
     total = np.array(paths.whole(sums))
     each = np.maximum(total[:, 2], 1)
-    around = paths.around((np.log1p(total[:, 0] / each) + np.log1p(total[:, 1] / each)).tolist())
+    around = paths.around((np.log1p(total[:, 0] / each) + np.log1p(total[:, 1] / each) + np.log1p(total[:, 0])).tolist())
     factors = paths.factors()
     out = {}
     for path, x, unlinked in zip(sums, own.tolist(), (1 - (linked / chars) ** 4).tolist()):
