@@ -492,9 +492,9 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     slim = base.select(F.col("_dedup_id").alias("d"), F.col("_dedup_tie").alias("r"), F.col("_dedup_bytes").alias("t"))
     slim = slim.dropDuplicates(["d", "r"]) if twice else slim
     candidates = materialize(repeated_anchors(slim), "suffix-candidates")
-    spans, _ = removals(slim, candidates)
-    discard(candidates)
-    lists = spans.groupBy("d", "r").agg(F.collect_list(F.struct("start", "end")).alias("_dedup_spans"))
+    spans, working = removals(slim, candidates)
+    lists = materialize(spans.groupBy("d", "r").agg(F.collect_list(F.struct("start", "end")).alias("_dedup_spans")), "suffix-spans")
+    discard(candidates, *working)
     rows = base.join(lists, (base["_dedup_id"] == lists["d"]) & (base["_dedup_tie"] == lists["r"]), "left")
     figures = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     kept = [c for c in docs.columns if c != "text"] if with_text else ["doc_id"]

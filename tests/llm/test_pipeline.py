@@ -75,11 +75,15 @@ def test_stages_equal_brute_force(spark):
     copies = Counter(r.doc_id for r in mixed.collect())
     assert copies == by_sql(cut) and max(copies.values()) <= 3
     assert [s.columns == source.columns for s in (ruled, single, cut, mixed)] == [True] * 4
-    ids = defaultdict(int)
+    pieces = defaultdict(list)
     for r in packed.collect():
-        ids[r.doc_id] += r.length
-        assert r.offset + r.length <= 4096
-    assert ids == {d: n * len(whole(want[d])) for d, n in copies.items()}
+        pieces[r.doc_id].append((r.start, r.ids))
+        assert r.offset + r.length <= 4096 and len(r.ids) == r.length
+    for d, n in copies.items():
+        tokens = list(whole(want[d]))
+        assert sum(len(x) for _, x in pieces[d]) == n * len(tokens)
+        assert all(x == tokens[at : at + len(x)] for at, x in pieces[d]), "the ids are those of the mixing stage's texts"
+    assert set(pieces) == set(copies)
 
 
 @pytest.mark.parametrize("name", [f"op{n}_" for n in range(1, 11)])
