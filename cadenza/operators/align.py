@@ -21,6 +21,22 @@ def filter_spans(spans: DataFrame, least: float = MIN_SPAN) -> DataFrame:
     return spans.where(F.col("end") - F.col("start") >= least)
 
 
+def exclusive_spans(spans: DataFrame, bin_size: float = 40 * BIN) -> DataFrame:
+    """Spans that do not overlap: at any time the span that began first, of several the first in the list, keeps the floor.
+
+    A span loses all that spans before it cover, which is what is up to their largest end; one that is
+    covered whole is dropped. That end is a running maximum within a time range of a file, over what the
+    ranges before it carry, one row each; so a file of any length is dealt to many tasks.
+    """
+    at = spans.withColumn("_bin", F.floor(F.col("start") / bin_size))
+    order = Window.partitionBy("file", "_bin").orderBy("start", "span_pos").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.partitionBy("file").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = at.groupBy("file", "_bin").agg(F.max("end").alias("_last")).select("file", "_bin", F.max("_last").over(ranges).alias("_carried"))
+    covered = F.greatest(F.max("end").over(order), F.col("_carried"))
+    out = at.join(carried, ["file", "_bin"]).withColumn("start", F.greatest("start", covered)).where("start < end")
+    return out.select(spans.columns)
+
+
 def join_split_tokens(words: DataFrame, prefixes: tuple[str, ...] | None = None) -> DataFrame:
     """Glue pieces that begin with a prefix to the word before, in chains; a leading piece stays a word.
 

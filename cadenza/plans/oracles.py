@@ -203,6 +203,8 @@ def oracle_sql() -> dict[str, str]:
         "segment_normalize": "WITH " + EVENTS + """ SELECT file, pos, event_type AS text, round("start" % 100000000 / 1000.0::DOUBLE, 3) AS "start", round("end" % 100000000 / 1000.0::DOUBLE, 3) AS "end",
             CAST(CASE WHEN pos % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_words, CASE WHEN pos % 2 = 0 THEN event_type END AS word, CASE WHEN pos % 2 = 0 THEN round("end" % 100000000 / 1000.0::DOUBLE, 3) END AS word_end FROM e""",
         "filter_spans": "WITH " + SPANS + ' SELECT file, span_pos, speaker, "start", "end" FROM ks',
+        "exclusive_spans": "WITH " + SPANS + """, c AS (SELECT *, max("end") OVER (PARTITION BY file ORDER BY "start", span_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up FROM sp)
+            SELECT file, span_pos, speaker, greatest("start", up) AS "start", "end" FROM c WHERE greatest("start", up) < "end" """,
         "speaker_totals": "WITH " + SPANS + """, a AS (SELECT file, speaker, CAST(sum("end" - "start") AS BIGINT) AS total FROM sp GROUP BY file, speaker)
             SELECT file, speaker, total, round(CASE WHEN sum(total) OVER (PARTITION BY file) <> 0 THEN 100.0::DOUBLE * total / sum(total) OVER (PARTITION BY file) ELSE 0 END, 6) AS share FROM a""",
         "join_split_tokens": """WITH a AS (SELECT conv_id AS file, turn, regexp_extract_all(text, '\\p{L}+|[^\\s\\p{L}]') AS ls FROM conversations),

@@ -94,6 +94,11 @@ def filter_spans(spark, d):
     return align.filter_spans(tables.event_spans(spark, d), MIN_SPAN_MS)
 
 
+@query
+def exclusive_spans(spark, d):
+    return align.exclusive_spans(tables.event_spans(spark, d), BIN_MS)
+
+
 @query
 def speaker_totals(spark, d):
     x = align.speaker_totals(tables.event_spans(spark, d))

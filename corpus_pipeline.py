@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import mixing, near_copies, packing, quality, suffix_dedup
-from cadenza.llm.common import materialize
+from cadenza.llm.common import discard, materialize
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens; a small word cache, as workers still hold memory of earlier stages."""
-    return packing.pack(docs, most_words=1 << 18)
+    """Sequences of at most 4096 tokens, each piece with its token ids; a small word cache, as workers still hold memory of earlier stages."""
+    return packing.pack(docs, with_ids=True, most_words=1 << 18)
 
 
 STAGES = [("quality rules", rules), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("mixing", mix), ("packing", pack)]
@@ -50,8 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written and read again; a stage's table goes once the next is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(*before)
+        before = [docs]
     return docs

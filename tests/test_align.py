@@ -165,3 +165,26 @@ def test_skipped_files_are_named(spark, tmp_path):
             body = {"file": n, "segments": []} if folder == "t" else {"file": n, "turns": []}
             (tmp_path / folder / f"{n}.json").write_text(json.dumps(body))
     assert [tuple(r) for r in build.skipped(spark, str(tmp_path / "t"), str(tmp_path / "d")).collect()] == [("y", "no speaker spans")]
+
+
+def test_exclusive_spans_equal_a_look_at_every_moment(spark):
+    """At each moment the span that began first, of several the first in the list, speaks; time ranges of any width give the same."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for f in "ab":
+        for i in range(120):
+            start = rng.randrange(0, 300)
+            rows.append((f, i, rng.choice("AB"), start, start + rng.choice([0, 1, 2, 3, 5, 9, 40])))
+    df = spark.createDataFrame(rows, "file string, span_pos int, speaker string, start long, end long")
+    want = set()
+    for f in "ab":
+        for t in range(350):
+            live = [(s, i) for g, i, _, s, e in rows if g == f and s <= t < e]
+            if live:
+                want.add((f, t, min(live)[1]))
+    for size in (7, 50, 10_000):
+        got = align.exclusive_spans(df, size).collect()
+        assert {(r.file, t, r.span_pos) for r in got for t in range(r.start, r.end)} == want
+        assert sum(r.end - r.start for r in got) == len(want), "no two overlap"
