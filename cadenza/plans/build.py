@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schemas
 from ..operators import align, chunk, vector
+from ..sources import documents as sink
 from ..sources import files
 from . import store
 from .search import Searcher
@@ -42,8 +41,7 @@ def recognise(spark: SparkSession, folder: str, out: str, load: Callable[[], Cal
     Documents are one JSON file each, named like the recording, as ``files.read_json`` takes them. A run
     that fails leaves whole documents only, and the next goes on with the rest.
     """
-    done = spark.createDataFrame([(s,) for s in existing(spark, out)], "stem string")
-    todo = files.pending(files.audio(spark, folder), done)
+    todo = files.pending(files.audio(spark, folder), sink.stems(spark, out))
 
     def with_path() -> Callable[[str, bytes], dict]:
         model = load()
@@ -53,34 +51,7 @@ def recognise(spark: SparkSession, folder: str, out: str, load: Callable[[], Cal
     made = made.withColumn("stem", files.stem_of(F.col("_path")))
     body = F.to_json(F.struct(*schema.fieldNames()))
     rows = made.select("stem", body.alias("value"))
-    staged = f"{out}/_staged-{uuid.uuid4().hex}"
-    rows.write.partitionBy("stem").text(staged)
-    return publish(spark, staged, out)
-
-
-def existing(spark: SparkSession, folder: str) -> list[str]:
-    """Stems of the JSON documents of a folder."""
-    fs, path = store._hadoop(spark, folder)
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path) if s.isFile()]
-    return [n.removesuffix(".json") for n in names if n.endswith(".json")]
-
-
-def publish(spark: SparkSession, staged: str, out: str) -> int:
-    """Rename staged documents to their places, one by one; a rename is whole or nothing."""
-    fs, root = store._hadoop(spark, staged)
-    n = 0
-    for folder in fs.listStatus(root):
-        name = folder.getPath().getName()
-        if not name.startswith("stem="):
-            continue
-        for part in fs.listStatus(folder.getPath()):
-            if part.getPath().getName().startswith("part-"):
-                stem = unquote(name.removeprefix("stem="))
-                n += bool(fs.rename(part.getPath(), store._hadoop(spark, f"{out}/{stem}.json")[1]))
-    fs.delete(root, True)
-    return n
+    return sink.save(rows, out)
 
 
 def build(spark: SparkSession, transcripts: str, diarizations: str, path: str, load=lambda: vector.hashed_words) -> tuple[Searcher, DataFrame]:
