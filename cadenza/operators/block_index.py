@@ -154,8 +154,8 @@ def read(spark: SparkSession, path: str) -> Index:
 
 
 def counts(blocks: DataFrame) -> DataFrame:
-    """``bucket, term, n_docs, n_postings`` from skip entries; a filter by term reaches the scan."""
-    return blocks.groupBy("bucket", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_postings").alias("n_postings"))
+    """``term, n_docs, n_postings``, and the ``bucket`` if there is one, from skip entries; a filter by term reaches the scan."""
+    return blocks.groupBy(*(c for c in ("bucket", "term") if c in blocks.columns)).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_postings").alias("n_postings"))
 
 
 def saturation(tf: Column, length: Column, average: float, k1: float = K1, b: float = B) -> Column:

@@ -12,16 +12,60 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import block_index
+from ..operators import block_index, lexical
 from ..working import new_path
 
 DDL = """CREATE TABLE IF NOT EXISTS {name} (
   id BIGINT NOT NULL, file STRING NOT NULL, speaker STRING NOT NULL, start_ms INT NOT NULL, end_ms INT NOT NULL,
-  text STRING NOT NULL, n_words INT NOT NULL, embedding ARRAY<FLOAT>) USING parquet"""
+  text STRING NOT NULL, n_words INT NOT NULL, embedding ARRAY<FLOAT>)
+  USING parquet CLUSTERED BY (id) SORTED BY (id) INTO {buckets} BUCKETS"""
+#: The postings of a catalog table; a bucket holds all blocks of its terms, so counts by term need no exchange.
+BLOCKS_DDL = """CREATE TABLE IF NOT EXISTS {name}_blocks (
+  term STRING, block BIGINT, n_docs INT, n_postings INT, max_tf INT, min_len INT, slots ARRAY<TINYINT>, lens ARRAY<INT>, tfs ARRAY<INT>, gaps ARRAY<INT>)
+  USING parquet CLUSTERED BY (term) SORTED BY (term, block) INTO {buckets} BUCKETS"""
+LENGTHS_DDL = "CREATE TABLE IF NOT EXISTS {name}_lengths (id BIGINT, n_terms INT) USING parquet CLUSTERED BY (id) SORTED BY (id) INTO {buckets} BUCKETS"
+TABLES = {"": DDL, "_blocks": BLOCKS_DDL, "_lengths": LENGTHS_DDL}
+#: Columns of a catalog table that hold no null.
+REQUIRED = ["id", "file", "speaker", "start_ms", "end_ms", "text", "n_words"]
 
 
-def create(spark: SparkSession, name: str = "chunks") -> None:
-    spark.sql(DDL.format(name=name))
+def create(spark: SparkSession, name: str = "chunks", buckets: int = lexical.BUCKETS) -> None:
+    """Create the chunk table of that name and those of its index, if there are none."""
+    for ddl in TABLES.values():
+        spark.sql(ddl.format(name=name, buckets=buckets))
+
+
+def ingest_table(chunks: DataFrame, name: str = "chunks", buckets: int = lexical.BUCKETS, stemmed: bool = True, stops: frozenset[str] | None = None) -> None:
+    """Replace the rows of the catalog table ``name`` and its index by ``chunks`` with ids; a null in a required column is an error, and nothing changes.
+
+    For sessions that share a catalog. The tables are overwritten one after another, so who needs a load to be
+    seen at once uses the store of ``ingest``. All blocks of a term are in one bucket, which is one task's to read.
+    """
+    spark = chunks.sparkSession
+    create(spark, name, buckets)
+    path = new_path(spark, "load")
+    bad = F.concat_ws(", ", *(F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED))
+    checked = chunks.select(COLUMNS).withColumn("id", F.when(bad != "", F.raise_error(F.concat(F.lit("null in "), bad)).cast("long")).otherwise(F.col("id")))
+    checked.write.parquet(path)
+    rows = spark.read.parquet(path)
+    words = block_index.words(rows, lexical.stop_words() if stops is None else stops)
+    parts = {
+        "_blocks": block_index.blocks(rows, stemmed, stops).drop("bucket").repartition(buckets, "term"),
+        "_lengths": words.select("id", block_index.length(F.col("w")).alias("n_terms")).repartition(buckets, "id"),
+        "": rows.repartition(buckets, "id"),
+    }
+    for suffix, part in parts.items():
+        part.select(spark.table(name + suffix).columns).createOrReplaceTempView("_cadenza_load")
+        spark.sql(f"INSERT OVERWRITE TABLE {name}{suffix} SELECT * FROM _cadenza_load")
+    spark.catalog.dropTempView("_cadenza_load")
+    fs, folder = _hadoop(spark, path)
+    fs.delete(folder, True)
+
+
+def table_index(spark: SparkSession, name: str = "chunks") -> tuple[DataFrame, block_index.Index]:
+    """The chunks of a catalog table and their index."""
+    blocks, lengths = spark.table(f"{name}_blocks"), spark.table(f"{name}_lengths")
+    return spark.table(name), block_index.Index(blocks, lengths, block_index.counts(blocks), lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("n_terms")))
 
 
 def with_ids(chunks: DataFrame, file: str = "stem", pos: str = "chunk_pos", block: int = 1 << 16) -> DataFrame:

@@ -216,7 +216,8 @@ def test_report(spark, searcher, tmp_path):
 def test_store_reports(spark):
     store.create(spark, "chunks_ddl_test")
     assert spark.table("chunks_ddl_test").columns == ["id", "file", "speaker", "start_ms", "end_ms", "text", "n_words", "embedding"]
-    spark.sql("DROP TABLE chunks_ddl_test")
+    for suffix in store.TABLES:
+        spark.sql(f"DROP TABLE chunks_ddl_test{suffix}")
 
 
 def published() -> tuple[Path, Path, Path] | None:

@@ -105,3 +105,34 @@ def test_repeated_rows_and_empty_updates(spark, path):
     assert store.tables(spark, path)[0].where("file = 'a.wav'").count() == 0
     with pytest.raises(FileNotFoundError):
         store.upsert(rows(spark, FIRST), f"{path}-none")
+
+
+@pytest.fixture
+def catalog(spark):
+    name = "catalog_test"
+    yield name
+    for suffix in store.TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {name}{suffix}")
+
+
+def test_a_catalog_table_is_searched_like_a_store(spark, path, catalog):
+    store.ingest_table(store.with_ids(rows(spark, AFTER), "file", "start_ms"), catalog, buckets=8)
+    store.ingest_table(store.with_ids(rows(spark, FIRST), "file", "start_ms"), catalog, buckets=8)  # takes the place of the first
+    chunks, index = store.table_index(spark, catalog)
+    asked = [(0, "moon robots"), (1, "moon"), (2, "boiling")]
+    hits = lambda c, i: sorted((r.qid, r.file, r.start_ms) for r in Searcher(c, i.blocks).search(asked, 3, "keyword").collect())
+    assert hits(chunks, index) == hits(*store.opened(spark, path)) != []
+    assert chunks.count() == len(FIRST) and index.summary.first() == store.opened(spark, path)[1].summary.first()
+    terms = lexical.parsed(spark, [(0, "moon")])
+    plan = lexical.chosen(index.terms, terms)._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 1 out of 8" in plan and "Exchange" not in plan
+    whole = index.terms._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in whole, "counts by term are bucket by bucket"
+
+
+def test_a_catalog_table_takes_no_null(spark, catalog):
+    store.ingest_table(store.with_ids(rows(spark, FIRST), "file", "start_ms"), catalog, buckets=2)
+    broken = store.with_ids(rows(spark, UPDATE), "file", "start_ms").withColumn("speaker", F.when(F.col("start_ms") != 500, F.col("speaker")))
+    with pytest.raises(Exception, match="null in speaker"):
+        store.ingest_table(broken, catalog, buckets=2)
+    assert spark.table(catalog).count() == len(FIRST)
