@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, compressor, decompressor, discard, materialize, new_path, partition_keys, remove, wide
@@ -37,6 +37,8 @@ from .common import LOWER, compressor, decompressor, discard, materialize, new_p
 START, END = b"", b" "
 #: The number of START; words have smaller ones.
 START_ID = np.uint64((1 << 64) - 1)
+#: The number of words that a stored model does not know, as a long.
+UNKNOWN = -2
 #: Bytes of text in a batch.
 BATCH = 12 << 20
 #: Counts up to this are discounted; pairs need this count to be kept, unless the caller says otherwise.
@@ -537,18 +539,26 @@ def result(b: Batch) -> pa.RecordBatch:
     return _batch(RESULT, doc_id=b.row["doc_ids"], held_out=b.row["held"], n_tokens=b.sizes, n_known=total(b.known[b.ids].astype(np.int64)), train_tokens=np.full(len(b.sizes), b.model.n), base_score=total(b.base[b.ids]), score=total(np.log10(b.probs)[b.gram]))
 
 
-def score(docs: DataFrame, kept: int = KEPT, order: int = 2) -> DataFrame:
-    """Learn from all documents outside the fold, and score every row of ``docs``.
+@dataclass
+class Learned:
+    """What a run over the training texts has made: batches, rows of each order, their factors and weights, and the pass that scores the batches."""
 
-    Texts are lower-cased (A-Z) and split at ASCII white space, and one end token
-    is added. ``base_score`` is the add-one score of the contract, ``score`` the
-    model's log10 probability of the text, by n-grams of up to ``order`` words. A null or
-    empty text is the end token alone; a text of any length is scored whole, in one
-    batch. Rows with equal or null ids count and are scored one by one, a null id
-    as the empty id text. If nothing is learned every token is the unseen one. An empty table gives no
-    rows. Columns besides ``doc_id`` and ``text`` are ignored. N-grams of two words or more of a count under
-    ``kept`` are left to the backoff; 1 keeps all.
-    """
+    coded: DataFrame
+    uri: str
+    found: list[DataFrame]
+    factors: list[tuple[float, ...]]
+    split: list[DataFrame]
+    weights: list[DataFrame]
+    model: Model
+    pass_over: Callable[[Callable[[Batch], pa.RecordBatch], str], DataFrame]
+
+    def discard(self) -> None:
+        discard(self.coded, *self.found, *self.split, *self.weights)
+        remove(self.coded.sparkSession, self.uri)
+
+
+def learn(docs: DataFrame, kept: int, order: int) -> Learned:
+    """Count the n-grams of all orders over the documents outside the fold, and weigh their contexts."""
     if order < 2:
         raise ValueError("the order is two or more")
     spark = docs.sparkSession
@@ -556,11 +566,11 @@ def score(docs: DataFrame, kept: int = KEPT, order: int = 2) -> DataFrame:
     coded = materialize(code(docs, uri), "katz-batches")
     found = [materialize(count_words(coded, uri, keys), "katz-words")]
     model = totals(found[0].where("kind = 'word'").select("word", "c"))
-    factors, tables = [], []
+    factors, split, weighed = [], [], []
 
     def pass_over(make: Callable[[Batch], pa.RecordBatch], schema: str) -> DataFrame:
         """Meet each batch with the answers of all orders so far, climb them, and ``make`` rows of ``schema``."""
-        by_order, split, last = tuple(factors), tuple(tables), len(found)
+        by_order, tables, last = tuple(factors), tuple(t._cadenza_path for t in split), len(found)
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, held = None, {}
@@ -572,7 +582,7 @@ def score(docs: DataFrame, kept: int = KEPT, order: int = 2) -> DataFrame:
                     continue
                 b = Batch(load(uri, r["path"]) | {"batch": now}, held["1"], model, keys)  # the path sorts after the answers
                 for k in range(2, last + 1):
-                    b.climb(held[str(k)], split_contexts(split[k - 2], k - 1), by_order[k - 2])
+                    b.climb(held[str(k)], split_contexts(tables[k - 2], k - 1), by_order[k - 2])
                     if k < last or schema != RESULT:
                         b.deal()
                 held = {}
@@ -587,10 +597,97 @@ def score(docs: DataFrame, kept: int = KEPT, order: int = 2) -> DataFrame:
         now = materialize(count_grams(pass_over, k, model, keys, kept), f"katz-grams-{k}")
         hist = {r.p: r.c for r in now.where("kind = 'histogram'").groupBy("p").agg(F.sum("count").alias("c")).collect()}
         factors.append(tuple(good_turing([hist.get(r, 0) for r in range(1, LOW + 2)], kept - 1)))
-        tables.append(materialize(parts_of(now, k), f"katz-split-{k}")._cadenza_path)
-        materialize(weights(now, k, factors[-1]), f"katz-weights-{k}")
+        split.append(materialize(parts_of(now, k), f"katz-split-{k}"))
+        weighed.append(materialize(weights(now, k, factors[-1]), f"katz-weights-{k}"))
         found.append(now)
-    out = materialize(pass_over(result, RESULT), "katz-scores")
-    discard(coded)
-    remove(spark, uri)
+    return Learned(coded, uri, found, factors, split, weighed, model, pass_over)
+
+
+def score(docs: DataFrame, kept: int = KEPT, order: int = 2) -> DataFrame:
+    """Learn from all documents outside the fold, and score every row of ``docs``.
+
+    Texts are lower-cased (A-Z) and split at ASCII white space, and one end token
+    is added. ``base_score`` is the add-one score of the contract, ``score`` the
+    model's log10 probability of the text, by n-grams of up to ``order`` words. A null or
+    empty text is the end token alone; a text of any length is scored whole, in one
+    batch. Rows with equal or null ids count and are scored one by one, a null id
+    as the empty id text. If nothing is learned every token is the unseen one. An empty table gives no
+    rows. Columns besides ``doc_id`` and ``text`` are ignored. N-grams of two words or more of a count under
+    ``kept`` are left to the backoff; 1 keeps all.
+    """
+    made = learn(docs, kept, order)
+    out = materialize(made.pass_over(result, RESULT), "katz-scores")
+    made.discard()
     return out
+
+
+# --- stored models --------------------------------------------------------------------------------
+
+
+def ids_of(order: int) -> list[str]:
+    return [f"g{i}" for i in range(order)]
+
+
+def dealt(rows: DataFrame, columns: list[str], path: str, buckets: int) -> None:
+    """Write ``rows`` in folders by a hash of ``columns``."""
+    bucket = F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
+    rows.withColumn("bucket", bucket).repartition(buckets, "bucket").sortWithinPartitions("bucket", *columns).write.partitionBy("bucket").parquet(path)
+
+
+def fit(docs: DataFrame, path: str, kept: int = KEPT, order: int = 2, buckets: int = 16) -> str:
+    """Learn a model from the documents outside the fold and store it at ``path``, which is returned.
+
+    ``words`` (``word, id, c``), ``grams-k`` (ids and ``count``) and ``weights-k`` (ids of a context, ``unit`` and ``backoff``)
+    are tables in buckets by word or by context; ``model`` is one row of totals and discounts.
+    """
+    made = learn(docs, kept, order)
+    spark = docs.sparkSession
+    dealt(made.found[0].where("kind = 'word' and c > 0").select("word", "id", "c"), ["word"], f"{path}/words", buckets)
+    for k in range(2, order + 1):
+        dealt(made.found[k - 1].where("kind = 'gram'").select(*ids_of(k), "count"), ids_of(k - 1), f"{path}/grams-{k}", buckets)
+        dealt(made.weights[k - 2].select(*ids_of(k - 1), "unit", "backoff"), ids_of(k - 1), f"{path}/weights-{k}", buckets)
+    m = made.model
+    row = (m.n, m.v, m.docs, list(m.single), m.unseen, m.mass, [list(f) for f in made.factors])
+    spark.createDataFrame([row], "n long, v long, docs long, single array<double>, unseen double, mass double, factors array<array<double>>").write.parquet(f"{path}/model")
+    made.discard()
+    return path
+
+
+def discounted(c: Column, factors: tuple[float, ...] | list[float]) -> Column:
+    return c * F.when(c <= LOW, F.get(F.array(*map(F.lit, factors)), (c - 1).cast("int"))).otherwise(1.0)
+
+
+def score_with(path: str, docs: DataFrame) -> DataFrame:
+    """Score every row of ``docs`` by the model stored at ``path``: the columns of ``score``, the same for the texts it was learned with.
+
+    Tokens join the words, then, from two words up to the model's order, the weights of their context and the
+    count of their n-gram: a kept n-gram has its discounted share, any other what its context leaves times the
+    probability under the shorter one. Words that the model does not know make contexts that it does not know.
+    """
+    spark = docs.sparkSession
+    row = spark.read.parquet(f"{path}/model").first()
+    model = Model(row.n, row.v, row.docs, tuple(row.single), row.unseen, row.mass)
+    table = lambda name, schema: spark.read.schema(f"{schema}, bucket int").parquet(f"{path}/{name}").drop("bucket")
+    low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = F.concat(F.regexp_extract_all(low, F.lit(r"([^\x20\x09-\x0D]+)"), 1), F.array(F.lit(END.decode())))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), found.alias("w"))
+    tokens = texts.select("row", "doc_id", F.posexplode("w").alias("pos", "word")).join(table("words", "word string, id long, c long"), "word", "left")
+    base = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.n + model.v + 1)))
+    known = F.when(F.col("c") > 0, F.lit(model.rate) * discounted(F.col("c"), model.single)).otherwise(F.lit(model.unseen))
+    order = Window.partitionBy("row").orderBy("pos")
+    number = F.coalesce("id", F.lit(UNKNOWN))
+    most = len(row.factors) + 1
+    before = {f"b{j}": F.lag(number, j, int(START_ID.view(np.int64))).over(order) for j in range(1, most)}
+    tokens = tokens.select("row", "doc_id", number.alias("b0"), *(c.alias(n) for n, c in before.items()), (F.col("c") > 0).alias("known"), base.alias("base"), known.alias("p"))
+    for k, factors in enumerate(row.factors, 2):
+        names = [F.col(f"g{i}").alias(f"b{k - 1 - i}") for i in range(k)]
+        kinds = ", ".join(f"g{i} long" for i in range(k))
+        context = [f"b{j}" for j in range(k - 1, 0, -1)]
+        w = table(f"weights-{k}", ", ".join(f"g{i} long" for i in range(k - 1)) + ", unit double, backoff double").select(*names[: k - 1], "unit", "backoff")
+        grams = table(f"grams-{k}", f"{kinds}, count long").select(*names, "count")
+        tokens = tokens.join(w, context, "left").join(grams, [*context, "b0"], "left")
+        p = F.when(F.col("count") > 0, F.col("unit") * discounted(F.col("count"), factors)).otherwise(F.coalesce("backoff", F.lit(1.0)) * F.col("p"))
+        tokens = tokens.withColumn("p", p).drop("unit", "backoff", "count")
+    sums = tokens.groupBy("row", "doc_id").agg(F.count("*").alias("n_tokens"), F.count_if("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum(F.log10("p")).alias("score"))
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
+    return sums.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).alias("train_tokens"), "base_score", "score")

@@ -150,3 +150,36 @@ def test_three_orders_equal_brute_force(spark, kept):
     got = sorted((r.n_tokens, r.score) for r in katz.score(df, kept, 3).collect())
     want = sorted((len(tokens(t)), score(t)) for _, t in rows)
     assert [n for n, _ in got] == [n for n, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-9)
+
+
+@pytest.mark.parametrize(("kept", "order"), [(1, 2), (2, 3)])
+def test_a_stored_model_scores_as_it_was_learned(spark, tmp_path, kept, order):
+    """Texts of the training run get the scores of ``score``; new texts those of the same model by brute force."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:80] + [(None, None), (3, ""), (2, "A b"), (2, "A b")]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, word string, row int").repartition(3)
+    path = katz.fit(df, f"file://{tmp_path}/model", kept, order)
+    same = lambda x, y: [r[:5] for r in x] == [r[:5] for r in y] and [v for r in x for v in r[5:]] == pytest.approx([v for r in y for v in r[5:]], rel=1e-9)
+    key = lambda r: (str(r[0]), r[2], round(r[6], 6))
+    want = sorted((tuple(r) for r in katz.score(df, kept, order).collect()), key=key)
+    assert same(sorted((tuple(r) for r in katz.score_with(path, df).collect()), key=key), want)
+    new = [(500, "words that no text has ever had xyzzy"), (501, None), (502, rows[0][1] + " xyzzy " + (rows[1][1] or "")), (None, "The end\x0b the")]
+    got = sorted((tuple(r) for r in katz.score_with(path, spark.createDataFrame(new, "doc_id long, text string")).collect()), key=key)
+    if order == 2:
+        model = Brute(rows)
+        pairs = Counter(p for d, t in rows if crc32(b"" if d is None else str(d).encode()) % 7 != 2 for ws in [tokens(t)] for p in zip(["<s>", *ws], ws))
+        model.d2 = katz.good_turing([sum(v == r for v in pairs.values()) for r in range(1, 7)])
+        for (a, b), v in pairs.items():
+            model.next[a][b] = v
+        assert same(got, sorted((model.row(*r) for r in new), key=key))
+    assert len(got) == 4 and katz.score_with(path, df.limit(0)).collect() == []
+
+
+def test_nothing_is_left_behind(spark):
+    from pathlib import Path
+
+    from cadenza.llm.common import shared_root
+
+    root = Path(shared_root(spark).removeprefix("file://")) / "cadenza"
+    before = set(root.iterdir()) if root.exists() else set()
+    katz.score(spark.createDataFrame([(1, "a b a"), (2, "b a")], "doc_id long, text string")).collect()
+    assert [p.name.rpartition("-")[0] for p in set(root.iterdir()) - before] == ["katz-scores"]
