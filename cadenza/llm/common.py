@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,33 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..working import working_folder as shared_root
+
 #: The ASCII upper-case letters to lower case; other bytes stay.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-@lru_cache(maxsize=1)
-def _own_folder(application: str) -> str:
-    """A temporary folder for a local master, deleted when the process ends."""
-    folder = tempfile.mkdtemp(prefix="cadenza-")
-    atexit.register(shutil.rmtree, folder, True)
-    return f"file://{folder}"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is ``spark.checkpoint.dir``. Where that is unset, a local master gets a
-    temporary folder that goes with the process; a cluster gets an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = _own_folder(spark.sparkContext.applicationId)
-    return root.rstrip("/")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
+    """A new folder for a table, in the folder that the driver and all executors see."""
     return f"{shared_root(spark)}/cadenza/{label}-{uuid.uuid4().hex}"
 
 
