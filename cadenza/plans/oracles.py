@@ -205,6 +205,9 @@ def oracle_sql() -> dict[str, str]:
         "filter_spans": "WITH " + SPANS + ' SELECT file, span_pos, speaker, "start", "end" FROM ks',
         "exclusive_spans": "WITH " + SPANS + """, c AS (SELECT *, max("end") OVER (PARTITION BY file ORDER BY "start", span_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up FROM sp)
             SELECT file, span_pos, speaker, greatest("start", up) AS "start", "end" FROM c WHERE greatest("start", up) < "end" """,
+        "voice_segments": "WITH " + EVENTS + """, l AS (SELECT file, pos, "end" - "start" AS v, pos - row_number() OVER (PARTITION BY file ORDER BY pos) AS r FROM e WHERE "end" - "start" >= 1200000),
+            i AS (SELECT file, min(pos) AS a, max(pos) AS z FROM l GROUP BY file, r HAVING max(v) >= 6000000), j AS (SELECT *, CASE WHEN a - lag(z) OVER (PARTITION BY file ORDER BY a) <= 3 THEN 0 ELSE 1 END AS n FROM i),
+            k AS (SELECT *, sum(n) OVER (PARTITION BY file ORDER BY a) AS g FROM j) SELECT file, min(a) AS first, max(z) AS last FROM k GROUP BY file, g""",
         "speaker_totals": "WITH " + SPANS + """, a AS (SELECT file, speaker, CAST(sum("end" - "start") AS BIGINT) AS total FROM sp GROUP BY file, speaker)
             SELECT file, speaker, total, round(CASE WHEN sum(total) OVER (PARTITION BY file) <> 0 THEN 100.0::DOUBLE * total / sum(total) OVER (PARTITION BY file) ELSE 0 END, 6) AS share FROM a""",
         "join_split_tokens": """WITH a AS (SELECT conv_id AS file, turn, regexp_extract_all(text, '\\p{L}+|[^\\s\\p{L}]') AS ls FROM conversations),

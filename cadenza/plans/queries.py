@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import align, block_index, chunk, evaluate, fuse, fuzzy, lexical, vector, vector_index
+from ..operators import activity, align, block_index, chunk, evaluate, fuse, fuzzy, lexical, rerank, vector, vector_index
 from ..sources import files, tables
 from ..working import new_path
 from . import store
@@ -99,6 +99,13 @@ def exclusive_spans(spark, d):
     return align.exclusive_spans(tables.event_spans(spark, d), BIN_MS)
 
 
+@query
+def voice_segments(spark, d):
+    """Active stretches of a user's events, whose lengths stand for energies."""
+    windows = tables.timed_events(spark, d).select("file", F.col("pos").alias("window"), (F.col("end") - F.col("start")).cast("double").alias("energy"))
+    return activity.segments(windows, 20 * 60_000, 100 * 60_000, 3, 16)
+
+
 @query
 def speaker_totals(spark, d):
     x = align.speaker_totals(tables.event_spans(spark, d))
@@ -463,6 +470,18 @@ def summarize(spark, d):
     return evaluate.summarize(scored(spark, d)).select("type", "mode", "n", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
 
 
+@query
+def rerank_rows(spark, d):
+    """Recall and reciprocal rank of each query with the pool reranked by weights learned from other queries."""
+    asked, spans = labelled(spark, d)
+    pool = fused(spark, d, fuse.POOL)
+    start = F.col("id") % 50 * 1000
+    placed = lambda df: df.select("qid", "id", F.lit("hybrid").alias("mode"), "rank", (F.col("id") % 7).alias("file"), start.alias("start_ms"), (start + 10_000).alias("end_ms"))
+    found = rerank.cross_validated(pool, evaluate.span_hits(placed(pool), spans), 10)
+    rows = evaluate.score_rows(asked, placed(found), spans).where("mode = 'hybrid'")
+    return rows.select("qid", "type", F.round("recall", 6).alias("recall"), F.round("rr", 6).alias("rr"), long("first_rank"), "n_results")
+
+
 @query
 def zero_result_rate(spark, d):
     return evaluate.zero_result_rate(scored(spark, d))
