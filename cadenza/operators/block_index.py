@@ -50,6 +50,14 @@ def length(w: Column) -> Column:
     return F.size(F.array_compact(w)).cast("int")
 
 
+def lengths(docs: DataFrame, stops: frozenset[str]) -> DataFrame:
+    """``id, n_terms``: how many words of each document the index has."""
+    if stops:
+        return words(docs, stops).select("id", length(F.col("w")).alias("n_terms"))
+    n = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(lexical.LEXEME))
+    return docs.where(F.col("id").isNotNull()).select(F.col("id").cast("long"), n.cast("int").alias("n_terms"))
+
+
 def blocks(docs: DataFrame, stemmed: bool = True, stops: frozenset[str] | None = None) -> DataFrame:
     """The blocks of ``docs`` (``id, text``) with their ``bucket``, sorted by bucket, term and block within each partition.
 
@@ -131,7 +139,7 @@ def write(docs: DataFrame, path: str, stemmed: bool = True, stops: frozenset[str
     spark = docs.sparkSession
     stops = lexical.stop_words() if stops is None else stops
     blocks(docs, stemmed, stops).write.partitionBy("bucket").option("compression", "zstd").mode("overwrite").parquet(f"{path}/blocks")
-    words(docs, stops).select("id", length(F.col("w")).alias("n_terms")).write.mode("overwrite").parquet(f"{path}/lengths")
+    lengths(docs, stops).write.mode("overwrite").parquet(f"{path}/lengths")
     table(spark, path, "lengths").agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("n_terms")).write.mode("overwrite").parquet(f"{path}/summary")
     return read(spark, path)
 

@@ -48,10 +48,10 @@ def ingest_table(chunks: DataFrame, name: str = "chunks", buckets: int = lexical
     checked = chunks.select(COLUMNS).withColumn("id", F.when(bad != "", F.raise_error(F.concat(F.lit("null in "), bad)).cast("long")).otherwise(F.col("id")))
     checked.write.parquet(path)
     rows = spark.read.parquet(path)
-    words = block_index.words(rows, lexical.stop_words() if stops is None else stops)
+    left_out = lexical.stop_words() if stops is None else stops
     parts = {
         "_blocks": block_index.blocks(rows, stemmed, stops).drop("bucket").repartition(buckets, "term"),
-        "_lengths": words.select("id", block_index.length(F.col("w")).alias("n_terms")).repartition(buckets, "id"),
+        "_lengths": block_index.lengths(rows, left_out).repartition(buckets, "id"),
         "": rows.repartition(buckets, "id"),
     }
     for suffix, part in parts.items():
