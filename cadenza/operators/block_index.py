@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem_column
-from ..working import new_path
+from ..working import stored
 from . import lexical
 
 #: Ids of a block, as a power of two, and of a file of the stored index.
@@ -174,16 +174,11 @@ def saturation(tf: Column, length: Column, average: float, k1: float = K1, b: fl
 def weighted(terms: DataFrame, index: Index) -> DataFrame:
     """``qid, term, idf`` of the distinct terms of each query that the index has; a ``weight`` of a term multiplies it."""
     weight = F.max(F.col("weight") if "weight" in terms.columns else F.lit(1.0))
-    asked = lexical.pinned(terms.groupBy("qid", "term").agg(weight.alias("weight")))
+    asked = lexical.pinned_once(terms.groupBy("qid", "term").agg(weight.alias("weight")), "asked")
     n = index.summary.first().n_docs
     rare = F.log(1 + (n - F.col("n_docs") + 0.5) / (F.col("n_docs") + 0.5))
     found = lexical.chosen(index.terms, asked).select("term", rare.alias("idf")).join(lexical.hint(asked, asked), "term").select("qid", "term", (F.col("idf") * F.col("weight")).alias("idf"))
-    out = lexical.pinned(found)
-    if out._cadenza_terms is None:  # too many for a local table: stored, as several steps read them
-        path = new_path(terms.sparkSession, "terms")
-        found.write.parquet(path)
-        out = lexical.pinned(terms.sparkSession.read.schema(found.schema).parquet(path))
-    return out
+    return lexical.pinned_once(found, "terms")
 
 
 def bounds(asked: DataFrame, index: Index, average: float, k1: float = K1, b: float = B) -> DataFrame:
@@ -196,8 +191,9 @@ def bounds(asked: DataFrame, index: Index, average: float, k1: float = K1, b: fl
 def scored(pairs: DataFrame, asked: DataFrame, index: Index, average: float, k1: float = K1, b: float = B) -> DataFrame:
     """``qid, id, score`` of the documents in the blocks ``qid, block``; positions are not read."""
     rows = lexical.chosen(index.blocks, asked).select("term", "block", "slots", "lens", "tfs")
-    wanted = pairs.join(lexical.hint(asked, asked), "qid").select("qid", "term", "idf", "block")
-    opened = rows.join(wanted, ["term", "block"]).select("qid", "idf", "block", F.inline(F.arrays_zip("slots", "lens", "tfs")))
+    # terms first: only a term's own blocks meet its queries, where the blocks of a query with all its terms are many times as many
+    rows = rows.join(lexical.hint(asked, asked), "term").join(pairs, ["qid", "block"], "left_semi")
+    opened = rows.select("qid", "idf", "block", F.inline(F.arrays_zip("slots", "lens", "tfs")))
     part = F.col("idf") * saturation(F.col("tfs"), F.col("lens"), average, k1, b)
     return opened.groupBy("qid", id_of(F.col("slots")).alias("id")).agg(F.sum(part).alias("score"))
 
@@ -211,8 +207,9 @@ def stages(terms: DataFrame, index: Index, k: int, k1: float = K1, b: float = B,
     asked, summary = weighted(terms, index), index.summary.first()
     average = max(summary.n_terms / max(summary.n_docs, 1), 1e-9)
     above = Window.partitionBy("qid").orderBy(F.desc("most"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = bounds(asked, index, average, k1, b).withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0)))
-    first = scored(ranked.where(F.col("above") < seeds * k).select("qid", "block"), asked, index, average, k1, b).withColumn("score", F.round("score", digits))
+    ranked = stored(bounds(asked, index, average, k1, b).withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0))), "bounds")
+    best = lexical.pinned(ranked.where(F.col("above") < seeds * k).select("qid", "block"))
+    first = stored(scored(lexical.hint(best, best), asked, index, average, k1, b).withColumn("score", F.round("score", digits)), "first")
     nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
     reach = lexical.pinned(first.withColumn("nth", nth).where(F.col("nth") == k).select("qid", F.col("score").alias("reach"), F.lit("").alias("term")))
     left = ranked.where(F.col("above") >= seeds * k).join(lexical.hint(reach.drop("term"), reach), "qid", "left").where(F.col("reach").isNull() | (F.col("most") + 10.0**-digits >= F.col("reach"))).select("qid", "block")

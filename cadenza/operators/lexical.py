@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem, stem_column
+from ..working import stored
 from . import block_index
 
 #: A number with an optional fraction, or a run of letters.
@@ -23,6 +24,8 @@ LEXEME = r"\d+(?:\.\d+)?|\p{L}+"
 WEIGHT = 0.1
 #: Buckets of a stored index by term, terms that a filter on it names at most, and terms that are a local table at most.
 BUCKETS, NAMED, MOST_TERMS = 64, 512, 10_000
+#: Rows of a stored table of terms that are broadcast at most.
+MOST_SENT = 500_000
 
 
 @lru_cache(maxsize=1)
@@ -101,6 +104,13 @@ def pinned(terms: DataFrame) -> DataFrame:
     return out
 
 
+def pinned_once(terms: DataFrame, label: str) -> DataFrame:
+    """``terms`` as by ``pinned``; they are made once, as more than a local table holds are read from where they were written."""
+    out = pinned(stored(terms, label))
+    out._cadenza_sent = out._cadenza_terms is None and out.limit(MOST_SENT + 1).count() <= MOST_SENT
+    return out
+
+
 def chosen(index: DataFrame, terms: DataFrame) -> DataFrame:
     """The rows of a table by term whose term is asked for; of a stored one only their buckets and row groups are read.
 
@@ -109,7 +119,7 @@ def chosen(index: DataFrame, terms: DataFrame) -> DataFrame:
     terms = pinned(terms)
     rows = terms._cadenza_terms
     if rows is None:
-        return index.join(terms.select("term").distinct(), "term", "left_semi").drop("bucket")
+        return index.join(hint(terms.select("term").distinct(), terms), "term", "left_semi").drop("bucket")
     found = sorted({r.term for r in rows})
     if not found:
         return index.limit(0).drop("bucket")
@@ -216,7 +226,7 @@ def numbered(rows: DataFrame, terms: DataFrame) -> DataFrame:
 
 def hint(df: DataFrame, terms: DataFrame) -> DataFrame:
     """A table made of query terms, broadcast if these are proven few."""
-    return F.broadcast(df) if pinned(terms)._cadenza_terms is not None else df
+    return F.broadcast(df) if pinned(terms)._cadenza_terms is not None or getattr(terms, "_cadenza_sent", False) else df
 
 
 def cover_density(terms: DataFrame, index: DataFrame, matches: DataFrame) -> DataFrame:

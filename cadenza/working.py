@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @lru_cache(maxsize=1)
@@ -28,5 +28,12 @@ def working_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the working folder and read from there, for what several steps read."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{working_folder(spark)}/cadenza-work/{label}-{uuid.uuid4().hex}"

@@ -127,3 +127,24 @@ def test_rank_is_linear_in_a_long_text(spark):
     got = {r.id: r.score for r in lexical.keyword_search(asked, lexical.postings(df, False, frozenset()), 5).collect()}
     assert got[2] == pytest.approx(0.05) and got[1] == pytest.approx(0.1 * (2 * n - 1))
     assert time.perf_counter() - began < 60
+
+
+def test_many_terms_are_made_once_and_meet_their_own_blocks(spark, texts, index, monkeypatch):
+    """Terms beyond a local table are stored and broadcast: what makes them runs once, and the index is not shuffled for them."""
+    monkeypatch.setattr(lexical, "MOST_TERMS", 2)
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    asked = {1: ["zebra", "rivers"], 3: ["3.5", "alpha", "beta", "night"]}
+    rows = [(q, t) for q, ts in asked.items() for t in ts]
+    terms = spark.createDataFrame(rows, "qid long, term string").mapInArrow(count, "qid long, term string")
+    got = sorted(tuple(r) for r in block_index.bm25(terms, index, 7).collect())
+    assert sorted(got, key=lambda r: (r[0], r[3])) == brute_bm25(texts, asked, 7)
+    assert made.value == len(rows)
+    weighted = block_index.weighted(terms, index)
+    plan = lexical.chosen(index.blocks, weighted)._jdf.queryExecution().executedPlan().toString()
+    assert weighted._cadenza_terms is None and "BroadcastHashJoin" in plan
