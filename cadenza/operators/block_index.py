@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stem import stem_column
+from ..functions.stem import stem
 from ..working import stored
 from . import lexical
 
-#: Ids of a block, as a power of two, and of a file of the stored index.
-BLOCK_BITS, FILE_BITS = 5, 18
+#: Ids of a block, and of a range that is dealt to a task as one, as powers of two.
+BLOCK_BITS, RANGE_BITS = 5, 8
+#: Documents of a task, and of one if there are fewer tasks than cores; words that are made blocks at once, documents that are added to them, rows that are given out.
+DEALT, LEAST, HELD, SLICE, OUT = 1 << 14, 1 << 10, 1 << 20, 512, 1 << 14
 #: Term saturation and length normalisation of BM25.
 K1, B = 1.2, 0.75
 #: Documents in the blocks of highest bound that a query scores first, as a multiple of ``k``, to learn what the others must reach.
@@ -61,58 +63,75 @@ def lengths(docs: DataFrame, stops: frozenset[str]) -> DataFrame:
 def blocks(docs: DataFrame, stemmed: bool = True, stops: frozenset[str] | None = None) -> DataFrame:
     """The blocks of ``docs`` (``id, text``) with their ``bucket``, sorted by bucket, term and block within each partition.
 
-    Postings are dealt by bucket and id range in one shuffle, so a term in most documents is many tasks' work, and
-    gathered in one pass over sorted rows that holds a block at a time.
+    Texts are dealt by ranges of ids, whole blocks to a task, so their postings become rows of a term and a block where
+    they are and no posting is shuffled or sorted as a row. A task has ``DEALT`` documents or so, whose blocks fit its sort.
     """
     stops = lexical.stop_words() if stops is None else stops
-    # the length is a column before the words are rows, else each row would count them again
-    rows = words(docs, stops).withColumn("len", length(F.col("w"))).select("id", "len", F.posexplode("w").alias("pos", "term")).where("term is not null")
+    n = docs.count()
+    tasks = max(-(-n // DEALT), min(docs.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST)), 1)
+    dealt = docs.where(F.col("id").isNotNull()).select(F.col("id").cast("long"), "text").repartition(tasks, F.shiftright("id", RANGE_BITS)).sortWithinPartitions("id")
+    return words(dealt, stops).mapInArrow(lambda batches: gathered(batches, stemmed), BLOCKS).sortWithinPartitions("bucket", "term", "block")
+
+
+def gathered(batches: Iterator[pa.RecordBatch], stemmed: bool = False) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents in order of ids, from ``HELD`` words at a time; the last block of these waits for the next."""
+    held: list[pa.RecordBatch] = []
+    known: dict[str, str] = {}
+    for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
+        held.append(batch)
+        if sum(len(b.column(1).flatten()) for b in held) >= HELD:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            blocks = rows["id"].to_numpy() >> BLOCK_BITS
+            whole = int(np.searchsorted(blocks, blocks[-1]))
+            yield from block_rows(rows.slice(0, whole), stemmed, known)
+            held = rows.slice(whole).to_batches()
+    if held:
+        yield from block_rows(pa.Table.from_batches(held).combine_chunks(), stemmed, known)
+
+
+def starts(*values: np.ndarray) -> np.ndarray:
+    """Where a value differs from that of the place before."""
+    return np.flatnonzero(np.concatenate([[True] * bool(len(values[0])), np.any([np.diff(v) != 0 for v in values], axis=0)]))
+
+
+def block_rows(docs: pa.Table, stemmed: bool, known: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """The blocks of whole documents ``id, w`` by bucket and term; ``known`` keeps the stems of words that were seen."""
+    lists = pa.concat_arrays(docs["w"].chunks) if docs.num_rows else pa.array([], pa.list_(pa.string()))
+    flat, sizes = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy()
+    said = np.asarray(flat.is_valid())
+    doc_of, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    pos = (np.arange(len(flat)) - first[doc_of] + 1)[said].astype(np.int32)
+    doc_of = doc_of[said]
+    if not len(pos):
+        return
+    id_of_doc, len_of_doc = docs["id"].to_numpy(), np.bincount(doc_of, minlength=len(sizes)).astype(np.int32)
+    found = flat.filter(pa.array(said)).dictionary_encode()
+    names, code = found.dictionary.to_pylist(), found.indices.to_numpy()
     if stemmed:
-        stems = rows.select("term").distinct().withColumn("stem", stem_column("term"))
-        rows = rows.join(stems, "term").select("id", "len", "pos", F.col("stem").alias("term"))
-    rows = rows.select(lexical.bucket_of("term"), F.shiftright("id", FILE_BITS).alias("part"), "term", "id", (F.col("pos") + 1).cast("int").alias("pos"), "len")
-    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "term", "id", "pos").drop("part").mapInArrow(gathered, BLOCKS)
-
-
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of sorted postings; the last block of a batch waits for the next."""
-    held = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        begins = block_starts(rows)
-        if len(begins) > 1:
-            yield block_rows(rows.slice(0, int(begins[-1])))
-            rows = rows.slice(int(begins[-1]))
-        held = rows.combine_chunks() if rows.num_rows else None
-    if held is not None:
-        yield block_rows(held)
-
-
-def changes(rows: pa.Table, *values: np.ndarray) -> np.ndarray:
-    """Where a row's term or another value differs from that of the row before."""
-    term = rows["term"].combine_chunks().dictionary_encode()
-    code = (term.chunk(0) if isinstance(term, pa.ChunkedArray) else term).indices.to_numpy()
-    return np.flatnonzero(np.concatenate([[True] * bool(len(code)), np.any([np.diff(v) != 0 for v in (code, *values)], axis=0)]))
-
-
-def block_starts(rows: pa.Table) -> np.ndarray:
-    return changes(rows, rows["id"].to_numpy() >> BLOCK_BITS)
-
-
-def block_rows(rows: pa.Table) -> pa.RecordBatch:
-    ids, pos = rows["id"].to_numpy(), rows["pos"].to_numpy()
-    doc, block = changes(rows, ids), block_starts(rows)
+        for w in names:
+            if w not in known:
+                known[w] = stem(w)
+        names = [known[w] for w in names]
+    terms = sorted(((lexical.bucket_number(t), t.encode(), t) for t in set(names)))
+    at = {t: i for i, (_, _, t) in enumerate(terms)}
+    code = np.array([at[t] for t in names], dtype=np.int32)[code]
+    ids = id_of_doc[doc_of]
+    # documents and places are in order already, but for ids that two documents have
+    order = np.argsort(code, kind="stable") if np.all(np.diff(id_of_doc) > 0) else np.lexsort((pos, ids, code))
+    code, ids, pos, doc_of = code[order], ids[order], pos[order], doc_of[order]
+    doc, block = starts(code, ids), starts(code, ids >> BLOCK_BITS)
     tf = np.diff(np.append(doc, len(ids))).astype(np.int32)
-    lens = rows["len"].to_numpy()[doc]
+    lens, slots = len_of_doc[doc_of[doc]], (ids[doc] & ((1 << BLOCK_BITS) - 1)).astype(np.int8)
     gaps = np.diff(pos, prepend=0).astype(np.int32)
     gaps[doc] = pos[doc]
-    docs_of, rows_of = (np.append(np.searchsorted(starts, block), len(starts)).astype(np.int32) for starts in (doc, np.arange(len(ids))))
-    lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+    docs_of, rows_of = np.append(np.searchsorted(doc, block), len(doc)).astype(np.int32), np.append(block, len(ids)).astype(np.int32)
+    listed = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
     columns = [
-        rows["term"].take(pa.array(block)).combine_chunks(), pa.array(ids[block] >> BLOCK_BITS), pa.array(np.diff(docs_of)), pa.array(np.diff(rows_of)), pa.array(np.maximum.reduceat(tf, docs_of[:-1])),
-        pa.array(np.minimum.reduceat(lens, docs_of[:-1])), lists(docs_of, (ids[doc] & ((1 << BLOCK_BITS) - 1)).astype(np.int8)), lists(docs_of, lens), lists(docs_of, tf), lists(rows_of, gaps), rows["bucket"].take(pa.array(block)).combine_chunks(),
+        pa.array([t for _, _, t in terms]).take(pa.array(code[block])), pa.array(ids[block] >> BLOCK_BITS), pa.array(np.diff(docs_of)), pa.array(np.diff(rows_of)), pa.array(np.maximum.reduceat(tf, docs_of[:-1])),
+        pa.array(np.minimum.reduceat(lens, docs_of[:-1])), listed(docs_of, slots), listed(docs_of, lens), listed(docs_of, tf), listed(rows_of, gaps), pa.array(np.array([b for b, _, _ in terms], dtype=np.int32)[code[block]]),
     ]
-    return pa.record_batch([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], names=[c.split()[0] for c in BLOCKS.split(", ")])
+    made = pa.record_batch(columns, names=[c.split()[0] for c in BLOCKS.split(", ")])
+    yield from (made.slice(i, OUT) for i in range(0, made.num_rows, OUT))
 
 
 def postings(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import activity, align, block_index, chunk, evaluate, fuse, fuzzy, lexical, rerank, vector, vector_index
 from ..sources import files, tables
-from ..working import new_path
+from ..working import new_path, stored
 from . import store
 from .search import Searcher
 
@@ -287,11 +287,11 @@ def keyword_rank(spark, d):
     return keyword_arm(spark, d, 10).select("qid", "id", "score", long("rank"))
 
 
-def vector_arm(spark, d, k: int) -> DataFrame:
-    """Queries are the rows whose id is divisible by 20, against all others."""
+def vector_arm(spark, d, k: int, only: DataFrame | None = None) -> DataFrame:
+    """Queries are the rows whose id is divisible by 20, against all others; ``only`` (``qid``) are those that are asked for."""
     v = tables.vectors(spark, d)
     asked = v.where("id % 20 = 0").select((F.col("id") / 20).cast("long").alias("qid"), F.col("id").alias("own"), F.col("embedding").alias("query"))
-    return vector.vector_search(asked, v, k)
+    return vector.vector_search(asked if only is None else asked.join(only.select("qid").distinct(), "qid", "left_semi"), v, k)
 
 
 @query
@@ -423,8 +423,12 @@ def format_moment(spark, d):
 
 
 def moments(spark, d) -> DataFrame:
-    """Results of all modes; a document is a moment of file ``id mod 7`` and ten seconds from second ``id mod 50``."""
-    keyword, vectors = keyword_arm(spark, d), vector_arm(spark, d, fuse.POOL)  # the best ten are the first of these
+    """Results of the labelled queries in all modes; a document is a moment of file ``id mod 7`` and ten seconds from second ``id mod 50``.
+
+    Each arm runs once and is stored: all modes read it, and the evaluation reads them more than once.
+    """
+    keyword = stored(keyword_arm(spark, d).select("qid", "id", "rank"), "keyword")  # the best ten are the first of these
+    vectors = stored(vector_arm(spark, d, fuse.POOL, labelled(spark, d)[0]).select("qid", "id", "rank"), "vector")
     arms = {"keyword": keyword.where("rank <= 10"), "vector": vectors.where("rank <= 10"), "hybrid": fuse.rrf_fuse(keyword, vectors, 10)}
     rows = [a.select("qid", F.lit(mode).alias("mode"), "rank", "id") for mode, a in arms.items()]
     start = F.col("id") % 50 * 1000

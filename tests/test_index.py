@@ -129,6 +129,29 @@ def test_rank_is_linear_in_a_long_text(spark):
     assert time.perf_counter() - began < 60
 
 
+def test_no_posting_is_a_row_before_its_block(spark, texts):
+    """Texts are shuffled, not postings; documents that share an id keep all places."""
+    df = spark.createDataFrame(texts + [(7, "alpha beta alpha"), (7, "beta alpha")], "id long, text string")
+    made = block_index.blocks(df, False, frozenset())
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
+    whole = lexical.postings(df, False, frozenset())
+    assert sorted(block_index.postings(made).collect()) == sorted(whole.select("id", "term", "pos").collect())
+    assert made.groupBy("term", "block").count().where("count > 1").count() == 0
+
+
+def test_blocks_of_parts_are_whole(spark, texts, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(block_index, "HELD", 100)
+    monkeypatch.setattr(block_index, "SLICE", 7)
+    monkeypatch.setattr(block_index, "OUT", 50)
+    batches = [pa.record_batch([pa.array([i for i, _ in part]), pa.array([None if t is None else re.findall(r"[a-z]+", t.lower()) for _, t in part], pa.list_(pa.string()))], names=["id", "w"]) for part in (texts[:700], texts[700:])]
+    rows = [r for b in block_index.gathered(iter(batches)) for r in b.to_pylist()]
+    assert len({(r["term"], r["block"]) for r in rows}) == len(rows) and max(r["n_docs"] for r in rows) > 7
+    assert sum(r["n_postings"] for r in rows) == sum(len(re.findall(r"[a-z]+", (t or "").lower())) for _, t in texts)
+
+
 def test_many_terms_are_made_once_and_meet_their_own_blocks(spark, texts, index, monkeypatch):
     """Terms beyond a local table are stored and broadcast: what makes them runs once, and the index is not shuffled for them."""
     monkeypatch.setattr(lexical, "MOST_TERMS", 2)
