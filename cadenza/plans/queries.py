@@ -365,8 +365,8 @@ def store_upsert(spark, d):
     return chunks.join(i.lengths, "id").select("id", "file", long("start_ms"), long("n_words"), long("n_terms"), F.md5("text").alias("md5"))
 
 
-def fused(spark, d, k: int = 10) -> DataFrame:
-    return fuse.rrf_fuse(keyword_arm(spark, d), vector_arm(spark, d, fuse.POOL), k)
+def fused(spark, d, k: int = 10, only: DataFrame | None = None) -> DataFrame:
+    return fuse.rrf_fuse(keyword_arm(spark, d), vector_arm(spark, d, fuse.POOL, only), k)
 
 
 @query
@@ -478,7 +478,7 @@ def summarize(spark, d):
 def rerank_rows(spark, d):
     """Recall and reciprocal rank of each query with the pool reranked by weights learned from other queries."""
     asked, spans = labelled(spark, d)
-    pool = fused(spark, d, fuse.POOL)
+    pool = stored(fused(spark, d, fuse.POOL, asked), "pool")  # each fold trains on it and reranks it
     start = F.col("id") % 50 * 1000
     placed = lambda df: df.select("qid", "id", F.lit("hybrid").alias("mode"), "rank", (F.col("id") % 7).alias("file"), start.alias("start_ms"), (start + 10_000).alias("end_ms"))
     found = rerank.cross_validated(pool, evaluate.span_hits(placed(pool), spans), 10)

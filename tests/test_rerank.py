@@ -65,3 +65,21 @@ def test_training_takes_a_bounded_sample(spark, arms):
     keyword, vector, right = arms
     pool = fuse.rrf_fuse(keyword, vector, 10).join(right.withColumn("relevant", F.lit(True)), ["qid", "id"], "left").na.fill(False, ["relevant"])
     assert rerank.train(pool, 300) == rerank.train(pool.repartition(5), 300) != rerank.train(pool)
+
+
+def test_labelled_queries_alone_are_searched_and_once(spark, monkeypatch):
+    """Vector queries without a label add nothing to an evaluation; each arm runs once for all modes and folds."""
+    from cadenza.plans import queries
+
+    d, asked, ran = "/root/testdata/sf0.001", [], []
+    search, arm = queries.vector.vector_search, queries.keyword_arm
+    monkeypatch.setattr(queries.vector, "vector_search", lambda q, *a: asked.append({r.qid for r in q.select("qid").collect()}) or search(q, *a))
+    monkeypatch.setattr(queries, "keyword_arm", lambda *a: ran.append(1) or arm(*a))
+    few = queries.tables.table(spark, d, "benchmark").select(F.col("item_id").alias("qid")).orderBy("qid").limit(1)
+    labelled = queries.labelled
+    monkeypatch.setattr(queries, "labelled", lambda *a: tuple(x.join(few, "qid", "left_semi") for x in labelled(*a)))
+    for made in (queries.moments(spark, d), queries.rerank_rows(spark, d)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and "arrow" not in plan.lower().replace("parquet", "")
+    first = few.first().qid
+    assert asked and all(a <= {first} for a in asked) and len(ran) == 2
