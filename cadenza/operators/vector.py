@@ -19,6 +19,8 @@ from ..working import new_path
 
 #: Texts that an encoder is given at once.
 BATCH = 32
+#: Rows that meet a block of queries at once, and the id of a place that is free.
+ROWS, NO_ID = 2048, np.iinfo(np.int64).max
 #: Width of the stored vectors.
 DIMENSIONS = 384
 
@@ -50,31 +52,53 @@ def query_blocks(path: str, rows: int) -> Iterator[pa.RecordBatch]:
 
 
 class Best:
-    """The best ``k`` of each query of a block so far, by score to the twelfth digit, then id; vectors without a score last."""
+    """The best ``k`` of each query of a block so far, by score to the twelfth digit, then id; vectors without a score last.
+
+    These are two arrays of a query and a place each; rows are met ``ROWS`` at a time, so scores take no more than that times the block.
+    """
 
     def __init__(self, block: pa.RecordBatch, k: int):
-        self.qid, self.own, self.k = block.column(0), block.column(1).to_pylist(), k
+        self.qid, self.k = block.column(0), k
+        own = block.column(1)
+        self.own = np.where(np.asarray(own.is_valid()), own.fill_null(0).to_numpy(zero_copy_only=False), NO_ID) if len(own) else np.zeros(0, np.int64)
         self.q, self.ok = matrix(block.column(2))
-        self.found: list[list[tuple[float, int]]] = [[] for _ in self.own]
+        self.ids, self.scores = np.full((len(own), k), NO_ID, dtype=np.int64), np.full((len(own), k), -np.inf)
 
     def add(self, ids: np.ndarray, x: np.ndarray, ok: np.ndarray) -> None:
         """Meet rows in ascending order of ids."""
-        scores = np.round(x @ self.q.T, 12) if x.shape[1] == self.q.shape[1] else np.zeros((len(ids), len(self.own)))
-        scores = np.where(ok[:, None] & self.ok & (x.shape[1] == self.q.shape[1]), scores, -np.inf)
+        for at in range(0, len(ids), ROWS) if len(self.own) else ():
+            self._meet(*(v[at : at + ROWS] for v in (ids, x, ok)))
+
+    def _meet(self, ids: np.ndarray, x: np.ndarray, ok: np.ndarray) -> None:
+        same = x.shape[1] == self.q.shape[1]
+        scores = np.round(self.q @ x.T, 12) if same else np.zeros((len(self.own), len(ids)))
+        scores[~self.ok | (not same)] = -np.inf
+        scores[:, ~ok] = -np.inf
         more = self.k + 1  # one may be the query's own
-        least = np.partition(scores, -more, axis=0)[-more] if len(ids) > more else np.full(len(self.own), -np.inf)
-        for j, own in enumerate(self.own):
-            at = np.flatnonzero(scores[:, j] >= least[j])
-            if least[j] == -np.inf:  # those without a score fill up in order of ids
-                at = np.r_[np.flatnonzero(scores[:, j] > -np.inf), np.flatnonzero(scores[:, j] == -np.inf)[:more]]
-            mine = [(-s, i) for s, i in zip(scores[at, j].tolist(), ids[at].tolist()) if i != own]
-            self.found[j] = sorted(self.found[j] + mine)[: self.k]
+        least = np.partition(scores, -more, axis=1)[:, -more] if len(ids) > more else np.full(len(self.own), -np.inf)
+        last, last_id = self.scores[:, -1:], self.ids[:, -1:]
+        take = scores >= np.maximum(least[:, None], last)
+        none = np.flatnonzero((least == -np.inf) & (last[:, 0] == -np.inf))
+        if len(none):  # those without a score fill up in order of ids
+            empty = scores[none] == -np.inf
+            take[none] &= ~empty | ((np.cumsum(empty, axis=1) <= more) & (ids < last_id[none]))
+        j, i = np.nonzero(take)
+        j, i = (v[ids[i] != self.own[j]] for v in (j, i))
+        if not len(j):
+            return
+        rows = np.unique(j)
+        row = np.concatenate([np.repeat(rows, self.k), j])
+        score, found = np.concatenate([self.scores[rows].ravel(), scores[j, i]]), np.concatenate([self.ids[rows].ravel(), ids[i]])
+        order = np.lexsort((found, -score, row))
+        row, score, found = row[order], score[order], found[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = nth < self.k
+        self.scores[row[kept], nth[kept]], self.ids[row[kept], nth[kept]] = score[kept], found[kept]
 
     def rows(self) -> pa.RecordBatch:
-        n = [len(f) for f in self.found]
-        flat = [x for f in self.found for x in f]
-        scores = np.array([-s for s, _ in flat], dtype=np.float64)
-        return pa.record_batch([self.qid.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array([i for _, i in flat], pa.int64()), pa.array(scores, mask=np.isinf(scores))], names=["qid", "id", "score"])
+        j, nth = np.nonzero(self.ids != NO_ID)
+        scores = self.scores[j, nth]
+        return pa.record_batch([self.qid.take(pa.array(j)), pa.array(self.ids[j, nth]), pa.array(scores, mask=np.isinf(scores))], names=["qid", "id", "score"])
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024, held: int = 64) -> DataFrame:
@@ -84,7 +108,8 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1
     is such a column) are a stated set that meets all rows. They are written to the working folder
     once; every task reads them a block at a time and multiplies each batch of vectors with it, so
     neither side is collected, copied per row or shuffled. A task keeps its best ``k`` per query of up to
-    ``held`` blocks from batch to batch, of more blocks it gives out each batch's.
+    ``held`` blocks from batch to batch, of more blocks it gives out each batch's. There are as many tasks as a few
+    for a core, so what they give out grows with the queries, not with queries times vectors.
     """
     spark = queries.sparkSession
     own = F.col("own") if "own" in queries.columns else F.lit(None)
@@ -108,7 +133,8 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1
             yield best.rows()
 
     kind = queries.schema["qid"].dataType.simpleString()
-    scored = vectors.select(F.col("id").cast("long"), "embedding").mapInArrow(run, f"qid {kind}, id long, score double")
+    dealt = vectors.select(F.col("id").cast("long"), "embedding").coalesce(2 * spark.sparkContext.defaultParallelism)
+    scored = dealt.mapInArrow(run, f"qid {kind}, id long, score double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc_nulls_last(), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -244,3 +244,30 @@ def test_published_keyword_results(spark):
     lines = [[c.strip() for c in line.split(" | ")] for line in last.read_text().split("## Per query")[1].splitlines() if line[2:3].isdigit()]
     want = {int(c[0].lstrip("| ")) - 1: (c[3], c[6]) for c in lines}
     assert len(want) == 63 and got == want
+
+
+def test_best_rows_of_many_queries_take_little_memory():
+    """Python's memory beside the vectors: two arrays of queries and places, and the scores of one slice of rows; null vectors and ties come in order of ids."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n, k = 2000, 10
+    q, x = rng.integers(-2, 3, (n, 4)).astype(float), rng.integers(-2, 3, (9000, 4)).astype(float)
+    block = pa.record_batch([pa.array(range(n)), pa.array([None if i % 3 else i for i in range(n)], pa.int64()), pa.array(q.tolist())], names=["qid", "own", "query"])
+    unit, ok = vector.matrix(pa.array(x.tolist()))
+    ids = np.arange(len(x))
+    tracemalloc.start()
+    best = vector.Best(block, k)
+    for at in range(0, len(x), 5000):
+        best.add(ids[at : at + 5000], unit[at : at + 5000], ok[at : at + 5000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = best.rows().to_pandas()
+    for j in (0, 1, 3, 7, *np.flatnonzero(~best.ok)[:2]):
+        score = np.where(ok & best.ok[j], np.round(unit @ best.q[j], 12), -np.inf)
+        want = [i for i in sorted(ids, key=lambda i: (-score[i], i)) if j % 3 or i != j][:k]
+        assert got[got.qid == j].id.tolist() == want
+    assert peak < 200e6
