@@ -22,7 +22,7 @@ from . import lexical
 #: Ids of a block, and of a range that is dealt to a task as one, as powers of two.
 BLOCK_BITS, RANGE_BITS = 5, 8
 #: Documents of a task, and of one if there are fewer tasks than cores; words that are made blocks at once, documents that are added to them, rows that are given out.
-DEALT, LEAST, HELD, SLICE, OUT = 1 << 14, 1 << 10, 1 << 20, 512, 1 << 14
+DEALT, LEAST, HELD, SLICE, OUT = 1 << 13, 1 << 10, 1 << 20, 512, 1 << 14
 #: Term saturation and length normalisation of BM25.
 K1, B = 1.2, 0.75
 #: Documents in the blocks of highest bound that a query scores first, as a multiple of ``k``, to learn what the others must reach.
