@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from cadenza.operators import evaluate, fuse, rerank
 from pyspark.sql import functions as F
@@ -67,6 +68,52 @@ def test_training_takes_a_bounded_sample(spark, arms):
     assert rerank.train(pool, 300) == rerank.train(pool.repartition(5), 300) != rerank.train(pool)
 
 
+def large_pool(spark):
+    """900 queries of 30 rows, 27,000 labelled rows, the first of each relevant and some others too; some rows lack an arm."""
+    h = lambda word, n: F.pmod(F.xxhash64("id", F.lit(word)), F.lit(n)).cast("int")
+    x = spark.range(900 * 30).select((F.col("id") / 30).cast("long").alias("qid"), "id", F.when(h("arms", 5) > 0, 1 + h("kw", 30)).alias("kw_rank"), F.when(h("arms", 5) < 4, 1 + h("vec", 30)).alias("vec_rank"))
+    part = lambda c: F.coalesce(1.0 / (60.0 + F.col(c)), F.lit(0.0))
+    x = x.withColumn("score", part("kw_rank") + part("vec_rank")).withColumn("rank", (F.col("id") % 30 + 1).cast("int"))
+    return x.withColumn("relevant", (F.col("rank") == 1) | (h("right", 40) < F.when(F.col("kw_rank") < 8, 4).otherwise(1)))
+
+
+def off(pool, weights):
+    """How far weights are from the least mean loss over every pair of the pool, formed one query at a time."""
+    rows = pool.select("qid", "relevant", *rerank.features()).toPandas()
+    parts = []
+    for _, group in rows.groupby("qid"):
+        x, y = group[[f"_{n}" for n in rerank.FEATURES]].to_numpy(), group["relevant"].to_numpy(dtype=bool)
+        parts.append((x[y][:, None, :] - x[~y][None, :, :]).reshape(-1, x.shape[1]))
+    d, w = np.concatenate(parts), np.array(weights)
+    return np.abs(rerank.RIDGE * w - d.T @ (1 / (1 + np.exp(d @ w))) / len(d)).max()
+
+
+def test_all_labelled_rows_train(spark):
+    """Training once took 20,000 rows by hash; rows beyond them count as well, in whatever partitions they come."""
+    pool = large_pool(spark).localCheckpoint()
+    weights = rerank.train(pool)
+    assert off(pool, weights) < 1e-9 and off(pool, rerank.train(pool, 20_000)) > 1e-6
+    assert weights == rerank.train(pool.repartition(5)) == rerank.train(pool.repartition(3, "id"))
+
+
+def test_folds_learn_from_all_labels_of_the_others(spark, monkeypatch):
+    pool = large_pool(spark).localCheckpoint()
+    used, apply = [], rerank.apply
+    monkeypatch.setattr(rerank, "apply", lambda part, w, k: used.append((part, w)) or apply(part, w, k))
+    right = pool.where("relevant").select("qid", "id")
+    assert rerank.cross_validated(pool.drop("relevant"), right, 10).count() == 900 * 10
+    for part, w in used:
+        others = pool.join(part.select("qid").distinct(), "qid", "left_anti")
+        assert others.count() > 20_000 and off(others, w) < 1e-9
+
+
+def test_large_differences_are_summed_without_overflow(spark):
+    """A feature far beyond a rank's: sums stay whole numbers of 64 bits."""
+    pool = large_pool(spark).where("qid < 50").withColumn("score", F.when(F.col("relevant"), 1e4).otherwise(0.0) + F.col("score")).localCheckpoint()
+    weights = rerank.train(pool)
+    assert all(np.isfinite(weights)) and off(pool, weights) < 1e-6
+
+
 def test_labelled_queries_alone_are_searched_and_once(spark, monkeypatch):
     """Vector queries without a label add nothing to an evaluation; each arm runs once for all modes and folds."""
     from cadenza.plans import queries
